@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import host_rules, sharding
+from inkwell.llm import bpe, host_rules, sharding
 from inkwell.llm.common import load
 
 
@@ -14,12 +14,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(load(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(load(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_bpe": op2_bpe,
     "op4_host_rules": op4_host_rules,
 }
 
