@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, host_rules, sharding
+from inkwell.llm import bpe, host_rules, secrets, sharding
 from inkwell.llm.common import load
 
 
@@ -24,10 +24,15 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(load(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op4_host_rules": op4_host_rules,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
