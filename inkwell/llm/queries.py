@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, host_rules, secrets, sharding
+from inkwell.llm import bpe, host_rules, language_id, secrets, sharding, toxicity, weak_quality
 from inkwell.llm.common import load
 
 
@@ -24,6 +24,18 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(load(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.score_quality(load(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(load(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
 
@@ -32,6 +44,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op4_host_rules": op4_host_rules,
+    "op6_quality": op6_quality,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_secrets": op10_secrets,
 }
 
