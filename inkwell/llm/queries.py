@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, host_rules, language_id, secrets, sharding, toxicity, weak_quality
+from inkwell.llm import bpe, host_rules, language_id, line_dedup, secrets, sharding, toxicity, weak_quality
 from inkwell.llm.common import load
 
 
@@ -24,6 +24,10 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(load(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(load(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.score_quality(load(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op4_host_rules": op4_host_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
