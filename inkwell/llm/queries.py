@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, host_rules, language_id, line_dedup, secrets, sharding, toxicity, weak_quality
+from inkwell.llm import bpe, host_rules, language_id, line_dedup, near_dups, secrets, sharding, toxicity, weak_quality
 from inkwell.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(load(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_near_dups": op3_near_dups,
     "op4_host_rules": op4_host_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
