@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, host_rules, language_id, line_dedup, near_dups, secrets, sharding, toxicity, weak_quality
+from inkwell.llm import bpe, decontaminate, host_rules, language_id, line_dedup, near_dups, secrets, sharding, toxicity, weak_quality
 from inkwell.llm.common import load
 
 
@@ -44,6 +44,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
 }
 
