@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,32 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 1
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def link_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame], stars: int = 2, label: str = "buckets") -> DataFrame:
+    """(node, root) of the components that the verified pairs of bucket mates make; nodes without a link are left out.
+
+    members: (bucket, k), each once; verified: pairs (a, b) to those that are linked. Every bucket is
+    first verified in a star around one member, for a few choices of it; then all pairs of a bucket
+    whose members are still in different components, other than those with the first centre. So a
+    bucket of one group costs a few links for each member and not all pairs, and no pair is left out
+    unless it is connected already.
+    """
+    links, labelled = None, members.withColumn("root", F.col("k"))
+    for seed in range(stars):
+        order = F.struct(F.xxhash64(F.lit(seed), "k"), F.col("k"))
+        centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("k", "root"), order).alias("c"))
+        spokes = labelled.join(centres, "bucket").where(F.col("root") != F.col("c.root"))
+        pairs = spokes.select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b")).distinct()
+        new = cut(verified(pairs), f"{label}-star")
+        links = new if links is None else links.unionByName(new)
+        roots = components(links, f"{label}-groups")
+        labelled = cut(members.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")), f"{label}-roots")
+
+    # Buckets with one root are done, as are those of two members.
+    mixed = labelled.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed and n > 2").select("bucket")
+    left = labelled.join(mixed, "bucket")
+    a, b = left.alias("a"), left.alias("b")
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+    more = cut(verified(pairs), f"{label}-pairs")
+    return components(links.unionByName(more), f"{label}-groups") if more.take(1) else roots
