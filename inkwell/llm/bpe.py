@@ -31,7 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from inkwell.llm.common import cut, partitions, whole_text
 
 #: Characters of text in a block, and the most buckets that words are dealt into.
-BLOCK_CHARS, MAX_BUCKETS = 8 << 20, 4096
+BLOCK_CHARS, MAX_BUCKETS = 6 << 20, 4096
 #: Words that a bucket's task remembers; beyond that it starts afresh, which costs time only.
 MEMORY_WORDS = 4_000_000
 
@@ -76,9 +76,10 @@ class Splitter:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers as one compressed value."""
+    """Arrays of unsigned numbers as one compressed value; a number's bytes go to planes of their own."""
     head = np.array([len(arrays), *(x for a in arrays for x in (a.dtype.itemsize, len(a)))], "<u4")
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    planes = (np.ascontiguousarray(a.view("u1").reshape(-1, a.dtype.itemsize).T).tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(planes))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -86,7 +87,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, "<u4", 1)[0])
     sizes, at, found = np.frombuffer(raw, "<u4", 2 * n, 4), 4 + 8 * n, []
     for width, length in sizes.reshape(n, 2).tolist():
-        found.append(np.frombuffer(raw, f"<u{width}", length, at))
+        planes = np.frombuffer(raw, "u1", width * length, at).reshape(width, length)
+        found.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel())
         at += width * length
     return found
 
@@ -102,44 +104,55 @@ def unpack_words(data: bytes) -> list[str]:
     return [text[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
+class Ids(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
 BLOCKS = "block long, bucket int, ids binary, payload binary"
 
 
 def _blocks(tokenizer_json: str, buckets: int, block_chars: int):
     """Rows of documents to blocks (bucket -1: positions; ids: the documents') and their word lists (other buckets)."""
 
-    def block(splitter: Splitter, ids: list, texts: list[str], number: int) -> pa.RecordBatch:
-        split = [splitter.words(t) for t in texts]
-        by_bucket: list[list[str]] = [[] for _ in range(buckets)]
-        for word in set().union(*split):
-            by_bucket[zlib.crc32(word.encode()) % buckets].append(word)
-        for words in by_bucket:
+    def block(ids: list, lengths: list[int], local: Ids, positions: list[np.ndarray], number: int) -> pa.RecordBatch:
+        flat = np.concatenate([np.zeros(0, "<u4"), *positions])
+        counts = np.bincount(flat, minlength=len(local)).tolist()
+        by_bucket: list[list[tuple[int, str]]] = [[] for _ in range(buckets)]
+        for word, i in local.items():
+            by_bucket[zlib.crc32(word.encode()) % buckets].append((-counts[i], word))
+        # The k-th most frequent word of bucket b has number k * buckets + b: frequent words have small numbers.
+        place = np.zeros(len(local), "<u4")
+        for b, words in enumerate(by_bucket):
             words.sort()
-        place = {word: i for i, word in enumerate(w for words in by_bucket for w in words)}
-        lengths = np.fromiter(map(len, split), "<u4", len(split))
-        positions = np.fromiter((place[w] for words in split for w in words), "<u4", int(lengths.sum()))
-        positions = positions.astype("<u2") if len(place) <= 1 << 16 else positions
+            place[np.fromiter((local[w] for _, w in words), np.int64, len(words))] = np.arange(len(words)) * buckets + b
         known = np.array([x is not None for x in ids], "u1")
-        held = pack(np.array([x or 0 for x in ids], "<i8").view("<u8"), known, lengths)
-        lists = [(k, pack_words(words)) for k, words in enumerate(by_bucket) if words]
+        held = pack(np.array([x or 0 for x in ids], "<i8").view("<u8"), known, np.array(lengths, "<u4"))
+        lists = [(b, pack_words([w for _, w in words])) for b, words in enumerate(by_bucket) if words]
         return pa.RecordBatch.from_arrays(
-            [pa.array([number] * (1 + len(lists)), pa.int64()), pa.array([-1, *(k for k, _ in lists)], pa.int32()), pa.array([held, *[None] * len(lists)], pa.binary()), pa.array([pack(positions), *(p for _, p in lists)], pa.binary())],
+            [pa.array([number] * (1 + len(lists)), pa.int64()), pa.array([-1, *(b for b, _ in lists)], pa.int32()), pa.array([held, *[None] * len(lists)], pa.binary()), pa.array([pack(place[flat]), *(x for _, x in lists)], pa.binary())],
             names=["block", "bucket", "ids", "payload"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(tokenizer_json.value)
-        base, n, ids, texts, chars = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        base, n, chars = TaskContext.get().partitionId() << 32, 0, 0
+        ids, lengths, positions, local = [], [], [], Ids()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = splitter.words(text)
                 ids.append(doc_id)
-                texts.append(text)
+                lengths.append(len(words))
+                positions.append(np.fromiter(map(local.__getitem__, words), "<u4", len(words)))
                 chars += len(text)
                 if chars >= block_chars or len(ids) >= 1 << 16:
-                    yield block(splitter, ids, texts, base + n)
-                    n, ids, texts, chars = n + 1, [], [], 0
+                    yield block(ids, lengths, local, positions, base + n)
+                    n, chars, ids, lengths, positions, local = n + 1, 0, [], [], [], Ids()
         if ids:
-            yield block(splitter, ids, texts, base + n)
+            yield block(ids, lengths, local, positions, base + n)
 
     return run
 
@@ -171,15 +184,23 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's row, then its answers in bucket order, to (doc_id, n_tokens, ids)."""
+def text_of(ids: bytes, pieces: list[bytes]) -> str:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
-    def finish(held: bytes, positions: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+
+def _joined(buckets: int, pieces=None):
+    """A block's row, then its answers, to (doc_id, n_tokens, ids), with the ids' text if there are pieces."""
+
+    def finish(held: bytes, positions: bytes, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         docs, known, words = unpack(held)
-        (places,) = unpack(positions)
-        parts = [unpack(a) for a in answers]
-        sizes = np.concatenate([np.zeros(0, "<u4"), *(p[0] for p in parts)]).astype(np.int64)
-        ids = np.concatenate([np.zeros(0, "<u4"), *(p[1] for p in parts)]).astype("<u4")
+        (numbers,) = unpack(positions)
+        parts = [(b, *unpack(a)) for b, a in answers]
+        sizes = np.concatenate([np.zeros(0, "<u4"), *(p[1] for p in parts)]).astype(np.int64)
+        ids = np.concatenate([np.zeros(0, "<u4"), *(p[2] for p in parts)]).astype("<u4")
+        first, seen = np.zeros(buckets, np.int64), 0
+        for b, own, _ in parts:
+            first[b], seen = seen, seen + len(own)
+        places = first[numbers % buckets] + numbers // buckets
         starts, at = np.cumsum(sizes) - sizes, 0
         rows: list[tuple] = []
         for doc_id, there, n in zip(docs.view("<i8").tolist(), known.tolist(), words.tolist()):
@@ -187,29 +208,42 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += n
             own = ids[ragged(starts[of], sizes[of])]
             rows.append((doc_id if there else None, len(own), own.tobytes()))
-        for k in range(0, len(rows), 1000):
-            some = list(zip(*rows[k : k + 1000]))
-            yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    now, held, positions, answers = None, b"", b"", []
-    for batch in batches:
-        for block, bucket, ids, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "bucket", "ids", "payload"))):
-            if block != now:
-                if now is not None:
-                    yield from finish(held, positions, answers)
-                now, held, positions, answers = block, ids, payload, []
-            else:
-                answers.append(payload)
-    if now is not None:
-        yield from finish(held, positions, answers)
-
-
-def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS, memory_words: int = MEMORY_WORDS) -> DataFrame:
+            if len(rows) == 500:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        some = list(zip(*rows))
+        columns = [pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.binary())]
+        if pieces is None:
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array([text_of(ids, pieces.value) for ids in some[2]], pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, positions, answers = None, b"", b"", []
+        for batch in batches:
+            for block, bucket, ids, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "bucket", "ids", "payload"))):
+                if block != now:
+                    if now is not None:
+                        yield from finish(held, positions, answers)
+                    now, held, positions, answers = block, ids, payload, []
+                else:
+                    answers.append((bucket, payload))
+        if now is not None:
+            yield from finish(held, positions, answers)
+
+    return run
+
+
+def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_chars: int = BLOCK_CHARS, memory_words: int = MEMORY_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit numbers) of every whole text of docs (doc_id, text).
 
     Null and empty texts have no ids. A null doc_id stays null; repeated rows give repeated rows;
     an empty table gives none; extra columns are left out. The tokenizer must be byte-level BPE
-    without normaliser, prefix space or dropout; anything else is refused.
+    without normaliser, prefix space or dropout; anything else is refused. With decoded, text is what
+    the ids decode to, as decode() would find it, made in the same pass.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         source = f.read()
@@ -226,7 +260,8 @@ def encode(docs: DataFrame, tokenizer_path: str, block_chars: int = BLOCK_CHARS,
     blocks = cut(rows.mapInArrow(_blocks(shared, buckets, block_chars), BLOCKS), "bpe-blocks")
     answers = blocks.where("bucket >= 0").repartition(n, "bucket").mapInArrow(_answers(shared, memory_words), BLOCKS)
     together = blocks.where("bucket < 0").unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
-    return together.mapInArrow(_joined, "doc_id long, n_tokens long, ids binary")
+    table = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer_path)) if decoded else None
+    return together.mapInArrow(_joined(buckets, table), "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
 
 def pieces(tokenizer_path: str) -> list[bytes]:
@@ -249,10 +284,8 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer_path))  # one entry for each id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
         for batch in batches:
-            coded = batch.column("ids").to_pylist()
-            texts = [None if ids is None else b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace") for ids in coded]
+            texts = [None if ids is None else text_of(ids, shared.value) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
@@ -260,5 +293,5 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    both = decode(encode(docs, tokenizer_path), tokenizer_path)
+    both = encode(docs, tokenizer_path, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
