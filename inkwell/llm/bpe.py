@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from inkwell.llm.common import cut, partitions, whole_text
+from inkwell.llm.common import partitions, whole_text
 
 #: Characters of text in a block, and the most buckets that words are dealt into.
 BLOCK_CHARS, MAX_BUCKETS = 6 << 20, 4096
@@ -158,14 +158,18 @@ def _blocks(tokenizer_json: str, buckets: int, block_chars: int):
 
 
 def _answers(tokenizer_json: str, memory_words: int):
-    """Word lists to the ids of their words."""
+    """Word lists to the ids of their words; the blocks' own rows stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer, known = Tokenizer.from_str(tokenizer_json.value), {}
         for batch in batches:
-            for block, bucket, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "bucket", "payload"))):
+            for block, bucket, ids, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "bucket", "ids", "payload"))):
+                if bucket < 0:
+                    passed = [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([ids], pa.binary()), pa.array([payload], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(passed, names=["block", "bucket", "ids", "payload"])
+                    continue
                 words = unpack_words(payload)
                 if len(known) > memory_words:
                     known.clear()
@@ -240,8 +244,9 @@ def _joined(buckets: int, pieces=None):
 def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_chars: int = BLOCK_CHARS, memory_words: int = MEMORY_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit numbers) of every whole text of docs (doc_id, text).
 
-    Null and empty texts have no ids. A null doc_id stays null; repeated rows give repeated rows;
-    an empty table gives none; extra columns are left out. The tokenizer must be byte-level BPE
+    docs must give the same rows in the same order when an executor is lost and a part of it is read
+    again, as a table's files do; cut() makes such a table. Null and empty texts have no ids. A null
+    doc_id stays null; repeated rows give repeated rows; an empty table gives none; extra columns are left out. The tokenizer must be byte-level BPE
     without normaliser, prefix space or dropout; anything else is refused. With decoded, text is what
     the ids decode to, as decode() would find it, made in the same pass.
     """
@@ -257,9 +262,10 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_ch
     n = partitions(docs)
     buckets = min(n, MAX_BUCKETS)
     rows = docs.select("doc_id", whole_text().alias("text"))
-    blocks = cut(rows.mapInArrow(_blocks(shared, buckets, block_chars), BLOCKS), "bpe-blocks")
-    answers = blocks.where("bucket >= 0").repartition(n, "bucket").mapInArrow(_answers(shared, memory_words), BLOCKS)
-    together = blocks.where("bucket < 0").unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
+    blocks = rows.mapInArrow(_blocks(shared, buckets, block_chars), BLOCKS)
+    # Word lists go to their bucket's task, which answers them; positions pass through to their block's.
+    routed = blocks.repartition(n, F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("block")))
+    together = routed.mapInArrow(_answers(shared, memory_words), BLOCKS).repartition(n, "block").sortWithinPartitions("block", "bucket")
     table = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer_path)) if decoded else None
     return together.mapInArrow(_joined(buckets, table), "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
