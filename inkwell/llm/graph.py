@@ -44,14 +44,14 @@ def link_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
     """(node, root) of the components that the verified pairs of bucket mates make; nodes without a link are left out.
 
     members: (bucket, k), each once; verified: pairs (a, b) to those that are linked. Every bucket is
-    first verified in a star around one member, for a few choices of it; then all pairs of a bucket
+    first verified in a star around one member, another in every bucket and for a few rounds; then all pairs of a bucket
     whose members are still in different components, other than those with the first centre. So a
     bucket of one group costs a few links for each member and not all pairs, and no pair is left out
     unless it is connected already.
     """
     links, labelled = None, members.withColumn("root", F.col("k"))
     for seed in range(stars):
-        order = F.struct(F.xxhash64(F.lit(seed), "k"), F.col("k"))
+        order = F.struct(F.xxhash64(F.lit(seed), "bucket", "k"), F.col("k"))
         centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("k", "root"), order).alias("c"))
         spokes = labelled.join(centres, "bucket").where(F.col("root") != F.col("c.root"))
         pairs = spokes.select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b")).distinct()
