@@ -154,7 +154,7 @@ def test_near_classes_equal_brute_force(spark):
     df = Counter(h for s in sets for h in s[0].tolist())
     often = np.array(sorted(h for h, n in df.items() if n >= near_dups.COMMON * len(texts)), np.uint64)
     n = np.array([df[h] for h in often.tolist()], float)
-    model = near_dups.Frequencies(len(texts), often, 1 + np.minimum(1, np.log((len(texts) + 1) / n) / near_dups.CAP))
+    model = near_dups.Frequencies(len(texts), often, 1 + near_dups.SPAN * np.minimum(1, np.log((len(texts) + 1) / n) / near_dups.CAP))
     weighted = [(h, model.weights(h, c)) for h, c in sets]
     root = list(range(len(texts)))
     find = lambda x: x if root[x] == x else find(root[x])
