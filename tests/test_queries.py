@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -10,7 +11,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(x):
-    if x is None or (isinstance(x, float) and x != x):
+    if pd.api.types.is_scalar(x) and pd.isna(x):
         return None
     if hasattr(x, "item"):
         x = x.item()
