@@ -34,7 +34,7 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class QualityRules:
-    #: Documents that the scorer is fitted on: those of the least hashes, of at most so many characters.
+    #: Distinct texts that the scorer is fitted on: those of the least hashes, of at most so many characters.
     rows: int = 3000
     row_chars: int = 50_000
     steps: int = 40
@@ -192,7 +192,10 @@ def fit_model(docs: DataFrame, rules: QualityRules) -> tuple[np.ndarray, float]:
     text = docs.select(whole_text().alias("text"))
     patterns = text.mapInArrow(_votes, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     _, _, posterior = estimate({r.pattern: r.n for r in patterns.collect()}, rules.em_rounds)  # at most 3 ** labellers rows
-    some = docs.where(F.length("text") <= rules.row_chars).select("text").orderBy(F.xxhash64("text"), "text").limit(rules.rows).collect()
+    # Hashes alone decide which texts are fitted on; each text counts once, and only those come to the driver.
+    short = docs.where(F.length("text") <= rules.row_chars).select("text", F.xxhash64("text").alias("h"))
+    last = short.select("h").distinct().orderBy("h").limit(rules.rows).agg(F.max("h")).first()[0]
+    some = [] if last is None else sorted(short.where(F.col("h") <= last).select("text").distinct().collect())
     known, rows, targets = Pairs(), [], []
     for t in (r.text for r in some):
         rows.append(vector(t, known))
