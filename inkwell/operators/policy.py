@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkwell.functions.text import collapse
 
 # Folders that are never indexed, and the default terms.
-OPERATIONAL, CONFIG = ".lina/", ".obsidian/"
+OPERATIONAL, CONFIG = ".inkwell/", ".obsidian/"
 DEFAULT_FOLDERS = ("03_Pessoal/",)
 DEFAULT_TERMS = ("senha", "senhas", "password", "passwords", "palavra-passe", "palavras-passe", "wifi", "wi-fi", "token", "tokens", "secret", "secrets", "api key", "api-key", "chave", "chaves")
 
@@ -72,7 +72,7 @@ def ignore_reason(path: Column, config: str = ".obsidian") -> Column:
     return (
         F.when(p.isNull(), "missing-path")
         .when(p.contains(".tmp-") | p.contains(".bak-") | p.endswith(".tmp"), "temporary-file")
-        .when(in_prefix(p, ".lina") | in_prefix(p, config), "internal-path")
+        .when(in_prefix(p, ".inkwell") | in_prefix(p, config), "internal-path")
     )
 
 

@@ -50,7 +50,7 @@ def reconcile_exclusions(s, d):
 
 def event_ignore_reason(s, d):
     k = F.col("event_id") % 6
-    raw = F.when(k == 0, F.concat(F.lit("/.Obsidian/"), F.col("event_type"))).when(k == 1, F.concat(F.col("event_type"), F.lit(".md.tmp"))).when(k == 2, F.lit("  ")).when(k == 3, F.concat(F.lit(".lina\\"), F.col("event_type"))).when(k == 4, F.concat(F.lit("a/b.bak-"), F.col("event_type"))).otherwise(F.concat(F.lit("notes//"), F.col("event_type"), F.lit(".MD")))
+    raw = F.when(k == 0, F.concat(F.lit("/.Obsidian/"), F.col("event_type"))).when(k == 1, F.concat(F.col("event_type"), F.lit(".md.tmp"))).when(k == 2, F.lit("  ")).when(k == 3, F.concat(F.lit(".inkwell\\"), F.col("event_type"))).when(k == 4, F.concat(F.lit("a/b.bak-"), F.col("event_type"))).otherwise(F.concat(F.lit("notes//"), F.col("event_type"), F.lit(".MD")))
     return table(s, d, "events").select("event_id", policy.ignore_reason(raw).alias("reason"), F.coalesce(policy.is_markdown(raw), F.lit(False)).alias("markdown"))
 
 

@@ -263,7 +263,7 @@ QUERIES = {
 }
 
 HASH = """(SELECT CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END FROM (SELECT list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS h))"""
-REASON = """CASE WHEN starts_with(lower(path), '.lina/') THEN 'mandatory:.lina/' WHEN starts_with(lower(path), '.obsidian/') THEN 'mandatory:.obsidian/'
+REASON = """CASE WHEN starts_with(lower(path), '.inkwell/') THEN 'mandatory:.inkwell/' WHEN starts_with(lower(path), '.obsidian/') THEN 'mandatory:.obsidian/'
   WHEN starts_with(lower(path), 'src3/') THEN 'folder:src3/' WHEN starts_with(lower(path), 'src4/fr/') THEN 'folder:SRC4/fr/'
   WHEN list_contains(string_split_regex(lower(path), '[^a-z0-9]+'), 'es') THEN 'term:es' WHEN contains(replace(lower(path), '-', ' '), 'src5 en') THEN 'compound:src5-en'
   WHEN contains(replace(lower(path), '-', ' '), 'doc 00000007') THEN 'compound:doc 00000007' WHEN list_contains(string_split_regex(lower(path), '[^a-z0-9]+'), 'token') THEN 'term:token' END"""
