@@ -79,7 +79,7 @@ def score_chunks(chunks: DataFrame, query: str) -> DataFrame:
         + F.floor(F.lit(8) * F.col("matched") / len(terms) + 0.5)
     )
     found = F.array_compact(F.array(*(F.when(any_match(c), F.lit(t)) for t, c in zip(terms, each))))
-    hits = m.withColumn("matched", matched).where("matched > 0")
+    hits = m.withColumn("matched", matched)  # over 0, by the filter above
     return hits.select(*chunks.columns, score.cast("int").alias("score"), F.col("matched").cast("int").alias("matched"), (F.col("matched") / len(terms)).alias("coverage"), found.alias("terms_found"))
 
 
@@ -87,6 +87,8 @@ def name_hits(notes: DataFrame, query: str) -> DataFrame:
     """notes (…, basename, path) that match by name or path: score, origin, matched."""
     terms, wanted, n = T.terms_of(query), T.normalise_value(query), len(T.terms_of(query))
     a = notes.withColumn("_name", T.normalise(F.col("basename"))).withColumn("_path", T.normalise(F.col("path")))
+    # A term in a text is in one of its words, so these are the rows with a match.
+    a = a.where(reduce(lambda x, y: x | y, [F.col(c).contains(t) for t in terms for c in ("_name", "_path")]))
     a = a.withColumn("_nw", words_with(F.col("_name"), terms)).withColumn("_pw", words_with(F.col("_path"), terms))
     a = a.select("*", *(match_counts(F.col("_nw"), t).alias(f"_n{i}") for i, t in enumerate(terms)), *(match_counts(F.col("_pw"), t).alias(f"_p{i}") for i, t in enumerate(terms)))
     of = lambda k: [F.col(f"_{k}{i}") for i in range(n)]
@@ -105,8 +107,7 @@ def name_hits(notes: DataFrame, query: str) -> DataFrame:
     )
     named = (F.col("_name") == wanted) | (F.col("_nn") > 0)
     matched = F.when(F.col("_name") == wanted, n).when(F.col("_nn") > 0, F.col("_nn")).when(in_path & (F.col("_pn") == 0), n).otherwise(F.col("_pn"))
-    out = a.select(*notes.columns, score.cast("int").alias("score"), F.when(named, "nome").otherwise("caminho").alias("origin"), matched.cast("int").alias("matched"))
-    return out.where(F.col("score").isNotNull())
+    return a.select(*notes.columns, score.cast("int").alias("score"), F.when(named, "nome").otherwise("caminho").alias("origin"), matched.cast("int").alias("matched"))
 
 
 def search_text(notes: DataFrame, chunks: DataFrame, query: str, per_note: int = 3, limit: int = 30) -> DataFrame:
