@@ -417,3 +417,10 @@ def test_lines_recall_by_edit_similarity_alone(spark):
     want = {i for i, x in enumerate(lines) if first[of[x]] != i}
     got = {i for i, removed in found.items() if removed}
     assert len(want) > 110 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭看电视节目听音乐再读一本有意思的书最后早点睡觉明天还要上班"
+    docs = ["All rights reserved.\n\nOk", "all  rights reserved.\n\nok", f"x\n{chinese}", f"y\n{chinese}", f"z\n{chinese.replace('公园', '湖边')}", "\n\n \n"]
+    found = {x.doc_id: x.removed for x in line_dedup.dedup_report(frame(spark, docs)).collect()}
+    assert found == {0: [], 1: [0, 2], 2: [], 3: [1], 4: [1], 5: []}
