@@ -3,9 +3,10 @@
 The values that the base patterns find are labelled credentials. For each kind, their prefix tree is
 folded by merging statistically compatible states (Hoeffding bound on stop and symbol frequencies)
 into a deterministic probabilistic automaton over character classes. Every other run of credential
-characters in every document is scored by its log-likelihood under the automata against that under
-the class bigrams of all such runs in the corpus; runs that score like held-out credentials do
-become spans of kind ``format``.
+characters in every document, from the shortest that the base patterns label on, what base spans leave
+of a run, and the pieces of either at separators are scored by their log-likelihood under the automata
+against that under the class bigrams of all such runs in the corpus; those that score like held-out
+credentials do become spans of kind ``format``, of overlapping ones the one with the most nats.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ ASSIGN = re.compile(
 ASSIGN_LEAST = 6
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Runs of credential characters; long matches of ACCESS and HEX lie inside one.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: Runs of credential characters; matches of ACCESS and HEX lie inside one of BASE_LEAST at least.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
+BASE_LEAST = 20
+SEPARATORS = re.compile(r"[+/_.=-]")
+#: The pieces of a run: between any separators, and between those of one kind.
+PIECES = [re.compile(r"[^+/_.=-]{%d,}" % ASSIGN_LEAST), *(re.compile(r"[^%s]{%d,}" % (re.escape(c), ASSIGN_LEAST)) for c in "+/_.=-")]
 FORMAT = "format"
 #: Character classes of the automata; any other character stands for itself.
 CLASSES = {c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"}
@@ -57,6 +62,8 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
     if ":" in text or "=" in text:
         found += [(m.start(), 0, m.end(), m[1]) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_LEAST]
     for a, b in runs:
+        if b - a < BASE_LEAST:
+            continue
         run = text[a:b]
         if "AKIA" in run:
             found += [(a + m.start(), 1, a + m.end(), m[0]) for m in ACCESS.finditer(run)]
@@ -67,20 +74,45 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, i
 SPAN = "array<struct<start:int,stop:int,kind:string,value:string>>"
 
 
+PAIRS = "array<struct<a:string,b:string,n:long>>"
+
+
+def spans_and_rest(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int]]]:
+    """The base spans, and where runs lie that no base span covers; what one leaves of a run is a run."""
+    runs = [m.span() for m in RUN.finditer(text)]
+    spans = base_spans(text, runs)
+    if not spans:
+        return spans, runs
+    rest, first = [], 0
+    spans_at = sorted((s, e) for s, _, e, _ in spans)
+    for a, b in runs:
+        while first < len(spans_at) and spans_at[first][1] <= a:
+            first += 1
+        for s, e in spans_at[first:]:
+            if s >= b:
+                break
+            if s - a >= ASSIGN_LEAST:
+                rest.append((a, s))
+            a = max(a, e)
+        if b - a >= ASSIGN_LEAST:
+            rest.append((a, b))
+    return spans, rest
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to doc_id, base spans, and the other runs with their values."""
+    """(doc_id, text) to doc_id, base spans, and with the first row of a batch the class bigrams of its other runs."""
     kind_of = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
+    pair_of = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
     for batch in batches:
-        base, others = [], []
+        if not batch.num_rows:
+            continue
+        base, values = [], Counter()
         for text in batch.column(1).to_pylist():
-            runs = [m.span() for m in RUN.finditer(text)]
-            spans = base_spans(text, runs)
-            if spans:
-                runs = [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e, _ in spans)]
-            base.append([(s, e, KINDS[k], v) for s, k, e, v in spans])
-            others.append([(a, b, FORMAT, text[a:b]) for a, b in runs])
-        as_structs = lambda rows: pa.array([[dict(zip(("start", "stop", "kind", "value"), x)) for x in row] for row in rows], kind_of)
-        yield pa.RecordBatch.from_arrays([batch.column(0), as_structs(base), as_structs(others)], names=["doc_id", "base", "runs"])
+            spans, rest = spans_and_rest(text)
+            base.append([dict(zip(("start", "stop", "kind", "value"), (s, e, KINDS[k], v))) for s, k, e, v in spans])
+            values.update(text[a:b] for a, b in rest)
+        pairs = [[{"a": a, "b": b, "n": n} for (a, b), n in sorted(bigram_counts(values).items())], *[[]] * (len(base) - 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind_of), pa.array(pairs, pair_of)], names=["doc_id", "base", "pairs"])
 
 
 def symbols(value: str) -> list[str]:
@@ -178,11 +210,12 @@ def likelihood(table: dict[int, dict[str, tuple[float, int]]], value: str) -> fl
     return found
 
 
-def bigram_counts(values: Iterator[str]) -> Counter:
+def bigram_counts(values: Counter) -> Counter:
     counts: Counter = Counter()
-    for value in values:
+    for value, n in values.items():
         classes = symbols(value)
-        counts.update(zip(["^", *classes], [*classes, STOP]))
+        for pair in zip(["^", *classes], [*classes, STOP]):
+            counts[pair] += n
     return counts
 
 
@@ -211,13 +244,33 @@ def fit(labelled: dict[str, list[str]], counts: dict[tuple[str, str], int], rule
     return tables, pairs, max(rules.least_gain, gains[int(rules.quantile * len(gains))] if gains else 0.0)
 
 
+class Found(dict):
+    """run -> (start, stop) in it of what scores like a credential."""
+
+    def __init__(self, tables: list[dict], pairs: dict[tuple[str, str], float], threshold: float) -> None:
+        self.fitted, self.threshold = (tables, pairs), threshold
+
+    def __missing__(self, run: str) -> list[tuple[int, int]]:
+        places = {(0, len(run))}
+        if SEPARATORS.search(run):
+            places.update(m.span() for p in PIECES for m in p.finditer(run))
+        scored = ((gain(*self.fitted, run[a:b]), a, b) for a, b in places)
+        best = sorted((-g * (b - a), a, b) for g, a, b in scored if g >= self.threshold)
+        self[run] = chosen = []
+        for _, a, b in best:
+            if all(b <= x or y <= a for x, y in chosen):
+                chosen.append((a, b))
+        return chosen
+
+
 def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFrame:
     """doc_id and spans (start, stop, kind; code points, stop exclusive, in order) of every whole text of docs (doc_id, text).
 
     Null and empty texts have no spans. Repeated rows give repeated rows, an empty table none; extra
     columns are left out. Without labelled credentials nothing is added to the base spans.
     """
-    scanned = cut(docs.select("doc_id", whole_text().alias("text")).mapInArrow(_scan, f"doc_id long, base {SPAN}, runs {SPAN}"), "secret-spans")
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    scanned = cut(texts.mapInArrow(_scan, f"doc_id long, base {SPAN}, pairs {PAIRS}"), "secret-spans")
 
     values = scanned.select(F.explode("base").alias("s")).groupBy("s.kind", "s.value").agg(F.count(F.lit(1)).alias("n"))
     labelled: dict[str, list[str]] = {}
@@ -225,28 +278,25 @@ def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(rules.sample).select("value").collect()
         labelled[kind] = [r.value for r in rows]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            counts += bigram_counts(x["value"] for row in batch.column(0).to_pylist() for x in row or [])
-        items = sorted(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.string()), pa.array([n for _, n in items], pa.int64())], names=["a", "b", "n"])
-
-    pairs = scanned.select("runs").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = scanned.select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n"))
     fitted = fit(labelled, {(r.a, r.b): r.n for r in pairs.collect()}, rules)  # at most one row for each pair of classes
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, pairs, threshold = fitted
+    def score(batches: Iterator[pa.RecordBatch], memory_runs: int = 300_000) -> Iterator[pa.RecordBatch]:
+        known = Found(*fitted)
         for batch in batches:
             found = []
-            for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist()):
-                added = [x for x in runs if gain(tables, pairs, x["value"]) >= threshold] if tables else []
-                order = sorted([*base, *added], key=lambda x: (x["start"], [*KINDS, FORMAT].index(x["kind"])))
-                found.append([{k: x[k] for k in ("start", "stop", "kind")} for x in order])
+            for text in batch.column(1).to_pylist():
+                base, rest = spans_and_rest(text)
+                order = [(s, k, e) for s, k, e, _ in base]
+                if fitted[0]:
+                    order += [(a + x, len(KINDS), a + y) for a, b in rest for x, y in known[text[a:b]]]
+                found.append([{"start": s, "stop": e, "kind": (*KINDS, FORMAT)[k]} for s, k, e in sorted(order)])
+                if len(known) > memory_runs:  # forgetting costs time only
+                    known.clear()
             spans = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), spans], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["doc_id", "spans"])
 
-    return scanned.mapInArrow(score, "doc_id long, spans array<struct<start:int,stop:int,kind:string>>")
+    return texts.mapInArrow(score, "doc_id long, spans array<struct<start:int,stop:int,kind:string>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -424,3 +424,15 @@ def test_short_lines_and_scripts_without_spaces(spark):
     docs = ["All rights reserved.\n\nOk", "all  rights reserved.\n\nok", f"x\n{chinese}", f"y\n{chinese}", f"z\n{chinese.replace('公园', '湖边')}", "\n\n \n"]
     found = {x.doc_id: x.removed for x in line_dedup.dedup_report(frame(spark, docs)).collect()}
     assert found == {0: [], 1: [0, 2], 2: [], 3: [1], 4: [1], 5: []}
+
+
+def test_credentials_short_inside_runs_and_beside_base_spans(spark):
+    r = random.Random(13)
+    key = lambda: "zq" + "".join(r.choice("0123456789ABCDEF") for _ in range(10))
+    texts = [f"secret={key()}" for _ in range(80)] + [f"{prose(i, 20)} unremarkable wording" for i in range(80)]
+    one = key()  # the same in every place, so that only the place decides
+    more = [f"bare {one} here", f"see /path/x={one}", f"{'0a' * 12}/{one}"]
+    found = {x.doc_id: [(s.start, s.stop, s.kind) for s in x.spans] for x in secrets.find_secrets(frame(spark, texts + more)).collect()}
+    assert found[160] == [(5, 17, "format")] and found[161] == [(12, 24, "format")]
+    assert found[162] == [(0, 24, "hex"), (25, 37, "format")]
+    assert not any(found[i] for i in range(80, 160))
