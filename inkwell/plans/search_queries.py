@@ -199,7 +199,7 @@ def vector_validity(spark, d):
 
 
 def hybrid_query_terms(spark, d):
-    return notes(spark, d).select("doc_id", F.array_join(hybrid.hybrid_terms(F.substring("text", 1, 200)), " ").alias("terms"))
+    return notes(spark, d).select("doc_id", F.array_join(hybrid.hybrid_terms(F.col("text")), " ").alias("terms"))
 
 
 def text_hits(spark, d) -> DataFrame:

@@ -104,3 +104,13 @@ def test_streams(spark, tmp_path):
     query = E.debounced(stream.select("path", "ts", "seq")).writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r.path for r in spark.table("bursts").collect()} <= {"n.md", "a.md", "b.md"}
+
+
+def test_hybrid_query_terms_read_whole_texts(spark, tmp_path):
+    from inkwell.plans import search_queries
+
+    texts = ["lorem " * 100 + "Endword", "short text", ""]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.terms for r in search_queries.hybrid_query_terms(spark, str(tmp_path)).collect()}
+    assert found == {0: " ".join(["lorem"] * 100 + ["endword"]), 1: "short text", 2: ""}
