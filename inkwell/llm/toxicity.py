@@ -1,13 +1,15 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is one word in lower case with the spaces around it. It is compressed with a dictionary
-trained on ordinary windows and with one trained on toxic windows; a window's kind is its size and
-how many bytes the toxic dictionary saves. Most of what toxic documents say is ordinary, so the toxic
-dictionary is trained in rounds on two folds of the labelled documents: the dictionary of one fold
-selects, by the log-odds of its windows' kinds, the windows of the other fold that the next one is
-trained on; what merely happens to repeat within a fold doesn't survive that. The log-odds of the
-kinds and a logistic threshold over a document's windows are calibrated on the fold that the
-dictionary hasn't seen. A document's score is the mean of the two folds'.
+A window is eight words in a row, each window four words after the one before. In a window every
+letter is followed by a check byte of its word so far, so that bytes match a dictionary's only where
+words begin alike, and a whole word that a dictionary knows saves far more than parts of it. A window
+is compressed with a dictionary trained on ordinary windows, and with the same one that has a
+dictionary trained on toxic text before its end; the bytes that the second saves are the window's gain.
+
+Most of what toxic documents say is ordinary. The toxic dictionary is therefore trained on the words of
+toxic documents that are significantly more frequent there than in ordinary ones. The log-odds of gains
+and a logistic threshold over a document's windows are calibrated on folds of labelled documents that
+the dictionary of the other folds hasn't seen; the dictionary that scores is trained on all folds.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import whole_text
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Leads every window and ends every dictionary, so that a window's fixed cost is the same everywhere.
-LEAD = bytes(range(1, 9)) * 4
+#: Words of a window, and from one window's start to the next.
+WINDOW, STEP = 8, 4
+#: Gains beyond these count as these.
+LEAST, MOST = -4, 24
+#: Longer texts are split into words piece by piece, and as many windows are compressed at a time at most.
+PIECE, BLOCK = 1 << 20, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -38,64 +44,115 @@ class ToxicityRules:
     toxic_rows: int = 1500
     ordinary_rows: int = 2500
     row_chars: int = 100_000
-    ordinary_bytes: int = 65536
+    ordinary_bytes: int = 8192
     toxic_bytes: int = 2048
-    rounds: int = 3
-    #: A window trains the next dictionary if its kind's log-odds and its count of documents reach these.
-    least_odds: float = 0.5
-    least_docs: int = 2
+    #: Ordinary windows that the ordinary dictionary is trained on.
+    ordinary_windows: int = 80_000
+    folds: int = 4
+    #: A word trains the toxic dictionary if its log-odds exceed this, beside being significant among all words.
+    least_odds: float = 2.0
     threshold: float = 0.5
 
 
-def windows(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
-
-
-def compressor(dictionary: zstandard.ZstdCompressionDict):
+class Coded(dict):
+    """word -> its bytes in a window: letters, each with a check byte of the word so far, and an end."""
+
+    def __missing__(self, word: str) -> bytes:
+        out, state = bytearray(), 0
+        for letter in word:
+            letter_bytes = letter.encode("utf-8", "surrogatepass")
+            state = zlib.crc32(letter_bytes, state)
+            out += letter_bytes
+            out.append(128 + state % 128)
+        out += bytes((32, 128 + (state >> 8) % 128))
+        self[word] = found = bytes(out)
+        return found
+
+
+def windows(text: str, coded: Coded) -> Iterator[bytes]:
+    """The text's windows; one if it has a word but not WINDOW of them."""
+    kept: list[bytes] = []
+    first, at = True, 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and text[end - 1].isalpha():  # a word isn't cut
+            end += 1
+        kept += map(coded.__getitem__, WORDS.findall(text[at:end].lower()))
+        at = end
+        last = at >= len(text)
+        begun = max(0, -(-(len(kept) - WINDOW) // STEP)) + (last and (first or len(kept) > WINDOW - STEP)) if kept else 0
+        for k in range(begun):
+            yield b"".join(kept[k * STEP : k * STEP + WINDOW])
+        first = first and not begun
+        del kept[: begun * STEP]
+
+
+def compressor(content: bytes):
+    """A function from windows to their compressed sizes with a dictionary."""
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=12, hash_log=12, search_log=6, min_match=3, target_length=999, strategy=zstandard.STRATEGY_BTULTRA,
+        window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     dictionary.precompute_compress(compression_params=params)
-    compress = zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary).compress
-    return lambda window: len(compress(LEAD + window))
+    compress = zstandard.ZstdCompressor(compression_params=params, dict_data=dictionary).multi_compress_to_buffer
+
+    def sizes(some: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, compress(some, threads=1)), np.int64, len(some)) if some else np.zeros(0, np.int64)
+
+    return sizes
 
 
-def train(samples: list[bytes], size: int, **options: int) -> bytes:
+def train(samples: list[bytes], size: int, segment: int) -> bytes:
     """A dictionary's content; samples that are too few for training are the content themselves."""
     ordered = sorted(samples, key=lambda w: (zlib.crc32(w), w))
     try:
-        return zstandard.train_dictionary(size, ordered, level=3, **options).as_bytes() + LEAD
+        return zstandard.train_dictionary(size, ordered, k=segment, d=8, steps=4).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(ordered))[-size:] + LEAD
-
-
-def loaded(content: bytes):
-    return compressor(zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-
-
-def coded(word: str) -> bytes:
-    return f" {word} ".encode()
-
-
-class Kinds(dict):
-    """word -> the kind of its window: (its size, bytes saved)."""
-
-    def __init__(self, plain: dict[str, int], ordinary, toxic) -> None:
-        self.plain, self.ordinary, self.toxic = plain, ordinary, toxic
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        window = coded(word)
-        if word not in self.plain:
-            self.plain[word] = self.ordinary(window)
-        self[word] = kind = (min(len(window), 24), max(-8, min(8, self.plain[word] - self.toxic(window))))
-        return kind
-
-
-def features(odds: np.ndarray) -> list[float]:
-    """Of a document, from its windows' log-odds."""
-    n, high = max(1, len(odds)), float(odds[odds > 0.5].sum())
-    return [1.0, high, float(odds.sum()), float(odds.max(initial=0.0)), 20 * high / n, math.log(n + 1)]
+        return b"".join(dict.fromkeys(ordered))[-size:]
+
+
+def toxic_dictionary(toxic: list[set[str]], ordinary: list[set[str]], coded: Coded, rules: ToxicityRules) -> bytes:
+    """Trained on the words of toxic documents that their share of documents tells from ordinary ones, once for each document."""
+    bad, good = (Counter(w for words in docs for w in words) for docs in (toxic, ordinary))
+    needed, kept = math.log(len(bad) + 1), set()
+    for word, n in bad.items():
+        m, share = good[word], (n + good[word]) / (len(toxic) + len(ordinary))
+        odds = math.log((n + 0.5) / (len(toxic) + 1)) - math.log((m + 0.5) / (len(ordinary) + 1))
+        # The log-likelihood ratio against one rate for both, above what the best of so many words has by chance.
+        if odds > rules.least_odds and n * math.log(n / (share * len(toxic))) + (m and m * math.log(m / (share * len(ordinary)))) > needed:
+            kept.add(word)
+    return train([coded[w] for words in toxic for w in words if w in kept], rules.toxic_bytes, 24)
+
+
+def histograms(texts: list[str], ordinary, toxic, coded: Coded) -> np.ndarray:
+    """A row for each text: how many of its windows have each gain. Some thousand windows are held at a time."""
+    found = np.zeros((len(texts), MOST - LEAST + 1), np.int64)
+    some: list[bytes] = []
+    owners: list[int] = []
+
+    def count() -> None:
+        gains = np.clip(ordinary(some) - toxic(some), LEAST, MOST) - LEAST
+        np.add.at(found, (owners, gains), 1)
+        some.clear(), owners.clear()
+
+    for k, text in enumerate(texts):
+        for window in windows(text, coded):
+            some.append(window), owners.append(k)
+            if len(some) >= BLOCK:
+                count()
+    count()
+    return found
+
+
+def features(counts: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """A row for each text, from its windows' log-odds."""
+    n, high = np.maximum(1, counts.sum(1)), counts @ np.where(odds > 1, odds, 0)
+    most = np.where(counts > 0, odds, 0).max(1, initial=0)
+    # The sum of the three windows of most odds.
+    order = np.argsort(-odds)
+    top = np.diff(np.minimum(3, np.cumsum(counts[:, order], 1)), axis=1, prepend=0) @ odds[order]
+    return np.stack([np.ones(len(counts)), high, counts @ odds, most, 20 * high / n, np.log(n + 1), top], 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25) -> np.ndarray:
@@ -107,69 +164,53 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 25)
     return w
 
 
-@dataclass
-class Fold:
-    content: bytes
-    odds: dict[tuple[int, int], float]
-    weights: np.ndarray
-
-
-def fit(toxic: list[str], ordinary: list[str], toxic_share: float, rules: ToxicityRules) -> tuple[bytes, list[Fold]]:
-    """The ordinary dictionary and both folds' models; texts count once each."""
-    folds = [[windows(t) for t in sorted(set(toxic))[k::2]] for k in (0, 1)]
-    plain_folds = [[windows(t) for t in sorted(set(ordinary) - set(toxic))[k::2]] for k in (0, 1)]
-    by_doc = [coded(w) for fold in plain_folds for doc in fold for w in sorted(set(doc))]
-    content = train(by_doc, rules.ordinary_bytes)
-    ordinary_size, plain = loaded(content), {}
-    kept = [[coded(w) for doc in fold for w in sorted(set(doc))] for fold in folds]
-    found: list[Fold] = []
-    for k in range(rules.rounds):
-        selected, found = [], []
-        for own in (0, 1):  # calibrated on this fold, with the dictionary of the other
-            trained = train(kept[1 - own], rules.toxic_bytes * (1 if k else 8), k=16, d=6) if kept[1 - own] else LEAD
-            kinds = Kinds(plain, ordinary_size, loaded(trained))
-            bad = Counter(kinds[w] for doc in folds[own] for w in doc)
-            good = Counter(kinds[w] for doc in plain_folds[own] for w in doc)
-            n, m = max(1, sum(bad.values())), max(1, sum(good.values()))
-            odds = {c: math.log((bad[c] + 1) / (n + 10)) - math.log((good[c] + m / n) / (m + 10 * m / n)) for c in sorted(bad.keys() | good.keys())}
-            docs_with = Counter(w for doc in folds[own] for w in set(doc))
-            selected.append([coded(w) for doc in folds[own] for w in sorted(set(doc)) if odds[kinds[w]] > rules.least_odds and docs_with[w] >= rules.least_docs])
-            docs = folds[own] + plain_folds[own]
-            x = np.array([features(np.array([odds[kinds[w]] for w in doc])) for doc in docs])
-            y = np.array([1.0] * len(folds[own]) + [0.0] * len(plain_folds[own]))
-            share = y.mean()
-            weight = np.where(y > 0, toxic_share / share, (1 - toxic_share) / (1 - share))
-            found.append(Fold(trained, odds, logistic(x, y, weight)))
-        kept = selected
-    return content, found
-
-
-class Odds(dict):
-    """word -> log-odds of its window's kind."""
-
-    def __init__(self, kinds: Kinds, odds: dict) -> None:
-        self.kinds, self.odds = kinds, odds
-
-    def __missing__(self, word: str) -> float:
-        self[word] = odds = self.odds.get(self.kinds[word], 0.0)
-        return odds
+def threshold(scores: np.ndarray, y: np.ndarray) -> float:
+    """Where precision and recall together, as F1, are best."""
+    order = np.argsort(-scores, kind="stable")
+    right = np.cumsum(y[order])
+    best = int((right / (np.arange(1, len(y) + 1) + y.sum())).argmax())
+    below = scores[order[best + 1]] if best + 1 < len(y) else scores[order[best]]
+    return float((scores[order[best]] + below) / 2)
+
+
+def probability(counts: np.ndarray, odds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(counts, odds) @ weights, -30, 30)))
+
+
+def fit(toxic: list[str], ordinary: list[str], toxic_share: float, rules: ToxicityRules) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """Both dictionaries, the gains' log-odds and the features' weights; texts count once each."""
+    coded = Coded()
+    bad, good = sorted(set(toxic)), sorted(set(ordinary) - set(toxic))
+    samples = [w for t in good for w in windows(t, coded)]
+    content = train(samples[:: max(1, len(samples) // rules.ordinary_windows)], rules.ordinary_bytes, 64)
+    plain = compressor(content)
+    words = [[set(WORDS.findall(t.lower())) for t in texts] for texts in (bad, good)]
+    counts = [np.zeros((len(texts), MOST - LEAST + 1), np.int64) for texts in (bad, good)]
+    for fold in range(rules.folds):
+        others = [[w for k, w in enumerate(own) if k % rules.folds != fold] for own in words]
+        mixed = compressor(content + toxic_dictionary(*others, coded, rules))
+        for texts, found in zip((bad, good), counts):
+            found[fold :: rules.folds] = histograms(texts[fold :: rules.folds], plain, mixed, coded)
+    sums = [found.sum(0) + 0.5 for found in counts]
+    odds = np.log(sums[0] / sums[0].sum()) - np.log(sums[1] / sums[1].sum())
+    x = np.concatenate([features(found, odds) for found in counts])
+    y = np.repeat([1.0, 0.0], [len(bad), len(good)])
+    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    weight = np.where(y > 0, toxic_share / share, (1 - toxic_share) / (1 - share))
+    weights = logistic(x, y, weight)
+    weights[0] -= threshold(x @ weights, y)
+    return content, content + toxic_dictionary(*words, coded, rules), odds, weights
 
 
 def _score(model, memory_words: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, folds = model.value
-        ordinary, toxic = loaded(content), [loaded(f.content) for f in folds]
-        known: list[Odds] = []
+        content, mixed, odds, weights = model.value
+        ordinary, toxic, coded = compressor(content), compressor(mixed), Coded()
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                if not known or len(known[0]) > memory_words:  # a memory of words seen; forgetting costs time only
-                    plain: dict[str, int] = {}
-                    known = [Odds(Kinds(plain, ordinary, t), f.odds) for f, t in zip(folds, toxic)]
-                words = windows(text)
-                each = [1 / (1 + math.exp(-max(-30.0, min(30.0, float(f.weights @ features(np.fromiter(map(o.__getitem__, words), np.float64, len(words)))))))) for f, o in zip(folds, known)]
-                scores.append(sum(each) / len(each))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            counts = histograms(batch.column(1).to_pylist(), ordinary, toxic, coded)
+            if len(coded) > memory_words:  # a memory of words seen; forgetting costs time only
+                coded.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(counts, odds, weights))], names=["doc_id", "score"])
 
     return run
 
@@ -183,19 +224,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = To
 
     Learns from labels (doc_id, toxic) of documents whose crc32(doc_id) mod 5 isn't 0. Null and empty
     texts have no windows and get the score of such a text. Rows without doc_id count as not held out
-    and have no label. Unless both classes have a labelled row, every score is 0. Repeated rows give
-    repeated rows, an empty table none; extra columns are left out.
+    and have no label; a document with both labels counts as toxic. Unless both classes have a labelled
+    text, every score is 0. Repeated rows give repeated rows, an empty table none; extra columns are left out.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out = docs.select("doc_id", held_out().alias("held_out"))
-    if len(counts) < 2:
-        return out.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, rules.toxic_rows), (0, rules.ordinary_rows))]
     picked = F.broadcast(some[0].unionByName(some[1]))  # at most toxic_rows + ordinary_rows rows
     rows = docs.select("doc_id", "text").join(picked, "doc_id").where(F.length("text").between(1, rules.row_chars)).select("text", "toxic").distinct().collect()
-    texts = {k: sorted(r.text for r in rows if r.toxic == k) for k in (1, 0)}
+    texts = {k: [r.text for r in rows if r.toxic == k] for k in (1, 0)}
+    if not texts[1] or not set(texts[0]) - set(texts[1]):
+        return docs.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     share = counts[1] / (counts[0] + counts[1])
-    model = docs.sparkSession.sparkContext.broadcast(fit(texts[1], texts[0], share, rules))  # dictionaries and a few hundred numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts[1], texts[0], share, rules))  # dictionaries and some numbers
     scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= rules.threshold).cast("int").alias("predicted"))
