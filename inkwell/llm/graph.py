@@ -1,13 +1,94 @@
-"""Connected components of an edge table, without collecting edges, nodes or components."""
+"""Candidate pairs by sorted sketches, and connected components of an edge table; nothing is collected."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut
+from inkwell.llm.common import cut, discard, partitions
+
+#: Low bits of a key that order its bucket: two more samples of the sketch, TAIL / 2 bits each.
+TAIL = 16
+#: Members of a bucket that come next in its order, with which one is paired.
+LAGS = 4
+
+
+def bucket_keys(samples: np.ndarray, rows: int) -> np.ndarray:
+    """A row of signed 64-bit keys for each row of samples: a bucket for every run of so many samples, and the two samples after it.
+
+    samples: (n, tables * rows) unsigned 64-bit numbers, those of equal elements equal.
+    """
+    n, size = samples.shape
+    parts = samples.reshape(n, size // rows, rows)
+    mixed = np.broadcast_to(np.arange(1, size // rows + 1, dtype=np.uint64), parts.shape[:2])
+    for k in range(rows):
+        mixed = (mixed ^ parts[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = mixed ^ mixed >> np.uint64(29)
+    low = (samples * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - TAIL // 2)).reshape(parts.shape)
+    after = np.roll(low, -1, axis=1)
+    tail = after[:, :, 0] << np.uint64(TAIL // 2) | after[:, :, 1 % rows]
+    return (mixed >> np.uint64(TAIL) << np.uint64(TAIL) | tail).view(np.int64)
+
+
+def _columns(keys: pa.Array) -> list[np.ndarray]:
+    parts = keys.flatten() if pa.types.is_struct(keys.type) else [keys]
+    return [np.asarray(p) for p in parts]
+
+
+def _neighbours(lags: int):
+    """(key, k) in order to pairs (a, b) of different k in one bucket, at most lags apart, that share a sample of the tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ks = np.zeros(0, np.int64), None
+        for batch in batches:
+            carried = len(key)
+            own = batch.column(1)
+            key, ks = np.concatenate([key, np.asarray(batch.column(0))]), own if ks is None else pa.concat_arrays([ks, own])
+            # A member that several tasks sent counts once.
+            parts = [key, *_columns(ks)]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]))
+            key, ks = key[new], ks.take(pa.array(new))
+            firsts, seconds = [], []
+            for lag in range(1, lags + 1):
+                at = np.arange(max(lag, carried), len(key))
+                differ = (key[at] ^ key[at - lag]).view(np.uint64)
+                half = np.uint64((1 << TAIL // 2) - 1)
+                same = (differ >> np.uint64(TAIL) == 0) & ((differ & half == 0) | (differ >> np.uint64(TAIL // 2) & half == 0))
+                seconds.append(at[same])
+                firsts.append(at[same] - lag)
+            yield pa.RecordBatch.from_arrays([ks.take(pa.array(np.concatenate(firsts))), ks.take(pa.array(np.concatenate(seconds)))], names=["a", "b"])
+            key, ks = key[-lags:], ks.slice(max(0, len(ks) - lags))
+
+    return run
+
+
+def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members k of keyed (key, k) that are close in the order of one of their buckets.
+
+    Members of a bucket are sorted by the samples that follow the bucket's own, so that of many in one
+    bucket the most alike come together. Each is paired with the next few, so a bucket of any size costs
+    rows in proportion to its members and never all their pairs; buckets of up to lags + 1 lose no pair that shares
+    a sample of the tail. Similar texts share several tables' buckets, each with an order of its own.
+
+    some: a small part of keyed's rows. Buckets that hold more than a quarter of a partition's share of
+    these are dealt to several tasks by k, differently in every table. Empty tables give no rows.
+    """
+    n = partitions(keyed)
+    bucket = F.shiftright("key", TAIL)
+    counts = some.groupBy(bucket.alias("bucket")).agg(F.countDistinct("k").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") > max(64.0, total / (4 * n))).select("bucket").collect()  # fewer than 4 * n
+    rows, salt = keyed.select("key", "k", bucket.alias("bucket")), F.lit(0)
+    if hot:
+        rows = rows.join(F.broadcast(keyed.sparkSession.createDataFrame([(r.bucket, True) for r in hot], "bucket long, hot boolean")), "bucket", "left")
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k", "bucket"), F.lit(n))).otherwise(0)
+    ordered = rows.repartition(n, "bucket", salt).select("key", "k").sortWithinPartitions("key", "k")
+    kind = keyed.schema["k"].dataType.simpleString()
+    return ordered.mapInArrow(_neighbours(lags), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 100) -> DataFrame:
@@ -16,11 +97,16 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 1
     Alternating large-star and small-star steps: each re-hangs a node's neighbours on the least of
     them, so the number of edges never grows and long chains halve. A node with very many neighbours
     is aggregated to its least neighbour by partial aggregation; its edges are never gathered in one
-    row. Every round is cut into a table; rounds end when no edge changes. Empty edges give no rows.
+    row. Every round is cut into a table, and the one before deleted; rounds end when every node hangs on
+    a root. Rounds grow with the logarithm of the longest chain; more than most_rounds raise an error,
+    and no edge is dropped. Empty edges give no rows.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), label)
-    before = None
     for _ in range(most_rounds):
+        # Done if no node hangs on two, and none on a node that hangs itself.
+        hung = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if not now.join(hung.select(F.col("u").alias("v")), "v", "left_semi").limit(1).union(now.join(hung.where("n > 1").select("u"), "u", "left_semi").limit(1)).take(1):
+            break
         # Large star: every neighbour greater than the node goes to the least of the node and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,42 +114,9 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 1
         # Small star: the node and its lesser neighbours go to the least of these.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        now = cut(hung, label)
-        # The sum of the edges' hashes tells whether anything changed.
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        after = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), label)
+        discard(now)
+        now = after
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def link_buckets(members: DataFrame, verified: Callable[[DataFrame], DataFrame], stars: int = 2, label: str = "buckets") -> DataFrame:
-    """(node, root) of the components that the verified pairs of bucket mates make; nodes without a link are left out.
-
-    members: (bucket, k), each once; verified: pairs (a, b) to those that are linked. Every bucket is
-    first verified in a star around one member, another in every bucket and for a few rounds; then all pairs of a bucket
-    whose members are still in different components, other than those with the first centre. So a
-    bucket of one group costs a few links for each member and not all pairs, and no pair is left out
-    unless it is connected already.
-    """
-    links, labelled = None, members.withColumn("root", F.col("k"))
-    for seed in range(stars):
-        order = F.struct(F.xxhash64(F.lit(seed), "bucket", "k"), F.col("k"))
-        centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("k", "root"), order).alias("c"))
-        spokes = labelled.join(centres, "bucket").where(F.col("root") != F.col("c.root"))
-        pairs = spokes.select(F.least("k", "c.k").alias("a"), F.greatest("k", "c.k").alias("b")).distinct()
-        new = cut(verified(pairs), f"{label}-star")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links, f"{label}-groups")
-        labelled = cut(members.join(roots, F.col("k") == F.col("node"), "left").select("bucket", "k", F.coalesce("root", "k").alias("root")), f"{label}-roots")
-
-    # Buckets with one root are done, as are those of two members.
-    mixed = labelled.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("n")).where("mixed and n > 2").select("bucket")
-    left = labelled.join(mixed, "bucket")
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.root") != F.col("b.root"))).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
-    more = cut(verified(pairs), f"{label}-pairs")
-    return components(links.unionByName(more), f"{label}-groups") if more.take(1) else roots

@@ -1,6 +1,6 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is eight words in a row, each window four words after the one before. In a window every
+A window is eight words in a row, each window five words after the one before. In a window every
 letter is followed by a check byte of its word so far, so that bytes match a dictionary's only where
 words begin alike, and a whole word that a dictionary knows saves far more than parts of it. A window
 is compressed with a dictionary trained on ordinary windows, and with the same one that has a
@@ -31,7 +31,7 @@ from inkwell.llm.common import whole_text
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of a window, and from one window's start to the next.
-WINDOW, STEP = 8, 4
+WINDOW, STEP = 8, 5
 #: Gains beyond these count as these.
 LEAST, MOST = -4, 24
 #: Longer texts are split into words piece by piece, and as many windows are compressed at a time at most.
@@ -69,8 +69,8 @@ class Coded(dict):
         return found
 
 
-def windows(text: str, coded: Coded) -> Iterator[bytes]:
-    """The text's windows; one if it has a word but not WINDOW of them."""
+def windows(text: str, coded: Coded) -> Iterator[list[bytes]]:
+    """The text's windows, piece by piece; one if it has a word but not WINDOW of them."""
     kept: list[bytes] = []
     first, at = True, 0
     while at < len(text):
@@ -81,8 +81,7 @@ def windows(text: str, coded: Coded) -> Iterator[bytes]:
         at = end
         last = at >= len(text)
         begun = max(0, -(-(len(kept) - WINDOW) // STEP)) + (last and (first or len(kept) > WINDOW - STEP)) if kept else 0
-        for k in range(begun):
-            yield b"".join(kept[k * STEP : k * STEP + WINDOW])
+        yield [b"".join(kept[k : k + WINDOW]) for k in range(0, begun * STEP, STEP)]
         first = first and not begun
         del kept[: begun * STEP]
 
@@ -91,7 +90,7 @@ def compressor(content: bytes):
     """A function from windows to their compressed sizes with a dictionary."""
     dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_GREEDY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     dictionary.precompute_compress(compression_params=params)
@@ -129,18 +128,21 @@ def histograms(texts: list[str], ordinary, toxic, coded: Coded) -> np.ndarray:
     """A row for each text: how many of its windows have each gain. Some thousand windows are held at a time."""
     found = np.zeros((len(texts), MOST - LEAST + 1), np.int64)
     some: list[bytes] = []
-    owners: list[int] = []
+    owners: list[tuple[int, int]] = []  # texts and how many of the windows are theirs
 
     def count() -> None:
         gains = np.clip(ordinary(some) - toxic(some), LEAST, MOST) - LEAST
-        np.add.at(found, (owners, gains), 1)
+        rows = np.repeat([k for k, _ in owners], [n for _, n in owners]).astype(np.int64)
+        found[:] += np.bincount(rows * found.shape[1] + gains, minlength=found.size).reshape(found.shape)
         some.clear(), owners.clear()
 
     for k, text in enumerate(texts):
-        for window in windows(text, coded):
-            some.append(window), owners.append(k)
-            if len(some) >= BLOCK:
-                count()
+        for piece in windows(text, coded):
+            for at in range(0, len(piece), BLOCK):
+                some += piece[at : at + BLOCK]
+                owners.append((k, min(BLOCK, len(piece) - at)))
+                if len(some) >= BLOCK:
+                    count()
     count()
     return found
 
@@ -181,7 +183,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float, rules: Toxici
     """Both dictionaries, the gains' log-odds and the features' weights; texts count once each."""
     coded = Coded()
     bad, good = sorted(set(toxic)), sorted(set(ordinary) - set(toxic))
-    samples = [w for t in good for w in windows(t, coded)]
+    samples = [w for t in good for piece in windows(t, coded) for w in piece]
     content = train(samples[:: max(1, len(samples) // rules.ordinary_windows)], rules.ordinary_bytes, 64)
     plain = compressor(content)
     words = [[set(WORDS.findall(t.lower())) for t in texts] for texts in (bad, good)]

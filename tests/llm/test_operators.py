@@ -231,34 +231,17 @@ def test_lines_equal_brute_force(spark):
     base = [prose(i, 60, 300) for i in range(12)]
     docs = [f"{base[i % 12]}\nshort line\n{edited(base[(i * 5) % 12], 0.015, i)}" for i in range(30)] + [None, ""]
     found = {r.doc_id: r.removed for r in line_dedup.dedup_report(frame(spark, docs)).collect()}
-    lines = [(i, k, line_dedup.normalised(x)) for i, t in enumerate(docs) for k, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5]
-    known, distinct = line_dedup.WordHashes(), sorted({x for _, _, x in lines})
-    hashes = {x: int(line_dedup.simhashes(np.array([known[w] for w in set(x.split())], np.uint64), np.array([0]))[0]) & (1 << 64) - 1 for x in distinct}
-    root = {x: x for x in distinct}
-
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    for i, x in enumerate(distinct):
-        for y in distinct[:i]:
-            if (hashes[x] ^ hashes[y]).bit_count() <= 3 and distance(x, y) <= 0.2 * max(len(x), len(y)):
-                root[find(x)] = find(y)
-    seen, want = set(), {i: [] for i in range(len(docs))}
-    first = {}
+    lines = [(i, k, line_dedup.normalised(x)) for i, t in enumerate(docs) for k, x in enumerate((t or "").split("\n")) if x.strip()]
+    of = similar_groups(sorted({x for _, _, x in lines}))
+    first, want = {}, {i: [] for i in range(len(docs))}
     for i, k, x in lines:
-        key = find(x)
-        place = (i, near_key(docs[i]), k)
-        first[key] = min(first.get(key, place), place)
+        first.setdefault(of[x], (i, k))
     for i, k, x in lines:
-        if (i, near_key(docs[i]), k) != first[find(x)]:
+        if (i, k) != first[of[x]]:
             want[i].append(k)
     assert found == want and any(want.values())
 
 
-def near_key(text):
-    return 0  # doc_ids differ, so the text's hash never decides
-
-
 def test_removed_lines_leave_the_text(spark):
     line = prose(3, 20)
     docs = frame(spark, [f"a\n{line}\nb", f"{line}\nc", None])
