@@ -1,13 +1,14 @@
 """Byte-level BPE through a distinct-word table, and decoding through an id-to-piece table.
 
 1. Documents are gathered into blocks of some MB. A block's texts are split into words (the
-   tokenizer's own pre-tokens); the block keeps each document as positions in the block's list of
-   distinct words, and the list goes out in buckets chosen by the word alone.
+   tokenizer's own pre-tokens); the block's list of distinct words goes out in buckets chosen by the
+   word alone.
 2. All lists of one bucket meet in one task, which encodes each distinct word once and answers each
    block with the ids of its words, in the order they came in.
-3. Answers meet their block again, and the ids are joined back by position.
+3. The block itself, made a second time from the same rows so that it is shuffled once only, keeps each
+   document as positions in that list. Answers meet it, and the ids are joined back by position.
 
-Nothing larger than a block, or one bucket's distinct words, is held in memory; texts are never
+Nothing larger than a block, or some words of a bucket, is held in memory; texts are never
 shuffled, only positions, distinct words and ids, each packed by column. A word that makes up a third
 of the corpus is one entry of each block's list.
 """
@@ -32,8 +33,8 @@ from inkwell.llm.common import partitions, whole_text
 
 #: Characters of text in a block, and the most buckets that words are dealt into.
 BLOCK_CHARS, MAX_BUCKETS = 6 << 20, 4096
-#: Words that a bucket's task remembers; beyond that it starts afresh, which costs time only.
-MEMORY_WORDS = 4_000_000
+#: Words that a bucket's task remembers, some 60 MB; beyond that it starts afresh, which costs time only.
+MEMORY_WORDS = 400_000
 
 # Fixed values of byte-level pre-tokenisation: contractions, then letters, numbers, others, white space.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"
@@ -115,8 +116,8 @@ class Ids(dict):
 BLOCKS = "block long, bucket int, ids binary, payload binary"
 
 
-def _blocks(tokenizer_json: str, buckets: int, block_chars: int):
-    """Rows of documents to blocks (bucket -1: positions; ids: the documents') and their word lists (other buckets)."""
+def _blocks(tokenizer_json: str, buckets: int, block_chars: int, lists: bool):
+    """Rows of documents to blocks' word lists, a row for each bucket, or else to the blocks: positions in the lists (bucket -1) and what they belong to (ids)."""
 
     def block(ids: list, lengths: list[int], local: Ids, positions: list[np.ndarray], number: int) -> pa.RecordBatch:
         flat = np.concatenate([np.zeros(0, "<u4"), *positions])
@@ -124,27 +125,28 @@ def _blocks(tokenizer_json: str, buckets: int, block_chars: int):
         by_bucket: list[list[tuple[int, str]]] = [[] for _ in range(buckets)]
         for word, i in local.items():
             by_bucket[zlib.crc32(word.encode()) % buckets].append((-counts[i], word))
+        for words in by_bucket:
+            words.sort()
+        if lists:
+            own = [(b, pack_words([w for _, w in words])) for b, words in enumerate(by_bucket) if words]
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(own), pa.int64()), pa.array([b for b, _ in own], pa.int32()), pa.nulls(len(own), pa.binary()), pa.array([x for _, x in own], pa.binary())], names=["block", "bucket", "ids", "payload"])
         # The k-th most frequent word of bucket b has number k * buckets + b: frequent words have small numbers.
         place = np.zeros(len(local), "<u4")
         for b, words in enumerate(by_bucket):
-            words.sort()
             place[np.fromiter((local[w] for _, w in words), np.int64, len(words))] = np.arange(len(words)) * buckets + b
         known = np.array([x is not None for x in ids], "u1")
-        held = pack(np.array([x or 0 for x in ids], "<i8").view("<u8"), known, np.array(lengths, "<u4"))
-        lists = [(b, pack_words([w for _, w in words])) for b, words in enumerate(by_bucket) if words]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number] * (1 + len(lists)), pa.int64()), pa.array([-1, *(b for b, _ in lists)], pa.int32()), pa.array([held, *[None] * len(lists)], pa.binary()), pa.array([pack(place[flat]), *(x for _, x in lists)], pa.binary())],
-            names=["block", "bucket", "ids", "payload"],
-        )
+        held = pack(np.array([x or 0 for x in ids], "<i8").view("<u8"), known, np.array(lengths, "<u4"), np.array([len(words) for words in by_bucket], "<u4"))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([held], pa.binary()), pa.array([pack(place[flat])], pa.binary())], names=["block", "bucket", "ids", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(tokenizer_json.value)
         base, n, chars = TaskContext.get().partitionId() << 32, 0, 0
         ids, lengths, positions, local = [], [], [], Ids()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
                 words = splitter.words(text)
-                ids.append(doc_id)
+                ids.append(doc_id.as_py())
                 lengths.append(len(words))
                 positions.append(np.fromiter(map(local.__getitem__, words), "<u4", len(words)))
                 chars += len(text)
@@ -158,18 +160,14 @@ def _blocks(tokenizer_json: str, buckets: int, block_chars: int):
 
 
 def _answers(tokenizer_json: str, memory_words: int):
-    """Word lists to the ids of their words; the blocks' own rows stay as they are."""
+    """Word lists to the ids of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
         tokenizer, known = Tokenizer.from_str(tokenizer_json.value), {}
         for batch in batches:
-            for block, bucket, ids, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "bucket", "ids", "payload"))):
-                if bucket < 0:
-                    passed = [pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([ids], pa.binary()), pa.array([payload], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(passed, names=["block", "bucket", "ids", "payload"])
-                    continue
+            for block, bucket, payload in zip(*(batch.column(k).to_pylist() for k in ("block", "bucket", "payload"))):
                 words = unpack_words(payload)
                 if len(known) > memory_words:
                     known.clear()
@@ -196,9 +194,11 @@ def _joined(buckets: int, pieces=None):
     """A block's row, then its answers, to (doc_id, n_tokens, ids), with the ids' text if there are pieces."""
 
     def finish(held: bytes, positions: bytes, answers: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        docs, known, words = unpack(held)
+        docs, known, words, listed = unpack(held)
         (numbers,) = unpack(positions)
         parts = [(b, *unpack(a)) for b, a in answers]
+        if [(b, len(own)) for b, own, _ in parts] != [(b, n) for b, n in enumerate(listed.tolist()) if n]:
+            raise RuntimeError("the documents changed while they were encoded; make a table of them first")
         sizes = np.concatenate([np.zeros(0, "<u4"), *(p[1] for p in parts)]).astype(np.int64)
         ids = np.concatenate([np.zeros(0, "<u4"), *(p[2] for p in parts)]).astype("<u4")
         first, seen = np.zeros(buckets, np.int64), 0
@@ -244,8 +244,8 @@ def _joined(buckets: int, pieces=None):
 def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_chars: int = BLOCK_CHARS, memory_words: int = MEMORY_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit numbers) of every whole text of docs (doc_id, text).
 
-    docs must give the same rows in the same order when an executor is lost and a part of it is read
-    again, as a table's files do; cut() makes such a table. Null and empty texts have no ids. A null
+    docs is read twice, and again in part when an executor is lost: it must give the same rows in the same
+    partitions and order each time, as a table's files do (cut() makes such a table); else an error is raised. Null and empty texts have no ids. A null
     doc_id stays null; repeated rows give repeated rows; an empty table gives none; extra columns are left out. The tokenizer must be byte-level BPE
     without normaliser, prefix space or dropout; anything else is refused. With decoded, text is what
     the ids decode to, as decode() would find it, made in the same pass.
@@ -262,10 +262,9 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_ch
     n = partitions(docs)
     buckets = min(n, MAX_BUCKETS)
     rows = docs.select("doc_id", whole_text().alias("text"))
-    blocks = rows.mapInArrow(_blocks(shared, buckets, block_chars), BLOCKS)
-    # Word lists go to their bucket's task, which answers them; positions pass through to their block's.
-    routed = blocks.repartition(n, F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("block")))
-    together = routed.mapInArrow(_answers(shared, memory_words), BLOCKS).repartition(n, "block").sortWithinPartitions("block", "bucket")
+    # Word lists go to their bucket's task, which answers them; only then do they meet the blocks' positions.
+    answers = rows.mapInArrow(_blocks(shared, buckets, block_chars, True), BLOCKS).repartition(n, "bucket").mapInArrow(_answers(shared, memory_words), BLOCKS)
+    together = rows.mapInArrow(_blocks(shared, buckets, block_chars, False), BLOCKS).unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
     table = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer_path)) if decoded else None
     return together.mapInArrow(_joined(buckets, table), "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
