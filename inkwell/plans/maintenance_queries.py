@@ -103,15 +103,6 @@ def update_plan_records(s, d):
     return M.plan_records(vector_chunks(s, d), e.where("vec_id % 3 = 0"), e.where("vec_id % 2 = 0"))
 
 
-def index_status(s, d):
-    """Counts against a manifest: stale or ready."""
-    n, c = notes(s, d).agg(F.count(F.lit(1)).alias("notes")), chunks(s, d).agg(F.count(F.lit(1)).alias("chunks"))
-    manifest = table(s, d, "documents").agg(F.count(F.lit(1)).alias("total_notes"))
-    row = n.crossJoin(c).crossJoin(manifest)  # one row each
-    status = F.when(F.col("notes") == 0, "missing").when((F.col("notes") != F.col("total_notes")) | (F.col("chunks") < F.col("notes")), "invalid").otherwise("ready")
-    return row.select("notes", "chunks", status.alias("status"))
-
-
 def resource_guard(s, d):
     b = F.col("o_orderkey") * 9973
     desk, mob = M.guarded(b, "desktop"), M.guarded(b, "mobile")
@@ -154,7 +145,7 @@ QUERIES = {
     "update_plan": update_plan, "update_plan_records": update_plan_records, "missing_vectors": missing_vectors,
     "validation_candidates": lambda s, d: chunks(s, d).orderBy("path", "chunk_index", "chunk_id").limit(3).select("path", "chunk_index", "chunk_id"),
     "embedding_input": lambda s, d: chunks(s, d).select("chunk_id", M.embedding_input(F.col("path"), F.col("chunk_index"), F.col("text"), "nomic-embed-text").alias("input")),
-    "index_status": index_status, "resource_guard": resource_guard, "http_classify": http_classify, "redact_message": redact_message,
+    "resource_guard": resource_guard, "http_classify": http_classify, "redact_message": redact_message,
 }
 
 PATH = "'o/' || lpad(o_orderkey::VARCHAR, 9, '0') || '.md' AS path, o_custkey AS size"
@@ -205,7 +196,6 @@ FROM c WHERE type <> 'delete' AND NOT (starts_with(path, 'src3/') AND type IN ('
     "missing_vectors": f"WITH {STATE} SELECT vec_id FROM r WHERE length = 0 OR provider <> 'ollama' ORDER BY vec_id LIMIT 20",
     "validation_candidates": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path, chunk_index, path || '::' || chunk_index AS chunk_id FROM chunks ORDER BY path, chunk_index LIMIT 3",
     "embedding_input": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path || '::' || chunk_index AS chunk_id, 'search_document: Título: ' || 'doc-' || lpad(doc_id::VARCHAR, 8, '0') || chr(10) || 'Caminho: ' || path || chr(10) || 'Bloco: ' || chunk_index || chr(10) || 'Conteúdo:' || chr(10) || text AS input FROM chunks",
-    "index_status": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM chunks) AS chunks, 'ready' AS status",
     "resource_guard": "SELECT o_orderkey, o_orderkey * 9973 * 3 + 33554432 AS desktop_peak, o_orderkey * 9973 <= 100663296 AND o_orderkey * 9973 * 3 + 33554432 <= 201326592 AS desktop_allowed, o_orderkey * 9973 * 5 + 8388608 AS mobile_peak, o_orderkey * 9973 <= 12582912 AND o_orderkey * 9973 * 5 + 8388608 <= 67108864 AS mobile_allowed FROM orders",
     "http_classify": "SELECT status, CASE status WHEN 401 THEN 'authentication' WHEN 403 THEN 'authorization' WHEN 404 THEN 'model-not-found' WHEN 408 THEN 'timeout' WHEN 413 THEN 'input-rejected' WHEN 429 THEN 'rate-limit' ELSE CASE WHEN status >= 500 THEN 'connection' ELSE 'unknown' END END AS category, CASE WHEN status = 413 THEN 'input' ELSE 'operation' END AS scope, status <> 413 AS fatal FROM (VALUES (401), (403), (404), (408), (413), (429), (500), (503), (418), (200)) t(status)",
     "redact_message": r"WITH m AS (SELECT event_id, " + clean(r"'Failed' || chr(10) || ' with Bearer  ' || props || ' bearer abc.DEF-1 and API key = x' || event_id || '  ' || repeat('z ', (event_id % 150)::INT)") + r" AS t FROM events), r AS (SELECT event_id, regexp_replace(regexp_replace(t, 'Bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'), 'api[_ -]?key\s*[:=]\s*[A-Za-z0-9._~+/=-]+', 'api key [redacted]', 'gi') AS t FROM m) SELECT event_id, CASE WHEN length(t) > 220 THEN substring(t, 1, 217) || '...' ELSE t END AS message FROM r",
