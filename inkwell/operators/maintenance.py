@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # ---- snapshots -------------------------------------------------------------------------------
@@ -85,48 +87,98 @@ def schedule_fires(events: DataFrame, quiet_s: int, cap_s: int) -> DataFrame:
 
 
 def event_summary(events: DataFrame, most: int = 20) -> DataFrame:
-    """Per type: events, the first path, up to most distinct paths and how many more there are."""
-    firsts = events.groupBy("type", "path").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
-    kept = firsts.groupBy("type").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("paths"), F.min_by("path", "seq").alias("first_path"))
-    return kept.select("type", "events", "first_path", F.least("paths", F.lit(most)).alias("shown"), F.greatest(F.col("paths") - most, F.lit(0)).alias("omitted"))
+    """Per type: events, the first path, the first paths (at most so many, old ones with an arrow) and how many more events there are."""
+    shown = F.when(F.col("old_path").isNotNull(), F.concat("old_path", F.lit(" -> "), "path")).otherwise(F.col("path"))
+    counts = events.groupBy("type").agg(F.count(F.lit(1)).alias("events"), F.min_by("path", "seq").alias("first_path"))
+    within = Window.partitionBy("type").orderBy("seq")
+    firsts = events.withColumn("n", F.row_number().over(within)).where(F.col("n") <= most).withColumn("shown", shown)  # limited before its shuffle
+    paths = firsts.groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "shown"))), lambda x: x["shown"]).alias("paths"))
+    return counts.join(paths, "type").select("type", "events", "first_path", "paths", F.greatest(F.col("events") - most, F.lit(0)).alias("omitted"))
 
 
-def apply_batch(index: DataFrame, changes: DataFrame, texts: DataFrame, excluded: Column) -> DataFrame:
-    """The index (path, hash) after coalesced changes (type, path, old_path) with texts (path, hash): touched paths go, rebuilt rows come.
+def apply_batch(index: DataFrame, changes: DataFrame, texts: DataFrame, excluded: Column, content_excluded: Column | None = None) -> DataFrame:
+    """The index (path, hash) after coalesced changes (type, path, old_path) with texts (path, hash, and text if content_excluded reads it).
 
-    A modify whose hash is the indexed one changes nothing; excluded says of a path that it must not be indexed.
+    Of each change but a delete: an excluded path loses its rows, the old one's too; without a text
+    nothing changes; an excluded text is like an excluded path. A modify whose hash is the indexed one
+    changes nothing; a rename removes both paths and writes the new one.
     """
-    gone = changes.where("type in ('delete', 'rename')").select(F.coalesce("old_path", "path").alias("path"))
-    banned = changes.where(excluded).select(F.explode(F.array_compact(F.array("path", "old_path"))).alias("path"))
-    written = changes.where(F.col("type").isin("create", "modify", "rename") & ~excluded).select("path").distinct().join(texts, "path")
-    touched = gone.unionByName(banned).unionByName(written.select("path")).distinct()
-    return index.join(touched, "path", "left_anti").unionByName(written.select("path", "hash"))
+    banned = content_excluded if content_excluded is not None else F.lit(False)
+    found = texts.withColumn("_banned", F.coalesce(banned, F.lit(False))).select("path", F.col("hash").alias("_hash"), "_banned")
+    c = changes.withColumn("_out", F.coalesce(excluded, F.lit(False))).join(found, "path", "left")
+    delete = F.col("type") == "delete"
+    out = ~delete & (F.col("_out") | F.coalesce("_banned", F.lit(False)))
+    write = ~delete & ~out & F.col("_hash").isNotNull()
+    both = F.array_compact(F.array("path", "old_path"))
+    gone = F.when(delete, F.array(F.coalesce("old_path", "path"))).when(out, both).when(write & (F.col("type") == "rename"), both).when(write, F.array("path"))
+    touched = c.select(F.explode(gone).alias("path")).distinct()
+    written = c.where(write).select("path", F.col("_hash").alias("hash")).dropDuplicates(["path"])
+    return index.join(touched, "path", "left_anti").select("path", "hash").unionByName(written)
+
+
+def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Paths whose rows (path, hash) differ between two indexes: their chunks are to be replaced, and without any nothing is published."""
+    a, b = before.select("path", F.col("hash").alias("old")), after.select("path", F.col("hash").alias("new"))
+    return a.join(b, "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("path", F.col("new").isNotNull().alias("stays"))
+
+
+def replace_chunks(chunks: DataFrame, changed: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """chunks (path, …) without those of changed paths, and with the rebuilt ones of paths that stay."""
+    new = rebuilt.join(changed.where("stays").select("path"), "path", "left_semi")
+    return chunks.join(changed.select("path"), "path", "left_anti").unionByName(new.select(*chunks.columns))
 
 
 # ---- vectors ---------------------------------------------------------------------------------
 
-REASONS = ("invalid-record", "text-hash-mismatch", "invalid-vector", "dimension-mismatch", "missing-input-hash", "provider-mismatch", "model-mismatch")
+#: Version of the input's format, and the first of prefix modes.
+INPUT_VERSION = 1
+
 
+def identity_complete(identity: dict) -> bool:
+    """A provider, a model, dimensions, an input version and a prefix mode."""
+    named = lambda key: isinstance(identity.get(key), str) and bool(identity[key].strip())
+    counted = lambda key: isinstance(identity.get(key), int) and identity[key] > 0
+    return named("provider") and named("model") and counted("dimensions") and counted("input_version") and named("prefix_mode")
 
-def vector_state(chunks: DataFrame, records: DataFrame, identity: dict, valid: Column) -> DataFrame:
-    """Per chunk (chunk_id, text_hash): state and reasons against records (chunk_id, text_hash, dimensions, embedding, input_hash, provider, model)."""
+
+def vector_state(chunks: DataFrame, records: DataFrame, published: dict, valid: Column, target: dict | None = None) -> DataFrame:
+    """Per chunk (chunk_id, text_hash, published_hash, target_hash): state, reasons and reusable.
+
+    records: chunk_id, text_hash, dimensions, embedding, input_hash, provider, model. published and
+    target are identities: provider, model, dimensions, input_version, prefix_mode; published_hash and
+    target_hash are hashes of a chunk's input under their prefix modes. A chunk is missing without a
+    record, valid without a reason and stale otherwise; of several records none is looked at. reusable
+    says that its one record can go into the next publication, which has target's identity.
+    """
     value = F.struct("text_hash", "dimensions", F.size("embedding").alias("length"), valid.alias("valid"), "input_hash", "provider", "model")
     per = records.where(F.coalesce(F.col("chunk_id"), F.lit("")) != "").groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first(value).alias("r"))
     r = lambda c: F.col(f"r.{c}")
-    one = F.col("n") == 1
-    tests = [
-        F.col("n") > 1,
-        one & ~r("text_hash").eqNullSafe(F.col("c.text_hash")),
-        one & ~r("valid"),
-        one & ~r("dimensions").eqNullSafe(r("length")) | one & ~r("dimensions").eqNullSafe(F.lit(identity["dimensions"])),
-        one & (F.coalesce(r("input_hash"), F.lit("")) == ""),
-        one & ~r("provider").eqNullSafe(F.lit(identity["provider"])),
-        one & ~r("model").eqNullSafe(F.lit(identity["model"])),
-    ]
-    reasons = F.array_compact(F.array(*(F.when(t, F.lit(name)) for t, name in zip(tests, REASONS))))
-    joined = chunks.alias("c").join(per.alias("p"), "chunk_id", "left").select("chunk_id", "n", F.when(F.col("n").isNull(), F.array().cast("array<string>")).otherwise(reasons).alias("reasons"))
+    other = lambda a, b: ~a.eqNullSafe(b)
+    own_size = other(r("dimensions"), r("length"))
+    has_input = F.coalesce(r("input_hash"), F.lit("")) != ""
+    tests = [(other(r("text_hash"), F.col("c.text_hash")), "text-hash-mismatch"), (~r("valid"), "invalid-vector"), (own_size, "dimension-mismatch"), (~has_input, "missing-input-hash")]
+    if identity_complete(published):
+        tests += [
+            (other(r("provider"), F.lit(published["provider"])), "published-provider-mismatch"),
+            (other(r("model"), F.lit(published["model"])), "published-model-mismatch"),
+            (~own_size & other(r("dimensions"), F.lit(published["dimensions"])), "dimension-mismatch"),
+            (F.lit(published["input_version"] != INPUT_VERSION), "published-input-format-mismatch"),
+            (has_input & other(r("input_hash"), F.col("c.published_hash")), "input-hash-mismatch"),
+        ]
+    else:
+        tests += [(F.lit(True), "published-provider-mismatch"), (F.lit(True), "published-model-mismatch"), (~own_size, "dimension-mismatch"), (F.lit(True), "published-input-format-mismatch")]
+    reasons = F.array_compact(F.array(*(F.when(t, F.lit(name)) for t, name in tests)))
+    none = F.array().cast("array<string>")
+    reasons = F.when(F.col("n").isNull(), none).when(F.col("n") > 1, F.array(F.lit("invalid-record"))).otherwise(reasons)
+    reusable = F.lit(False)
+    if target is not None:
+        same = (r("text_hash") == F.col("c.text_hash")) & (r("provider") == F.lit(target.get("provider"))) & (r("model") == F.lit(target.get("model"))) & r("valid") & ~own_size & has_input & (r("input_hash") == F.col("c.target_hash"))
+        if target.get("dimensions") is not None:
+            same = same & (r("dimensions") == target["dimensions"])
+        reusable = F.coalesce((F.col("n") == 1) & same, F.lit(False))
+    joined = chunks.alias("c").join(per.alias("p"), "chunk_id", "left").select("chunk_id", "n", reasons.alias("reasons"), reusable.alias("reusable"))
     state = F.when(F.col("n").isNull(), "missing").when(F.size("reasons") == 0, "valid").otherwise("stale")
-    return joined.select("chunk_id", state.alias("state"), "reasons")
+    return joined.select("chunk_id", state.alias("state"), "reasons", "reusable")
 
 
 def state_summary(states: DataFrame, records: DataFrame) -> DataFrame:
@@ -139,42 +191,113 @@ def state_summary(states: DataFrame, records: DataFrame) -> DataFrame:
     return s.crossJoin(obsolete).crossJoin(duplicate).crossJoin(invalid)  # one row each
 
 
-def mixed_identity(records: DataFrame) -> DataFrame:
-    i = records.select("provider", "model", "dimensions").distinct()
-    return i.agg(F.count(F.lit(1)).alias("identities"), (F.count(F.lit(1)) > 1).alias("mixed"))
+def mixed_identity(records: DataFrame, published: dict | None = None) -> DataFrame:
+    """One row: identities of the records that have one, whether these are several, and whether one differs from published."""
+    i = records.where((F.trim("provider") != "") & (F.trim("model") != "") & (F.col("dimensions") > 0)).select("provider", "model", "dimensions").distinct()
+    p = published or {}
+    differs = (F.col("provider") != F.lit(p.get("provider"))) | (F.col("model") != F.lit(p.get("model"))) | (F.col("dimensions") != F.lit(p.get("dimensions")))
+    return i.agg(F.count(F.lit(1)).alias("identities"), (F.count(F.lit(1)) > 1).alias("mixed"), (F.count_if(differs) > 0).alias("mismatch"))
 
 
-def plan_mode(summary: DataFrame, mixed: DataFrame, published_complete: bool, matches_target: bool, readable: bool) -> DataFrame:
-    """One row: mode by the first rule that holds, chunks to generate and reusable ones, and whether work is left."""
-    row = summary.crossJoin(mixed)  # one row each
-    stored = F.col("valid") + F.col("stale") + F.col("obsolete")
-    mode = (
-        F.when(F.lit(not published_complete), "full-rebuild")
-        .when(F.lit(not matches_target), "full-rebuild")
-        .when(F.lit(not readable), "indeterminate")
-        .when(stored == 0, "initial-build")
-        .when(F.col("mixed"), "full-rebuild")
-        .otherwise("incremental")
-    )
-    row = row.withColumn("mode", mode)
-    reuse = F.when(F.col("mode") == "incremental", F.col("valid")).otherwise(F.lit(0).cast("long"))
-    generate = F.when(F.col("mode") == "indeterminate", F.lit(0).cast("long")).otherwise(F.col("valid") + F.col("missing") + F.col("stale") - reuse)
-    extra = (F.col("obsolete") + F.col("duplicate") + F.col("invalid")) > 0
-    return row.select("mode", reuse.alias("reusable"), generate.alias("to_generate"), ((generate > 0) | extra).alias("work_available"))
+CHANGES = (("provider", "provider-changed"), ("model", "model-changed"), ("dimensions", "dimension-changed"), ("input_version", "input-version-changed"), ("prefix_mode", "prefix-mode-changed"))
 
 
-def plan_records(chunks: DataFrame, canonical: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """(chunk_id, origin): canonical records of current chunks first, then checkpoint ones; the rest is to be generated."""
-    own = chunks.select("chunk_id").join(canonical.select("chunk_id").distinct(), "chunk_id", "left_semi").withColumn("origin", F.lit("canonical"))
-    held = chunks.select("chunk_id").join(checkpoint.select("chunk_id").distinct(), "chunk_id", "left_semi").join(own, "chunk_id", "left_anti").withColumn("origin", F.lit("checkpoint"))
-    done = own.unionByName(held)
-    return done.unionByName(chunks.select("chunk_id").join(done, "chunk_id", "left_anti").withColumn("origin", F.lit("generate")))
+def update_plan(chunks: DataFrame, canonical: DataFrame, checkpoint: DataFrame, published: dict, target: dict, valid: Column, readability: str = "readable") -> tuple[DataFrame, DataFrame]:
+    """(one row that says what an update of the vectors does, the origin of every chunk's vector).
+
+    chunks, canonical and checkpoint are as for vector_state; readability is missing, empty, unreadable or
+    readable, and records that weren't read are none. The row: mode by the first rule that holds, counts,
+    requires_publication, work_available (null if it can't be told) and reasons, in order. The origins are (chunk_id,
+    origin): canonical records that can be reused in an incremental update, then checkpoint ones, the rest to be generated.
+    """
+    if readability != "readable":
+        canonical = canonical.limit(0)
+    complete = identity_complete(published)
+    changes = [reason for key, reason in CHANGES if published.get(key) != target.get(key)] if complete else []
+    states = vector_state(chunks, canonical, published, valid, target)
+    held = vector_state(chunks, checkpoint, {}, valid, target).where("reusable").select("chunk_id", F.lit(True).alias("held"))
+    identity = mixed_identity(canonical, published if complete else None)
+
+    if readability == "missing":
+        mode, why = F.lit("initial-build"), "canonical-missing"
+    elif not complete:
+        mode, why = F.lit("full-rebuild"), "published-identity-incomplete"
+    elif changes:
+        mode, why = F.lit("full-rebuild"), None
+    elif readability == "unreadable":
+        mode, why = F.lit("indeterminate"), "canonical-unreadable"
+    elif readability == "empty":
+        mode, why = F.lit("initial-build"), "canonical-empty"
+    elif not identity_complete(target):
+        mode, why = F.lit("full-rebuild"), "target-identity-incomplete"
+    else:
+        mode, why = F.when(F.col("mixed") | F.col("mismatch"), "full-rebuild").otherwise("incremental"), "published-identity-compatible"
+
+    one_mode = identity.select("mixed", "mismatch", mode.alias("mode"))  # one row
+    chunk_rows = states.join(held, "chunk_id", "left").crossJoin(F.broadcast(one_mode.select("mode")))
+    reused = (F.col("mode") == "incremental") & F.col("reusable")
+    origin = F.when(reused, "canonical").when(F.coalesce("held", F.lit(False)), "checkpoint").when(F.col("mode") != "indeterminate", "generate").otherwise("unknown")
+    origins = chunk_rows.select("chunk_id", "state", origin.alias("origin"))
+
+    n = lambda c, name: F.count_if(c).alias(name)
+    counts = origins.agg(F.count(F.lit(1)).alias("total"), *(n(F.col("origin") == k, k) for k in ("canonical", "checkpoint", "generate")))
+    row = counts.crossJoin(state_summary(states, canonical)).crossJoin(one_mode).crossJoin(canonical.agg(F.count(F.lit(1)).alias("records")))  # one row each
+    cleanup = (F.col("obsolete") > 0) | (F.col("duplicate") > 0) | (F.col("invalid") > 0) | ((F.col("mode") != "incremental") & (F.col("records") > 0)) | (F.col("checkpoint") > 0)
+    done = F.col("generate") == 0
+    publish = (F.col("total") > 0) & done & (F.col("mode") != "indeterminate") & cleanup
+    publish = publish | ((F.col("total") > 0) & (F.col("mode") == "indeterminate") & cleanup)
+    read = F.lit(readability != "unreadable")
+    readable = F.lit(readability == "readable")
+    said = [
+        (read & (F.col("duplicate") > 0), "canonical-has-duplicates"), (read & (F.col("invalid") > 0), "canonical-has-invalid-records"), (read & (F.col("missing") > 0), "missing-chunks"), (read & (F.col("stale") > 0), "stale-chunks"),
+        (read & (F.col("obsolete") > 0), "obsolete-records"), (readable & F.col("mixed"), "canonical-identity-mixed"), (readable & F.lit(complete) & F.col("mismatch"), "canonical-record-identity-mismatch"),
+        *((F.lit(True), reason) for reason in changes),
+        (F.lit(why is not None) & ((F.lit(why) != "published-identity-compatible") | (F.col("mode") == "incremental")), why or ""),
+        (F.col("checkpoint") > 0, "checkpoint-compatible-records"), ((F.col("mode") != "indeterminate") & done, "no-generation-needed"), ((F.col("checkpoint") > 0) & done, "checkpoint-covers-all"), (publish, "publication-needed"),
+    ]
+    known = F.col("mode") != "indeterminate"
+    count = lambda c: F.when(known, F.col(c)).otherwise(0).cast("long")
+    work = (F.col("generate") > 0) | publish | reduce(lambda a, b: a | b, (F.col(c) > 0 for c in ("missing", "stale", "obsolete", "duplicate", "invalid")))
+    available = F.when(F.col("mode") == "full-rebuild", True).when(known, work)
+    plan = row.select(
+        "mode", "total", F.col("canonical").alias("reusable"), F.col("checkpoint").alias("recoverable"), F.col("generate").alias("to_generate"), count("stale").alias("stale"), count("missing").alias("missing"), count("obsolete").alias("obsolete"),
+        publish.alias("requires_publication"), available.alias("work_available"), F.array_compact(F.array(*(F.when(c, F.lit(r)) for c, r in said))).alias("reasons"),
+    )
+    return plan, origins.select("chunk_id", "origin")
+
+
+def obsolete_ids(chunks: DataFrame, records: DataFrame) -> DataFrame:
+    """Chunk ids of records without a current chunk, in order."""
+    named = records.where(F.coalesce(F.col("chunk_id"), F.lit("")) != "").select("chunk_id").distinct()
+    return named.join(chunks.select("chunk_id"), "chunk_id", "left_anti").orderBy("chunk_id")
 
 
 # Fixed set of models that want prefixes.
 PREFIX_MODELS = ("nomic-embed-text-v2-moe", "nomic-embed-text", "nomic-embed-text-v1.5", "nomic-embed-text-v2")
 
 
+def prefix_mode(model: str) -> str:
+    return "nomic-search-query-document" if model.lower() in PREFIX_MODELS else "none"
+
+
+def input_format(model: str) -> str:
+    """Version and prefix mode of a model's inputs."""
+    return f"{INPUT_VERSION}:{prefix_mode(model)}"
+
+
+def query_input(query: str, model: str) -> str:
+    return f"search_query: {query}" if model.lower() in PREFIX_MODELS else query
+
+
+def target_identity(provider: str, model: str, published: dict, checkpoint_dimensions: int | None = None) -> dict:
+    """The identity that the next vectors will have; dimensions are published ones of the same space, else a checkpoint's, else not known yet."""
+    target = {"provider": provider, "model": model, "dimensions": None, "input_version": INPUT_VERSION, "prefix_mode": prefix_mode(model)}
+    if identity_complete(published) and all(published[k] == target[k] for k in ("provider", "model", "input_version", "prefix_mode")):
+        return target | {"dimensions": published["dimensions"]}
+    return target | {"dimensions": checkpoint_dimensions if checkpoint_dimensions and checkpoint_dimensions > 0 else None}
+
+
+# Fixed template of a chunk's input.
 def embedding_input(path: Column, index: Column, text: Column, model: str) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
     base = F.regexp_replace(name, r"^(.*?)\.md", "$1")  # the first ".md" anywhere

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators import maintenance as M
@@ -64,17 +67,30 @@ def batch_parts(s, d):
     return indexed, changes
 
 
-def apply_batch(s, d):
+def applied(s, d):
+    """The index after the batch; two in a hundred notes are gone meanwhile, and some texts hold an excluded term."""
     indexed, changes = batch_parts(s, d)
     excluded = policy.exclusion_reason(F.col("path"), policy.Exclusions(folders=("src3/",), path_terms=())).isNotNull()
-    return M.apply_batch(indexed, changes.select("type", "path", "old_path"), changes.where("type <> 'delete'").select("path", "hash"), excluded)
+    k = F.col("doc_id")
+    texts = changes.join(notes(s, d).select("doc_id", "text"), "doc_id").where((F.col("type") != "delete") & (k % 100 > 1)).select("path", "hash", "text")
+    return indexed, M.apply_batch(indexed, changes.select("type", "path", "old_path"), texts, excluded, policy.content_excluded(F.col("text"), ("thanedble",)))
+
 
+def apply_batch_chunks(s, d):
+    """Chunk counts by path after the batch: chunks of changed paths are replaced by one each, which stands for their new ones."""
+    before, after = applied(s, d)
+    own = chunks(s, d).select("path", "chunk_index").join(before.select("path"), "path", "left_semi")
+    changed = M.changed_paths(before, after)
+    return M.replace_chunks(own, changed, after.select("path", F.lit(0).alias("chunk_index"))).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"))
 
-IDENTITY = {"provider": "ollama", "model": "nomic-embed-text", "dimensions": 64}
+
+IDENTITY = {"provider": "ollama", "model": "nomic-embed-text", "dimensions": 64, "input_version": 1, "prefix_mode": "nomic-search-query-document"}
+hashed = lambda text: F.md5(text.cast("string").cast("binary"))
 
 
 def vector_chunks(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("text_hash"))
+    own = hashed(F.concat(F.lit("search_document: "), F.col("doc_id").cast("string")))
+    return table(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), hashed(F.col("doc_id")).alias("text_hash"), own.alias("published_hash"), own.alias("target_hash"))
 
 
 def records(s, d):
@@ -83,24 +99,42 @@ def records(s, d):
     e = e.unionByName(e.where("vec_id % 23 = 0"))
     return e.select(
         "vec_id", F.when(v % 31 == 0, F.lit(None).cast("string")).when(v % 29 == 0, F.concat(F.lit("x"), v.cast("string"))).otherwise(v.cast("string")).alias("chunk_id"),
-        F.when(v % 7 == 0, "bad").otherwise(F.md5(v.cast("string").cast("binary"))).alias("text_hash"), F.when(v % 11 == 0, 63).otherwise(64).alias("dimensions"),
-        F.when(v % 13 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")).alias("embedding"), F.when(v % 17 != 0, v.cast("string")).alias("input_hash"),
+        F.when(v % 7 == 0, "bad").otherwise(hashed(v)).alias("text_hash"), F.when(v % 11 == 0, 63).otherwise(64).alias("dimensions"),
+        F.when(v % 13 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")).alias("embedding"),
+        F.when(v % 37 == 0, "other").when(v % 17 != 0, hashed(F.concat(F.lit("search_document: "), v.cast("string")))).alias("input_hash"),
         F.when(v % 19 == 0, "mistral").otherwise("ollama").alias("provider"), F.lit("nomic-embed-text").alias("model"),
     )
 
 
-def states(s, d):
-    return M.vector_state(vector_chunks(s, d), records(s, d), IDENTITY, valid_vector(F.col("embedding")))
+def states(s, d, published=IDENTITY):
+    return M.vector_state(vector_chunks(s, d), records(s, d), published, valid_vector(F.col("embedding")), IDENTITY)
 
 
-def update_plan(s, d):
-    r = records(s, d)
-    return M.plan_mode(M.state_summary(states(s, d), r), M.mixed_identity(r.where("provider = 'ollama' and dimensions = 64")), True, True, True)
+#: Cases of an update: published identity, target, how the canonical file reads, which records it has, whether there is a checkpoint.
+CASES = {
+    "compatible": (IDENTITY, IDENTITY, "readable", "same", True),
+    "mixed": (IDENTITY, IDENTITY, "readable", "all", True),
+    "model changed": (IDENTITY | {"model": "old", "prefix_mode": "none"}, IDENTITY, "readable", "all", False),
+    "incomplete": (IDENTITY | {"provider": " "}, IDENTITY, "readable", "all", False),
+    "missing": (IDENTITY, IDENTITY, "missing", "all", False),
+    "empty": (IDENTITY, IDENTITY, "empty", "all", True),
+    "unreadable": (IDENTITY, IDENTITY, "unreadable", "all", True),
+    "no dimensions": (IDENTITY, IDENTITY | {"dimensions": 0}, "readable", "same", False),
+}
+
 
+def case(s, d, name):
+    published, target, readability, kind, held = CASES[name]
+    canonical = records(s, d)
+    if kind == "same":
+        canonical = canonical.where("provider = 'ollama' and dimensions = 64")
+    checkpoint = records(s, d).where(F.lit(held) & (F.col("vec_id") % 2 == 0) & (F.col("vec_id") % 23 > 0))
+    return M.update_plan(vector_chunks(s, d), canonical, checkpoint, published, target, valid_vector(F.col("embedding")), readability)
 
-def update_plan_records(s, d):
-    e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "vec_id")
-    return M.plan_records(vector_chunks(s, d), e.where("vec_id % 3 = 0"), e.where("vec_id % 2 = 0"))
+
+def update_plan(s, d):
+    rows = [case(s, d, name)[0].select(F.lit(name).alias("case"), "*") for name in CASES]
+    return reduce(DataFrame.unionByName, rows).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 def resource_guard(s, d):
@@ -137,12 +171,14 @@ QUERIES = {
     "debounce_events": lambda s, d: M.debounce(own_events(s, d), "6 hours"),
     "coalesce_events": lambda s, d: M.coalesce_events(events(s, d)),
     "schedule_fires": lambda s, d: M.schedule_fires(own_events(s, d), 6 * 3600, 24 * 3600),
-    "event_summary": lambda s, d: M.event_summary(events(s, d)),
-    "apply_batch": apply_batch,
-    "embedding_state": lambda s, d: states(s, d).select("chunk_id", "state", F.array_join("reasons", "|").alias("reasons")),
+    "event_summary": lambda s, d: M.event_summary(events(s, d)).withColumn("paths", F.array_join("paths", "|")),
+    "apply_batch": lambda s, d: applied(s, d)[1], "apply_batch_chunks": apply_batch_chunks,
+    "embedding_state": lambda s, d: states(s, d).select("chunk_id", "state", F.array_join("reasons", "|").alias("reasons"), "reusable"),
+    "embedding_state_unpublished": lambda s, d: states(s, d, {}).select("chunk_id", "state", F.array_join("reasons", "|").alias("reasons"), "reusable"),
+    "obsolete_ids": lambda s, d: M.obsolete_ids(vector_chunks(s, d), records(s, d)),
     "embedding_state_summary": lambda s, d: M.state_summary(states(s, d), records(s, d)),
-    "mixed_identity": lambda s, d: M.mixed_identity(records(s, d)),
-    "update_plan": update_plan, "update_plan_records": update_plan_records, "missing_vectors": missing_vectors,
+    "mixed_identity": lambda s, d: M.mixed_identity(records(s, d), IDENTITY),
+    "update_plan": update_plan, "update_plan_records": lambda s, d: case(s, d, "compatible")[1], "missing_vectors": missing_vectors,
     "validation_candidates": lambda s, d: chunks(s, d).orderBy("path", "chunk_index", "chunk_id").limit(3).select("path", "chunk_index", "chunk_id"),
     "embedding_input": lambda s, d: chunks(s, d).select("chunk_id", M.embedding_input(F.col("path"), F.col("chunk_index"), F.col("text"), "nomic-embed-text").alias("input")),
     "resource_guard": resource_guard, "http_classify": http_classify, "redact_message": redact_message,
@@ -157,16 +193,67 @@ EV = """e AS (SELECT event_id AS seq, ts, user_id, CASE event_type WHEN 'signup'
   'u/' || user_id || CASE WHEN event_type = 'purchase' THEN '-' || event_id ELSE '' END || '.md' AS path, CASE WHEN event_type = 'purchase' THEN 'u/' || user_id || '.md' END AS old_path FROM events)"""
 STATE = """r0 AS (SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings WHERE vec_id % 23 = 0),
 r AS (SELECT vec_id, CASE WHEN vec_id % 31 = 0 THEN NULL WHEN vec_id % 29 = 0 THEN 'x' || vec_id ELSE vec_id::VARCHAR END AS chunk_id, CASE WHEN vec_id % 7 = 0 THEN 'bad' ELSE md5(vec_id::VARCHAR) END AS text_hash,
-  CASE WHEN vec_id % 11 = 0 THEN 63 ELSE 64 END AS dimensions, CASE WHEN vec_id % 13 = 0 THEN 0 ELSE 64 END AS length, vec_id % 17 = 0 AS no_input, CASE WHEN vec_id % 19 = 0 THEN 'mistral' ELSE 'ollama' END AS provider FROM r0),
+  CASE WHEN vec_id % 11 = 0 THEN 63 ELSE 64 END AS dimensions, CASE WHEN vec_id % 13 = 0 THEN 0 ELSE 64 END AS length, vec_id % 17 = 0 AND vec_id % 37 <> 0 AS no_input, vec_id % 37 = 0 AS other_input, CASE WHEN vec_id % 19 = 0 THEN 'mistral' ELSE 'ollama' END AS provider FROM r0),
 c AS (SELECT doc_id::VARCHAR AS chunk_id, md5(doc_id::VARCHAR) AS text_hash FROM documents),
-g AS (SELECT chunk_id, count(*) AS n, any_value(text_hash) AS th, any_value(dimensions) AS dim, any_value(length) AS len, any_value(no_input) AS no_input, any_value(provider) AS provider FROM r WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
+g AS (SELECT chunk_id, count(*) AS n, any_value(text_hash) AS th, any_value(dimensions) AS dim, any_value(length) AS len, any_value(no_input) AS no_input, any_value(other_input) AS other_input, any_value(provider) AS provider FROM r WHERE chunk_id IS NOT NULL GROUP BY chunk_id),
 s AS (SELECT c.chunk_id, n, CASE WHEN n IS NULL THEN '' WHEN n > 1 THEN 'invalid-record' ELSE array_to_string(list_filter([CASE WHEN th <> c.text_hash THEN 'text-hash-mismatch' END, CASE WHEN len = 0 THEN 'invalid-vector' END,
-  CASE WHEN dim <> len OR dim <> 64 THEN 'dimension-mismatch' END, CASE WHEN no_input THEN 'missing-input-hash' END, CASE WHEN provider <> 'ollama' THEN 'provider-mismatch' END], lambda x: x IS NOT NULL), '|') END AS reasons FROM c LEFT JOIN g USING (chunk_id)),
-st AS (SELECT chunk_id, CASE WHEN n IS NULL THEN 'missing' WHEN reasons = '' THEN 'valid' ELSE 'stale' END AS state, reasons FROM s),
+  CASE WHEN dim <> len THEN 'dimension-mismatch' END, CASE WHEN no_input THEN 'missing-input-hash' END, CASE WHEN provider <> 'ollama' THEN 'published-provider-mismatch' END, CASE WHEN dim = len AND dim <> 64 THEN 'dimension-mismatch' END,
+  CASE WHEN other_input THEN 'input-hash-mismatch' END], lambda x: x IS NOT NULL), '|') END AS reasons,
+  coalesce(n = 1 AND th = c.text_hash AND len > 0 AND dim = len AND dim = 64 AND NOT no_input AND NOT other_input AND provider = 'ollama', false) AS reusable,
+  CASE WHEN n IS NULL THEN '' WHEN n > 1 THEN 'invalid-record' ELSE array_to_string(list_filter([CASE WHEN th <> c.text_hash THEN 'text-hash-mismatch' END, CASE WHEN len = 0 THEN 'invalid-vector' END, CASE WHEN dim <> len THEN 'dimension-mismatch' END,
+  CASE WHEN no_input THEN 'missing-input-hash' END, 'published-provider-mismatch', 'published-model-mismatch', CASE WHEN dim = len THEN 'dimension-mismatch' END, 'published-input-format-mismatch'], lambda x: x IS NOT NULL), '|') END AS unpublished FROM c LEFT JOIN g USING (chunk_id)),
+st AS (SELECT chunk_id, CASE WHEN n IS NULL THEN 'missing' WHEN reasons = '' THEN 'valid' ELSE 'stale' END AS state, reasons, reusable FROM s),
 sm AS (SELECT count(*) FILTER (state = 'valid') AS valid, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'stale') AS stale, (SELECT count(*) FROM g WHERE chunk_id NOT IN (SELECT chunk_id FROM c)) AS obsolete,
   (SELECT (sum(n) - count(*))::BIGINT FROM g) AS duplicate, (SELECT count(*) FROM r WHERE chunk_id IS NULL) AS invalid FROM st)"""
+
+
+def plan_sql(name: str) -> str:
+    """The row of one case, by counting over sets of records."""
+    published, target, readability, kind, held = CASES[name]
+    complete, whole = M.identity_complete(published), M.identity_complete(target)
+    read = "false" if readability != "readable" else "provider = 'ollama' AND dimensions = 64" if kind == "same" else "true"
+    size = 64 if target["dimensions"] is None else target["dimensions"]
+    fits = f"c.text_hash = r.text_hash AND length = 64 AND dimensions = 64 AND NOT no_input AND NOT other_input AND provider = 'ollama' AND {size} = 64"
+    bad = "n > 1 OR th <> c_hash OR len = 0 OR dim <> len OR no_input OR " + (f"provider <> '{published['provider']}' OR {published['model'] != 'nomic-embed-text'} OR dim <> {published['dimensions']} OR other_input" if complete else "true")
+    changes = [reason for key, reason in M.CHANGES if complete and published[key] != target[key]]
+    fixed = {"missing": ("initial-build", "canonical-missing"), "unreadable": ("indeterminate", "canonical-unreadable"), "empty": ("initial-build", "canonical-empty")}
+    if readability == "missing":
+        mode, why = fixed["missing"]
+    elif not complete:
+        mode, why = "full-rebuild", "published-identity-incomplete"
+    elif changes:
+        mode, why = "full-rebuild", ""
+    elif readability in fixed:
+        mode, why = fixed[readability]
+    else:
+        mode, why = ("", "published-identity-compatible") if whole else ("full-rebuild", "target-identity-incomplete")
+    mode_sql = f"'{mode}'" if mode else "CASE WHEN mixed OR mismatch THEN 'full-rebuild' ELSE 'incremental' END"
+    why_sql = f"'{why}'" if mode else f"CASE WHEN mode = 'incremental' THEN '{why}' END"
+    said = "".join(f"'{x}', " for x in changes) + (f"{why_sql}, " if why else "")
+    rr = f"(SELECT * FROM r WHERE {read})"
+    return f"""SELECT '{name}' AS "case", mode, total, reusable, recoverable, to_generate, CASE WHEN known THEN stale ELSE 0 END AS stale, CASE WHEN known THEN missing ELSE 0 END AS missing, CASE WHEN known THEN obsolete ELSE 0 END AS obsolete, publish AS requires_publication,
+  CASE WHEN mode = 'full-rebuild' THEN true WHEN known THEN to_generate > 0 OR publish OR missing + stale + obsolete + duplicate + invalid > 0 END AS work_available, array_to_string(list_filter([
+  CASE WHEN duplicate > 0 THEN 'canonical-has-duplicates' END, CASE WHEN invalid > 0 THEN 'canonical-has-invalid-records' END, CASE WHEN {readability != "unreadable"} AND missing > 0 THEN 'missing-chunks' END, CASE WHEN stale > 0 THEN 'stale-chunks' END, CASE WHEN obsolete > 0 THEN 'obsolete-records' END,
+  CASE WHEN mixed THEN 'canonical-identity-mixed' END, CASE WHEN {complete} AND mismatch THEN 'canonical-record-identity-mismatch' END, {said}CASE WHEN recoverable > 0 THEN 'checkpoint-compatible-records' END, CASE WHEN known AND to_generate = 0 THEN 'no-generation-needed' END,
+  CASE WHEN recoverable > 0 AND to_generate = 0 THEN 'checkpoint-covers-all' END, CASE WHEN publish THEN 'publication-needed' END], lambda x: x IS NOT NULL), '|') AS reasons FROM (
+SELECT *, total > 0 AND to_generate = 0 AND (obsolete > 0 OR duplicate > 0 OR invalid > 0 OR (mode <> 'incremental' AND records > 0) OR recoverable > 0) AS publish FROM (
+SELECT *, mode <> 'indeterminate' AS known, CASE WHEN mode = 'incremental' THEN reuse ELSE 0 END AS reusable, CASE WHEN mode = 'incremental' THEN held_rest ELSE held END AS recoverable, CASE WHEN mode = 'indeterminate' THEN 0 WHEN mode = 'incremental' THEN total - reuse - held_rest ELSE total - held END AS to_generate FROM (
+SELECT *, {mode_sql} AS mode FROM (
+SELECT count(*) AS total, (SELECT count(*) FROM {rr}) AS records, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (n IS NOT NULL AND ({bad})) AS stale, count(*) FILTER (reuse) AS reuse, count(*) FILTER (held) AS held, count(*) FILTER (held AND NOT reuse) AS held_rest,
+  (SELECT count(DISTINCT chunk_id) FROM {rr} WHERE chunk_id NOT IN (SELECT chunk_id FROM c)) AS obsolete, (SELECT count(chunk_id) - count(DISTINCT chunk_id) FROM {rr}) AS duplicate, (SELECT count(*) FROM {rr} WHERE chunk_id IS NULL) AS invalid,
+  (SELECT count(DISTINCT (provider, dimensions)) > 1 FROM {rr}) AS mixed, (SELECT count(*) FILTER (provider <> '{published["provider"]}' OR dimensions <> {published["dimensions"]} OR {published["model"] != "nomic-embed-text"}) > 0 FROM {rr}) AS mismatch FROM (
+SELECT c.chunk_id, c.text_hash AS c_hash, n, th, len, dim, no_input, other_input, provider, coalesce(n = 1 AND fits, false) AS reuse, h.chunk_id IS NOT NULL AS held FROM c
+  LEFT JOIN (SELECT r.chunk_id, count(*) AS n, any_value(r.text_hash) AS th, any_value(length) AS len, any_value(dimensions) AS dim, any_value(no_input) AS no_input, any_value(other_input) AS other_input, any_value(provider) AS provider, bool_and({fits}) AS fits FROM {rr} r JOIN c USING (chunk_id) GROUP BY r.chunk_id) USING (chunk_id)
+  LEFT JOIN (SELECT r.chunk_id FROM r JOIN c USING (chunk_id) WHERE {held} AND vec_id % 2 = 0 AND vec_id % 23 > 0 AND {fits}) h ON h.chunk_id = c.chunk_id)))))"""
+
+
 BAD = "(starts_with(path, 'src3/') OR contains(lower(text), 'thanedble'))"
 
+BATCH = """k AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'create' WHEN doc_id % 7 = 0 THEN 'modify' WHEN doc_id % 7 = 1 THEN 'delete' WHEN doc_id % 7 = 2 THEN 'rename' WHEN doc_id % 7 = 3 THEN 'modify' ELSE 'none' END AS type, doc_id % 10 <> 0 AS old, doc_id % 100 > 1 AS there, contains(lower(text), 'thanedble') AS banned FROM notes),
+l AS (SELECT *, type NOT IN ('none', 'delete') AND ((starts_with(path, 'src3/') AND type <> 'rename') OR (there AND banned)) AS out FROM k),
+b AS (SELECT *, type NOT IN ('none', 'delete') AND NOT out AND there AS written, CASE WHEN type = 'rename' AND NOT out AND there THEN 'moved/' || basename || '.md' ELSE path END AS new_path,
+  CASE WHEN type NOT IN ('none', 'delete') AND NOT out AND there AND doc_id % 7 = 0 THEN md5(text || ' x') ELSE md5(text) END AS new_hash, type <> 'delete' AND NOT out AND (old OR (type NOT IN ('none', 'delete') AND there)) AS stays FROM l)"""
+
 ORACLES = {
     "reconcile_plan": f"WITH {SNAP}, x AS (SELECT path, CASE WHEN v.path IS NULL THEN 'delete' WHEN i.path IS NULL THEN 'create' WHEN v.size <> i.size OR v.mtime <> i.mtime THEN 'modify' END AS change_type FROM v FULL JOIN i USING (path)) SELECT change_type, path, CASE change_type WHEN 'delete' THEN 0 WHEN 'create' THEN 1 ELSE 2 END::INT AS ord FROM x WHERE change_type IS NOT NULL",
     "index_staleness": f"WITH {SNAP} SELECT (SELECT count(*) FROM v) AS expected, (SELECT count(*) FROM i) AS indexed, (SELECT count(*) FROM v) <> (SELECT count(*) FROM i) OR EXISTS (SELECT 1 FROM v WHERE (path, size, mtime) NOT IN (SELECT (path, size, mtime) FROM i)) AS stale",
@@ -184,15 +271,18 @@ SELECT key, type, path, old_path, first_seq FROM f WHERE n = last""",
 f AS (SELECT path, n, ts AS start, ts AS last FROM e WHERE n = 1 UNION ALL
   SELECT e.path, e.n, CASE WHEN e.ts >= least(f.last + INTERVAL 6 HOUR, f.start + INTERVAL 24 HOUR) THEN e.ts ELSE f.start END, e.ts FROM f JOIN e ON e.path = f.path AND e.n = f.n + 1)
 SELECT path, start AS dirty_since, least(max(last) + INTERVAL 6 HOUR, start + INTERVAL 24 HOUR) AS fires_at, count(*) AS events FROM f GROUP BY path, start""",
-    "event_summary": f"WITH {EV} SELECT type, count(*) AS events, arg_min(path, seq) AS first_path, least(count(DISTINCT path), 20)::BIGINT AS shown, greatest(count(DISTINCT path) - 20, 0)::BIGINT AS omitted FROM e GROUP BY type",
-    "apply_batch": f"""WITH {NOTES}, c AS (SELECT *, CASE WHEN doc_id % 10 = 0 THEN 'create' WHEN doc_id % 7 = 0 THEN 'modify' WHEN doc_id % 7 = 1 THEN 'delete' WHEN doc_id % 7 = 2 THEN 'rename' WHEN doc_id % 7 = 3 THEN 'modify' ELSE 'none' END AS type FROM notes)
-SELECT CASE WHEN type = 'rename' THEN 'moved/' || basename || '.md' ELSE path END AS path, CASE WHEN type <> 'none' AND doc_id % 7 = 0 THEN md5(text || ' x') ELSE md5(text) END AS hash
-FROM c WHERE type <> 'delete' AND NOT (starts_with(path, 'src3/') AND type IN ('create', 'modify'))""",
+    "event_summary": f"WITH {EV}, n AS (SELECT *, coalesce(old_path || ' -> ', '') || path AS shown, row_number() OVER (PARTITION BY type ORDER BY seq) AS n FROM e) SELECT type, count(*) AS events, arg_min(path, seq) AS first_path, string_agg(shown, '|' ORDER BY seq) FILTER (n <= 20) AS paths, greatest(count(*) - 20, 0)::BIGINT AS omitted FROM n GROUP BY type",
+    "apply_batch": f"WITH {NOTES}, {BATCH} SELECT new_path AS path, new_hash AS hash FROM b WHERE stays",
+    "apply_batch_chunks": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {BATCH}, n AS (SELECT path, count(*) AS n FROM chunks GROUP BY path), z AS (SELECT new_path AS path, CASE WHEN old AND new_path = b.path AND new_hash = md5(text) THEN n ELSE 1 END AS chunks FROM b LEFT JOIN n USING (path) WHERE stays) SELECT * FROM z WHERE chunks IS NOT NULL",
     "embedding_state": f"WITH {STATE} SELECT * FROM st",
+    "embedding_state_unpublished": f"WITH {STATE} SELECT chunk_id, CASE WHEN n IS NULL THEN 'missing' ELSE 'stale' END AS state, unpublished AS reasons, reusable FROM s",
+    "obsolete_ids": f"WITH {STATE} SELECT chunk_id FROM g WHERE chunk_id NOT IN (SELECT chunk_id FROM c) ORDER BY 1",
     "embedding_state_summary": f"WITH {STATE} SELECT * FROM sm",
-    "mixed_identity": f"WITH {STATE} SELECT count(DISTINCT (provider, dimensions)) AS identities, count(DISTINCT (provider, dimensions)) > 1 AS mixed FROM r",
-    "update_plan": f"WITH {STATE} SELECT 'incremental' AS mode, valid AS reusable, missing + stale AS to_generate, true AS work_available FROM sm",
-    "update_plan_records": "SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN v.vec_id IS NULL THEN 'generate' WHEN doc_id % 3 = 0 THEN 'canonical' WHEN doc_id % 2 = 0 THEN 'checkpoint' ELSE 'generate' END AS origin FROM documents LEFT JOIN embeddings v ON vec_id = doc_id",
+    "mixed_identity": f"WITH {STATE} SELECT count(DISTINCT (provider, dimensions)) AS identities, count(DISTINCT (provider, dimensions)) > 1 AS mixed, count(*) FILTER (provider <> 'ollama' OR dimensions <> 64) > 0 AS mismatch FROM r",
+    "update_plan": f"WITH {STATE} " + " UNION ALL ".join(map(plan_sql, CASES)),
+    "update_plan_records": f"""WITH {STATE}, k AS (SELECT chunk_id, count(*) AS n, bool_and(text_hash = md5(chunk_id) AND length = 64 AND NOT no_input AND NOT other_input) AS fits FROM r WHERE provider = 'ollama' AND dimensions = 64 GROUP BY chunk_id),
+h AS (SELECT DISTINCT chunk_id FROM r WHERE vec_id % 2 = 0 AND vec_id % 23 > 0 AND text_hash = md5(chunk_id) AND length = 64 AND dimensions = 64 AND NOT no_input AND NOT other_input AND provider = 'ollama')
+SELECT chunk_id, CASE WHEN k.n = 1 AND k.fits THEN 'canonical' WHEN h.chunk_id IS NOT NULL THEN 'checkpoint' ELSE 'generate' END AS origin FROM c LEFT JOIN k USING (chunk_id) LEFT JOIN h USING (chunk_id)""",
     "missing_vectors": f"WITH {STATE} SELECT vec_id FROM r WHERE length = 0 OR provider <> 'ollama' ORDER BY vec_id LIMIT 20",
     "validation_candidates": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path, chunk_index, path || '::' || chunk_index AS chunk_id FROM chunks ORDER BY path, chunk_index LIMIT 3",
     "embedding_input": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path || '::' || chunk_index AS chunk_id, 'search_document: Título: ' || 'doc-' || lpad(doc_id::VARCHAR, 8, '0') || chr(10) || 'Caminho: ' || path || chr(10) || 'Bloco: ' || chunk_index || chr(10) || 'Conteúdo:' || chr(10) || text AS input FROM chunks",
