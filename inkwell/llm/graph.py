@@ -39,35 +39,38 @@ def _columns(keys: pa.Array) -> list[np.ndarray]:
     return [np.asarray(p) for p in parts]
 
 
-def _neighbours(lags: int):
-    """(key, k) in order to pairs (a, b) of different k in one bucket, at most lags apart, that share a sample of the tail."""
+def _neighbours(lags: int, alike: float):
+    """(key, k, size) in order to pairs (a, b) of different k in one bucket, at most lags apart, that share a sample of the tail and are alike in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ks = np.zeros(0, np.int64), None
+        key, ks, sizes = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
         for batch in batches:
             carried = len(key)
             own = batch.column(1)
-            key, ks = np.concatenate([key, np.asarray(batch.column(0))]), own if ks is None else pa.concat_arrays([ks, own])
+            key, ks, sizes = np.concatenate([key, np.asarray(batch.column(0))]), own if ks is None else pa.concat_arrays([ks, own]), np.concatenate([sizes, np.asarray(batch.column(2))])
             # A member that several tasks sent counts once.
             parts = [key, *_columns(ks)]
             new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]))
-            key, ks = key[new], ks.take(pa.array(new))
+            key, ks, sizes = key[new], ks.take(pa.array(new)), sizes[new]
             firsts, seconds = [], []
             for lag in range(1, lags + 1):
                 at = np.arange(max(lag, carried), len(key))
                 differ = (key[at] ^ key[at - lag]).view(np.uint64)
                 half = np.uint64((1 << TAIL // 2) - 1)
                 same = (differ >> np.uint64(TAIL) == 0) & ((differ & half == 0) | (differ >> np.uint64(TAIL // 2) & half == 0))
+                same &= np.minimum(sizes[at], sizes[at - lag]) >= alike * np.maximum(sizes[at], sizes[at - lag]) - 1e-9
                 seconds.append(at[same])
                 firsts.append(at[same] - lag)
             yield pa.RecordBatch.from_arrays([ks.take(pa.array(np.concatenate(firsts))), ks.take(pa.array(np.concatenate(seconds)))], names=["a", "b"])
-            key, ks = key[-lags:], ks.slice(max(0, len(ks) - lags))
+            key, ks, sizes = key[-lags:], ks.slice(max(0, len(ks) - lags)), sizes[-lags:]
 
     return run
 
 
-def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members k of keyed (key, k) that are close in the order of one of their buckets.
+def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float = 0.0) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members k of keyed (key, k, size) that are close in the order of one of their buckets.
+
+    The lesser size of a pair is at least alike times the greater.
 
     Members of a bucket are sorted by the samples that follow the bucket's own, so that of many in one
     bucket the most alike come together. Each is paired with the next few, so a bucket of any size costs
@@ -82,13 +85,13 @@ def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS) -> DataFrame
     counts = some.groupBy(bucket.alias("bucket")).agg(F.countDistinct("k").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(64.0, total / (4 * n))).select("bucket").collect()  # fewer than 4 * n
-    rows, salt = keyed.select("key", "k", bucket.alias("bucket")), F.lit(0)
+    rows, salt = keyed.select("key", "k", F.col("size").cast("long").alias("size"), bucket.alias("bucket")), F.lit(0)
     if hot:
         rows = rows.join(F.broadcast(keyed.sparkSession.createDataFrame([(r.bucket, True) for r in hot], "bucket long, hot boolean")), "bucket", "left")
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k", "bucket"), F.lit(n))).otherwise(0)
-    ordered = rows.repartition(n, "bucket", salt).select("key", "k").sortWithinPartitions("key", "k")
+    ordered = rows.repartition(n, "bucket", salt).select("key", "k", "size").sortWithinPartitions("key", "k")
     kind = keyed.schema["k"].dataType.simpleString()
-    return ordered.mapInArrow(_neighbours(lags), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(_neighbours(lags, alike), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 100) -> DataFrame:
