@@ -30,7 +30,8 @@ COMPOSED, BASES = _latin_bases()
 
 
 def strip_accents(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, COMPOSED, BASES), f"[{MARKS}]", "")
+    """The letter-by-letter map is left out where all is ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, COMPOSED, BASES), f"[{MARKS}]", "")).otherwise(text)
 
 
 def collapse(text: Column) -> Column:

@@ -244,8 +244,7 @@ def update_plan(chunks: DataFrame, canonical: DataFrame, checkpoint: DataFrame,
     row = counts.crossJoin(state_summary(states, canonical)).crossJoin(one_mode).crossJoin(canonical.agg(F.count(F.lit(1)).alias("records")))  # one row each
     cleanup = (F.col("obsolete") > 0) | (F.col("duplicate") > 0) | (F.col("invalid") > 0) | ((F.col("mode") != "incremental") & (F.col("records") > 0)) | (F.col("checkpoint") > 0)
     done = F.col("generate") == 0
-    publish = (F.col("total") > 0) & done & (F.col("mode") != "indeterminate") & cleanup
-    publish = publish | ((F.col("total") > 0) & (F.col("mode") == "indeterminate") & cleanup)
+    publish = (F.col("total") > 0) & done & cleanup
     read = F.lit(readability != "unreadable")
     readable = F.lit(readability == "readable")
     said = [

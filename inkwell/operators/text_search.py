@@ -15,19 +15,19 @@ NAME, PATH, CHUNK = (34, 12, 4), (16, 7, 2), (12, 5, 1)
 KEYS = "tags?|tipo|projeto|area|contexto|estado"
 
 
-def match_counts(words: Column, term: str) -> Column:
-    """Words equal to the term, else starting with it, else containing it."""
-    size = lambda test: F.size(F.filter(words, test))
-    return F.struct(
-        size(lambda w: w == term).alias("word"),
-        size(lambda w: w.startswith(term) & (w != term)).alias("prefix"),
-        size(lambda w: w.contains(term) & ~w.startswith(term)).alias("substr"),
-    )
+def padded(normalised: Column) -> Column:
+    """The words of a normalised text, each with a space of its own on both sides."""
+    return F.concat(F.lit(" "), F.regexp_replace(normalised, "[^a-z0-9]+", "  "), F.lit(" "))
 
 
-def words_with(normalised: Column, terms: Sequence[str]) -> Column:
-    """The words that contain any of the terms, in order: all that match counts depend on."""
-    return F.regexp_extract_all(normalised, F.lit(f"([a-z0-9]*(?:{'|'.join(sorted(set(terms), key=len))})[a-z0-9]*)"), F.lit(1))
+def match_counts(spaced: Column, term: str) -> Column:
+    """Words of a padded text equal to the term, else starting with it, else containing it; string functions only, no arrays of words."""
+    gone = lambda piece: F.length(spaced) - F.length(F.replace(spaced, F.lit(piece), F.lit("")))
+    word = F.floor(gone(f" {term} ") / (len(term) + 2)).cast("int")
+    start = F.floor(gone(f" {term}") / (len(term) + 1)).cast("int")
+    rest = F.regexp_replace(spaced, f" {term}[a-z0-9]*", " ")
+    inside = F.when(rest.contains(term), F.size(F.regexp_extract_all(rest, F.lit(f"([a-z0-9]+?{term}[a-z0-9]*)"), F.lit(1)))).otherwise(0)
+    return F.struct(word.alias("word"), (start - word).alias("prefix"), inside.alias("substr"))
 
 
 def any_match(m: Column) -> Column:
@@ -61,15 +61,19 @@ def window_hit(normalised: Column, marker: str, within: int, matched_words: list
 def score_chunks(chunks: DataFrame, query: str) -> DataFrame:
     """chunks (…, text) with score, matched (count of terms), coverage and terms_found; chunks without a match are dropped."""
     terms = T.terms_of(query)
-    norm = chunks.withColumn("_norm", T.normalise(F.col("text")))
-    # A matching word contains the term, so the text does: cheap, and before any splitting.
-    norm = norm.where(reduce(lambda a, b: a | b, [F.col("_norm").contains(t) for t in terms]))
-    m = norm.withColumn("_words", words_with(F.col("_norm"), terms)).select("*", *(match_counts(F.col("_words"), t).alias(f"_m{i}") for i, t in enumerate(terms)))
-    each = [F.col(f"_m{i}") for i in range(len(terms))]
+    distinct = list(dict.fromkeys(terms))
+    # A matching word contains the term, so the text does, or has a letter that isn't ASCII: cheap, and before any normalising.
+    lower = F.lower("text")
+    some = chunks.where(reduce(lambda a, b: a | b, [lower.contains(t) for t in distinct]) | F.col("text").rlike(r"[^\x00-\x7F]"))
+    norm = some.withColumn("_norm", T.normalise(F.col("text"))).withColumn("_spaced", padded(F.col("_norm")))
+    norm = norm.where(reduce(lambda a, b: a | b, [F.col("_norm").contains(t) for t in distinct]))
+    m = norm.select("*", *(match_counts(F.col("_spaced"), t).alias(f"_m{i}") for i, t in enumerate(distinct)))
+    at = {t: F.col(f"_m{i}") for i, t in enumerate(distinct)}
+    each = [at[t] for t in terms]
     matched = total([F.when(any_match(c), 1).otherwise(0) for c in each])
-    full = [(t, c["word"] > 0) for t, c in zip(terms, each)]
+    full = [(t, c["word"] > 0) for t, c in at.items()]
     heading = window_hit(F.col("_norm"), r"(?:^|\s)#{1,6}\s+", 160, full, True)
-    tagged = reduce(lambda a, b: a | b, [cond & F.col("_norm").rlike(f"(^|\\s)#{t}($|[^a-z0-9_])") for t, cond in full], F.lit(False))
+    tagged = F.when(F.col("_norm").contains("#"), reduce(lambda a, b: a | b, [cond & F.col("_norm").rlike(f"(^|\\s)#{t}($|[^a-z0-9_])") for t, cond in full], F.lit(False))).otherwise(False)
     keyed = window_hit(F.col("_norm"), rf"(?:^|\s)[a-z0-9_-]*(?:{KEYS})[a-z0-9_-]*:\s*", 180, full, False)
     score = (
         total([term_score(c, CHUNK) for c in each])
@@ -84,12 +88,12 @@ def score_chunks(chunks: DataFrame, query: str) -> DataFrame:
 
 
 def name_hits(notes: DataFrame, query: str) -> DataFrame:
-    """notes (…, basename, path) that match by name or path: score, origin, matched."""
+    """notes (…, basename, path) that match by name or path: score, origin, matched, terms_found."""
     terms, wanted, n = T.terms_of(query), T.normalise_value(query), len(T.terms_of(query))
     a = notes.withColumn("_name", T.normalise(F.col("basename"))).withColumn("_path", T.normalise(F.col("path")))
     # A term in a text is in one of its words, so these are the rows with a match.
     a = a.where(reduce(lambda x, y: x | y, [F.col(c).contains(t) for t in terms for c in ("_name", "_path")]))
-    a = a.withColumn("_nw", words_with(F.col("_name"), terms)).withColumn("_pw", words_with(F.col("_path"), terms))
+    a = a.withColumn("_nw", padded(F.col("_name"))).withColumn("_pw", padded(F.col("_path")))
     a = a.select("*", *(match_counts(F.col("_nw"), t).alias(f"_n{i}") for i, t in enumerate(terms)), *(match_counts(F.col("_pw"), t).alias(f"_p{i}") for i, t in enumerate(terms)))
     of = lambda k: [F.col(f"_{k}{i}") for i in range(n)]
     count = lambda k: total([F.when(any_match(c), 1).otherwise(0) for c in of(k)])
@@ -107,24 +111,34 @@ def name_hits(notes: DataFrame, query: str) -> DataFrame:
     )
     named = (F.col("_name") == wanted) | (F.col("_nn") > 0)
     matched = F.when(F.col("_name") == wanted, n).when(F.col("_nn") > 0, F.col("_nn")).when(in_path & (F.col("_pn") == 0), n).otherwise(F.col("_pn"))
-    return a.select(*notes.columns, score.cast("int").alias("score"), F.when(named, "nome").otherwise("caminho").alias("origin"), matched.cast("int").alias("matched"))
+    every = F.array(*map(F.lit, terms))
+    by = lambda k: F.array_compact(F.array(*(F.when(any_match(c), F.lit(t)) for t, c in zip(terms, of(k)))))
+    found = F.when(F.col("_name") == wanted, every).when(F.col("_nn") > 0, by("n")).when(in_path & (F.col("_pn") == 0), every).otherwise(by("p"))
+    return a.select(*notes.columns, score.cast("int").alias("score"), F.when(named, "nome").otherwise("caminho").alias("origin"), matched.cast("int").alias("matched"), found.alias("terms_found"))
+
+
+def last_notes(notes: DataFrame) -> DataFrame:
+    """One note of each path, whatever its case: the last by path."""
+    return notes.groupBy(F.lower("path").alias("_key")).agg(F.max(F.struct("path", "basename")).alias("_n")).select("_key", "_n.path", "_n.basename")
 
 
 def search_text(notes: DataFrame, chunks: DataFrame, query: str, per_note: int = 3, limit: int = 30) -> DataFrame:
-    """Name, path and chunk hits, best first: path, chunk_id, origin, score, matched, coverage, snippet, rank.
+    """Name, path and chunk hits, best first: path, chunk_id, origin, score, matched, coverage, terms_found, snippet, rank.
 
-    Chunks without a note are dropped. The note side of the join carries names only, and only scored
-    chunks meet it; the ranking takes per-note tops by a window that is limited before its shuffle.
+    Chunks meet their notes by path in lower case and get the note's path; chunks without a note are
+    dropped. The note side of the join carries names only, and only scored chunks meet it; the ranking
+    takes per-note tops by a window that is limited before its shuffle.
     """
     terms = T.terms_of(query)
     if not terms:
-        return notes.sparkSession.createDataFrame([], "path string, chunk_id string, origin string, score int, matched int, coverage double, snippet string, rank int")
-    names = name_hits(notes.select("path", "basename"), query).select("path", F.lit(None).cast("string").alias("chunk_id"), "origin", "score", "matched", (F.col("matched") / len(terms)).alias("coverage"), F.when(F.col("origin") == "nome", F.col("basename")).otherwise(F.col("path")).alias("snippet"))
-    best = Window.partitionBy("path").orderBy(F.desc("score"), "chunk_index")
-    hits = score_chunks(chunks.select("path", "chunk_index", "chunk_id", "text"), query).withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_note)
-    hits = hits.join(notes.select("path"), "path", "left_semi")
-    content = hits.select("path", "chunk_id", F.lit("conteudo").alias("origin"), "score", "matched", "coverage", T.snippet(F.col("text"), query).alias("snippet"))
-    rank = F.when(F.col("origin") == "nome", 0).when(F.col("origin") == "caminho", 1).otherwise(2)
-    ordered = [F.desc("score"), F.desc("coverage"), rank.asc(), F.asc("path"), F.asc_nulls_first("chunk_id")]
+        return notes.sparkSession.createDataFrame([], "path string, chunk_id string, origin string, score int, matched int, coverage double, terms_found array<string>, snippet string, rank int")
+    shown = F.when(F.col("origin") == "nome", F.col("basename")).otherwise(F.col("path"))
+    names = name_hits(notes.select("path", "basename"), query).select("path", F.lit(None).cast("string").alias("chunk_id"), "origin", "score", "matched", (F.col("matched") / len(terms)).alias("coverage"), "terms_found", shown.alias("snippet"))
+    scored = score_chunks(chunks.select("path", "chunk_index", "chunk_id", "text"), query).withColumn("_key", F.lower("path")).drop("path")
+    best = Window.partitionBy("_key").orderBy(F.desc("score"), "chunk_index")
+    hits = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= per_note).join(last_notes(notes), "_key")
+    content = hits.select("path", "chunk_id", F.lit("conteudo").alias("origin"), "score", "matched", "coverage", "terms_found", T.snippet(F.col("text"), query).alias("snippet"))
+    place = F.when(F.col("origin") == "nome", 0).when(F.col("origin") == "caminho", 1).otherwise(2)
+    ordered = [F.desc("score"), F.desc("coverage"), place.asc(), F.asc("path"), F.asc_nulls_first("chunk_id")]
     top = names.unionByName(content).orderBy(*ordered).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*ordered)).cast("int"))

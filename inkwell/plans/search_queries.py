@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators import chunking, hybrid, policy, text_search, vectors
-from inkwell.sources.notes import notes, part_notes, table
+from inkwell.sources.notes import notes, part_notes, spread, table
 
 QUERY, NAME_QUERY, MISS = "the erth that", "small ring", "xyzzy"
 RULES = policy.Exclusions(folders=("src3/", "SRC4/fr/"), path_terms=("es", "src5-en", "doc 00000007", "token"), content_terms=("thanedble", "Licensed under"))
@@ -89,7 +89,7 @@ names AS (SELECT * FROM (SELECT *, (CASE WHEN nz = '{q}' THEN 120 WHEN nn = {n}
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_notes(notes(spark, sf_dir))
+    return chunking.chunk_notes(spread(notes(spark, sf_dir)))
 
 
 def tokenise(spark, d):
@@ -142,7 +142,7 @@ def build_summary(spark, d):
 
 
 def term_match_counts(spark, d):
-    w = part_notes(spark, d).select("p_partkey", T.words(T.normalise(F.col("path"))).alias("w"))
+    w = part_notes(spark, d).select("p_partkey", text_search.padded(T.normalise(F.col("path"))).alias("w"))
     return w.select("p_partkey", *(text_search.match_counts(F.col("w"), t)[k].cast("long").alias(f"{t}_{k}") for t in T.terms_of(NAME_QUERY) for k in ("word", "prefix", "substr")))
 
 
@@ -336,7 +336,7 @@ SELECT row_number() OVER (ORDER BY score DESC, matched DESC, o, path, chunk_id N
     "semantic_diagnostics": f"WITH {SIM} SELECT vec_id, similarity, (SELECT count(*) FROM embeddings) AS evaluated, (SELECT count(*) FROM embeddings WHERE len(embedding) = 64) AS same_dimensions FROM sims ORDER BY similarity DESC, vec_id LIMIT 10",
     "legacy_semantic": f"WITH {SIM} SELECT vec_id, similarity FROM sims WHERE similarity > 0 ORDER BY similarity DESC, vec_id LIMIT 10",
     "vector_validity": "SELECT vec_id, vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND vec_id % 11 <> 0 AS valid FROM embeddings",
-    "hybrid_query_terms": f"SELECT doc_id, array_to_string(list_filter(string_split({clean('lower(substring(text, 1, 200))')}, ' '), lambda t: length(t) >= 3 AND NOT list_contains({STOP}, t)), ' ') AS terms FROM documents",
+    "hybrid_query_terms": f"SELECT doc_id, array_to_string(list_filter(string_split({clean('lower(text)')}, ' '), lambda t: length(t) >= 3 AND NOT list_contains({STOP}, t)), ' ') AS terms FROM documents",
     "hybrid_text_norm": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS} SELECT chunk_id, score, text_score FROM scaled",
     "hybrid_search": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS}, {SEM_HITS}, {fused_sql(20)} SELECT * FROM top",
     "hybrid_text_only": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS}, sem AS (SELECT '' AS path, 0.0 AS similarity, 0 AS ord WHERE false), {fused_sql(20)} SELECT * FROM top",

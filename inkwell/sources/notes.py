@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it comes in fewer parts than there are cores, as a small file of one row group does; others are left as they are."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as notes: doc_id, path, basename, extension, size, mtime, text."""
     name = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
@@ -44,11 +50,10 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.regexp_replace(name, r"\.md$", "").alias("basename"), F.lit("md").alias("extension"), F.col("length").alias("size"), (F.col("modificationTime").cast("double") * 1000).cast("long").alias("mtime"), F.decode("content", "UTF-8").alias("text"))
 
 
-def read_chunks(spark: SparkSession, path: str, strict: bool = False, most: int | None = 100_000) -> DataFrame:
-    """Chunks from JSON lines; lenient reads skip bad lines, strict ones fail on them. The cap is the format's limit."""
+def read_chunks(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Chunks from JSON lines; lenient reads skip bad lines, strict ones fail on them. records.chunks_status tells of the format's limits."""
     rows = spark.read.schema(CHUNKS).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
-    rows = rows.where("chunkId is not null and path is not null and text is not null")
-    return rows if most is None else rows.limit(most)
+    return rows.where("chunkId is not null and path is not null and text is not null")
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
