@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
+from inkwell.operators import metadata, policy
 
 # Fixed list of terms that don't count in hybrid queries.
 STOP_TERMS = (
-    "a e o em de do da ao os as um na no ne se te me lhe ou ir ei ai oi eu tu ele ela nos vos lhes su si ja já so só ma que com por pra pro num "
-    "numa pela pelo pelas pelos aos nas nums mas mais dos das numas dum duma duns dumas ser ter dar vir ver vai foi sao são esta este pode tem têm for era sua seu seus suas "
-    "ate até sob sem cada todo toda menos bem mal sim nao não como para sobre entre ainda apenas depois antes desde durante mediante conforme consoante"
-).split()
+    "a", "e", "o", "em", "de", "do", "da", "ao", "os", "as", "um", "na", "no", "ne", "se", "te", "me", "lhe", "ou", "ir", "ei", "ai", "oi", "eu",
+    "tu", "ele", "ela", "nos", "vos", "lhes", "su", "si", "ja", "já", "so", "só", "ma", "que", "com", "por", "pra", "pro", "num", "numa", "pela",
+    "pelo", "pelas", "pelos", "aos", "nas", "nums", "mas", "mais", "dos", "das", "numas", "dum", "duma", "duns", "dumas", "ser", "ter", "dar", "vir",
+    "ver", "vai", "foi", "sao", "são", "esta", "este", "pode", "tem", "têm", "for", "era", "sua", "seu", "seus", "suas", "ate", "até", "sob", "sem",
+    "cada", "todo", "toda", "menos", "bem", "mal", "sim", "nao", "não", "como", "para", "sobre", "entre", "ainda", "apenas", "depois", "antes",
+    "desde", "durante", "mediante", "conforme", "consoante",
+)
 
 
 def hybrid_terms(query: Column) -> Column:
@@ -56,11 +60,11 @@ def scale_text(hits: DataFrame) -> DataFrame:
 def fuse(text_hits: DataFrame, semantic_hits: DataFrame, weights: tuple[float, float] = (0.7, 0.3), limit: int = 20) -> DataFrame:
     """Best row of each side per note (path), full outer, weighted.
 
-    text_hits: path, text_score, ord; semantic_hits: path, similarity, ord. Returns path, text_score,
-    semantic_score, final_score, source, rank.
+    text_hits: path, text_score, origin, ord; semantic_hits: path, similarity, ord. Returns path, text_score,
+    semantic_score, final_score, source, text_origin, rank.
     """
     first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc(by), "ord"))).where("_n = 1")
-    t = first(text_hits, "text_score").select("path", "text_score")
+    t = first(text_hits, "text_score").select("path", "text_score", F.col("origin").alias("text_origin"))
     s = first(semantic_hits.withColumn("semantic_score", half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("similarity") * 100)))), "similarity").select("path", "semantic_score")
     both = t.join(s, "path", "full_outer")
     has_t, has_s = F.coalesce(F.col("text_score") > 0, F.lit(False)), F.coalesce(F.col("semantic_score") > 0, F.lit(False))
@@ -68,7 +72,7 @@ def fuse(text_hits: DataFrame, semantic_hits: DataFrame, weights: tuple[float, f
     final = F.when(has_t & has_s, half_up((x + y) * 100)).when(has_t, half_up(x * 100)).when(has_s, F.col("semantic_score")).otherwise(0)
     source = F.when(F.col("text_score").isNotNull() & F.col("semantic_score").isNotNull(), "hibrida").when(F.col("text_score").isNotNull(), "textual").otherwise("semantica")
     ordered = [F.desc("final_score"), F.desc_nulls_last("text_score"), F.desc(F.coalesce("semantic_score", F.lit(0))), F.asc("path")]
-    top = both.select("path", "text_score", "semantic_score", final.cast("int").alias("final_score"), source.alias("source")).orderBy(*ordered).limit(limit)
+    top = both.select("path", "text_score", "semantic_score", final.cast("int").alias("final_score"), source.alias("source"), "text_origin").orderBy(*ordered).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*ordered)).cast("int"))
 
 
@@ -101,11 +105,52 @@ def title_penalty(title: Column) -> Column:
     return F.when(F.replace(t, F.lit("_"), F.lit("-")).rlike(r"^\d{4}-\d{2}-\d{2}$"), 0.3).when(t.rlike("aluno|aluna|estudante|turma|grupo"), 0.5).when((F.length(t) <= 5) & t.rlike(r"^\d+$"), 0.4).otherwise(1.0)
 
 
-def related(fused: DataFrame, current: str, linked: Sequence[str] = (), limit: int = 10) -> DataFrame:
-    """Fused rows (path, final_score) adjusted for folder and title: path, final_score, adjusted, rank."""
+# Fixed beginnings of headings that say nothing about a note.
+GENERIC = ("## alunos", "## avaliação", "## turma", "### grupo")
+
+
+def related_query(title: str, path: str, content: str) -> str:
+    """What to search for to find notes like one: its title twice, its folders (names with digits, underscores or capitals only twice), and its first lines that say something."""
+    folders = [p for p in path.split("/") if p and not p.endswith(".md") and p != title]
+    marked = lambda p: p == p.upper() or "_" in p or any(c.isdecimal() for c in p)
+    lines = [line for line in content[:500].split("\n") if len(line.strip()) > 10 and not line.strip().lower().startswith(GENERIC)]
+    return " ".join([title, title, *(p for f in folders for p in [f] * (1 + marked(f))), " ".join(lines)])
+
+
+# Fixed labels of reasons.
+ORIGINS = {"nome": "title", "caminho": "path", "conteudo": "content"}
+
+
+def related_reason(origin: Column, source: Column, multiplier: Column) -> Column:
+    """Why a note is related: where its text matched, similar content, and its folder."""
+    text = F.when(origin == "nome", ORIGINS["nome"]).when(origin == "caminho", ORIGINS["caminho"]).when(origin == "conteudo", ORIGINS["conteudo"])
+    alike = F.when(source.isin("semantica", "hibrida") & ~F.coalesce(text == ORIGINS["conteudo"], F.lit(False)), "similar content")
+    folder = F.when(multiplier >= 1.1, "same folder").when(multiplier > 1, "same area")
+    said = F.concat_ws(" + ", text, alike, folder)
+    return F.when(said == "", source).otherwise(said)
+
+
+def related(fused: DataFrame, current: str, content: str = "", limit: int = 10) -> DataFrame:
+    """Fused rows (path, final_score, source, text_origin) adjusted for folder and title: path, final_score, adjusted, reason, rank.
+
+    The note itself, and those that its content links to by path or name, are left out.
+    """
     title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?i)\.md$", "")
-    adjusted = F.round(F.col("final_score") * folder_multiplier(F.lit(current), F.col("path")) * title_penalty(title), 6)
-    bare = F.regexp_replace(F.lower("path"), r"\.md$", "")
-    rows = fused.where((F.col("path") != current) & (F.col("final_score") >= 30) & ~bare.isin(list(linked) or [""])).withColumn("adjusted", adjusted).where("adjusted >= 25")
-    top = rows.select("path", "final_score", "adjusted").orderBy(F.desc("adjusted"), "path").limit(limit)
+    multiplier = folder_multiplier(F.lit(current), F.col("path"))
+    adjusted = F.round(F.col("final_score") * multiplier * title_penalty(title), 6)
+    targets = fused.sparkSession.range(1).select(F.explode(metadata.link_targets(F.lit(content))).alias("target"))
+    rows = fused.where((metadata.safe_path(F.col("path")) != metadata.safe_path(F.lit(current))) & (F.col("final_score") >= 30))
+    for key in (metadata.safe_path(F.col("path")), metadata.safe_path(metadata.bare_name(F.col("path")))):
+        rows = rows.join(F.broadcast(targets), key == F.col("target"), "left_anti")  # one note's links
+    rows = rows.withColumn("adjusted", adjusted).withColumn("reason", related_reason(F.col("text_origin"), F.col("source"), multiplier)).where("adjusted >= 25")
+    best = rows.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("path")).orderBy(F.desc("adjusted"), "path"))).where("_n = 1")
+    top = best.select("path", "final_score", "adjusted", "reason").orderBy(F.desc("adjusted"), "path").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("adjusted"), "path")).cast("int"))
+
+
+def recheck(rows: DataFrame, notes: DataFrame, rules: policy.Exclusions) -> DataFrame:
+    """Related rows whose notes (path, text) are still there and excluded neither by path nor by what they hold."""
+    kept = rows.where(policy.exclusion_reason(F.col("path"), rules).isNull())
+    texts = notes.select("path", "text").join(F.broadcast(kept.select("path")), "path", "left_semi")  # a result's few rows
+    fine = texts.where(~policy.content_excluded(F.col("text"), rules.content_terms)).select("path")
+    return kept.join(F.broadcast(fine), "path", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,9 +29,13 @@ def cosine(a: Column, b: Column, mismatch: Column | None = None) -> Column:
 
 
 def scored(records: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
-    """records with similarity, rounded to six places; rows of other lengths are dropped."""
+    """records with similarity; rows of other lengths are dropped. The query's norm is one number."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    return records.where(F.size(vector) == len(query)).withColumn("similarity", F.round(cosine(F.col(vector), q), 6))
+    norm = math.sqrt(sum(float(x) * float(x) for x in query))
+    v = F.col(vector)
+    own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    value = F.when((own == 0) | F.lit(norm == 0), F.lit(0.0)).otherwise(dot(v, q) / (own * F.lit(norm or 1.0)))
+    return records.where(F.size(vector) == len(query)).withColumn("similarity", value)
 
 
 def top_similar(records: DataFrame, query: Sequence[float], note: str, order: str, threshold: float = THRESHOLD, per_note: int = 3, limit: int = 20, cap_first: bool = False) -> DataFrame:
@@ -39,6 +44,8 @@ def top_similar(records: DataFrame, query: Sequence[float], note: str, order: st
     The cap keeps a note's best rows; with cap_first it keeps its first ones by order, whatever their
     similarity, which is how the resident index ranks.
     """
+    if cap_first:  # the resident index has one number of dimensions; a query of another finds nothing
+        records = records.where(F.size("embedding") == len(query))
     hits = scored(records, query).where(F.col("similarity") >= threshold)
     within = Window.partitionBy(note).orderBy(*([F.asc(order)] if cap_first else [F.desc("similarity"), F.asc(order)]))
     kept = hits.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= per_note).drop("_n")

@@ -9,7 +9,9 @@ from inkwell.functions import text as T
 from inkwell.operators import chunking, hybrid, policy, text_search, vectors
 from inkwell.sources.notes import notes, part_notes, spread, table
 
-QUERY, NAME_QUERY, MISS = "the erth that", "small ring", "xyzzy"
+QUERY, NAME_QUERY, MIXED = "the erth that", "small ring", "doc 00000012 erth"
+#: A note to find related ones for: title, path, content.
+CURRENT = ("Thanedble notes", "src1/en/Thanedble notes.md", "# Erth\nthe erth that and inst [[doc-00000012]] under\n## Alunos da turma\nshort\nwhat is ed of the tion")
 RULES = policy.Exclusions(folders=("src3/", "SRC4/fr/"), path_terms=("es", "src5-en", "doc 00000007", "token"), content_terms=("thanedble", "Licensed under"))
 SETTING = "a, b;c\n b \n\n;d,,a"
 
@@ -53,7 +55,7 @@ def hit_sql(words: str, term: str) -> str:
 
 
 def phrase_sql(x: str, query: str) -> str:
-    return f"regexp_matches({x}, '(^|[^a-z0-9])" + r"\s+".join(query.split()) + "([^a-z0-9]|$)')"
+    return f"regexp_matches({x}, '(^|[^a-z0-9])" + r"\s+".join(map(T.escaped, query.split())) + "([^a-z0-9]|$)')"
 
 
 def snippet_sql(x: str, query: str) -> str:
@@ -81,11 +83,22 @@ def name_sql(query: str, source: str) -> str:
     q, terms, n = T.normalise_value(query), T.terms_of(query), len(T.terms_of(query))
     nraw, praw = " + ".join(term_sql("nw", t, text_search.NAME) for t in terms), " + ".join(term_sql("pw", t, text_search.PATH) for t in terms)
     nn, pn = " + ".join(hit_sql("nw", t) for t in terms), " + ".join(hit_sql("pw", t) for t in terms)
+    found = lambda w: "list_filter([" + ", ".join(f"CASE WHEN {hit_sql(w, t)} = 1 THEN '{t}' END" for t in terms) + "], lambda t: t IS NOT NULL)"
     return f"""wn AS (SELECT *, {norm("basename")} AS nz, {norm("path")} AS pz, {tok("basename")} AS nw, {tok("path")} AS pw FROM {source}),
 cn AS (SELECT *, {nraw} AS nraw, {praw} AS praw, {nn} AS nn, {pn} AS pn FROM wn),
 names AS (SELECT * FROM (SELECT *, (CASE WHEN nz = '{q}' THEN 120 WHEN nn = {n} THEN nraw + CASE WHEN {phrase_sql("nz", q)} THEN 24 ELSE 0 END + 14
   WHEN nn >= 2 THEN floor(nraw + 10.0 * nn / {n} + 0.5) WHEN nn = 1 THEN nraw WHEN {phrase_sql("pz", q)} THEN praw + 12 WHEN pn > 0 THEN floor(praw + 6.0 * pn / {n} + 0.5) END)::INT AS score,
-  CASE WHEN nz = '{q}' OR nn > 0 THEN 'nome' ELSE 'caminho' END AS origin, (CASE WHEN nz = '{q}' THEN {n} WHEN nn > 0 THEN nn WHEN {phrase_sql("pz", q)} AND pn = 0 THEN {n} ELSE pn END)::INT AS matched FROM cn) WHERE score IS NOT NULL)"""
+  CASE WHEN nz = '{q}' OR nn > 0 THEN 'nome' ELSE 'caminho' END AS origin, (CASE WHEN nz = '{q}' THEN {n} WHEN nn > 0 THEN nn WHEN {phrase_sql("pz", q)} AND pn = 0 THEN {n} ELSE pn END)::INT AS matched,
+  CASE WHEN nz = '{q}' OR (nn = 0 AND pn = 0) THEN {terms} WHEN nn > 0 THEN {found("nw")} ELSE {found("pw")} END AS terms_found FROM cn) WHERE score IS NOT NULL)"""
+
+
+def search_sql(query: str, per_note: int, limit: int) -> str:
+    """Ranked hits as CTE 'found'; the notes and chunks are there already."""
+    return f"""{chunk_score_sql(query)}, {name_sql(query, 'notes')},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) AS k FROM hits),
+u AS (SELECT path, NULL::VARCHAR AS chunk_id, origin, score, matched, terms_found, CASE WHEN origin = 'nome' THEN basename ELSE path END AS snippet, CASE WHEN origin = 'nome' THEN 0 ELSE 1 END AS o FROM names
+  UNION ALL SELECT path, chunk_id, 'conteudo', score, matched, terms_found, {snippet_sql('text', query)}, 2 FROM ranked WHERE k <= {per_note}),
+found AS (SELECT row_number() OVER (ORDER BY score DESC, matched DESC, o, path, chunk_id NULLS FIRST)::INT AS rank, path, chunk_id, origin, score, matched, terms_found, round(matched / {len(T.terms_of(query))}.0::DOUBLE, 6) AS coverage, snippet FROM u ORDER BY rank LIMIT {limit})"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,8 +168,11 @@ def name_path_score(spark, d):
     return text_search.name_hits(part_notes(spark, d), NAME_QUERY).select("p_partkey", "score", "origin", "matched")
 
 
-def text_search_query(spark, d):
-    return text_search.search_text(notes(spark, d), chunks(spark, d), QUERY).select("rank", "path", "chunk_id", "origin", "score", "matched", F.round("coverage", 6).alias("coverage"), "snippet")
+def searched(query: str):
+    def run(spark, d):
+        return text_search.search_text(notes(spark, d), chunks(spark, d), query).select("rank", "path", "chunk_id", "origin", "score", "matched", F.round("coverage", 6).alias("coverage"), "snippet")
+
+    return run
 
 
 def snippet(spark, d):
@@ -171,20 +187,24 @@ def query_vector(spark, d) -> list[float]:
     return list(table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
+def six(df: DataFrame) -> DataFrame:
+    return df.withColumn("similarity", F.round("similarity", 6))
+
+
 def cosine(spark, d):
-    return vectors.scored(records(spark, d), query_vector(spark, d)).select("vec_id", "similarity")
+    return six(vectors.scored(records(spark, d), query_vector(spark, d)).select("vec_id", "similarity"))
 
 
 def semantic(threshold: float, cap_first: bool):
     def run(spark, d):
-        return vectors.top_similar(records(spark, d), query_vector(spark, d), "note", "vec_id", threshold, cap_first=cap_first).select("rank", "vec_id", "note", "similarity")
+        return six(vectors.top_similar(records(spark, d), query_vector(spark, d), "note", "vec_id", threshold, cap_first=cap_first).select("rank", "vec_id", "note", "similarity"))
 
     return run
 
 
 def semantic_diagnostics(spark, d):
     top, counts = vectors.diagnostics(records(spark, d), query_vector(spark, d), "vec_id")
-    return top.select("vec_id", "similarity").crossJoin(counts)  # one row of counts
+    return six(top.select("vec_id", "similarity")).crossJoin(counts)  # one row of counts
 
 
 def legacy_semantic(spark, d):
@@ -202,14 +222,13 @@ def hybrid_query_terms(spark, d):
     return notes(spark, d).select("doc_id", F.array_join(hybrid.hybrid_terms(F.col("text")), " ").alias("terms"))
 
 
-def text_hits(spark, d) -> DataFrame:
-    hits = text_search.score_chunks(chunks(spark, d), hybrid.prepared_query(QUERY))
-    n = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "chunk_index"))
-    return hits.withColumn("n", n).where("n <= 3").orderBy(F.desc("score"), F.desc("matched"), "path", "chunk_index").limit(40)
+def text_hits(spark, d, query: str = MIXED) -> DataFrame:
+    """All of the keyword search: names, paths and chunks."""
+    return text_search.search_text(notes(spark, d), chunks(spark, d), hybrid.prepared_query(query), limit=40).withColumn("ord", F.col("rank"))
 
 
 def hybrid_text_norm(spark, d):
-    return hybrid.scale_text(text_hits(spark, d)).select("chunk_id", "score", "text_score")
+    return hybrid.scale_text(text_hits(spark, d)).select("path", "chunk_id", "origin", "score", "text_score")
 
 
 def semantic_hits(spark, d) -> DataFrame:
@@ -218,31 +237,23 @@ def semantic_hits(spark, d) -> DataFrame:
 
 
 def hybrid_search(spark, d):
-    t = hybrid.scale_text(text_hits(spark, d)).select("path", "text_score", F.col("chunk_index").alias("ord"))
-    return hybrid.fuse(t, semantic_hits(spark, d))
+    return hybrid.fuse(hybrid.scale_text(text_hits(spark, d)), semantic_hits(spark, d))
 
 
 def hybrid_text_only(spark, d):
-    t = hybrid.scale_text(text_hits(spark, d)).select("path", "text_score", F.col("chunk_index").alias("ord"))
-    return hybrid.fuse(t, semantic_hits(spark, d).limit(0))
+    return hybrid.fuse(hybrid.scale_text(text_hits(spark, d)), semantic_hits(spark, d).limit(0))
 
 
 def note_cards(spark, d):
-    n = len(T.terms_of(QUERY))
-    hits = text_search.score_chunks(chunks(spark, d), QUERY).withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "chunk_index"))).where("n <= 5")
-    hits = hits.orderBy(F.desc("score"), F.desc("coverage"), "path", "chunk_index").limit(60)
-    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("coverage"), "path", "chunk_index"))).withColumn("total_terms", F.lit(n)).withColumn("snippet", T.snippet(F.col("text"), QUERY))
-    cards = hybrid.note_cards(hits)
+    hits = text_search.search_text(notes(spark, d), chunks(spark, d), MIXED, per_note=5, limit=60)
+    cards = hybrid.note_cards(hits.withColumn("total_terms", F.lit(len(T.terms_of(MIXED)))))
     return cards.select("key", "score", F.array_join("terms", " ").alias("terms"), F.round("coverage", 6).alias("coverage"), "snippet", F.array_join("extra", "|").alias("extra"), F.col("chunk_count").cast("long").alias("chunk_count"))
 
 
-def current_note(spark, d) -> str:
-    return notes(spark, d).where("doc_id = 0").select("path").first()[0]
-
-
 def related_notes(spark, d):
-    t = hybrid.scale_text(text_hits(spark, d)).select("path", "text_score", F.col("chunk_index").alias("ord"))
-    return hybrid.related(hybrid.fuse(t, semantic_hits(spark, d), limit=60), current_note(spark, d))
+    title, path, content = CURRENT
+    fused = hybrid.fuse(hybrid.scale_text(text_hits(spark, d, hybrid.related_query(title, path, content))), semantic_hits(spark, d))
+    return hybrid.recheck(hybrid.related(fused, path, content), notes(spark, d), policy.Exclusions(folders=("src3/",), path_terms=(), content_terms=("licensed under",)))
 
 
 def folder_multiplier(spark, d):
@@ -257,7 +268,7 @@ QUERIES = {
     "scan_with_exclusions": scan_with_exclusions, "parse_terms": lambda s, d: s.range(1).select(F.array_join(policy.parse_terms(F.lit(SETTING)), "|").alias("terms"), F.array_join(policy.parse_lines(F.lit(SETTING)), "|").alias("lines")),
     "normalise_path": normalise_path, "content_hash": lambda s, d: notes(s, d).select("doc_id", T.content_hash("text").alias("content_hash")), "build_notes": build_notes, "chunk_documents": chunk_documents,
     "safe_chunks": safe_chunks, "safe_notes": safe_notes, "build_summary": build_summary, "term_match_counts": term_match_counts, "text_score_raw": text_score_raw, "name_path_score": name_path_score,
-    "text_search": text_search_query, "cosine": cosine, "semantic_topk": semantic(-1.0, False), "semantic_runtime_topk": semantic(-1.0, True), "semantic_threshold": semantic(vectors.THRESHOLD, False), "semantic_diagnostics": semantic_diagnostics,
+    "text_search": searched(QUERY), "text_search_names": searched(MIXED), "cosine": cosine, "semantic_topk": semantic(-1.0, False), "semantic_runtime_topk": semantic(-1.0, True), "semantic_threshold": semantic(vectors.THRESHOLD, False), "semantic_diagnostics": semantic_diagnostics,
     "legacy_semantic": legacy_semantic, "vector_validity": vector_validity, "hybrid_query_terms": hybrid_query_terms, "hybrid_text_norm": hybrid_text_norm, "hybrid_search": hybrid_search, "hybrid_text_only": hybrid_text_only,
     "note_cards": note_cards, "related_notes": related_notes, "folder_multiplier": folder_multiplier,
 }
@@ -270,20 +281,22 @@ REASON = """CASE WHEN starts_with(lower(path), '.inkwell/') THEN 'mandatory:.ink
 BAD = "(contains(lower(text), 'thanedble') OR contains(lower(text), 'licensed under'))"
 SIM = "sims AS (SELECT vec_id, 'n' || label AS note, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings)"
 STOP = "[" + ", ".join(f"'{t}'" for t in hybrid.STOP_TERMS) + "]"
-PREPARED = hybrid.prepared_query(QUERY)
-TEXT_HITS = f"""{chunk_score_sql(PREPARED)},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) AS k FROM hits), picked AS (SELECT * FROM ranked WHERE k <= 3 ORDER BY score DESC, matched DESC, path, chunk_index LIMIT 40),
-scaled AS (SELECT path, chunk_id, chunk_index, score, floor(least(100.0, greatest(0.0, CASE WHEN len(terms_found) > 0 AND len(list_filter(terms_found, lambda t: NOT list_contains({STOP}, t))) = 0 THEN 0.0
-  WHEN score < 15 OR m <= 15 THEN 0.0 WHEN m < 30 THEN score::DOUBLE / m * 60 ELSE score::DOUBLE / m * 100 END)) + 0.5)::INT AS text_score FROM picked, (SELECT max(score) AS m FROM picked))"""
+def text_hits_sql(query: str) -> str:
+    return f"""{search_sql(hybrid.prepared_query(query), 3, 40)},
+scaled AS (SELECT path, chunk_id, origin, rank, score, floor(least(100.0, greatest(0.0, CASE WHEN len(terms_found) > 0 AND len(list_filter(terms_found, lambda t: NOT list_contains({STOP}, t))) = 0 THEN 0.0
+  WHEN score < 15 OR m <= 15 THEN 0.0 WHEN m < 30 THEN score::DOUBLE / m * 60 ELSE score::DOUBLE / m * 100 END)) + 0.5)::INT AS text_score FROM found, (SELECT max(score) AS m FROM found))"""
+
+
+TEXT_HITS = text_hits_sql(MIXED)
 SEM_HITS = f"""{SIM}, sem AS (SELECT path, similarity, vec_id AS ord FROM sims JOIN notes ON vec_id = doc_id ORDER BY similarity DESC, vec_id LIMIT 30)"""
 
 
 def fused_sql(limit: int) -> str:
-    return f"""tb AS (SELECT path, text_score FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY text_score DESC, chunk_index) AS k FROM scaled) WHERE k = 1),
+    return f"""tb AS (SELECT path, text_score, origin AS text_origin FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY text_score DESC, rank) AS k FROM scaled) WHERE k = 1),
 sb AS (SELECT path, semantic_score FROM (SELECT path, floor(greatest(0.0, least(100.0, similarity * 100)) + 0.5)::INT AS semantic_score, row_number() OVER (PARTITION BY path ORDER BY similarity DESC, ord) AS k FROM sem) WHERE k = 1),
 fused AS (SELECT path, text_score, semantic_score, (CASE WHEN text_score > 0 AND semantic_score > 0 THEN floor((text_score / 100.0::DOUBLE * 0.7::DOUBLE + semantic_score / 100.0::DOUBLE * 0.3::DOUBLE) * 100 + 0.5)
   WHEN text_score > 0 THEN floor(text_score / 100.0::DOUBLE * 0.7::DOUBLE * 100 + 0.5) WHEN semantic_score > 0 THEN semantic_score ELSE 0 END)::INT AS final_score,
-  CASE WHEN text_score IS NOT NULL AND semantic_score IS NOT NULL THEN 'hibrida' WHEN text_score IS NOT NULL THEN 'textual' ELSE 'semantica' END AS source FROM tb FULL JOIN sb USING (path)),
+  CASE WHEN text_score IS NOT NULL AND semantic_score IS NOT NULL THEN 'hibrida' WHEN text_score IS NOT NULL THEN 'textual' ELSE 'semantica' END AS source, text_origin FROM tb FULL JOIN sb USING (path)),
 top AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, text_score DESC NULLS LAST, coalesce(semantic_score, 0) DESC, path)::INT AS rank FROM fused ORDER BY rank LIMIT {limit})"""
 
 
@@ -324,11 +337,7 @@ ORACLES = {
     "term_match_counts": f"WITH {PARTS}, w AS (SELECT p_partkey, {tok('path')} AS w FROM parts) SELECT p_partkey, " + ", ".join(f"{x}::BIGINT AS {t}_{k}" for t in T.terms_of(NAME_QUERY) for x, k in zip(counts_sql("w", t), ("word", "prefix", "substr"))) + " FROM w",
     "text_score_raw": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {chunk_score_sql(QUERY)} SELECT chunk_id, score, matched, array_to_string(terms_found, ' ') AS terms FROM hits",
     "name_path_score": f"WITH {PARTS}, {name_sql(NAME_QUERY, 'parts')} SELECT p_partkey, score, origin, matched FROM names",
-    "text_search": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, {chunk_score_sql(QUERY)}, {name_sql(QUERY, 'notes')},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) AS k FROM hits),
-u AS (SELECT path, NULL::VARCHAR AS chunk_id, origin, score, matched, CASE WHEN origin = 'nome' THEN basename ELSE path END AS snippet, CASE WHEN origin = 'nome' THEN 0 ELSE 1 END AS o FROM names
-  UNION ALL SELECT path, chunk_id, 'conteudo', score, matched, {snippet_sql('text', QUERY)}, 2 FROM ranked WHERE k <= 3)
-SELECT row_number() OVER (ORDER BY score DESC, matched DESC, o, path, chunk_id NULLS FIRST)::INT AS rank, path, chunk_id, origin, score, matched, round(matched / {len(T.terms_of(QUERY))}.0::DOUBLE, 6) AS coverage, snippet FROM u ORDER BY rank LIMIT 30""",
+    **{name: f"WITH RECURSIVE {NOTES}, {CHUNKS}, {search_sql(query, 3, 30)} SELECT rank, path, chunk_id, origin, score, matched, coverage, snippet FROM found" for name, query in (("text_search", QUERY), ("text_search_names", MIXED))},
     "cosine": f"WITH {SIM} SELECT vec_id, similarity FROM sims",
     "semantic_topk": top_sql("similarity >= -1", "similarity DESC, vec_id"),
     "semantic_runtime_topk": top_sql("similarity >= -1", "vec_id"),
@@ -337,20 +346,22 @@ SELECT row_number() OVER (ORDER BY score DESC, matched DESC, o, path, chunk_id N
     "legacy_semantic": f"WITH {SIM} SELECT vec_id, similarity FROM sims WHERE similarity > 0 ORDER BY similarity DESC, vec_id LIMIT 10",
     "vector_validity": "SELECT vec_id, vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND vec_id % 11 <> 0 AS valid FROM embeddings",
     "hybrid_query_terms": f"SELECT doc_id, array_to_string(list_filter(string_split({clean('lower(text)')}, ' '), lambda t: length(t) >= 3 AND NOT list_contains({STOP}, t)), ' ') AS terms FROM documents",
-    "hybrid_text_norm": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS} SELECT chunk_id, score, text_score FROM scaled",
+    "hybrid_text_norm": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS} SELECT path, chunk_id, origin, score, text_score FROM scaled",
     "hybrid_search": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS}, {SEM_HITS}, {fused_sql(20)} SELECT * FROM top",
     "hybrid_text_only": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS}, sem AS (SELECT '' AS path, 0.0 AS similarity, 0 AS ord WHERE false), {fused_sql(20)} SELECT * FROM top",
-    "note_cards": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, {chunk_score_sql(QUERY)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) AS k FROM hits),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, matched DESC, path, chunk_index) AS rank, {snippet_sql('text', QUERY)} AS snippet FROM ranked WHERE k <= 5 ORDER BY rank LIMIT 60),
+    "note_cards": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, {search_sql(MIXED, 5, 60).replace("found AS", "r AS")},
 t AS (SELECT path, term, min(rank * 100 + i) AS o FROM (SELECT path, rank, unnest(terms_found) AS term, generate_subscripts(terms_found, 1) AS i FROM r) GROUP BY path, term),
 tt AS (SELECT path, string_agg(term, ' ' ORDER BY o) AS terms, count(*) AS n FROM t GROUP BY path),
 m AS (SELECT path, min(rank) AS best, count(*) AS chunk_count FROM r GROUP BY path),
 b AS (SELECT m.path, best, chunk_count, r.score, r.snippet FROM m JOIN r ON r.rank = m.best),
 x AS (SELECT r.path, r.snippet AS s, min(r.rank) AS o FROM r JOIN b ON r.path = b.path AND r.snippet <> b.snippet GROUP BY r.path, r.snippet),
 e AS (SELECT path, string_agg(s, '|' ORDER BY o) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY o) AS k FROM x) WHERE k <= 2 GROUP BY path)
-SELECT lower(path) AS key, score, terms, round(n / {len(T.terms_of(QUERY))}.0::DOUBLE, 6) AS coverage, snippet, coalesce(extra, '') AS extra, chunk_count FROM b JOIN tt USING (path) LEFT JOIN e USING (path) ORDER BY score DESC, best LIMIT 20""",
-    "related_notes": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, {TEXT_HITS}, {SEM_HITS}, {fused_sql(60)}, c AS (SELECT path AS cur FROM notes WHERE doc_id = 0),
-a AS (SELECT path, final_score, round(final_score * {multiplier_sql('cur', 'path')} * (SELECT {PENALTY} FROM (SELECT regexp_replace(string_split(path, '/')[-1], '\\.md$', '') AS t)), 6) AS adjusted FROM top, c WHERE path <> cur AND final_score >= 30)
-SELECT path, final_score, adjusted, row_number() OVER (ORDER BY adjusted DESC, path)::INT AS rank FROM a WHERE adjusted >= 25 ORDER BY rank LIMIT 10""",
+SELECT lower(path) AS key, score, terms, round(n / {len(T.terms_of(MIXED))}.0::DOUBLE, 6) AS coverage, snippet, coalesce(extra, '') AS extra, chunk_count FROM b JOIN tt USING (path) LEFT JOIN e USING (path) ORDER BY score DESC, best LIMIT 20""",
+    "related_notes": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, {text_hits_sql(hybrid.related_query(*CURRENT))}, {SEM_HITS}, {fused_sql(20)}, c AS (SELECT '{CURRENT[1]}' AS cur),
+m AS (SELECT *, {multiplier_sql('cur', 'path')} AS f FROM top, c WHERE path <> cur AND final_score >= 30 AND NOT ends_with(path, 'doc-00000012.md')),
+a AS (SELECT path, final_score, round(final_score * f * (SELECT {PENALTY} FROM (SELECT regexp_replace(string_split(path, '/')[-1], '\\.md$', '') AS t)), 6) AS adjusted, concat_ws(' + ', CASE text_origin WHEN 'nome' THEN 'title' WHEN 'caminho' THEN 'path' WHEN 'conteudo' THEN 'content' END,
+  CASE WHEN source <> 'textual' AND text_origin IS DISTINCT FROM 'conteudo' THEN 'similar content' END, CASE WHEN f >= 1.1 THEN 'same folder' WHEN f > 1 THEN 'same area' END) AS said, source FROM m),
+z AS (SELECT path, final_score, adjusted, CASE WHEN said = '' THEN source ELSE said END AS reason, row_number() OVER (ORDER BY adjusted DESC, path)::INT AS rank FROM a WHERE adjusted >= 25 ORDER BY rank LIMIT 10)
+SELECT z.* FROM z JOIN notes USING (path) WHERE NOT starts_with(path, 'src3/') AND NOT contains(lower(text), 'licensed under')""",
     "folder_multiplier": f"WITH {PARTS}, f AS (SELECT path AS cur FROM parts WHERE p_partkey = 1) SELECT p_partkey, {multiplier_sql('cur', 'path')} AS multiplier, (SELECT {PENALTY} FROM (SELECT basename AS t)) AS penalty FROM parts, f",
 }
