@@ -95,12 +95,24 @@ def resolve_folders(suggested: DataFrame, existing: DataFrame) -> DataFrame:
     return suggested.select("id").join(hits, "id", "left")
 
 
-def folder_scores(folders: DataFrame, current: str, haystack: str, limit: int = 100) -> DataFrame:
-    """Folders ranked as places for a note: its own, roots, and those whose keys its text mentions."""
-    f, h = F.col("folder"), F.lit(haystack)
+def folder_candidates(folders: DataFrame, current: str, haystack: str, inbox: str = "", limit: int = 100, roots: int = 20) -> DataFrame:
+    """Folders ranked as places for a note: the first roots by name, its own, then by score and name.
+
+    A folder scores for being the note's own, a root, and for its last or whole key being in the note's
+    text; keys leave out leading numbers, accents and separators. Inbox folders are left out.
+    """
+    f, h = F.col("folder"), folder_key(F.lit(haystack))
     full, seg = folder_key(f), folder_key(last_segment(f))
+    taken_in = seg == "inbox"
+    if inbox:
+        taken_in = taken_in | full.isin(folder_key(F.lit(inbox)), folder_key(last_segment(F.lit(inbox)))) | seg.isin(folder_key(F.lit(inbox)), folder_key(last_segment(F.lit(inbox))))
     score = F.when(f == current, 100).otherwise(0) + F.when(~f.contains("/"), 30).otherwise(0) + F.when((seg != "") & h.contains(seg), 20).otherwise(0) + F.when((full != "") & h.contains(full), 30).otherwise(0)
-    return folders.select("folder", score.cast("int").alias("score")).orderBy(F.desc("score"), "folder").limit(limit)
+    scored = folders.select("folder").distinct().where(~taken_in).select("folder", score.cast("int").alias("score"))
+    root = ~f.contains("/")
+    first = scored.where(root).orderBy("folder").limit(roots).select("folder", F.lit(0).alias("place"))
+    placed = scored.join(F.broadcast(first), "folder", "left").withColumn("place", F.when(F.col("place") == 0, 0).when(f == current, 1).otherwise(2))  # at most roots rows
+    order = [F.asc("place"), F.asc(F.when(F.col("place") == 0, f)), F.desc("score"), F.asc("folder")]
+    return placed.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int")).select("rank", "folder", "score")
 
 
 def kept_links(suggested: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -112,9 +124,10 @@ def kept_links(suggested: DataFrame, allowed: DataFrame) -> DataFrame:
 
 # Fixed list of words that stay in lower case within a title.
 MINOR = (
-    "e de do da dos das em no na num numa para pra pro a ao aos as o os um uns uma umas com por que se lhe lhes ou mas mais menos ser ter haver dar ir vir "
-    "este esta estes estas esse essa esses essas aquele aquela aqueles aquelas"
-).split()
+    "e", "de", "do", "da", "dos", "das", "em", "no", "na", "num", "numa", "para", "pra", "pro", "a", "ao", "aos", "as", "o", "os", "um", "uns", "uma",
+    "umas", "com", "por", "que", "se", "lhe", "lhes", "ou", "mas", "mais", "menos", "ser", "ter", "haver", "dar", "ir", "vir", "este", "esta",
+    "estes", "estas", "esse", "essa", "esses", "essas", "aquele", "aquela", "aqueles", "aquelas",
+)
 
 
 def file_name(title: Column) -> Column:
@@ -132,13 +145,33 @@ def looks_like_frontmatter(snippet: Column) -> Column:
     lines = F.filter(F.transform(F.split(t, "\n"), trim), lambda x: x != "")
     yaml = F.size(F.filter(lines, lambda x: x.rlike(r"^[A-Za-zÀ-ÿ0-9_-]+:\s*") | x.startswith("- ")))
     inline = F.size(F.regexp_extract_all(t, F.lit(r"((?:^|\s)[A-Za-zÀ-ÿ0-9_-]+:\s+\S)"), F.lit(1)))
-    return F.when(t == "", False).when(t.startswith("---"), True).when(F.size(lines) > 1, yaml >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.6))).otherwise(inline >= 2)
+    return F.when(t == "", F.lit(False)).when(t.startswith("---"), F.lit(True)).when(F.size(lines) > 1, yaml >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.6))).otherwise(inline >= 2)
 
 
 def clean_snippet(snippet: Column) -> Column:
     return T.collapse(F.regexp_replace(F.regexp_replace(snippet, r"^---\s*", ""), r"---\s*$", ""))
 
 
+def repeats_title(snippet: Column, title: Column) -> Column:
+    """Whether a snippet says nothing but the title."""
+    bare = lambda c: F.lower(T.collapse(F.regexp_replace(F.regexp_replace(c, r"(?i)\.md$", ""), r"^#+\s*", "")))
+    return (bare(snippet) != "") & (bare(snippet) == bare(title))
+
+
+# Fixed texts that stand for a snippet.
+IN_METADATA, IN_NAME = "Correspondência encontrada nos metadados da nota.", "Correspondência encontrada no nome da nota."
+
+
+def snippet_display(snippets: Column, title: Column, origin: Column, most: int = 280) -> Column:
+    """struct(text, highlighted, fallback) of a card's snippets: the first that is neither frontmatter nor the title, else a text that says where the match is; null if there is nothing to show."""
+    each = F.filter(F.transform(snippets, lambda s: F.struct(clean_snippet(s).alias("text"), looks_like_frontmatter(s).alias("front"))), lambda s: s["text"] != "")
+    useful = F.get(F.filter(each, lambda s: ~s["front"] & ~repeats_title(s["text"], title)), F.lit(0))["text"]
+    shown = F.when(F.length(useful) > most, F.concat(F.substring(useful, 1, most), F.lit("..."))).otherwise(useful)
+    as_struct = lambda text, marked: F.struct(text.alias("text"), F.lit(marked).alias("highlighted"), F.lit(not marked).alias("fallback"))
+    named = F.exists(each, lambda s: repeats_title(s["text"], title)) | (origin == "Nome")
+    return F.when(useful.isNotNull(), as_struct(shown, True)).when(F.exists(each, lambda s: s["front"]), as_struct(F.lit(IN_METADATA), False)).when(named, as_struct(F.lit(IN_NAME), False))
+
+
 # Fixed list of reserved commands.
 RESERVED = ("/search", "/ask", "/summarize", "/improve", "/rewrite", "/continue", "/tags", "/yaml", "/links", "/analyze", "/inbox", "/folder")
 

@@ -48,12 +48,12 @@ def content_excluded(text: Column, terms: tuple[str, ...]) -> Column:
 
 def parse_lines(setting: Column) -> Column:
     """A setting of one term a line: trimmed, without empties, each once in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(setting, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(setting, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""))
 
 
 def parse_terms(setting: Column) -> Column:
     """The same, also split at commas and semicolons."""
-    return F.array_distinct(F.filter(F.transform(F.split(setting, "[\n,;]"), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(setting, "[\n,;]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != ""))
 
 
 def in_prefix(path: Column, prefix: str) -> Column:
@@ -93,6 +93,7 @@ def safe_notes(notes: DataFrame, chunks: DataFrame, rules: Exclusions) -> DataFr
     return allowed.join(state, "path", "left").where(F.coalesce("_kept", F.lit(True))).drop("_kept")
 
 
+# Fixed patterns of what is redacted.
 def redacted(message: Column) -> Column:
     """Messages on one line without bearer tokens and keys, at most 220 characters."""
     line = collapse(message)
@@ -101,6 +102,7 @@ def redacted(message: Column) -> Column:
     return F.when(F.length(line) > 220, F.concat(F.substring(line, 1, 217), F.lit("..."))).otherwise(line)
 
 
+# Fixed classes of statuses.
 def http_category(status: Column) -> Column:
     known = {401: "authentication", 403: "authorization", 404: "model-not-found", 408: "timeout", 413: "input-rejected", 429: "rate-limit"}
     found = F.when(status >= 500, "connection").otherwise("unknown")

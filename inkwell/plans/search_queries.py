@@ -13,7 +13,6 @@ QUERY, NAME_QUERY, MIXED = "the erth that", "small ring", "doc 00000012 erth"
 #: A note to find related ones for: title, path, content.
 CURRENT = ("Thanedble notes", "src1/en/Thanedble notes.md", "# Erth\nthe erth that and inst [[doc-00000012]] under\n## Alunos da turma\nshort\nwhat is ed of the tion")
 RULES = policy.Exclusions(folders=("src3/", "SRC4/fr/"), path_terms=("es", "src5-en", "doc 00000007", "token"), content_terms=("thanedble", "Licensed under"))
-SETTING = "a, b;c\n b \n\n;d,,a"
 
 # DuckDB pieces.
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -119,6 +118,11 @@ def path_exclusion(spark, d):
     return notes(spark, d).select("path", policy.exclusion_reason(F.col("path"), RULES).alias("reason"))
 
 
+def parse_terms(spark, d):
+    setting = F.concat(F.lit("a, "), F.col("event_type"), F.lit(";c\n "), F.col("event_type"), F.lit(" \n\n;d,,a\n\t"), (F.col("event_id") % 3).cast("string"), F.lit(" \na"))
+    return table(spark, d, "events").select("event_id", F.array_join(policy.parse_terms(setting), "|").alias("terms"), F.array_join(policy.parse_lines(setting), "|").alias("lines"))
+
+
 def scan_with_exclusions(spark, d):
     reason = policy.exclusion_reason(F.col("path"), RULES)
     return notes(spark, d).agg(F.count(F.lit(1)).alias("scanned"), F.count_if(reason.isNotNull()).alias("excluded"), F.count_if(reason.isNull()).alias("included"))
@@ -265,7 +269,7 @@ def folder_multiplier(spark, d):
 QUERIES = {
     "tokenise": tokenise, "normalise_text": lambda s, d: notes(s, d).select("doc_id", T.normalise(F.col("text")).alias("normalised")), "content_stats": content_stats, "snippet": snippet,
     "scan_notes": lambda s, d: notes(s, d).drop("text"), "path_exclusion": path_exclusion, "content_exclusion": lambda s, d: notes(s, d).select("doc_id", policy.content_excluded(F.col("text"), RULES.content_terms).alias("excluded")),
-    "scan_with_exclusions": scan_with_exclusions, "parse_terms": lambda s, d: s.range(1).select(F.array_join(policy.parse_terms(F.lit(SETTING)), "|").alias("terms"), F.array_join(policy.parse_lines(F.lit(SETTING)), "|").alias("lines")),
+    "scan_with_exclusions": scan_with_exclusions, "parse_terms": parse_terms,
     "normalise_path": normalise_path, "content_hash": lambda s, d: notes(s, d).select("doc_id", T.content_hash("text").alias("content_hash")), "build_notes": build_notes, "chunk_documents": chunk_documents,
     "safe_chunks": safe_chunks, "safe_notes": safe_notes, "build_summary": build_summary, "term_match_counts": term_match_counts, "text_score_raw": text_score_raw, "name_path_score": name_path_score,
     "text_search": searched(QUERY), "text_search_names": searched(MIXED), "cosine": cosine, "semantic_topk": semantic(-1.0, False), "semantic_runtime_topk": semantic(-1.0, True), "semantic_threshold": semantic(vectors.THRESHOLD, False), "semantic_diagnostics": semantic_diagnostics,
@@ -326,7 +330,9 @@ ORACLES = {
     "path_exclusion": f"WITH {NOTES} SELECT path, {REASON} AS reason FROM notes",
     "content_exclusion": f"SELECT doc_id, {BAD} AS excluded FROM documents",
     "scan_with_exclusions": f"WITH {NOTES}, r AS (SELECT {REASON} AS reason FROM notes) SELECT count(*) AS scanned, count(reason) AS excluded, count(*) - count(reason) AS included FROM r",
-    "parse_terms": "SELECT 'a|b|c|d' AS terms, 'a, b;c|b|;d,,a' AS lines",
+    "parse_terms": f"""WITH x AS (SELECT event_id, 'a, ' || event_type || ';c' || chr(10) || ' ' || event_type || ' ' || chr(10) || chr(10) || ';d,,a' || chr(10) || chr(9) || event_id % 3 || ' ' || chr(10) || 'a' AS t FROM events),
+y AS (SELECT event_id, list_filter(list_transform(string_split_regex(t, '[,;' || chr(10) || ']'), lambda x: {clean('x')}), lambda x: x <> '') AS a, list_filter(list_transform(string_split(t, chr(10)), lambda x: {clean('x')}), lambda x: x <> '') AS b FROM x)
+SELECT event_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS terms, array_to_string(list_filter(b, lambda x, i: list_position(b, x) = i), '|') AS lines FROM y""",
     "normalise_path": f"WITH {PARTS} SELECT p_partkey, path, string_split(path, '/')[-1] AS name, regexp_replace(path, '/[^/]*$', '') AS folder FROM parts",
     "content_hash": f"SELECT doc_id, lower(to_hex({HASH})) AS content_hash FROM documents",
     "build_notes": f"WITH {NOTES} SELECT path, basename, extension, size, mtime, lower(to_hex({HASH})) AS content_hash FROM notes",

@@ -1,45 +1,112 @@
-"""Versioned publication: tables go to a directory of their own, then one pointer row names it.
+"""Versioned publication: tables go to a directory of their own, then one numbered pointer names it.
 
-Readers follow the pointer, so they see all tables of one version or of the one before; a failed
-writer leaves a directory that nothing names, which sweep() removes.
+Readers follow the pointer of the greatest number, so they see all tables of one version or of the one
+before; a failed writer leaves a directory that nothing names, which sweep() removes once it is old
+enough not to be one that is being written. A pointer file is created or the call fails, so of two
+writers that start from one version only one succeeds: no lock is needed, and a reader's role is not to publish.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_by: dict[str, str] | None = None) -> str:
-    """Write the tables as a new version and point to it; returns its name. The pointer is written last."""
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        key = (sort_by or {}).get(name)
-        (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.parquet(f"{root}/versions/{version}/{name}")
-    stamp = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"), F.lit(",".join(sorted(tables))).alias("tables"))
-    stamp.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
-    return version
+class Conflict(RuntimeError):
+    """Another writer has published meanwhile."""
+
+
+@dataclass(frozen=True)
+class Pointer:
+    number: int
+    version: str
+    tables: tuple[str, ...]
+    manifest: dict
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    p, fs = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_file(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> None:
+    """A small file; unless it may overwrite, it fails where there is one already."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, overwrite)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """A small file's bytes."""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def pointer(spark: SparkSession, root: str) -> Pointer | None:
+    """The newest pointer, or None before the first."""
+    names = [n for n in names_in(spark, f"{root}/pointers") if n.endswith(".json")]
+    if not names:
+        return None
+    said = json.loads(read_file(spark, f"{root}/pointers/{names[-1]}"))
+    return Pointer(int(names[-1].removesuffix(".json")), said["version"], tuple(said["tables"]), said["manifest"])
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The newest version's name, or None before the first."""
+    now = pointer(spark, root)
+    return now and now.version
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_by: dict[str, str] | None = None, manifest: dict | None = None, since: Pointer | None | bool = False) -> str:
+    """Write the tables as a new version and point to it; returns its name. The pointer is written last.
+
+    manifest: sections to set; those of the version before stay otherwise, as do its tables that aren't
+    given. since: the pointer that the tables were made from; if another one is newest by then, Conflict
+    is raised and nothing is published.
+    """
+    before = pointer(spark, root)
+    if since is not False and since != before:
+        raise Conflict(f"{root} has changed")
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        key = (sort_by or {}).get(name)
+        (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.parquet(f"{root}/versions/{version}/{name}")
+    kept = {} if before is None else before.manifest
+    where = dict(kept.get("where", {})) | {name: version for name in tables}
+    said = {"version": version, "tables": sorted(where), "manifest": kept | (manifest or {}) | {"where": where}}
     try:
-        rows = spark.read.schema("version string, published_at timestamp, tables string").parquet(f"{root}/pointers")
-    except Exception as e:  # nothing published yet
-        if "PATH_NOT_FOUND" in str(e):
-            return None
+        write_file(spark, f"{root}/pointers/{(before.number if before else 0) + 1:012d}.json", json.dumps(said).encode())
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            raise Conflict(f"{root} has changed") from e
         raise
-    row = rows.orderBy(F.desc("published_at"), "version").first()
-    return row and row.version
+    return version
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    version = current(spark, root)
-    if version is None:
-        raise LookupError(f"nothing is published in {root}")
-    return spark.read.parquet(f"{root}/versions/{version}/{table}")
+    now = pointer(spark, root)
+    if now is None or table not in now.manifest["where"]:
+        raise LookupError(f"nothing of that name is published in {root}: {table}")
+    return spark.read.parquet(f"{root}/versions/{now.manifest['where'][table]}/{table}")
+
+
+def activate(spark: SparkSession, root: str, views: dict[str, str]) -> None:
+    """Point temporary views (name to table) at the newest version, after it is published."""
+    for view, table in views.items():
+        read(spark, root, table).createOrReplaceTempView(view)
 
 
 def validate_records(records: DataFrame, chunks: DataFrame, dimensions: int) -> DataFrame:
@@ -49,12 +116,46 @@ def validate_records(records: DataFrame, chunks: DataFrame, dimensions: int) ->
     return own.crossJoin(known).withColumn("valid", F.expr("duplicates = 0 and wrong_dimensions = 0 and unknown = 0"))  # one row each
 
 
-def sweep(spark: SparkSession, root: str) -> list[str]:
-    """Remove versions that the pointer doesn't name; returns their names."""
-    jvm, keep = spark.sparkContext._jvm, current(spark, root)
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() != keep]
+def publish_records(spark: SparkSession, root: str, records: DataFrame, chunks: DataFrame, identity: dict, since: Pointer | None | bool = False) -> str:
+    """Publish vector records, sorted by chunk_id, with their identity in the manifest; records that don't pass the checks raise ValueError."""
+    checks = validate_records(records, chunks, identity["dimensions"]).first()
+    if not checks.valid:
+        raise ValueError(f"records are not fit to be published: {checks.asDict()}")
+    return publish(spark, root, {"embeddings": records}, {"embeddings": "chunk_id"}, {"embeddings": identity | {"total": checks.records, "publication_id": uuid.uuid4().hex}}, since)
+
+
+def maintain_copy(spark: SparkSession, root: str, copied_id, copy) -> str | None:
+    """Bring a derived copy of the published vectors up to date; returns the publication it stands for now.
+
+    copied_id() tells which publication the copy is of; copy(records, manifest) makes it. A copy of the
+    newest publication is left alone. A publication that comes while the copy is made supersedes it: the
+    copy is made again, of the newest.
+    """
+    while True:
+        now = pointer(spark, root)
+        said = None if now is None else now.manifest.get("embeddings")
+        if said is None or copied_id() == said["publication_id"]:
+            return said and said["publication_id"]
+        copy(read(spark, root, "embeddings"), said)
+
+
+def sweep(spark: SparkSession, root: str, least_age_s: float = 24 * 3600) -> list[str]:
+    """Remove versions that the newest pointer doesn't name and that were last written so long ago; returns their names."""
+    now = pointer(spark, root)
+    keep = set() if now is None else set(now.manifest["where"].values())
+    folder, fs = _fs(spark, f"{root}/versions")
+    if not fs.exists(folder):
+        return []
+
+    def newest(path) -> int:
+        # What is being written may be deep below a folder that was made long ago.
+        found, files = 0, fs.listFiles(path, True)
+        while files.hasNext():
+            found = max(found, files.next().getModificationTime())
+        return found
+
+    statuses = [s for s in fs.listStatus(folder) if s.getPath().getName() not in keep]
+    gone = [s.getPath() for s in statuses if max(s.getModificationTime(), newest(s.getPath())) / 1000 <= time.time() - least_age_s]
     for p in gone:
         fs.delete(p, True)
     return sorted(p.getName() for p in gone)
