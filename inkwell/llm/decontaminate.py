@@ -1,14 +1,17 @@
 """Benchmark decontamination by CGK embedding, bit sampling and exact edit verification.
 
-Texts and items are sequences of words (lower case, letters and digits). A document contains an item
-if some stretch of it is within ``edits`` word edits of the item, a fifth of its words.
+Texts and items are sequences of symbols: words (lower case, letters and digits), and single characters
+of scripts without spaces. A document contains an item if some stretch of it is within ``edits`` symbol
+edits of the item, a fifth of its symbols. Items of one or two symbols are matched exactly.
 
-1. Seeds: by the q-gram lemma such a stretch shares at least words - 2 - 3 x edits word trigrams with
+1. Seeds: by the q-gram lemma such a stretch shares at least symbols - 2 - 3 x edits symbol trigrams with
    the item, so documents with fewer hold no copy; this drops nearly all of them and loses none.
 2. Around the seeds' diagonals, item-sized windows are embedded by the CGK random walk, which maps
    edit distance to Hamming distance. For each of many independent walks, the symbols at a few
    sampled steps form a key; a window is a candidate for the items with an equal key.
 3. Candidates are verified by the exact edit distance of the item to the best stretch there.
+
+The index is made once, on the driver, as arrays of some hundred numbers an item, and is sent to every executor.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import whole_text
 
-WORDS = re.compile(r"[^\W_]+")
+#: Characters of scripts without spaces are symbols of their own.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W_{UNSPACED}]+|[{UNSPACED}]")
 GRAM = 3
 
 
@@ -39,8 +44,8 @@ class LeakRules:
     samples: int = 3
     #: Window starts tried around a seed's diagonal.
     shift: int = 2
-    #: Items indexed in one pass over the documents; more take more passes.
-    items_at_once: int = 20_000
+    #: Items indexed in one pass over the documents, about a kilobyte each; more take more passes.
+    items_at_once: int = 50_000
 
 
 class WordHashes(dict):
@@ -54,10 +59,10 @@ def hashed(text: str, known: WordHashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def grams(h: np.ndarray) -> np.ndarray:
-    mixed = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        mixed = (mixed ^ h[k : len(h) - GRAM + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
+    mixed = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ h[k : len(h) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
     return mixed
 
@@ -98,6 +103,11 @@ class Walks:
             at = np.minimum(at + (symbol * factors[step] >> np.uint64(63)).astype(np.int64), length)
         return keys
 
+    def named(self, windows: np.ndarray) -> np.ndarray:
+        """keys, made different for every length and walk."""
+        names = (np.arange(self.rules.walks, dtype=np.uint64) + np.uint64(windows.shape[1] * self.rules.walks)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (self.keys(windows) ^ names) * np.uint64(0x9E3779B97F4A7C15)
+
 
 def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """(edits, first word, word after the last) of the stretch of words nearest to the item."""
@@ -118,38 +128,72 @@ def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def found_in(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in values, places in the sorted table) of every equal pair."""
+    low, high = np.searchsorted(table, values, "left"), np.searchsorted(table, values, "right")
+    sizes = high - low
+    ends = np.cumsum(sizes)
+    return np.repeat(np.arange(len(values)), sizes), np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - sizes), sizes)
+
+
 class Index:
     """Items, their seeds and their keys."""
 
-    def __init__(self, items: list[tuple[int, str]], rules: LeakRules) -> None:
-        known = WordHashes()
+    @staticmethod
+    def arrays(items: list[tuple[int | None, str]], rules: LeakRules) -> tuple:
+        """What an index consists of, to be sent to workers."""
+        known, walks = WordHashes(), Walks(rules)
+        kept = [(i, h) for i, t in items if len(h := hashed(t, known))]
+        long = [(i, h) for i, h in kept if len(h) >= GRAM]
+        short = [(i, h) for i, h in kept if len(h) < GRAM]
+        seeds = sorted((g, k, at) for k, (_, h) in enumerate(long) for at, g in enumerate(grams(h).tolist()))
+        keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, (_, h) in enumerate(long):
+            by_length[len(h)].append(k)
+        for length, of in sorted(by_length.items()):
+            for first in range(0, len(of), 256):
+                some = of[first : first + 256]
+                keys.append(walks.named(np.array([long[k][1] for k in some])).ravel())
+                owners.append(np.repeat(np.array(some, np.int32), rules.walks))
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        pairs = sorted((int(grams(h, len(h))[0]), len(h), k) for k, (_, h) in enumerate(short))
+        return (
+            [i for i, _ in long], np.concatenate([np.zeros(0, np.uint64), *(h for _, h in long)]), np.array([len(h) for _, h in long], np.int64),
+            np.array([s[0] for s in seeds], np.uint64), np.array([s[1] for s in seeds], np.int32), np.array([s[2] for s in seeds], np.int32),
+            np.concatenate(keys)[order], np.concatenate(owners)[order],
+            [i for i, _ in short], np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64), np.array([p[2] for p in pairs], np.int64),
+        )
+
+    def __init__(self, arrays: tuple, rules: LeakRules) -> None:
+        ids, flat, sizes, self.grams, self.owners, self.offsets, self.keys, self.key_owners, self.short_ids, self.short, self.short_sizes, self.short_owners = arrays
         self.rules, self.walks = rules, Walks(rules)
-        self.items = [(i, h) for i, t in items if len(h := hashed(t, known)) >= GRAM]
+        self.items = list(zip(ids, np.split(flat, np.cumsum(sizes)[:-1]))) if len(ids) else []
         self.edits = [most_edits(len(h), rules.share) for _, h in self.items]
         self.needed = [max(1, len(h) - GRAM + 1 - GRAM * e) for (_, h), e in zip(self.items, self.edits)]
-        seeds = sorted((g, k, at) for k, (_, h) in enumerate(self.items) for at, g in enumerate(grams(h).tolist()))
-        self.grams = np.array([s[0] for s in seeds], np.uint64)
-        self.owners, self.offsets = np.array([s[1] for s in seeds], np.int64), np.array([s[2] for s in seeds], np.int64)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.grams >> np.uint64(42)).astype(np.int64)] = True
-        self.keys: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for k, (_, h) in enumerate(self.items):
-            for walk, key in enumerate(self.walks.keys(h[None, :])[0].tolist()):
-                self.keys[len(h), walk, key].append(k)
+
+    def exact(self, h: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
+        """Items of one or two symbols, at their first places."""
+        found: dict[int, tuple[int, int]] = {}
+        for size in range(1, GRAM) if len(self.short) else ():
+            at, hit = found_in(self.short, grams(h, size))
+            for a, k in zip(at.tolist(), hit.tolist()):
+                if self.short_sizes[k] == size:
+                    found.setdefault(int(self.short_owners[k]), (a, size))
+        return [(self.short_ids[k], size, 0, a, a + size) for k, (a, size) in sorted(found.items())]
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, its words, edits, first word, word after the last) of each item in a text's word hashes."""
-        own = grams(h)
+        own, exact = grams(h), self.exact(h)
         likely = np.flatnonzero(self.filter[(own >> np.uint64(42)).astype(np.int64)])
         if not len(likely) or not len(self.grams):
-            return []
-        low, high = np.searchsorted(self.grams, own[likely], "left"), np.searchsorted(self.grams, own[likely], "right")
-        sizes = high - low
-        if not sizes.any():
-            return []
-        ends = np.cumsum(sizes)
-        hit = np.arange(ends[-1]) + np.repeat(low - (ends - sizes), sizes)
-        at, owner, offset = np.repeat(likely, sizes), self.owners[hit], self.offsets[hit]
+            return exact
+        places, hit = found_in(self.grams, own[likely])
+        if not len(hit):
+            return exact
+        at, owner, offset = likely[places], self.owners[hit], self.offsets[hit]
         windows: dict[int, set[int]] = defaultdict(set)
         for k, n in zip(*np.unique(owner, return_counts=True)):
             if n >= self.needed[k]:
@@ -166,9 +210,11 @@ class Index:
             first = np.array(sorted(s for s in starts if -length < s < len(h)), np.int64)
             for k in range(0, len(first), 256):
                 some = first[k : k + 256]
-                keys = self.walks.keys(padded[(some + length)[:, None] + np.arange(length)])
-                matched = {(s, i) for s, row in zip(some.tolist(), keys.tolist()) for walk, key in enumerate(row) for i in self.keys.get((length, walk, key), ())}
-                for s, i in sorted(matched):
+                keys = self.walks.named(padded[(some + length)[:, None] + np.arange(length)])
+                of, with_item = found_in(self.keys, keys.ravel())
+                for s, i in sorted({(int(some[p // self.rules.walks]), int(self.key_owners[q])) for p, q in zip(of.tolist(), with_item.tolist())}):
+                    if len(self.items[i][1]) != length:
+                        continue
                     edits = self.edits[i]
                     if i in found and found[i][1] - edits <= s <= found[i][2]:
                         continue
@@ -176,14 +222,14 @@ class Index:
                     cost, x, y = best_stretch(self.items[i][1], h[a : s + length + edits + self.rules.shift])
                     if cost <= edits and (i not in found or cost < found[i][0]):
                         found[i] = (cost, a + x, a + y)
-        return [(self.items[i][0], len(self.items[i][1]), *v) for i, v in sorted(found.items())]
+        return [(self.items[i][0], len(self.items[i][1]), *v) for i, v in sorted(found.items())] + exact
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
     """(doc_id, item_id, item_words, edits, first_word, end_word) of every item of items (item_id, text) in docs (doc_id, text).
 
-    One row for each document and item, at the best stretch. Null texts and items of fewer than three
-    words hold nothing; null ids stay null. Repeated documents give repeated rows, repeated items a
+    One row for each document and item, at the best stretch; of an item of one or two symbols at the
+    first. Null texts and items without a symbol hold nothing; null ids stay null. Repeated documents give repeated rows, repeated items a
     row each; empty tables give no rows; extra columns are left out.
     """
     spark = docs.sparkSession
@@ -192,14 +238,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
     result = None
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select("item_id", whole_text().alias("text")).collect()  # about items_at_once
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in sorted(some, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))])
+        shared = spark.sparkContext.broadcast(Index.arrays([(r.item_id, r.text) for r in sorted(some, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))], rules))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, known = Index(shared.value, rules), WordHashes()
             for batch in batches:
                 found = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found += [(doc_id, *leak) for leak in index.search(hashed(text, known))]
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    found += [(doc_id, *leak) for leak in index.search(hashed(text.as_py(), known))]
                     if len(known) > 500_000:
                         known.clear()
                 columns = list(zip(*found)) or [()] * 6
@@ -211,19 +257,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
-    """The rows of docs, with all their columns, whose own text contains no item."""
+    """The rows of docs (text), with all their columns, whose own text contains no item of items (item_id, text).
+
+    Null and empty texts stay, as do all documents if there are no items or these are null or without a
+    symbol. Repeated rows stay or go together, repeated items change nothing; an empty table gives no
+    rows; columns of any name go through unchanged.
+    """
     spark = docs.sparkSession
     kept, passes = docs, max(1, -(-items.count() // rules.items_at_once))
     for k in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select(whole_text().alias("text")).distinct().collect()  # about items_at_once
-        shared = spark.sparkContext.broadcast([(0, t) for t in sorted(r.text for r in some)])
+        shared = spark.sparkContext.broadcast(Index.arrays([(0, t) for t in sorted(r.text for r in some)], rules))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, known = Index(shared.value, rules), WordHashes()
             for batch in batches:
                 clean = []
-                for text in batch.column("text").to_pylist():
-                    clean.append(not index.search(hashed(text or "", known)))
+                for text in batch.column("text"):
+                    clean.append(not index.search(hashed(text.as_py() or "", known)))
                     if len(known) > 500_000:
                         known.clear()
                 yield batch.filter(pa.array(clean, pa.bool_()))

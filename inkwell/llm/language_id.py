@@ -9,6 +9,8 @@ out of the fit; a text whose best two languages are close is flagged as ambiguou
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import whole_text
 
 BUCKETS = 1 << 14
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't digits, such as fractions and Roman numerals: to a pattern they are like letters.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+#: Parts that a language's rows are ranked in first, so that no task ranks all of them.
+PARTS = 64
 UNKNOWN = "und"
 
 
@@ -104,8 +110,11 @@ def predict_languages(docs: DataFrame, rules: LanguageRules = LanguageRules()) -
     extra columns are left out.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out() & F.length("text").between(1, rules.row_chars))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rules.rows).select("doc_id", "lang").distinct()
+    picked = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):  # the least hashes of each part, then of these
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rules.rows).drop("n")
+    picked = picked.select("doc_id", "lang").distinct()
     rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).where(F.length("text").between(1, rules.row_chars)).select("lang", "text").distinct().collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.text)):

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, decontaminate, graph, host_rules, language_id, line_dedup, near_dups, secrets, sharding, toxicity, weak_quality
 
@@ -106,7 +107,8 @@ def test_one_more_shard_moves_few_rows(spark):
     docs = frame(spark, [f"text {i}" for i in range(3000)])
     a = {r.doc_id: r.shard for r in sharding.assign_shards(docs, 16).collect()}
     b = {r.doc_id: r.shard for r in sharding.assign_shards(docs, 17).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.5 * len(a)  # dealing anew would move 16 of 17
+    moved = sum(a[k] != b[k] for k in a) / len(a)
+    assert moved < 0.12  # one of 17 must move, dealing anew would move 16 of 17
 
 
 def test_many_copies_of_one_row(spark, monkeypatch):
@@ -419,3 +421,87 @@ def test_credentials_short_inside_runs_and_beside_base_spans(spark):
     assert found[160] == [(5, 17, "format")] and found[161] == [(12, 24, "format")]
     assert found[162] == [(0, 24, "hex"), (25, 37, "format")]
     assert not any(found[i] for i in range(80, 160))
+
+
+# ---- Findings of the verdict on round 1 ----------------------------------------------------------
+
+
+def test_numerals_are_no_letters(spark):
+    rows = [(i, " ".join(["kalomi", "lokami"] * 9) if i % 2 else " ".join(["strung", "achung"] * 9), "ab"[i % 2]) for i in range(40)] + [(100, "½ ²³ Ⅷ", "a"), (101, "Ⅷ lokami", "a")]
+    found = {r.doc_id: r.lang_pred for r in language_id.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[100] == "und" and found[101] != "und"
+
+
+def test_short_and_unspaced_items_are_found(spark):
+    chinese = "今天天气很好我们一起去公园散步然后回家吃晚饭"
+    items = spark.createDataFrame([(1, chinese), (2, "two words"), (3, "Unicorn"), (4, "!?")], "item_id long, text string")
+    docs = frame(spark, [f"前言{chinese}后记", f"前言{chinese.replace('公园', '湖边')}后记", "今天天气不好", "these are two, words here", "two more words", "a unicorn!", "a unicorns"])
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert found == {(0, 1), (1, 1), (3, 2), (5, 3)}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [2, 4, 6]
+
+
+def test_toxic_words_are_found_in_long_texts(spark):
+    bad, texts, labels = ["grobiansk", "pfuiteufel", "schandmaul"], [], []
+    for i in range(300):
+        words = prose(3000 + i, 60 if i % 10 else 400, 100000).split()
+        if i % 4 == 0:
+            for k in range(4):
+                words[len(words) // 5 * (k + 1)] = bad[(i + k) % 3]
+        texts.append(" ".join(words))
+        labels.append((i, int(i % 4 == 0)))
+    found = toxicity.score_toxicity(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [x for x in found if x.held_out]
+    caught = [x.predicted for x in held if x.doc_id % 4 == 0]
+    assert sum(caught) >= 0.9 * len(caught) and sum(x.predicted for x in held if x.doc_id % 4) <= 0.05 * len(held)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_windows_hold_every_word(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    for n in (0, 1, 7, 8, 9, 13, 14, 60):
+        words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)]
+        coded = toxicity.Coded()
+        found = [w for p in toxicity.windows(" ".join(words), coded) for w in p]
+        want = [b"".join(coded[w] for w in words[k : k + toxicity.WINDOW]) for k in range(0, max(1, n - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)] if n else []
+        assert found == want
+
+
+def test_sorted_buckets_lose_no_pair_of_a_small_bucket(spark):
+    r = random.Random(14)
+    rows = [(r.randrange(40) << graph.TAIL | 5, k, 10) for k in range(120)]
+    keyed = spark.createDataFrame(rows + rows[:30], "key long, k long, size int")
+    found = {(x.a, x.b) for x in graph.neighbours(keyed, keyed.limit(0), lags=200).collect()}
+    assert found == {(a, b) for x, a, _ in rows for y, b, _ in rows if x == y and a < b}
+    few = graph.neighbours(keyed, keyed, lags=1)
+    linked = {x.node: x.root for x in graph.components(few).collect()}
+    least = {x: min(k for y, k, _ in rows if y == x) for x, _, _ in rows}
+    assert all(linked.get(k, k) == least[x] for x, k, _ in rows)
+
+
+def test_hot_buckets_are_dealt_to_several_tasks(spark):
+    keyed = spark.range(3000).selectExpr("cast(id % 3 as bigint) * 65536 * 100 as key", "id as k", "1 as size").unionByName(spark.range(500).selectExpr("(id % 250 + 1000) * 65536 as key", "id + 10000 as k", "1 as size"))
+    pairs = graph.neighbours(keyed, keyed)
+    assert {(x.a, x.b) for x in pairs.where("a >= 10000").collect()} == {(10000 + i, 10250 + i) for i in range(250)}
+    assert pairs.where("a < 10000").count() > 2900
+
+
+def test_own_columns_of_any_name_go_through(spark):
+    line = prose(3, 20)
+    docs = spark.createDataFrame([(1, f"{line}\nx", "k", 7, 3), (2, f"{line}\ny", "k", 8, 4), (None, None, None, None, None)], "doc_id long, text string, _key string, _Lines int, n_chars int").withColumns({c: F.lit("own") for c in ("_doc", "_k", "_hash", "text_key", "kept_doc", "lines_doc", "lines_dropped", "a b")})
+    kept = near_dups.keep_one(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r._key, r._Lines, r._doc, r.text_key) for r in kept.collect()} == {(1, "k", 7, "own", "own"), (None, None, None, "own", "own")}
+    cleaned = line_dedup.remove_lines(docs)
+    assert cleaned.columns == docs.columns
+    assert {(r.doc_id, r.text, r.n_chars, r["a b"], r.lines_dropped) for r in cleaned.collect()} == {(1, f"{line}\nx", 3, "own", "own"), (2, "y", 1, "own", "own"), (None, None, None, "own", "own")}
+
+
+def test_values_of_odd_rows(spark):
+    docs = odd(spark)
+    near = {(r.doc_id, r.class_id, r.class_size) for r in near_dups.near_duplicates(docs).collect()}
+    assert near == {(1, 1, 2), (2, 1, 2), (None, None, 1), (3, 3, 1), (4, 4, 1), (5, 5, 4), (6, 5, 4)}
+    lines = sorted(((r.doc_id or 0, r.n_lines, r.removed) for r in line_dedup.dedup_report(docs).collect()))
+    assert lines == [(0, 1, []), (1, 1, []), (2, 1, []), (3, 2, []), (4, 1, []), (5, 1, []), (5, 1, []), (5, 1, []), (6, 1, [0])]
+    coded = {(r.doc_id, r.n_tokens) for r in bpe.round_trip(docs, tokenizer()).collect()}
+    assert {(1, 0), (2, 0)} <= coded and (4, 60001) in coded or (4, 60000) in coded
+    assert {r.predicted for r in toxicity.score_toxicity(docs, docs.selectExpr("doc_id", "0 as toxic")).collect()} == {0}
