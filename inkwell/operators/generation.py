@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.operators import maintenance as M
 from inkwell.operators.providers import DEFAULT_INPUTS, MOST_INPUTS
 from inkwell.operators.vectors import valid_vector
-from inkwell.sources import publish
+from inkwell.sources import publish  # noqa: F401
 
 #: Inputs that are tried first, to learn the dimensions.
 PROBES = 3

@@ -69,21 +69,27 @@ def debounce(events: DataFrame, gap: str) -> DataFrame:
 def schedule_fires(events: DataFrame, quiet_s: int, cap_s: int) -> DataFrame:
     """Per path, when a dirty state fires: after a quiet time since the last event, or a longest time since the first.
 
-    (path, dirty_since, fires_at, events). One path's events are folded in one task in time order.
+    (path, dirty_since, fires_at, events). A quiet time always fires, so events fall into bursts without
+    one, found by a window; only bursts longer than the longest time are folded, one burst at a time.
     """
+    quiet, cap = F.make_interval(secs=F.lit(quiet_s)), F.make_interval(secs=F.lit(cap_s))
+    by_path = Window.partitionBy("path").orderBy("ts")
+    fresh = F.coalesce(F.lag("ts").over(by_path) + quiet <= F.col("ts"), F.lit(True))
+    rows = events.select("path", "ts", F.sum(fresh.cast("int")).over(by_path).alias("burst"))
+    bursts = rows.groupBy("path", "burst").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("events"))
+    short = bursts.where(F.col("first") + cap > F.col("last")).select("path", F.col("first").alias("dirty_since"), F.least(F.col("last") + quiet, F.col("first") + cap).alias("fires_at"), "events")
+    long = rows.join(bursts.where(F.col("first") + cap <= F.col("last")).select("path", "burst"), ["path", "burst"])
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        quiet, cap = pd.Timedelta(seconds=quiet_s), pd.Timedelta(seconds=cap_s)
-        found, start, last, n = [], None, None, 0
-        for ts in rows["ts"].sort_values():
-            if start is not None and ts >= min(last + quiet, start + cap):
-                found.append((start, min(last + quiet, start + cap), n))
-                start, n = None, 0
-            start, last, n = ts if start is None else start, ts, n + 1
-        found.append((start, min(last + quiet, start + cap), n))
+        calm, most = pd.Timedelta(seconds=quiet_s), pd.Timedelta(seconds=cap_s)
+        times, found, first = rows["ts"].sort_values().reset_index(drop=True), [], 0
+        while first < len(times):
+            last = int(times.searchsorted(times[first] + most))
+            found.append((times[first], min(times[last - 1] + calm, times[first] + most), last - first))
+            first = last
         return pd.DataFrame({"path": rows["path"].iloc[0], "dirty_since": [f[0] for f in found], "fires_at": [f[1] for f in found], "events": [f[2] for f in found]})
 
-    return events.select("path", "ts").groupBy("path").applyInPandas(fold, "path string, dirty_since timestamp, fires_at timestamp, events long")
+    return short.unionByName(long.groupBy("path", "burst").applyInPandas(fold, "path string, dirty_since timestamp, fires_at timestamp, events long"))
 
 
 def event_summary(events: DataFrame, most: int = 20) -> DataFrame:

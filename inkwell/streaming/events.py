@@ -1,10 +1,15 @@
-"""Change events as a stream: debounced bursts, and batches applied to a published index."""
+"""Change events as a stream: debounced bursts, dirty states that fire, and batches applied to a published index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.operators import maintenance
 from inkwell.sources import publish
@@ -16,6 +21,105 @@ def debounced(events: DataFrame, gap: str = "2 seconds", late: str = "10 seconds
     return windows.agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("events")).select("path", F.col("w.end").alias("fires_at"), "last_seq", "events")
 
 
+FIRES = "path string, dirty_since timestamp, fires_at timestamp, events long"
+
+
+def scheduled(events: DataFrame, quiet_s: int, cap_s: int, late: str = "10 seconds") -> DataFrame:
+    """A stream of events (path, ts, kind) to when each path's dirty state fires: FIRES.
+
+    A state fires a quiet time after its last event, or a longest time after its first. kind is null for
+    a change; pause holds a path's fires back, resume lets them go on, and manual fires at once, which
+    re-arms the state. Each path keeps four numbers and no events.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n, paused = state.get if state.exists else (None, None, 0, False)
+        found = []
+
+        def due() -> int:
+            return min(last + quiet_s * 1000, start + cap_s * 1000)
+
+        def fire(at: int) -> None:
+            nonlocal start, n
+            found.append((key[0], pd.Timestamp(start, unit="ms"), pd.Timestamp(at, unit="ms"), n))
+            start, n = None, 0
+
+        if state.hasTimedOut:
+            if start is not None and not paused:
+                fire(due())
+        else:
+            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")  # of one path and one batch
+            for ts, kind in zip(rows["ts"], rows["kind"]):
+                now = int(ts.timestamp() * 1000)
+                if start is not None and not paused and now >= due():
+                    fire(due())
+                if kind == "pause":
+                    paused = True
+                elif kind == "resume":
+                    paused = False
+                    if start is not None and now >= due():
+                        fire(now)
+                elif kind == "manual":
+                    if start is not None:
+                        fire(now)
+                else:
+                    start, last, n = now if start is None else start, now, n + 1
+        if start is None and not paused:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((start, last, n, paused))
+            if start is not None and not paused:
+                state.setTimeoutTimestamp(max(due(), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=["path", "dirty_since", "fires_at", "events"])
+
+    marked = events.select("path", "ts", "kind").withWatermark("ts", late)
+    return marked.groupBy("path").applyInPandasWithState(step, FIRES, "start long, last long, n long, paused boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Diagnostics(StreamingQueryListener):
+    """The last fifty things that streams reported, oldest first."""
+
+    def __init__(self, most: int = 50) -> None:
+        self.last: deque = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:
+        self.last.append(("started", str(event.id), None))
+
+    def onQueryProgress(self, event) -> None:
+        self.last.append(("progress", str(event.progress.id), event.progress.numInputRows))
+
+    def onQueryIdle(self, event) -> None:
+        self.last.append(("idle", str(event.id), None))
+
+    def onQueryTerminated(self, event) -> None:
+        self.last.append(("ended", str(event.id), event.exception))
+
+
+def rebuild(spark: SparkSession, root: str, notes: DataFrame, chunk, excluded: Column, content_excluded: Column) -> dict:
+    """Publish the index and chunks of all notes (path, hash, text) that aren't excluded, as one job and one version; returns the counts.
+
+    chunk turns notes (path, text) into chunks. Readers see the version before until all of it is written.
+    """
+    flags = notes.withColumn("_p", F.coalesce(excluded, F.lit(False))).withColumn("_c", F.coalesce(content_excluded, F.lit(False)))
+    totals = flags.agg(F.count_if(~F.col("_p") & ~F.col("_c")).alias("notes"), F.count_if("_p").alias("excluded_by_path"), F.count_if(~F.col("_p") & F.col("_c")).alias("excluded_by_content")).first().asDict()
+    kept = flags.where("not _p and not _c")
+    publish.publish(spark, root, {"index": kept.select("path", "hash"), "chunks": chunk(kept.select("path", "text"))}, {"index": "path"}, {"text": totals}, publish.pointer(spark, root))
+    return totals | {"chunks": publish.read(spark, root, "chunks").count()}
+
+
+def catch_up(spark: SparkSession, root: str, vault: DataFrame) -> int:
+    """Reconcile the published index (path, hash) with the vault (path, hash) before a stream starts; returns how many paths changed.
+
+    Events that came before are compacted to this one reconciliation: what they led to is in the vault.
+    """
+    index = publish.read(spark, root, "index")
+    changed = maintenance.changed_paths(index, vault.select("path", "hash")).count()
+    if changed:
+        publish.publish(spark, root, {"index": vault.select("path", "hash")}, {"index": "path"}, since=publish.pointer(spark, root))
+    return changed
+
+
 def apply_stream(events: DataFrame, root: str, texts: DataFrame, excluded: Column, checkpoint: str) -> DataStreamWriter:
     """Coalesce each micro-batch of events (seq, type, path, old_path) and publish the index that results.
 
@@ -28,7 +132,10 @@ def apply_stream(events: DataFrame, root: str, texts: DataFrame, excluded: Colum
         if batch.isEmpty():
             return
         changes = maintenance.coalesce_events(batch).select("type", "path", "old_path")
+        since = publish.pointer(spark, root)  # another writer's version makes the batch fail, and it is tried again on that
         index = publish.read(spark, root, "index")
-        publish.publish(spark, root, {"index": maintenance.apply_batch(index, changes, texts, excluded)})
+        after = maintenance.apply_batch(index, changes, texts, excluded)
+        if maintenance.changed_paths(index, after).take(1):  # no change, no publication
+            publish.publish(spark, root, {"index": after}, since=since)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

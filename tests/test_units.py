@@ -2,12 +2,13 @@
 
 import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators import chunking, hybrid, maintenance, policy, text_search
+from inkwell.operators import chunking, generation, hybrid, maintenance, policy, text_search
 from inkwell.sources import notes as N
 from inkwell.sources import publish, vectors_file
 from inkwell.streaming import events as E
@@ -75,11 +76,103 @@ def test_readers(spark, tmp_path):
 
 def test_publish_and_sweep(spark, tmp_path):
     root = str(tmp_path / "pub")
-    assert publish.current(spark, root) is None
-    first = publish.publish(spark, root, {"index": spark.range(3)})
-    second = publish.publish(spark, root, {"index": spark.range(5)}, {"index": "id"})
-    assert publish.current(spark, root) == second and publish.read(spark, root, "index").count() == 5
-    assert publish.sweep(spark, root) == [first] and publish.read(spark, root, "index").count() == 5
+    assert publish.current(spark, root) is None and publish.sweep(spark, root) == []
+    first = publish.publish(spark, root, {"index": spark.range(3), "more": spark.range(2)}, manifest={"text": {"notes": 3}})
+    start = publish.pointer(spark, root)
+    second = publish.publish(spark, root, {"index": spark.range(5)}, {"index": "id"}, {"embeddings": {"model": "m"}}, since=start)
+    now = publish.pointer(spark, root)
+    assert now.version == second and now.manifest["text"] == {"notes": 3} and now.manifest["embeddings"] == {"model": "m"}
+    assert publish.read(spark, root, "index").count() == 5 and publish.read(spark, root, "more").count() == 2
+    with pytest.raises(publish.Conflict):
+        publish.publish(spark, root, {"index": spark.range(9)}, since=start)
+    third = publish.publish(spark, root, {"more": spark.range(1)})
+    assert publish.sweep(spark, root) == []  # too young
+    assert publish.sweep(spark, root, 0) == [first] and publish.read(spark, root, "index").count() == 5 and third
+    publish.activate(spark, root, {"seen": "index"})
+    assert spark.table("seen").count() == 5
+
+
+def test_records_are_checked_before_publication(spark, tmp_path):
+    root, identity = str(tmp_path / "pub"), {"provider": "p", "model": "m", "dimensions": 2}
+    chunks = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
+    good = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    with pytest.raises(ValueError):
+        publish.publish_records(spark, root, good.unionByName(good), chunks, identity)
+    assert publish.pointer(spark, root) is None
+    publish.publish_records(spark, root, good, chunks, identity)
+    assert publish.pointer(spark, root).manifest["embeddings"]["total"] == 2
+
+
+def test_copy_follows_the_publication(spark, tmp_path):
+    root, folder = str(tmp_path / "pub"), str(tmp_path / "copy")
+    identity = {"provider": "p", "model": "m", "dimensions": 2}
+    chunks = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
+    rows = spark.createDataFrame([("b", "p.md", 1, "h", None, [1.0, 2.5]), ("a", "p.md", 0, "h", "i", [0.0, 1.0])], "chunk_id string, path string, index int, textHash string, embeddingInputHash string, embedding array<float>")
+    publish.publish_records(spark, root, rows, chunks, identity)
+    made = []
+
+    def copy(records, manifest):
+        made.append(manifest["publication_id"])
+        vectors_file.write_set(spark, folder, records.withColumnRenamed("chunk_id", "chunkId"), manifest, manifest["publication_id"])
+        if len(made) == 1:
+            publish.publish_records(spark, root, rows, chunks, identity)  # a newer one supersedes it
+
+    now = publish.maintain_copy(spark, root, lambda: vectors_file.copied_publication(spark, folder), copy)
+    assert len(made) == 2 and now == made[1] == vectors_file.copied_publication(spark, folder)
+    assert publish.maintain_copy(spark, root, lambda: vectors_file.copied_publication(spark, folder), copy) == now and len(made) == 2
+    found = vectors_file.read_set(spark, folder).orderBy("vectorOrdinal").collect()
+    assert [(r.chunkId, r.embedding) for r in found] == [("a", [0.0, 1.0]), ("b", [1.0, 2.5])]
+
+    def code(change):
+        change()
+        with pytest.raises(vectors_file.BadSet) as e:
+            vectors_file.read_set(spark, folder).collect()
+        return e.value.code
+
+    vectors, manifest = tmp_path / "copy" / vectors_file.VECTORS, tmp_path / "copy" / vectors_file.MANIFEST
+    for p in (tmp_path / "copy").glob(".*.crc"):
+        p.unlink()
+    said, data = json.loads(manifest.read_text()), vectors.read_bytes()
+    assert code(lambda: vectors.write_bytes(data[:-4])) == "binary-size-mismatch"
+    assert code(lambda: vectors.write_bytes(data[:-1] + b"x")) == "binary-digest-mismatch"
+    assert code(lambda: manifest.write_text(json.dumps(said | {"version": 2}))) == "binary-unsupported-version"
+    assert code(lambda: manifest.write_text(json.dumps(said | {"recordCount": 300_000}))) == "binary-record-limit-exceeded"
+    assert code(lambda: vectors.unlink()) == "binary-vectors-missing" and vectors_file.copied_publication(spark, folder) is None
+
+
+def test_batches_are_halved_around_what_is_refused():
+    asked = []
+
+    def provider(inputs):
+        asked.append(len(inputs))
+        return generation.word_embedder(16, "bad")(inputs)
+
+    done = generation.embed_batch([f"text {i}" + " bad" * (i == 5) for i in range(8)], provider, 16)
+    assert done.fatal is None and done.results[5] == (None, "input-rejected") and sorted(done.results) == list(range(8)) and asked == [8, 4, 4, 2, 1, 1, 2]
+    assert generation.embed_batch(["a"], lambda x: generation.Reply(category="rate-limit"), 16).fatal == "rate-limit"
+    assert generation.embed_batch(["a"], lambda x: generation.Reply([[1.0], [2.0]]), 1).fatal == "invalid-response"
+    assert generation.embed_batch(["a"], lambda x: generation.Reply([[float("nan")]]), 1).fatal == "invalid-vector"
+    assert generation.ordered_vectors([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]] and generation.ordered_vectors([(1, [2.0]), (1, [1.0])], 2) is None
+
+
+def test_vectors_are_brought_up_to_date(spark, tmp_path):
+    root, md5 = str(tmp_path / "pub"), lambda c: F.md5(c.cast("binary"))
+
+    def chunks(texts):
+        rows = [(f"c{i}", t, "p.md", i) for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "chunk_id string, input string, path string, chunk_index int").withColumn("text_hash", md5(F.col("input")))
+
+    one = generation.update_vectors(spark, root, chunks(["a b", "c", "refuse me"]), generation.word_embedder(16, "refuse"), "local", "words", md5, 2)
+    assert (one["mode"], one["to_generate"], one["errors"], one["published"]) == ("initial-build", 3, {"input-rejected": 1}, True)
+    assert publish.read(spark, root, "embeddings").count() == 2
+    two = generation.update_vectors(spark, root, chunks(["a b", "changed", "fine"]), generation.word_embedder(16), "local", "words", md5, 2)
+    assert (two["mode"], two["reusable"], two["to_generate"], two["published"]) == ("incremental", 1, 2, True)
+    three = generation.update_vectors(spark, root, chunks(["a b", "changed", "fine", "new"]), lambda x: generation.Reply(category="connection"), "local", "words", md5, 2)
+    assert (three["to_generate"], three["errors"], three["published"]) == (1, {"connection": 1}, False)
+    assert publish.read(spark, root, "embeddings").count() == 3
+    four = generation.update_vectors(spark, root, chunks(["a b", "changed", "fine", "new"]), generation.word_embedder(16), "local", "words", md5, 2)
+    assert (four["reusable"], four["to_generate"], four["published"]) == (3, 1, True)
+    assert publish.read(spark, root, "embeddings").count() == 4
 
 
 def test_vectors_file(spark, tmp_path):
@@ -114,3 +207,28 @@ def test_hybrid_query_terms_read_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r.terms for r in search_queries.hybrid_query_terms(spark, str(tmp_path)).collect()}
     assert found == {0: " ".join(["lorem"] * 100 + ["endword"]), 1: "short text", 2: ""}
+
+
+def test_dirty_states_fire(spark, tmp_path):
+    source = str(tmp_path / "events")
+    rows = [[("a", 0, None), ("b", 0, None), ("p", 0, None), ("p", 1, "pause"), ("m", 0, None), ("m", 4, "manual")], [("a", 5, None), ("b", 30, None), ("a", 14, None), ("p", 40, "resume")], [("z", 500, None)], [("z", 1000, None)]]
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, "path string, s int, kind string").select("path", F.timestamp_seconds("s").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(f"{source}/{k}")
+        for file in (tmp_path / "events" / str(k)).iterdir():
+            os.utime(file, (1_700_000_000 + 60 * k,) * 2)  # read in this order
+    stream = spark.readStream.schema("path string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+    query = E.scheduled(stream, 10, 12).writeStream.format("memory").queryName("fires").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(r.path, int(r.dirty_since.timestamp()), int(r.fires_at.timestamp()), r.events) for r in spark.table("fires").collect()}
+    assert {("a", 0, 12, 2), ("b", 0, 10, 1), ("p", 0, 40, 1), ("m", 0, 4, 1), ("a", 14, 24, 1), ("b", 30, 40, 1)} <= got
+
+
+def test_rebuild_and_catch_up(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    notes = spark.createDataFrame([("a.md", "1", "text"), ("x/b.md", "2", "text"), ("c.md", "3", "secret")], "path string, hash string, text string")
+    listener = E.Diagnostics(2)
+    counts = E.rebuild(spark, root, notes, lambda n: n.select("path", F.lit(0).alias("chunk_index"), "text"), F.col("path").startswith("x/"), F.col("text").contains("secret"))
+    assert counts == {"notes": 1, "excluded_by_path": 1, "excluded_by_content": 1, "chunks": 1}
+    vault = spark.createDataFrame([("a.md", "9"), ("d.md", "4")], "path string, hash string")
+    assert E.catch_up(spark, root, vault) == 2 and E.catch_up(spark, root, vault) == 0
+    assert {(r.path, r.hash) for r in publish.read(spark, root, "index").collect()} == {("a.md", "9"), ("d.md", "4")} and listener.last.maxlen == 2
