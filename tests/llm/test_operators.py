@@ -505,3 +505,10 @@ def test_values_of_odd_rows(spark):
     coded = {(r.doc_id, r.n_tokens) for r in bpe.round_trip(docs, tokenizer()).collect()}
     assert {(1, 0), (2, 0)} <= coded and (4, 60001) in coded or (4, 60000) in coded
     assert {r.predicted for r in toxicity.score_toxicity(docs, docs.selectExpr("doc_id", "0 as toxic")).collect()} == {0}
+
+
+def test_bound_of_edits_is_one():
+    r = random.Random(16)
+    for _ in range(400):
+        a, b = (" ".join(r.choice(["ab", "c", "abc", "de", "x", "yz"]) for _ in range(r.randrange(1, 8))) for _ in "ab")
+        assert line_dedup.most_edits(a.split(" "), b.split(" ")) >= distance(a, b)
