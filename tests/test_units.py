@@ -213,13 +213,13 @@ def test_dirty_states_fire(spark, tmp_path):
     source = str(tmp_path / "events")
     rows = [[("a", 0, None), ("b", 0, None), ("p", 0, None), ("p", 1, "pause"), ("m", 0, None), ("m", 4, "manual")], [("a", 5, None), ("b", 30, None), ("a", 14, None), ("p", 40, "resume")], [("z", 500, None)], [("z", 1000, None)]]
     for k, batch in enumerate(rows):
-        spark.createDataFrame(batch, "path string, s int, kind string").select("path", F.timestamp_seconds("s").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(f"{source}/{k}")
+        spark.createDataFrame(batch, "path string, s int, kind string").select("path", F.timestamp_seconds(F.col("s") + 10_000).alias("ts"), "kind").coalesce(1).write.mode("append").parquet(f"{source}/{k}")
         for file in (tmp_path / "events" / str(k)).iterdir():
             os.utime(file, (1_700_000_000 + 60 * k,) * 2)  # read in this order
     stream = spark.readStream.schema("path string, ts timestamp, kind string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
     query = E.scheduled(stream, 10, 12).writeStream.format("memory").queryName("fires").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = {(r.path, int(r.dirty_since.timestamp()), int(r.fires_at.timestamp()), r.events) for r in spark.table("fires").collect()}
+    got = {(r.path, int(r.dirty_since.timestamp()) - 10_000, int(r.fires_at.timestamp()) - 10_000, r.events) for r in spark.table("fires").collect()}
     assert {("a", 0, 12, 2), ("b", 0, 10, 1), ("p", 0, 40, 1), ("m", 0, 4, 1), ("a", 14, 24, 1), ("b", 30, 40, 1)} <= got
 
 
