@@ -512,3 +512,19 @@ def test_bound_of_edits_is_one():
     for _ in range(400):
         a, b = (" ".join(r.choice(["ab", "c", "abc", "de", "x", "yz"]) for _ in range(r.randrange(1, 8))) for _ in "ab")
         assert line_dedup.most_edits(a.split(" "), b.split(" ")) >= distance(a, b)
+
+
+def test_automata_find_bare_credentials_of_labelled_formats(spark):
+    r = random.Random(17)
+    alnum, upper = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    formats = [lambda: "ghx_" + of(alnum, 36), lambda: f"xo-{of('0123456789', 12)}-{of(alnum, 24)}", lambda: "SK" + of(upper, 30)]
+    plain = [lambda: f"https://example.org/{of('abcdefghijklm', 9)}/{of('nopqrstu', 7)}.html", lambda: f"2024-0{r.randrange(1, 9)}-1{r.randrange(9)}T10:00", lambda: f"module_{of('abcdefghi', 6)}.function_{of('jklmnop', 8)}", lambda: f"v{r.randrange(9)}.{r.randrange(99)}.{r.randrange(9)}-beta", lambda: of("abcdefghijklmnopqrstuvwxyz", 22)]
+    texts = [f'{prose(i, 8)} token = "{formats[i % 3]()}"' for i in range(240)]
+    bare = [f"{prose(i, 5)} {formats[i % 3]()} {prose(i + 7, 5)}" for i in range(120)]
+    clean = [f"{prose(i, 5)} {plain[i % 5]()} {plain[(i + 2) % 5]()}" for i in range(300)]
+    found = {x.doc_id: [s for s in x.spans if s.kind == "format"] for x in secrets.find_secrets(frame(spark, texts + bare + clean)).collect()}
+    caught = sum(bool(found[240 + i]) for i in range(120))
+    false = sum(bool(found[360 + i]) for i in range(300))
+    print("caught", caught, "false", false)
+    assert caught >= 108 and false <= 15
