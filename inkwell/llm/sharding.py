@@ -112,7 +112,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, replicas: int = 128) -> Dat
 def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
     """Write the documents' texts as one folder per shard, in as many tasks as the texts need.
 
-    Copies of one row are interchangeable: they are numbered on both sides and meet by number.
+    Copies of one row are interchangeable: they are numbered on both sides and meet by number. Null
+    texts are written as nulls, null doc_ids as nulls; an empty table writes no shard; extra columns are left out.
     """
     text = whole_text()
     same = ["doc_id", "size", "text_crc32"]

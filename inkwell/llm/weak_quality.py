@@ -215,7 +215,11 @@ def score_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of docs, with all their columns, whose own text scores at least the threshold."""
+    """The rows of docs (text), with all their columns, whose own text scores at least the threshold.
+
+    A null text scores as an empty one. Repeated rows score alike, so they stay or go together; a score at
+    the threshold stays. An empty table gives no rows; columns of any name go through unchanged.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

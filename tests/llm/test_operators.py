@@ -528,3 +528,12 @@ def test_automata_find_bare_credentials_of_labelled_formats(spark):
     false = sum(bool(found[360 + i]) for i in range(300))
     print("caught", caught, "false", false)
     assert caught >= 108 and false <= 15
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    docs = frame(spark, [f"text {i % 9}" for i in range(60)] + [None, ""]).unionByName(odd(spark))
+    assigned = sharding.assign_shards(docs, 4, 8)
+    sharding.write_shards(docs, assigned, str(tmp_path / "shards"))
+    found = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert Counter((r.doc_id, r.text) for r in found) == Counter((r.doc_id, r.text) for r in docs.collect())
+    assert len({(r.shard, r.slot) for r in found}) == len(found) and Counter(r.shard for r in found) == Counter(r.shard for r in assigned.collect())
