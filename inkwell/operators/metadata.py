@@ -195,7 +195,8 @@ def embedded_json(text: Column) -> Column:
 
 
 def folder_notes(notes: DataFrame, folder: str, excluded: Column, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(newest notes of a folder, one row of found, excluded and truncated counts)."""
+    """(newest notes of a folder, 1 to 20, one row of found, excluded and truncated counts)."""
+    limit = min(20, max(1, limit))
     inside = notes.where(F.col("path").startswith(folder + "/")).withColumn("_x", excluded)
     totals = inside.agg(F.count(F.lit(1)).alias("found"), F.count_if("_x").alias("excluded"), F.greatest(F.count_if(~F.col("_x")) - limit, F.lit(0)).alias("truncated"))
     return inside.where(~F.col("_x")).drop("_x").orderBy(F.desc("mtime"), "path").limit(limit), totals

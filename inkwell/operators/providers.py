@@ -17,6 +17,16 @@ from inkwell.operators.policy import redacted
 BASE_URLS = {"ollama": "http://localhost:11434", "mistral": "https://api.mistral.ai/v1", "openrouter": "https://openrouter.ai/api/v1"}
 EMBEDDING_MODELS = {"ollama": "nomic-embed-text-v2-moe", "mistral": "mistral-embed", "openrouter": "openai/text-embedding-3-small"}
 MOST_INPUTS, DEFAULT_INPUTS = 50, 10
+#: Models that are offered: provider, kind, name, whether it runs locally.
+MODELS = (
+    ("ollama", "chat", "gemma4:e2b", True),
+    ("ollama", "embedding", "nomic-embed-text-v2-moe", True),
+    ("ollama", "embedding", "nomic-embed-text", True),
+    ("mistral", "chat", "mistral-small-latest", False),
+    ("mistral", "chat", "mistral-large-latest", False),
+    ("mistral", "embedding", "mistral-embed", False),
+    ("openrouter", "embedding", "openai/text-embedding-3-small", False),
+)
 MESSAGE_KEYS = ("message", "detail", "error", "code")
 
 
@@ -89,6 +99,14 @@ def chosen_url(url: Column, provider: str) -> Column:
     return F.when((F.trim(url) == "") | known, BASE_URLS.get(provider, "")).otherwise(url)
 
 
+def chosen_model(model: Column, provider: str, kind: str = "embedding") -> Column:
+    """The provider's default model where a name is blank, or is another provider's or a default and not offered by this one, else the name."""
+    offered = [m for p, k, m, _ in MODELS if k == kind]
+    own = [m for p, k, m, _ in MODELS if k == kind and p == provider]
+    name = F.trim(model)
+    return F.when((name == "") | name.isin(*offered) & ~name.isin(*own or [""]), EMBEDDING_MODELS.get(provider, "") if kind == "embedding" else (own or [""])[0]).otherwise(model)
+
+
 def batch_size(value: Column, fallback: int = DEFAULT_INPUTS) -> Column:
     """Inputs of a request: a whole number from 1 to 50; what is no number counts as the fallback."""
     number = value.try_cast("double")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from inkwell.engine import SearchEngine
 from inkwell.operators import generation as G
 from inkwell.operators import maintenance as M
+from inkwell.operators import providers as P
 from inkwell.plans import maintenance_queries as Q
-from inkwell.plans.search_queries import CHUNKS, NOTES, chunks
+from inkwell.plans.search_queries import CHUNKS, MIXED, NOTES, chunks, fused_sql, text_hits_sql
 from inkwell.sources import vectors_file
 from inkwell.sources.notes import notes, table
 
@@ -64,7 +68,34 @@ def copy_limits(s, d):
     return table(s, d, "orders").select("o_orderkey", *(vectors_file.limit_code(n, dims, meta, p).alias(p) for p in vectors_file.LIMITS))
 
 
+SOUGHT = "the erth that and inst of the tion"
+
+
+def engine(s, d, refuse=None) -> SearchEngine:
+    """Over all notes and chunks, with vectors of the offline provider."""
+    own = chunks(s, d)
+    made = G.embed_inputs(own.select("chunk_id", F.col("text").alias("input")), G.word_embedder(16), 16).select("chunk_id", "embedding")
+    return SearchEngine(notes(s, d), own, made.withColumn("ord", F.col("chunk_id")), G.word_embedder(16, refuse), "words", 16)
+
+
+def semantic_chunks(s, d):
+    return engine(s, d).search("semantic", SOUGHT).results.select("rank", F.round("similarity", 4).alias("similarity"), (F.length("snippet") <= 283).alias("short"))
+
+
+def refused_semantic(s, d):
+    """A provider that refuses the query leaves hybrid search with text alone."""
+    return engine(s, d, "erth").search("hybrid", MIXED).results
+
+
+def chosen_models(s, d):
+    names = [m for _, _, m, _ in P.MODELS] + ["", "my-own"]
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    return table(s, d, "customer").select("c_custkey", *(P.chosen_model(name, p, kind).alias(f"{p}_{kind}") for p in P.BASE_URLS for kind in ("embedding", "chat")))
+
+
 QUERIES = {
+    "semantic_chunks": semantic_chunks, "refused_semantic": refused_semantic, "chosen_models": chosen_models,
     "generated_vectors": generated_vectors, "stopped_vectors": stopped_vectors, "reply_orders": reply_orders, "query_inputs": query_inputs, "updated_entries": updated_entries, "analysed_notes": analysed_notes, "copy_limits": copy_limits,
 }
 
@@ -76,7 +107,27 @@ def limit_sql(profile: str) -> str:
   WHEN {vec} * 2 + meta + greatest(meta * 2, n * 384) + greatest({vec}, meta) + {m.reserve_bytes} > {m.peak_bytes} THEN 'binary-estimated-peak-limit-exceeded' END AS {profile}"""
 
 
+def query_counts() -> dict[int, int]:
+    digits = [int(hashlib.md5(w.encode()).hexdigest()[0], 16) + 1 for w in SOUGHT.split()]
+    return {b: digits.count(b) for b in digits}
+
+
+NAMES = [m for _, _, m, _ in P.MODELS] + ["", "my-own"]
+
+
+def model_sql(provider: str, kind: str) -> str:
+    own = [m for p, k, m, _ in P.MODELS if (p, k) == (provider, kind)]
+    others = [m for p, k, m, _ in P.MODELS if k == kind and m not in own]
+    default = P.EMBEDDING_MODELS[provider] if kind == "embedding" else (own or [""])[0]
+    return f"CASE WHEN name = '' OR list_contains({others!r}::VARCHAR[], name) THEN '{default}' ELSE name END AS {provider}_{kind}"
+
+
 ORACLES = {
+    "semantic_chunks": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, w AS (SELECT path, chunk_index, instr('0123456789abcdef', substring(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))), 1, 1)) AS b FROM chunks), n AS (SELECT path, chunk_index, b, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT path, chunk_index, sum(n * CASE b {' '.join(f'WHEN {b} THEN {n}' for b, n in query_counts().items())} ELSE 0 END)::DOUBLE / sqrt(sum(n * n)) / sqrt({sum(n * n for n in query_counts().values())}) AS sim FROM n GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY round(sim, 6) DESC) AS k FROM s WHERE sim >= 0.3) SELECT row_number() OVER (ORDER BY sim DESC)::INT AS rank, round(sim, 4) AS similarity, true AS short FROM k WHERE k <= 3 ORDER BY sim DESC LIMIT 20""",
+    "refused_semantic": f"WITH RECURSIVE {NOTES}, {CHUNKS}, {text_hits_sql(MIXED)}, sem AS (SELECT '' AS path, 0.0 AS similarity, 0 AS ord WHERE false), {fused_sql(20)} SELECT * FROM top",
+    "chosen_models": f"WITH c AS (SELECT c_custkey, ({NAMES!r})[c_custkey % {len(NAMES)} + 1] AS name FROM customer) SELECT c_custkey, {', '.join(model_sql(p, k) for p in P.BASE_URLS for k in ('embedding', 'chat'))} FROM c",
     "generated_vectors": f"""WITH RECURSIVE {NOTES}, {CHUNKS}, c AS (SELECT path || '::' || chunk_index AS chunk_id, text, contains(text, '{REFUSED}') AS bad FROM chunks),
 w AS (SELECT chunk_id, instr('0123456789abcdef', substring(md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))), 1, 1)) AS b FROM c WHERE NOT bad), n AS (SELECT chunk_id, b, count(*) AS n FROM w GROUP BY 1, 2),
 t AS (SELECT chunk_id, sum(b * n)::DOUBLE / sqrt(sum(n * n)) AS s FROM n GROUP BY 1)
