@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from inkwell.llm.common import partitions, whole_text
+from inkwell.llm.common import lean, partitions, whole_text
 
 #: Characters of text in a block, and the most buckets that words are dealt into.
 BLOCK_CHARS, MAX_BUCKETS = 6 << 20, 4096
@@ -263,10 +263,10 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_ch
     buckets = min(n, MAX_BUCKETS)
     rows = docs.select("doc_id", whole_text().alias("text"))
     # Word lists go to their bucket's task, which answers them; only then do they meet the blocks' positions.
-    answers = rows.mapInArrow(_blocks(shared, buckets, block_chars, True), BLOCKS).repartition(n, "bucket").mapInArrow(_answers(shared, memory_words), BLOCKS)
-    together = rows.mapInArrow(_blocks(shared, buckets, block_chars, False), BLOCKS).unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
+    answers = rows.mapInArrow(lean(_blocks(shared, buckets, block_chars, True)), BLOCKS).repartition(n, "bucket").mapInArrow(lean(_answers(shared, memory_words)), BLOCKS)
+    together = rows.mapInArrow(lean(_blocks(shared, buckets, block_chars, False)), BLOCKS).unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
     table = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer_path)) if decoded else None
-    return together.mapInArrow(_joined(buckets, table), "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
+    return together.mapInArrow(lean(_joined(buckets, table)), "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
 
 def pieces(tokenizer_path: str) -> list[bytes]:
@@ -293,7 +293,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
             texts = [None if ids is None else text_of(ids, shared.value) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"])
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
+    return encoded.mapInArrow(lean(run, 1000), StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:

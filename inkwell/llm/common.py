@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,31 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers are kept for later tasks, and so would it be."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(function: Callable[[Batches], Batches], rows: int = 0) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that sees so many rows at a time, if given, and leaves no memory behind when it ends."""
+
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from function(b.slice(k, rows or b.num_rows) for b in batches for k in range(0, max(1, b.num_rows), rows or max(1, b.num_rows)))
+        finally:
+            release()
+
+    return run
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, however its case, for columns of our own beside a caller's."""
     taken, found = {c.lower() for c in df.columns}, []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import whole_text
+from inkwell.llm.common import lean, whole_text
 
 #: Characters of scripts without spaces are symbols of their own.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -251,7 +251,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
                 columns = list(zip(*found)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], names=["doc_id", "item_id", "item_words", "edits", "first_word", "end_word"])
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, item_words int, edits int, first_word int, end_word int")
+        part = rows.mapInArrow(lean(run, 1000), "doc_id long, item_id long, item_words int, edits int, first_word int, end_word int")
         result = part if result is None else result.unionByName(part)
     return result
 
@@ -279,5 +279,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
                         known.clear()
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(lean(run, 1000), docs.schema)
     return kept

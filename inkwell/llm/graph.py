@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, discard, partitions
+from inkwell.llm.common import cut, discard, lean, partitions
 
 #: Low bits of a key that order its bucket: two more samples of the sketch, TAIL / 2 bits each.
 TAIL = 16
@@ -91,7 +91,7 @@ def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k", "bucket"), F.lit(n))).otherwise(0)
     ordered = rows.repartition(n, "bucket", salt).select("key", "k", "size").sortWithinPartitions("key", "k")
     kind = keyed.schema["k"].dataType.simpleString()
-    return ordered.mapInArrow(_neighbours(lags, alike), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(lean(_neighbours(lags, alike)), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 100) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import whole_text
+from inkwell.llm.common import lean, whole_text
 
 BUCKETS = 1 << 14
 #: Numbers that aren't digits, such as fractions and Roman numerals: to a pattern they are like letters.
@@ -136,5 +136,5 @@ def predict_languages(docs: DataFrame, rules: LanguageRules = LanguageRules()) -
                 names.append(languages[best]), scores.append(float(p[best])), close.append(bool(len(p) > 1 and p[best] - np.partition(p, -2)[-2] < rules.ambiguous_gap))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    found = docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    found = docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(run, 1000), "doc_id long, lang_pred string, score double, ambiguous boolean")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, whole_text
+from inkwell.llm.common import cut, lean, whole_text
 
 # Fixed values of the base rules.
 KINDS = ("assign", "access", "hex")
@@ -270,7 +270,7 @@ def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
     columns are left out. Without labelled credentials nothing is added to the base spans.
     """
     texts = docs.select("doc_id", whole_text().alias("text"))
-    scanned = cut(texts.mapInArrow(_scan, f"doc_id long, base {SPAN}, pairs {PAIRS}"), "secret-spans")
+    scanned = cut(texts.mapInArrow(lean(_scan, 1000), f"doc_id long, base {SPAN}, pairs {PAIRS}"), "secret-spans")
 
     values = scanned.select(F.explode("base").alias("s")).groupBy("s.kind", "s.value").agg(F.count(F.lit(1)).alias("n"))
     labelled: dict[str, list[str]] = {}
@@ -296,7 +296,7 @@ def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
             spans = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), spans], names=["doc_id", "spans"])
 
-    return texts.mapInArrow(score, "doc_id long, spans array<struct<start:int,stop:int,kind:string>>")
+    return texts.mapInArrow(lean(score, 1000), "doc_id long, spans array<struct<start:int,stop:int,kind:string>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import whole_text
+from inkwell.llm.common import lean, whole_text
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of a window, and from one window's start to the next.
@@ -239,5 +239,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = To
         return docs.select("doc_id", held_out().alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     share = counts[1] / (counts[0] + counts[1])
     model = docs.sparkSession.sparkContext.broadcast(fit(texts[1], texts[0], share, rules))  # dictionaries and some numbers
-    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(_score(model), 1000), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= rules.threshold).cast("int").alias("predicted"))

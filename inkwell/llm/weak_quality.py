@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import whole_text
+from inkwell.llm.common import lean, whole_text
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = frozenset("#*$%&|<>!{}[]\\^~_=+@")
@@ -190,7 +190,7 @@ def _score(model, memory_words: int = 1_000_000):
 def fit_model(docs: DataFrame, rules: QualityRules) -> tuple[np.ndarray, float]:
     """Weights and base of the scorer."""
     text = docs.select(whole_text().alias("text"))
-    patterns = text.mapInArrow(_votes, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    patterns = text.mapInArrow(lean(_votes, 1000), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     _, _, posterior = estimate({r.pattern: r.n for r in patterns.collect()}, rules.em_rounds)  # at most 3 ** labellers rows
     # Hashes alone decide which texts are fitted on; each text counts once, and only those come to the driver.
     short = docs.where(F.length("text") <= rules.row_chars).select("text", F.xxhash64("text").alias("h"))
@@ -210,7 +210,7 @@ def score_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     alike; an empty table gives no rows. Extra columns are left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, rules))  # BUCKETS numbers
-    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(_score(model), 1000), "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= rules.threshold).alias("kept"))
 
 
@@ -228,4 +228,4 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
             for scored in _score(model)(iter([own])):
                 yield batch.filter(pa.array([s >= rules.threshold for s in scored.column("score").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, 1000), docs.schema)
