@@ -107,5 +107,6 @@ class SearchEngine:
             return Found(self.text(query, limit), False)
         vector = self.vector(query) if query.strip() else None
         if vector is None:
-            return Found(self.semantic([0.0], 0, 2.0), False, [WITHOUT_VECTORS])
+            schema = "rank int, path string, chunk_id string, similarity double, ord string, snippet string"
+            return Found(self.notes.sparkSession.createDataFrame([], schema), False, [WITHOUT_VECTORS])
         return Found(self.semantic(vector, limit), True)

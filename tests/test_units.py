@@ -7,8 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell import engine
 from inkwell.functions import text as T
-from inkwell.operators import chunking, generation, hybrid, maintenance, policy, text_search
+from inkwell.operators import chunking, generation, hybrid, maintenance, policy, remote, text_search
 from inkwell.sources import notes as N
 from inkwell.sources import publish, vectors_file
 from inkwell.streaming import events as E
@@ -232,3 +233,60 @@ def test_rebuild_and_catch_up(spark, tmp_path):
     vault = spark.createDataFrame([("a.md", "9"), ("d.md", "4")], "path string, hash string")
     assert E.catch_up(spark, root, vault) == 2 and E.catch_up(spark, root, vault) == 0
     assert {(r.path, r.hash) for r in publish.read(spark, root, "index").collect()} == {("a.md", "9"), ("d.md", "4")} and listener.last.maxlen == 2
+
+
+def test_remote_providers():
+    asked = []
+
+    def answers(*replies):
+        asked.clear()
+        rest = list(replies)
+
+        def transport(url, headers, body):
+            asked.append((url, headers, body))
+            reply = rest.pop(0)
+            if isinstance(reply, Exception):
+                raise reply
+            return reply[0], json.dumps(reply[1]) if not isinstance(reply[1], str) else reply[1]
+
+        return transport
+
+    item = lambda *r: remote.ItemProvider(answers(*r), "https://x/v1", "m", "key")
+    assert item((200, {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}))(["a", "b"]).vectors == [[1.0], [2.0]]
+    assert asked == [("https://x/v1/embeddings", {"Authorization": "Bearer key"}, {"model": "m", "input": ["a", "b"]})]
+    assert item((200, {"data": [{"embedding": [1.0]}]}))(["a"]).vectors == [[1.0]]
+    for reply, category, fatal in [
+        ((200, {"data": [{"index": 0, "embedding": [1.0]}] * 2}), "invalid-response", True), ((200, {"data": [{"index": 0, "embedding": [1.0]}, {"index": 1, "embedding": [1.0, 2.0]}]}), "dimension-mismatch", True), ((200, {"data": [{"index": 0, "embedding": []}, {"index": 1, "embedding": [1.0]}]}), "invalid-vector", True),
+        ((200, "no"), "invalid-response", True), ((413, {"error": "too long"}), "input-rejected", False), ((429, {}), "rate-limit", True), ((500, ""), "connection", True), (TimeoutError(), "timeout", True), (OSError("gone"), "connection", True),
+    ]:
+        got = item(reply)(["a", "b"])
+        assert (got.category, got.fatal) == (category, fatal), reply
+    assert remote.ItemProvider(answers(), "u", "m", " ")(["a"]).category == "configuration" and not asked
+
+    batch = lambda *r: remote.BatchProvider(answers(*r), "http://h:1", "m")
+    assert batch((200, {"embeddings": [[1.0], [2.0]]}))(["a", "b"]).vectors == [[1.0], [2.0]]
+    old = batch((404, {"error": "no such page"}), (200, {"embedding": [1.0]}), (200, {"embedding": [2.0]}))(["a", "b"])
+    assert old.vectors == [[1.0], [2.0]] and old.requests == 3 and [a[0] for a in asked] == ["http://h:1/api/embed", *["http://h:1/api/embeddings"] * 2]
+    assert batch((404, {"error": "model m not found, try pulling it"}))(["a"]).category == "model-not-found" and len(asked) == 1
+    assert batch((200, {"odd": 1}), (200, {"embedding": [1.0]}))(["a"]).vectors == [[1.0]]
+    assert batch((200, {"embeddings": [[1.0], [2.0, 3.0]]}))(["a", "b"]).category == "dimension-mismatch"
+    assert batch((400, {}), (500, {}))(["a"]).category == "connection" and batch((500, {}))(["a"]).category == "connection"
+
+
+def test_engine_modes_and_roles(spark):
+    notes = spark.createDataFrame([("a/erth.md", "erth"), ("b.md", "b")], "path string, basename string")
+    chunks = spark.createDataFrame([("a/erth.md", 0, "c0", "the erth is round"), ("b.md", 0, "c1", "something else")], "path string, chunk_index int, chunk_id string, text string")
+    made = generation.embed_inputs(chunks.select("chunk_id", F.col("text").alias("input")), generation.word_embedder(16), 16).withColumn("ord", F.col("chunk_id"))
+    own = engine.SearchEngine(notes, chunks, made, generation.word_embedder(16), "words", 16)
+    assert own.search("semantic", "the erth is round").results.first().chunk_id == "c0" and own.search("hybrid", "erth round").semantic
+    bare = engine.SearchEngine(notes, chunks)
+    found = bare.search("hybrid", "erth")
+    assert not found.semantic and found.warnings and found.results.first().path == "a/erth.md"
+    assert bare.search("semantic", "erth").results.count() == 0
+    with pytest.raises(ValueError):
+        own.search("odd", "x")
+    with pytest.raises(PermissionError):
+        engine.Role(False).must_write()
+    with engine.cancellable(spark, "t1"):
+        assert spark.range(3).count() == 3
+    assert engine.cancel(spark, "t1") == []
