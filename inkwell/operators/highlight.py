@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +38,3 @@ def spans(text: Column, terms: list[str]) -> Column:
     pattern = f"(?i)({WORD}*?(?:{'|'.join(map(T.escaped, kept))}){WORD}*)"
     pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]")
     return F.filter(F.transform(pieces, lambda p, i: F.struct(p.alias("text"), (i % 2 == 1).alias("mark"))), lambda s: s["text"] != "")
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,10 +200,26 @@ def folder_notes(notes: DataFrame, folder: str, excluded: Column, limit: int = 2
     return inside.where(~F.col("_x")).drop("_x").orderBy(F.desc("mtime"), "path").limit(limit), totals
 
 
-def availability(status: DataFrame) -> DataFrame:
-    """Semantic search availability of status rows (published, complete, compatible, records, binary): the first problem found."""
-    rules = [(~F.col("published"), "missing"), (~F.col("complete"), "incomplete"), (~F.col("compatible"), "incompatible"), (F.col("records") == 0, "empty"), (F.col("binary") == "required", "binary-required"), (F.col("binary") == "stale", "binary-stale"), (F.col("binary") == "invalid", "binary-invalid")]
-    return status.withColumn("availability", reduce(lambda c, r: F.when(r[0], r[1]).otherwise(c), reversed(rules), F.lit("available")))
+def availability(status: DataFrame, provider: str, model: str, input_version: int, prefix_mode: str) -> DataFrame:
+    """status with availability of semantic search for a device's provider and model: the first problem found, or available.
+
+    status: readability (missing, empty, unreadable, readable), provider, model, dimensions, input_version,
+    prefix_mode (as published), valid (searchable records; null if they can't be counted here), source,
+    fallback (of choose_source). Where records can't be counted, only a binary copy makes them available.
+    """
+    c = F.col
+    incomplete = (F.coalesce(c("provider"), F.lit("")) == "") | (F.coalesce(c("model"), F.lit("")) == "") | (F.coalesce(c("dimensions"), F.lit(0)) == 0)
+    same = (c("provider") == provider) & (c("model") == model) & c("input_version").eqNullSafe(F.lit(input_version)) & c("prefix_mode").eqNullSafe(F.lit(prefix_mode))
+    uncounted = c("valid").isNull() | (c("readability") == "unreadable")
+    unloaded = (
+        F.when(c("source") == "binary", "available").when(c("fallback") == "binary-outdated", "binary-stale").when(c("fallback").isin("binary-invalid", "binary-read-failed"), "binary-invalid")
+        .when(c("fallback") == "no-safe-source", "binary-required").otherwise("corpus-load-failed")
+    )
+    found = (
+        F.when(c("readability") == "missing", "missing").when(incomplete, "incomplete").when(~same, "incompatible").when((c("readability") == "empty") | F.coalesce(c("valid") == 0, F.lit(False)), "empty")
+        .when(uncounted, unloaded).otherwise("available")
+    )
+    return status.withColumn("availability", found)
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:

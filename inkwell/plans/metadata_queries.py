@@ -65,8 +65,13 @@ def folder_notes(s, d):
 
 def semantic_availability(s, d):
     k = F.col("event_id")
-    r = table(s, d, "events").select("event_id", (k % 2 > 0).alias("published"), (k % 3 > 0).alias("complete"), (k % 5 > 0).alias("compatible"), (k % 7).alias("records"), F.when(k % 11 == 0, "required").when(k % 11 == 1, "stale").when(k % 11 == 2, "invalid").otherwise("ok").alias("binary"))
-    return X.availability(r).select("event_id", "availability")
+    pick = lambda by, *names: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    r = table(s, d, "events").select(
+        "event_id", pick(k, "readable", "readable", "missing", "unreadable", "empty", "readable", "readable").alias("readability"), pick(F.floor(k / 7), "ollama", "ollama", "ollama", "", "mistral").alias("provider"), pick(F.floor(k / 3), "m", "m", "m", "old").alias("model"),
+        pick(F.floor(k / 5), "64", "64", "64", "0").cast("int").alias("dimensions"), F.when(k % 13 > 0, 1).alias("input_version"), pick(F.floor(k / 11), "none", "none", "none", "nomic-search-query-document").alias("prefix_mode"), F.when(k % 3 > 0, k % 5).alias("valid"),
+        pick(F.floor(k / 2), "binary", "jsonl", "not-loaded").alias("source"), pick(F.floor(k / 4), "none", "binary-outdated", "binary-invalid", "no-safe-source", "binary-read-failed").alias("fallback"),
+    )
+    return X.availability(r, "ollama", "m", 1, "none").select("event_id", "availability")
 
 
 def file_names(s, d):
@@ -150,5 +155,7 @@ SELECT doc_id, fa AS frontmatter, CASE WHEN use IS NOT NULL THEN CASE WHEN lengt
     "parse_command": f"""WITH l AS (SELECT event_id, trim({numbered_sql(COMMANDS, 'event_id', 'event_type')}) AS t FROM events), p AS (SELECT *, string_split_regex(t, '\\s+') AS w FROM l), c AS (SELECT *, lower(w[1]) AS c FROM p)
 SELECT event_id, CASE WHEN NOT starts_with(t, '/') THEN 'search' WHEN c IN ('/ask', '/tags', '/yaml') THEN substring(c, 2) WHEN list_contains({list(X.RESERVED)!r}, c) THEN 'notImplemented' ELSE 'unknown' END AS kind,
   CASE WHEN NOT starts_with(t, '/') THEN t WHEN c = '/ask' THEN array_to_string(w[2:], ' ') WHEN c IN ('/tags', '/yaml') THEN '' ELSE c END AS argument FROM c""",
-    "semantic_availability": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'missing' WHEN event_id % 3 = 0 THEN 'incomplete' WHEN event_id % 5 = 0 THEN 'incompatible' WHEN event_id % 7 = 0 THEN 'empty' WHEN event_id % 11 = 0 THEN 'binary-required' WHEN event_id % 11 = 1 THEN 'binary-stale' WHEN event_id % 11 = 2 THEN 'binary-invalid' ELSE 'available' END AS availability FROM events",
+    "semantic_availability": """WITH e AS (SELECT event_id, event_id AS k, (['readable', 'readable', 'missing', 'unreadable', 'empty', 'readable', 'readable'])[event_id % 7 + 1] AS r, (['ollama', 'ollama', 'ollama', '', 'mistral'])[event_id // 7 % 5 + 1] AS p, (['m', 'm', 'm', 'old'])[event_id // 3 % 4 + 1] AS m,
+  event_id // 5 % 4 = 3 AS flat, event_id % 13 = 0 OR event_id // 11 % 4 = 3 AS other, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS valid, event_id // 2 % 3 = 0 AS copied, (['corpus-load-failed', 'binary-stale', 'binary-invalid', 'binary-required', 'binary-invalid'])[event_id // 4 % 5 + 1] AS why FROM events)
+SELECT event_id, CASE WHEN r = 'missing' THEN 'missing' WHEN p = '' OR flat THEN 'incomplete' WHEN p <> 'ollama' OR m <> 'm' OR other THEN 'incompatible' WHEN r = 'empty' OR valid = 0 THEN 'empty' WHEN valid IS NULL OR r = 'unreadable' THEN CASE WHEN copied THEN 'available' ELSE why END ELSE 'available' END AS availability FROM e""",
 }

@@ -66,9 +66,3 @@ def read_embeddings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     raw = spark.read.schema(StructType([*EMBEDDINGS.fields, StructField("_bad", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
     good = F.col("_bad").isNull() & (F.coalesce(F.col("chunkId"), F.lit("")) != "")
     return raw.where(good).drop("_bad"), raw.where(~good)
-
-
-def last_by_chunk(records: DataFrame) -> DataFrame:
-    """The last record (largest ordinal) of each chunkId."""
-    value = F.struct(*(c for c in records.columns if c != "chunkId"))
-    return records.groupBy("chunkId").agg(F.max_by(value, "ordinal").alias("r")).select("chunkId", "r.*")
