@@ -63,8 +63,26 @@ def release() -> None:
         pass
 
 
+#: Bytes of a batch that goes to a worker; the usual 64 MB are held several times over, by the executor and by the worker.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches() -> None:
+    """Lower the session's size of batches to BATCH_BYTES, unless it is lower already."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        said = spark.conf.get(BATCH_CONF, "64m")
+        now = -1 if said.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
+        if now < 0 or now > BATCH_BYTES:
+            spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def lean(function: Callable[[Batches], Batches], rows: int = 0) -> Callable[[Batches], Batches]:
-    """A function for mapInArrow that sees so many rows at a time, if given, and leaves no memory behind when it ends."""
+    """A function for mapInArrow that sees so many rows at a time, if given, and leaves no memory behind when it ends.
+
+    Batches of the session are small from then on.
+    """
+    small_batches()
 
     def run(batches: Batches) -> Batches:
         try:
