@@ -39,8 +39,8 @@ def _columns(keys: pa.Array) -> list[np.ndarray]:
     return [np.asarray(p) for p in parts]
 
 
-def _neighbours(lags: int, alike: float):
-    """(key, k, size) in order to pairs (a, b) of different k in one bucket, at most lags apart, that share a sample of the tail and are alike in size."""
+def _neighbours(lags: int, alike: float, bits: int):
+    """(key, k, size, sketch) in order to pairs (a, b) of different k in one bucket, at most lags apart, that share a sample of the tail and are alike in size and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ks, sizes = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
@@ -58,7 +58,8 @@ def _neighbours(lags: int, alike: float):
                 differ = (key[at] ^ key[at - lag]).view(np.uint64)
                 half = np.uint64((1 << TAIL // 2) - 1)
                 same = (differ >> np.uint64(TAIL) == 0) & ((differ & half == 0) | (differ >> np.uint64(TAIL // 2) & half == 0))
-                same &= np.minimum(sizes[at], sizes[at - lag]) >= alike * np.maximum(sizes[at], sizes[at - lag]) - 1e-9
+                long, short = sizes[at] >> 32, sizes[at - lag] >> 32
+                same &= (np.minimum(long, short) >= alike * np.maximum(long, short) - 1e-9) & (np.bitwise_count((sizes[at] ^ sizes[at - lag]).astype(np.uint64) & np.uint64(0xFFFFFFFF)) <= bits)
                 seconds.append(at[same])
                 firsts.append(at[same] - lag)
             yield pa.RecordBatch.from_arrays([ks.take(pa.array(np.concatenate(firsts))), ks.take(pa.array(np.concatenate(seconds)))], names=["a", "b"])
@@ -67,10 +68,11 @@ def _neighbours(lags: int, alike: float):
     return run
 
 
-def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float = 0.0) -> DataFrame:
+def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float = 0.0, bits: int = 32) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members k of keyed (key, k, size) that are close in the order of one of their buckets.
 
-    The lesser size of a pair is at least alike times the greater.
+    size is a long: the upper half a size, of which the lesser of a pair is at least alike times the
+    greater; the lower half a sketch, in which they differ in so many bits at most.
 
     Members of a bucket are sorted by the samples that follow the bucket's own, so that of many in one
     bucket the most alike come together. Each is paired with the next few, so a bucket of any size costs
@@ -91,7 +93,7 @@ def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float
         salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k", "bucket"), F.lit(n))).otherwise(0)
     ordered = rows.repartition(n, "bucket", salt).select("key", "k", "size").sortWithinPartitions("key", "k")
     kind = keyed.schema["k"].dataType.simpleString()
-    return ordered.mapInArrow(lean(_neighbours(lags, alike)), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(lean(_neighbours(lags, alike, bits)), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 100) -> DataFrame:

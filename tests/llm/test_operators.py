@@ -469,8 +469,8 @@ def test_windows_hold_every_word(monkeypatch, piece):
 
 def test_sorted_buckets_lose_no_pair_of_a_small_bucket(spark):
     r = random.Random(14)
-    rows = [(r.randrange(40) << graph.TAIL | 5, k, 10) for k in range(120)]
-    keyed = spark.createDataFrame(rows + rows[:30], "key long, k long, size int")
+    rows = [(r.randrange(40) << graph.TAIL | 5, k, 10 << 32) for k in range(120)]
+    keyed = spark.createDataFrame(rows + rows[:30], "key long, k long, size long")
     found = {(x.a, x.b) for x in graph.neighbours(keyed, keyed.limit(0), lags=200).collect()}
     assert found == {(a, b) for x, a, _ in rows for y, b, _ in rows if x == y and a < b}
     few = graph.neighbours(keyed, keyed, lags=1)
