@@ -33,8 +33,8 @@ from inkwell.llm.common import lean, partitions, whole_text
 
 #: Characters of text in a block, and the most buckets that words are dealt into.
 BLOCK_CHARS, MAX_BUCKETS = 6 << 20, 4096
-#: Words that a bucket's task remembers, some 60 MB; beyond that it starts afresh, which costs time only.
-MEMORY_WORDS = 400_000
+#: Words that a bucket's task remembers, some 30 MB; beyond that it starts afresh, which costs time only.
+MEMORY_WORDS = 150_000
 
 # Fixed values of byte-level pre-tokenisation: contractions, then letters, numbers, others, white space.
 CONTRACTIONS = r"'s|'t|'re|'ve|'m|'ll|'d"

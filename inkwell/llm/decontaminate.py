@@ -246,7 +246,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
                 found = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     found += [(doc_id, *leak) for leak in index.search(hashed(text.as_py(), known))]
-                    if len(known) > 500_000:
+                    if len(known) > 100_000:
                         known.clear()
                 columns = list(zip(*found)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], names=["doc_id", "item_id", "item_words", "edits", "first_word", "end_word"])
@@ -275,7 +275,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
                 clean = []
                 for text in batch.column("text"):
                     clean.append(not index.search(hashed(text.as_py() or "", known)))
-                    if len(known) > 500_000:
+                    if len(known) > 100_000:
                         known.clear()
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -281,7 +281,7 @@ def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
     pairs = scanned.select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n"))
     fitted = fit(labelled, {(r.a, r.b): r.n for r in pairs.collect()}, rules)  # at most one row for each pair of classes
 
-    def score(batches: Iterator[pa.RecordBatch], memory_runs: int = 300_000) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch], memory_runs: int = 100_000) -> Iterator[pa.RecordBatch]:
         known = Found(*fitted)
         for batch in batches:
             found = []

@@ -204,7 +204,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float, rules: Toxici
     return content, content + toxic_dictionary(*words, coded, rules), odds, weights
 
 
-def _score(model, memory_words: int = 300_000):
+def _score(model, memory_words: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, mixed, odds, weights = model.value
         ordinary, toxic, coded = compressor(content), compressor(mixed), Coded()
