@@ -265,14 +265,12 @@ def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False, block_ch
     # Word lists go to their bucket's task, which answers them; only then do they meet the blocks' positions.
     answers = rows.mapInArrow(lean(_blocks(shared, buckets, block_chars, True)), BLOCKS).repartition(n, "bucket").mapInArrow(lean(_answers(shared, memory_words)), BLOCKS)
     together = rows.mapInArrow(lean(_blocks(shared, buckets, block_chars, False)), BLOCKS).unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "bucket")
-    table = docs.sparkSession.sparkContext.broadcast(pieces(tokenizer_path)) if decoded else None
+    table = docs.sparkSession.sparkContext.broadcast(pieces(spec)) if decoded else None
     return together.mapInArrow(lean(_joined(buckets, table)), "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
 
-def pieces(tokenizer_path: str) -> list[bytes]:
-    """The bytes of every id."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = json.load(f)
+def pieces(spec: dict) -> list[bytes]:
+    """The bytes of every id of a byte-level tokenizer's file."""
     # Printable bytes stand for themselves, the others for the characters from 256 on, in order.
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = [b for b in range(256) if b not in printable]
@@ -286,7 +284,9 @@ def pieces(tokenizer_path: str) -> list[bytes]:
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded (with ids) with the text of its ids; null ids give null, bytes that are no UTF-8 the replacement character."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer_path))  # one entry for each id of the vocabulary
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(spec))  # one entry for each id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

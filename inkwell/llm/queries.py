@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, decontaminate, host_rules, language_id, line_dedup, near_dups, secrets, sharding, toxicity, weak_quality
+from inkwell.llm import alignment, bpe, chat, decontaminate, host_rules, language_id, line_dedup, near_dups, ranking, secrets, sharding, toxicity, weak_quality
 from inkwell.llm.common import load
 
 
@@ -52,6 +52,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_lines(load(spark, sf_dir, "sale_lines"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(chat.with_probe(spark, load(spark, sf_dir, "conversations")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.digest(alignment.align(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
@@ -63,8 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_ranking": op11_ranking,
+    "op12_chat": op12_chat,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op4_host_rules": host_rules.ORACLE,
+    "op11_ranking": ranking.ORACLE,
+    "op12_chat": chat.ORACLE,
 }
