@@ -1,4 +1,4 @@
-"""The search engine in one place: text, semantic and hybrid search over notes, chunks and their vectors; who may write; what can be cancelled."""
+"""The search engine in one place: text, semantic and hybrid search over notes, chunks and their vectors; what can be cancelled."""
 
 from __future__ import annotations
 
@@ -18,21 +18,6 @@ TEXT_HITS, SEMANTIC_HITS, PER_NOTE, SNIPPET = 40, 30, 3, 280
 WITHOUT_VECTORS = "The semantic part of the search is not available; only text results were used."
 
 
-@dataclass(frozen=True)
-class Role:
-    """What a session may do: a producer maintains the index and its vectors, a companion reads and searches."""
-
-    producer: bool = True
-
-    @property
-    def profile(self) -> str:
-        return "desktop" if self.producer else "mobile"
-
-    def must_write(self) -> None:
-        if not self.producer:
-            raise PermissionError("a companion reads and searches; it doesn't maintain the index")
-
-
 @contextmanager
 def cancellable(spark: SparkSession, name: str) -> Iterator[None]:
     """Jobs inside carry a tag; cancel(spark, name), from any thread, ends them and what they would have published is never pointed to."""
@@ -86,7 +71,7 @@ class SearchEngine:
         top = vectors.top_similar(own, vector, "path", "ord", threshold, PER_NOTE, limit).select("rank", "path", "chunk_id", "similarity", "ord")
         texts = self.chunks.select("chunk_id", "text").join(F.broadcast(top), "chunk_id")  # limit rows
         snippet = F.when(F.length("text") > SNIPPET, F.concat(F.substring("text", 1, SNIPPET), F.lit("..."))).otherwise(F.col("text"))
-        return texts.select("rank", "path", "chunk_id", "similarity", "ord", snippet.alias("snippet"))
+        return texts.select("rank", "path", "chunk_id", "similarity", "ord", snippet.alias("snippet")).orderBy("rank")
 
     def hybrid(self, query: str, limit: int = 20) -> Found:
         """Text hits of the query's telling terms and semantic hits of the whole query, fused; text hits alone if there is no vector."""

@@ -5,20 +5,21 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators import maintenance as M
 from inkwell.operators.providers import DEFAULT_INPUTS, MOST_INPUTS
 from inkwell.operators.vectors import valid_vector
-from inkwell.sources import publish  # noqa: F401
+from inkwell.sources import publish
 
-#: Inputs that are tried first, to learn the dimensions.
-PROBES = 3
+#: Inputs that are tried first, to learn the dimensions, and those of a part of the checkpoint.
+PROBES, PART_INPUTS = 3, 100_000
 
 
 @dataclass
@@ -137,59 +138,79 @@ def probe(inputs: DataFrame, provider: Provider, order: list[str]) -> int | None
 
 
 RECORD = ("chunk_id", "text_hash", "dimensions", "embedding", "input_hash", "provider", "model")
+RECORD_SCHEMA = "chunk_id string, text_hash string, dimensions int, embedding array<float>, input_hash string, provider string, model string"
+#: Parts of the checkpoint are tables of their own; a part is published when all of its inputs are answered.
+PART = "checkpoint-"
 
 
-def _kept(spark: SparkSession, root: str, table: str, none: DataFrame) -> DataFrame:
-    try:
-        return publish.read(spark, root, table)
-    except LookupError:
-        return none
+def checkpoint_parts(own: publish.Writer) -> list[str]:
+    return [] if own.since is None else [t for t in own.since.tables if t.startswith(PART)]
 
 
-def update_vectors(spark: SparkSession, root: str, chunks: DataFrame, provider: Provider, name: str, model: str, hash_of: Callable[[Column], Column], batch: int = DEFAULT_INPUTS) -> dict:
-    """Bring the vectors published in root up to date with chunks (chunk_id, text_hash, input, order columns path and chunk_index).
+def read_checkpoint(own: publish.Writer) -> DataFrame:
+    """Records of all parts of the checkpoint; of several of one chunk the last part's."""
+    rows = own.spark.createDataFrame([], RECORD_SCHEMA + ", part string")
+    for part in checkpoint_parts(own):
+        rows = rows.unionByName(own.read(part).where("embedding is not null").select(*RECORD, F.lit(part).alias("part")))
+    last = rows.groupBy("chunk_id").agg(F.max_by(F.struct(*RECORD), "part").alias("r"))
+    return last.select("r.*")
 
-    The plan says which records stay, which a checkpoint has and which are to be made. What is made is
-    written as the new checkpoint before anything is published, so a run that stops is taken up where it
-    was. Returns the plan's mode and counts, errors by category and whether it was published.
+
+def update_vectors(own: publish.Writer, chunks: DataFrame, provider: Provider, name: str, model: str, hash_of: Callable[[Column], Column], batch: int = DEFAULT_INPUTS, part_inputs: int = PART_INPUTS) -> dict:
+    """Bring the published vectors up to date with chunks (chunk_id, text_hash, input, order columns path and chunk_index).
+
+    The plan says which records stay, which a checkpoint has and which are to be made. Inputs are answered in
+    parts of about part_inputs; each part's vectors and errors are published as one more part of the checkpoint as soon as it is done, so a
+    run that is killed loses what its last part had asked for, and the next run asks for the rest only. What stops the provider ends the run
+    after its part. At the end the records are published and the checkpoint's parts dropped, in one version. Another writer's
+    publication in between raises Conflict; the parts before it stay. Returns the plan's mode and counts, errors by category and whether records were published.
     """
-    now = publish.pointer(spark, root)
-    manifest = {} if now is None else now.manifest
+    spark, manifest = own.spark, {} if own.since is None else own.since.manifest
     published = {k: v for k, v in manifest.get("embeddings", {}).items() if k not in ("total", "publication_id")}
     held = manifest.get("checkpoint") or {}
-    none = spark.createDataFrame([], "chunk_id string, text_hash string, dimensions int, embedding array<float>, input_hash string, provider string, model string")
     target = M.target_identity(name, model, published, held.get("dimensions") if (held.get("provider"), held.get("model")) == (name, model) else None)
     if target["dimensions"] is None:
         target["dimensions"] = probe(chunks, provider, ["path", "chunk_index", "chunk_id"])
-    canonical, checkpoint = _kept(spark, root, "embeddings", none), _kept(spark, root, "checkpoint", none)
-    own = hash_of(F.col("input"))
-    keyed = chunks.withColumn("published_hash", own).withColumn("target_hash", own)
-    valid = valid_vector(F.col("embedding"))
-    state = "missing" if "embeddings" not in manifest else "readable" if canonical.take(1) else "empty"
-    plan, origins = M.update_plan(keyed, canonical.select(*RECORD), checkpoint.select(*RECORD), published, target, valid, state)
-    row = plan.first().asDict()
-
-    wanted = keyed.join(origins.where("origin = 'generate'"), "chunk_id")
-    made = embed_inputs(wanted.repartition(max(1, min(spark.sparkContext.defaultParallelism, -(-row["to_generate"] // batch)))), provider, target["dimensions"], batch)
-    shape = [F.lit(target["dimensions"]).cast("int").alias("dimensions"), "embedding", F.col("target_hash").alias("input_hash"), F.lit(name).alias("provider"), F.lit(model).alias("model")]
-    taken = checkpoint.select(*RECORD).join(origins.where("origin = 'checkpoint'").select("chunk_id"), "chunk_id", "left_semi")
-    # Vectors and errors go out in one write: a second pass would ask the provider again.
-    kept = taken.withColumns({"error": F.lit(None).cast("string"), "fatal": F.lit(False)})
-    fresh = made.join(keyed.select("chunk_id", "text_hash", "target_hash"), "chunk_id").select("chunk_id", "text_hash", *shape, "error", "fatal")
-    since = now
-    publish.publish(spark, root, {"checkpoint": kept.unionByName(fresh)}, {"checkpoint": "chunk_id"}, {"checkpoint": target}, since)
-    written = publish.read(spark, root, "checkpoint")
-    errors = {r.error: r.n for r in written.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n")).collect()}
-    result = row | {"errors": errors, "published": False}
-    if written.where("fatal").take(1):
+    hashed = hash_of(F.col("input"))
+    with publish.staged(spark, own.root) as folder:
+
+        def pinned(df: DataFrame, table: str, *by: str) -> DataFrame:
+            df.write.partitionBy(*by).parquet(f"{folder}/{table}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{table}")
+
+        keyed = pinned(chunks.withColumn("published_hash", hashed).withColumn("target_hash", hashed), "chunks")
+        canonical = own.read("embeddings") if own.has("embeddings") else spark.createDataFrame([], RECORD_SCHEMA)
+        state = "missing" if "embeddings" not in manifest else "readable" if canonical.take(1) else "empty"
+        plan, origins = M.update_plan(keyed, canonical.select(*RECORD), read_checkpoint(own), published, target, valid_vector(F.col("embedding")), state)
+        origins = pinned(origins, "origins")
+        row = plan.first().asDict()
+
+        parts = -(-row["to_generate"] // part_inputs)
+        of_part = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, parts))).cast("int").alias("part")
+        wanted = keyed.join(origins.where("origin = 'generate'"), "chunk_id").select("chunk_id", "text_hash", "input", "target_hash", of_part)
+        wanted = pinned(wanted, "wanted", "part") if parts else wanted
+        shape = [F.lit(target["dimensions"]).cast("int").alias("dimensions"), "embedding", F.col("target_hash").alias("input_hash"), F.lit(name).alias("provider"), F.lit(model).alias("model")]
+        errors, stopped = Counter(), False
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-part_inputs // batch)))
+        for k in range(parts):
+            some = wanted.where(F.col("part") == k).drop("part")
+            made = embed_inputs(some.repartition(tasks), provider, target["dimensions"], batch).join(some.drop("input"), "chunk_id")
+            # Vectors and errors go out in one write: a second pass would ask the provider again.
+            table = f"{PART}{own.since.number + 1 if own.since else 1:012d}"
+            own.publish({table: made.select("chunk_id", "text_hash", *shape, "error", "fatal")}, None, {"checkpoint": target})
+            for r in own.read(table).where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.max("fatal").alias("fatal")).collect():
+                errors[r.error] += r.n
+                stopped |= r.fatal
+            if stopped:
+                break
+        result = row | {"errors": dict(errors), "published": False}
+        if not stopped and row["total"] and (row["to_generate"] or row["requires_publication"]):
+            reused = canonical.select(*RECORD).join(origins.where("origin = 'canonical'").select("chunk_id"), "chunk_id", "left_semi")
+            current = keyed.join(origins.where("origin <> 'canonical'").select("chunk_id"), "chunk_id", "left_semi").select("chunk_id", "text_hash", F.col("target_hash").alias("input_hash"))
+            fresh = read_checkpoint(own).join(current, ["chunk_id", "text_hash", "input_hash"], "left_semi")
+            publish.publish_records(own, reused.unionByName(fresh.select(*RECORD)), keyed, target, {"checkpoint": None}, checkpoint_parts(own))
+            result["published"] = True
         return result
-    reused = canonical.select(*RECORD).join(origins.where("origin = 'canonical'").select("chunk_id"), "chunk_id", "left_semi")
-    records = reused.unionByName(written.where("embedding is not null").select(*RECORD))
-    if row["total"] and (row["to_generate"] or row["requires_publication"]):
-        publish.publish_records(spark, root, records, chunks, target, publish.pointer(spark, root))
-        publish.publish(spark, root, {"checkpoint": none}, None, {"checkpoint": None}, publish.pointer(spark, root))
-        result["published"] = True
-    return result
 
 
 def update_entry(entries: DataFrame, path: str, vector: list[float], model: str) -> DataFrame:

@@ -103,14 +103,15 @@ def event_summary(events: DataFrame, most: int = 20) -> DataFrame:
 
 
 def apply_batch(index: DataFrame, changes: DataFrame, texts: DataFrame, excluded: Column, content_excluded: Column | None = None) -> DataFrame:
-    """The index (path, hash) after coalesced changes (type, path, old_path) with texts (path, hash, and text if content_excluded reads it).
+    """The index (path, hash, …) after coalesced changes (type, path, old_path) with texts (path, hash, …, and text if content_excluded reads it).
 
     Of each change but a delete: an excluded path loses its rows, the old one's too; without a text
     nothing changes; an excluded text is like an excluded path. A modify whose hash is the indexed one
-    changes nothing; a rename removes both paths and writes the new one.
+    changes nothing; a rename removes both paths and writes the new one. texts have the index's further columns.
     """
+    own = [c for c in index.columns if c != "path"]
     banned = content_excluded if content_excluded is not None else F.lit(False)
-    found = texts.withColumn("_banned", F.coalesce(banned, F.lit(False))).select("path", F.col("hash").alias("_hash"), "_banned")
+    found = texts.withColumn("_banned", F.coalesce(banned, F.lit(False))).select("path", *(F.col(name).alias(f"_{name}") for name in own), "_banned")
     c = changes.withColumn("_out", F.coalesce(excluded, F.lit(False))).join(found, "path", "left")
     delete = F.col("type") == "delete"
     out = ~delete & (F.col("_out") | F.coalesce("_banned", F.lit(False)))
@@ -118,8 +119,8 @@ def apply_batch(index: DataFrame, changes: DataFrame, texts: DataFrame, excluded
     both = F.array_compact(F.array("path", "old_path"))
     gone = F.when(delete, F.array(F.coalesce("old_path", "path"))).when(out, both).when(write & (F.col("type") == "rename"), both).when(write, F.array("path"))
     touched = c.select(F.explode(gone).alias("path")).distinct()
-    written = c.where(write).select("path", F.col("_hash").alias("hash")).dropDuplicates(["path"])
-    return index.join(touched, "path", "left_anti").select("path", "hash").unionByName(written)
+    written = c.where(write).select("path", *(F.col(f"_{name}").alias(name) for name in own)).dropDuplicates(["path"])
+    return index.join(touched, "path", "left_anti").unionByName(written)
 
 
 def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,29 @@ class Conflict(RuntimeError):
     """Another writer has published meanwhile."""
 
 
+class Busy(RuntimeError):
+    """Another operation of this session is under way on the same tables; kind says which."""
+
+    def __init__(self, kind: str) -> None:
+        super().__init__(f"busy: {kind}")
+        self.kind = kind
+
+
+@dataclass(frozen=True)
+class Role:
+    """What a session may do: a producer maintains the index and its vectors, a companion reads and searches."""
+
+    producer: bool = True
+
+    @property
+    def profile(self) -> str:
+        return "desktop" if self.producer else "mobile"
+
+    def must_write(self) -> None:
+        if not self.producer:
+            raise PermissionError("a companion reads and searches; it doesn't maintain the index")
+
+
 @dataclass(frozen=True)
 class Pointer:
     number: int
@@ -50,6 +75,11 @@ def write_file(spark: SparkSession, path: str, content: bytes, overwrite: bool =
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def read_file(spark: SparkSession, path: str) -> bytes:
     """A small file's bytes."""
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
@@ -70,39 +100,102 @@ def current(spark: SparkSession, root: str) -> str | None:
     return now and now.version
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_by: dict[str, str] | None = None, manifest: dict | None = None, since: Pointer | None | bool = False) -> str:
-    """Write the tables as a new version and point to it; returns its name. The pointer is written last.
-
-    manifest: sections to set; those of the version before stay otherwise, as do its tables that aren't
-    given. since: the pointer that the tables were made from; if another one is newest by then, Conflict
-    is raised and nothing is published.
-    """
+def _publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_by: dict[str, str] | None, manifest: dict | None, since: Pointer | None | bool, drop: Iterable[str] = ()) -> Pointer:
     before = pointer(spark, root)
     if since is not False and since != before:
         raise Conflict(f"{root} has changed")
-    version = uuid.uuid4().hex
+    version, rows = uuid.uuid4().hex, {}
     for name, df in tables.items():
-        key = (sort_by or {}).get(name)
-        (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.parquet(f"{root}/versions/{version}/{name}")
-    kept = {} if before is None else before.manifest
-    where = dict(kept.get("where", {})) | {name: version for name in tables}
-    said = {"version": version, "tables": sorted(where), "manifest": kept | (manifest or {}) | {"where": where}}
+        key, path = (sort_by or {}).get(name), f"{root}/versions/{version}/{name}"
+        (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.parquet(path)
+        rows[name] = spark.read.schema(df.schema).parquet(path).count()  # from the files' footers
+    kept, gone = {} if before is None else before.manifest, set(drop)
+    stays = lambda section: {k: v for k, v in kept.get(section, {}).items() if k not in gone}
+    where = stays("where") | {name: version for name in tables}
+    said = {"version": version, "tables": sorted(where), "manifest": kept | (manifest or {}) | {"where": where, "rows": stays("rows") | rows}}
+    number = (before.number if before else 0) + 1
     try:
-        write_file(spark, f"{root}/pointers/{(before.number if before else 0) + 1:012d}.json", json.dumps(said).encode())
+        write_file(spark, f"{root}/pointers/{number:012d}.json", json.dumps(said).encode())
     except Exception as e:
         if "FileAlreadyExists" in str(e):
             raise Conflict(f"{root} has changed") from e
         raise
-    return version
+    return Pointer(number, version, tuple(said["tables"]), json.loads(json.dumps(said["manifest"])))
 
 
-def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    now = pointer(spark, root)
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_by: dict[str, str] | None = None, manifest: dict | None = None, since: Pointer | None | bool = False) -> str:
+    """Write the tables as a new version and point to it; returns its name. The pointer is written last.
+
+    manifest: sections to set; those of the version before stay otherwise, as do its tables that aren't
+    given; rows of every table are counted in it. since: the pointer that the tables were made from; if another one is
+    newest by then, Conflict is raised and nothing is published. Operations of several steps use a writer().
+    """
+    return _publish(spark, root, tables, sort_by, manifest, since).version
+
+
+#: Operations of this session, by root.
+_under_way: dict[str, list[str]] = {}
+
+
+@dataclass
+class Writer:
+    """One operation on the tables in root; since is the version it reads and builds on."""
+
+    spark: SparkSession
+    root: str
+    kind: str
+    since: Pointer | None
+
+    def has(self, table: str) -> bool:
+        return self.since is not None and table in self.since.manifest["where"]
+
+    def read(self, table: str) -> DataFrame:
+        return _read(self.spark, self.root, self.since, table)
+
+    def publish(self, tables: dict[str, DataFrame], sort_by: dict[str, str] | None = None, manifest: dict | None = None, drop: Iterable[str] = ()) -> Pointer:
+        """Publish tables on top of since, which moves on; Conflict if anyone else has published meanwhile. drop: tables that the new version doesn't have."""
+        self.since = _publish(self.spark, self.root, tables, sort_by, manifest, self.since, drop)
+        return self.since
+
+
+@contextmanager
+def writer(spark: SparkSession, root: str, kind: str, role: Role = Role()) -> Iterator[Writer]:
+    """A Writer for an operation of a kind. Raises PermissionError for a companion, Busy while another operation of this session holds root.
+
+    Its jobs carry the kind as a tag, so that cancelling the tag ends them; what they would have published is never pointed to.
+    """
+    role.must_write()
+    mine = [kind]
+    if (holder := _under_way.setdefault(root, mine)) is not mine:  # one step, whatever other threads do
+        raise Busy(holder[0])
+    spark.addTag(kind)
+    try:
+        yield Writer(spark, root, kind, pointer(spark, root))
+    finally:
+        spark.removeTag(kind)
+        del _under_way[root]
+
+
+@contextmanager
+def staged(spark: SparkSession, root: str) -> Iterator[str]:
+    """A folder in root for tables that an operation pins down for itself; it is removed at the end."""
+    path, fs = _fs(spark, f"{root}/staged/{uuid.uuid4().hex}")
+    try:
+        yield path.toString()
+    finally:
+        fs.delete(path, True)
+
+
+def _read(spark: SparkSession, root: str, now: Pointer | None, table: str) -> DataFrame:
     if now is None or table not in now.manifest["where"]:
         raise LookupError(f"nothing of that name is published in {root}: {table}")
     return spark.read.parquet(f"{root}/versions/{now.manifest['where'][table]}/{table}")
 
 
+def read(spark: SparkSession, root: str, table: str) -> DataFrame:
+    return _read(spark, root, pointer(spark, root), table)
+
+
 def activate(spark: SparkSession, root: str, views: dict[str, str]) -> None:
     """Point temporary views (name to table) at the newest version, after it is published."""
     for view, table in views.items():
@@ -116,12 +209,13 @@ def validate_records(records: DataFrame, chunks: DataFrame, dimensions: int) ->
     return own.crossJoin(known).withColumn("valid", F.expr("duplicates = 0 and wrong_dimensions = 0 and unknown = 0"))  # one row each
 
 
-def publish_records(spark: SparkSession, root: str, records: DataFrame, chunks: DataFrame, identity: dict, since: Pointer | None | bool = False) -> str:
+def publish_records(own: Writer, records: DataFrame, chunks: DataFrame, identity: dict, manifest: dict | None = None, drop: Iterable[str] = ()) -> Pointer:
     """Publish vector records, sorted by chunk_id, with their identity in the manifest; records that don't pass the checks raise ValueError."""
     checks = validate_records(records, chunks, identity["dimensions"]).first()
     if not checks.valid:
         raise ValueError(f"records are not fit to be published: {checks.asDict()}")
-    return publish(spark, root, {"embeddings": records}, {"embeddings": "chunk_id"}, {"embeddings": identity | {"total": checks.records, "publication_id": uuid.uuid4().hex}}, since)
+    said = {"embeddings": identity | {"total": checks.records, "publication_id": uuid.uuid4().hex}}
+    return own.publish({"embeddings": records}, {"embeddings": "chunk_id"}, (manifest or {}) | said, drop)
 
 
 def maintain_copy(spark: SparkSession, root: str, copied_id, copy) -> str | None:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from inkwell.sources import publish
 
 META = "chunkId string, path string, index int, textHash string, embeddingInputHash string, vectorOrdinal long"
-MANIFEST, METADATA, VECTORS = "embeddings.binary.json", "embeddings.meta.jsonl", "embeddings.vectors.f32"
+#: Files of a generation carry its name; manifests are numbered, and the one of the greatest number that names a whole set counts.
+MANIFEST, METADATA, VECTORS = "embeddings.binary.{:012d}.json", "embeddings.{}.meta.jsonl", "embeddings.{}.vectors.f32"
 FORMAT, VERSION = "embeddings-binary", 1
 
 
@@ -67,72 +68,117 @@ def pack_vectors(vectors: list[list[float]]) -> bytes:
     return np.asarray(vectors, "<f4").tobytes()
 
 
+def manifests(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's manifests, the newest first."""
+    start, end = MANIFEST.split("{:012d}")
+    return [n for n in reversed(publish.names_in(spark, folder)) if n.startswith(start) and n.endswith(end) and n[len(start) : -len(end)].isdigit()]
+
+
 def write_set(spark: SparkSession, folder: str, records: DataFrame, identity: dict, publication_id: str, profile: str = "desktop") -> str:
     """Write records (chunkId, path, index, textHash, embeddingInputHash, embedding) as a set; returns its generation.
 
-    The format's limits are checked first, so what the driver holds is at most total_bytes. The manifest
-    goes last, with sizes and digests; a set whose writing stops before has none that fits, and isn't read.
+    The format's limits are checked first, so what the driver holds, as Arrow buffers, is at most total_bytes. The files have
+    names of their own and the manifest, with sizes and digests, goes last: until then, and if the writing stops before, the set
+    before it is the one that is read. It is checked before older sets are swept.
     """
     size = records.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunkId").alias("ids"), F.count_if((F.size("embedding") != identity["dimensions"]) | F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).alias("bad"), F.coalesce(F.sum(F.length("chunkId") * 4 + F.length("path") * 4 + 200), F.lit(0)).alias("meta")).first()
     code = spark.range(1).select(limit_code(F.lit(size.n), F.lit(identity["dimensions"]), F.lit(size.meta), profile)).first()[0]
     if code or size.bad or size.ids != size.n:
         raise BadSet(code or ("binary-vector-invalid" if size.bad else "binary-metadata-invalid"))
-    rows = records.select("chunkId", "path", "index", "textHash", "embeddingInputHash", "embedding").orderBy("chunkId").collect()  # within the limits
-    vectors = pack_vectors([r.embedding for r in rows]) if rows else b""
-    lines = [json.dumps({k: v for k, v in r.asDict().items() if k != "embedding" and v is not None} | {"vectorOrdinal": i}) for i, r in enumerate(rows)]
+    rows = records.select("chunkId", "path", "index", "textHash", "embeddingInputHash", F.col("embedding").cast("array<float>").alias("embedding")).orderBy("chunkId").toArrow()  # within the limits
+    vectors = b"".join(np.asarray(part.flatten(), "<f4").tobytes() for part in rows.column("embedding").chunks)
+    lines = [json.dumps({k: v for k, v in r.items() if v is not None} | {"vectorOrdinal": i}) for i, r in enumerate(rows.drop_columns(["embedding"]).to_pylist())]
     metadata = "".join(line + "\n" for line in lines).encode()
     generation = uuid.uuid4().hex
+    files = {"metadataFile": METADATA.format(generation), "vectorsFile": VECTORS.format(generation)}
     digest = lambda data: "sha256:" + hashlib.sha256(data).hexdigest()
     manifest = {
         "format": FORMAT, "version": VERSION, "generationId": generation, "sourcePublicationId": publication_id, "byteOrder": "little-endian", "numericType": "float32",
         "provider": identity["provider"], "model": identity["model"], "dimensions": identity["dimensions"], "inputFormatVersion": str(identity.get("input_version", 1)), "prefixMode": identity.get("prefix_mode", "none"),
-        "recordCount": len(rows), "metadataFile": METADATA, "vectorsFile": VECTORS, "metadataByteLength": len(metadata), "vectorsByteLength": len(vectors), "metadataDigest": digest(metadata), "vectorsDigest": digest(vectors),
+        "recordCount": len(lines), **files, "metadataByteLength": len(metadata), "vectorsByteLength": len(vectors), "metadataDigest": digest(metadata), "vectorsDigest": digest(vectors),
     }
-    publish.write_file(spark, f"{folder}/{VECTORS}", vectors, overwrite=True)
-    publish.write_file(spark, f"{folder}/{METADATA}", metadata, overwrite=True)
-    publish.write_file(spark, f"{folder}/{MANIFEST}", json.dumps(manifest).encode(), overwrite=True)
+    publish.write_file(spark, f"{folder}/{files['vectorsFile']}", vectors)
+    publish.write_file(spark, f"{folder}/{files['metadataFile']}", metadata)
+    newest = next(iter(manifests(spark, folder)), None)
+    number = 1 if newest is None else int(newest.split(".")[-2]) + 1
+    publish.write_file(spark, f"{folder}/{MANIFEST.format(number)}", json.dumps(manifest).encode())
+    check_set(spark, folder, MANIFEST.format(number), profile)
+    sweep_sets(spark, folder, MANIFEST.format(number))
     return generation
 
 
-def read_manifest(spark: SparkSession, folder: str) -> dict:
-    """A set's manifest; BadSet if the set lacks a file or its manifest isn't of this format."""
-    there = set(publish.names_in(spark, folder))
-    for name, kind in ((MANIFEST, "manifest"), (METADATA, "metadata"), (VECTORS, "vectors")):
-        if name not in there:
-            raise BadSet(f"binary-{kind}-missing")
+def read_manifest(spark: SparkSession, folder: str, name: str | None = None) -> dict:
+    """A manifest, the newest unless one is named; BadSet if there is none, if it isn't of this format or if a file that it names is missing."""
+    there = publish.names_in(spark, folder)
+    name = name or next(iter(manifests(spark, folder)), None)
+    if name is None:
+        raise BadSet("binary-manifest-missing")
     try:
-        m = json.loads(publish.read_file(spark, f"{folder}/{MANIFEST}"))
+        m = json.loads(publish.read_file(spark, f"{folder}/{name}"))
     except ValueError:
         raise BadSet("binary-manifest-invalid") from None
     if not isinstance(m, dict) or m.get("format") != FORMAT or m.get("version") != VERSION:
         raise BadSet("binary-unsupported-version" if isinstance(m, dict) and "version" in m else "binary-manifest-invalid")
-    texts = ("generationId", "sourcePublicationId", "provider", "model", "metadataDigest", "vectorsDigest")
+    texts = ("generationId", "sourcePublicationId", "provider", "model", "metadataFile", "vectorsFile", "metadataDigest", "vectorsDigest")
     counts = ("dimensions", "recordCount", "metadataByteLength", "vectorsByteLength")
     if not all(isinstance(m.get(k), str) and m[k] for k in texts) or not all(isinstance(m.get(k), int) and m[k] >= 0 for k in counts) or not m["dimensions"]:
         raise BadSet("binary-manifest-invalid")
+    for kind in ("metadata", "vectors"):
+        if m[f"{kind}File"] not in there:
+            raise BadSet(f"binary-{kind}-missing")
     return m
 
 
-def read_set(spark: SparkSession, folder: str, profile: str = "desktop") -> DataFrame:
-    """A set's records with their vectors, after checks of limits, sizes, digests, metadata and numbers; BadSet says what is wrong."""
-    m = read_manifest(spark, folder)
+def check_set(spark: SparkSession, folder: str, name: str | None = None, profile: str = "desktop") -> dict:
+    """The manifest of a set that passes all checks of limits, sizes, digests and metadata; BadSet says what is wrong."""
+    m = read_manifest(spark, folder, name)
     code = spark.range(1).select(limit_code(F.lit(m["recordCount"]), F.lit(m["dimensions"]), F.lit(m["metadataByteLength"]), profile)).first()[0]
     if code:
         raise BadSet(code)
-    parts = spark.read.format("binaryFile").load([f"{folder}/{METADATA}", f"{folder}/{VECTORS}"]).select(F.col("path").endswith(VECTORS).alias("vectors"), "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest")).collect()
+    parts = spark.read.format("binaryFile").load([f"{folder}/{m['metadataFile']}", f"{folder}/{m['vectorsFile']}"]).select(F.col("path").endswith(m["vectorsFile"]).alias("vectors"), "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest")).collect()
     for part in parts:
         kind = "vectors" if part.vectors else "metadata"
         if part.length != m[f"{kind}ByteLength"] or part.vectors and part.length != m["recordCount"] * m["dimensions"] * 4:
             raise BadSet("binary-size-mismatch")
         if part.digest != m[f"{kind}Digest"]:
             raise BadSet("binary-digest-mismatch")
-    meta = spark.read.schema(META + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/{METADATA}")
+    meta = spark.read.schema(META + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/{m['metadataFile']}")
     ordinal = F.col("vectorOrdinal")
     bad = F.col("_bad").isNotNull() | F.col("chunkId").isNull() | F.col("path").isNull() | F.col("textHash").isNull() | ~F.coalesce((F.col("index") >= 0) & (ordinal >= 0) & (ordinal < m["recordCount"]), F.lit(False))
     seen = meta.select("*").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunkId").alias("ids"), F.count_distinct("vectorOrdinal").alias("ordinals"), F.count_if(bad).alias("bad")).first()
     if seen.bad or not seen.n == seen.ids == seen.ordinals == m["recordCount"]:
         raise BadSet("binary-metadata-invalid")
-    return read_vectors(spark, f"{folder}/{METADATA}", f"{folder}/{VECTORS}", m["dimensions"])
+    return m
+
+
+def sweep_sets(spark: SparkSession, folder: str, keep: str) -> None:
+    """Remove all manifests but one, and then all files of sets that it doesn't name."""
+    m = read_manifest(spark, folder, keep)
+    for name in manifests(spark, folder):
+        if name != keep:
+            publish.remove(spark, f"{folder}/{name}")
+    ends = (METADATA.split("{}")[1], VECTORS.split("{}")[1])
+    for name in publish.names_in(spark, folder):
+        if name.endswith(ends) and name not in (m["metadataFile"], m["vectorsFile"]):
+            publish.remove(spark, f"{folder}/{name}")
+
+
+def recover_set(spark: SparkSession, folder: str, profile: str = "desktop") -> str | None:
+    """After a crash: the generation of the newest set that passes all checks, which alone is left in the folder; None if there is none, and then nothing is removed."""
+    for name in manifests(spark, folder):
+        try:
+            m = check_set(spark, folder, name, profile)
+        except BadSet:
+            continue
+        sweep_sets(spark, folder, name)
+        return m["generationId"]
+    return None
+
+
+def read_set(spark: SparkSession, folder: str, profile: str = "desktop") -> DataFrame:
+    """The newest set's records with their vectors, after all checks; BadSet says what is wrong."""
+    m = check_set(spark, folder, None, profile)
+    return read_vectors(spark, f"{folder}/{m['metadataFile']}", f"{folder}/{m['vectorsFile']}", m["dimensions"])
 
 
 def copied_publication(spark: SparkSession, folder: str) -> str | None:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -96,46 +97,83 @@ class Diagnostics(StreamingQueryListener):
         self.last.append(("ended", str(event.id), event.exception))
 
 
-def rebuild(spark: SparkSession, root: str, notes: DataFrame, chunk, excluded: Column, content_excluded: Column) -> dict:
-    """Publish the index and chunks of all notes (path, hash, text) that aren't excluded, as one job and one version; returns the counts.
+@dataclass(frozen=True)
+class Rules:
+    """What isn't indexed, by path and by text, and how notes (path, text) become chunks (path, …)."""
 
-    chunk turns notes (path, text) into chunks. Readers see the version before until all of it is written.
-    """
-    flags = notes.withColumn("_p", F.coalesce(excluded, F.lit(False))).withColumn("_c", F.coalesce(content_excluded, F.lit(False)))
-    totals = flags.agg(F.count_if(~F.col("_p") & ~F.col("_c")).alias("notes"), F.count_if("_p").alias("excluded_by_path"), F.count_if(~F.col("_p") & F.col("_c")).alias("excluded_by_content")).first().asDict()
-    kept = flags.where("not _p and not _c")
-    publish.publish(spark, root, {"index": kept.select("path", "hash"), "chunks": chunk(kept.select("path", "text"))}, {"index": "path"}, {"text": totals}, publish.pointer(spark, root))
-    return totals | {"chunks": publish.read(spark, root, "chunks").count()}
+    excluded: Column
+    content_excluded: Column
+    chunk: Callable[[DataFrame], DataFrame]
 
 
-def catch_up(spark: SparkSession, root: str, vault: DataFrame) -> int:
-    """Reconcile the published index (path, hash) with the vault (path, hash) before a stream starts; returns how many paths changed.
+def rebuild(own: publish.Writer, vault: DataFrame, rules: Rules) -> dict:
+    """Publish the index and chunks of all notes of vault (path, hash, text, …) that aren't excluded, as one version; returns the counts.
 
-    Events that came before are compacted to this one reconciliation: what they led to is in the vault.
+    The index has the vault's columns but text. Readers see the version before until all of it is written.
     """
-    index = publish.read(spark, root, "index")
-    changed = maintenance.changed_paths(index, vault.select("path", "hash")).count()
-    if changed:
-        publish.publish(spark, root, {"index": vault.select("path", "hash")}, {"index": "path"}, since=publish.pointer(spark, root))
-    return changed
+    flags = vault.withColumn("_p", F.coalesce(rules.excluded, F.lit(False))).withColumn("_c", F.coalesce(rules.content_excluded, F.lit(False)))
+    totals = flags.agg(F.count_if(~F.col("_p") & ~F.col("_c")).alias("notes"), F.count_if("_p").alias("excluded_by_path"), F.count_if(~F.col("_p") & F.col("_c")).alias("excluded_by_content")).first().asDict()
+    kept = flags.where("not _p and not _c").drop("_p", "_c")
+    now = own.publish({"index": kept.drop("text"), "chunks": rules.chunk(kept.select("path", "text"))}, {"index": "path", "chunks": "path"}, {"text": totals})
+    return totals | {"chunks": now.manifest["rows"]["chunks"]}
 
 
-def apply_stream(events: DataFrame, root: str, texts: DataFrame, excluded: Column, checkpoint: str) -> DataStreamWriter:
-    """Coalesce each micro-batch of events (seq, type, path, old_path) and publish the index that results.
+def apply_changes(own: publish.Writer, changes: DataFrame, vault: DataFrame, rules: Rules) -> int:
+    """Bring the published index and chunks up to date with coalesced changes (type, path, old_path), as one version; returns how many paths changed.
 
-    A batch that fails is retried by the engine with the same events; applying them again gives the
-    same index, since created, modified and moved notes are rebuilt from texts (path, hash).
+    vault (path, hash, text, …) is read once, for the changed paths only, and pinned down, so that index and
+    chunks come from the same texts whatever happens to the vault meanwhile. Only paths whose row changed are chunked again;
+    all others' chunks are carried over. Without a changed path nothing is published. Chunks of a path are those of its text in
+    the index: after any batch both are what a rebuild of the notes in the index would give.
+    """
+    spark, index, chunks = own.spark, own.read("index"), own.read("chunks")
+    with publish.staged(spark, own.root) as folder:
+
+        def pinned(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        changes = pinned(changes.select("type", "path", "old_path"), "changes")
+        wanted = changes.where("type <> 'delete'").select("path").distinct()
+        texts = pinned(vault.select(*index.columns, "text").join(wanted, "path", "left_semi"), "texts")
+        after = maintenance.apply_batch(index, changes, texts, rules.excluded, rules.content_excluded)
+        changed = pinned(maintenance.changed_paths(index, after), "changed")
+        n = changed.count()
+        if n:
+            stays = texts.join(changed.where("stays"), "path", "left_semi").select("path", "text")
+            own.publish({"index": after, "chunks": maintenance.replace_chunks(chunks, changed, rules.chunk(stays))}, {"index": "path", "chunks": "path"})
+    return n
+
+
+def catch_up(own: publish.Writer, vault: DataFrame, rules: Rules, reread: bool = False) -> dict:
+    """Reconcile the published index with the vault (path, hash, size, mtime, text) before a stream starts; returns counts of events and of changed paths.
+
+    Paths, sizes and times are compared; notes that are new or changed, and deletes of what is gone or excluded by
+    path, go through apply_changes() like a batch of events, so nothing that is excluded by its text gets in. With reread the texts of
+    all notes are held against the rules as well: that is for rules that have changed. Events that came before are
+    compacted to this one reconciliation: what they led to is in the vault.
+    """
+    banned = F.coalesce(rules.excluded, F.lit(False))
+    if reread:
+        banned = banned | F.coalesce(rules.content_excluded, F.lit(False))
+    plan = maintenance.reconcile(vault.where(~banned), own.read("index")).select(F.col("change_type").alias("type"), "path", F.lit(None).cast("string").alias("old_path"))
+    with publish.staged(own.spark, own.root) as folder:
+        plan.write.parquet(f"{folder}/plan")
+        plan = own.spark.read.schema(plan.schema).parquet(f"{folder}/plan")
+        counts = dict.fromkeys(("create", "modify", "delete"), 0) | {r["type"]: r["n"] for r in plan.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return counts | {"changed": apply_changes(own, plan, vault, rules) if any(counts.values()) else 0}
+
+
+def apply_stream(events: DataFrame, root: str, vault: DataFrame, rules: Rules, checkpoint: str, role: publish.Role = publish.Role()) -> DataStreamWriter:
+    """Coalesce each micro-batch of events (seq, type, path, old_path) and publish the index and chunks that result, in one version.
+
+    A batch that fails, as one does that another writer came before, is retried by the engine with the same events;
+    applying them again gives the same index, since created, modified and moved notes are rebuilt from the vault.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if batch.isEmpty():
-            return
-        changes = maintenance.coalesce_events(batch).select("type", "path", "old_path")
-        since = publish.pointer(spark, root)  # another writer's version makes the batch fail, and it is tried again on that
-        index = publish.read(spark, root, "index")
-        after = maintenance.apply_batch(index, changes, texts, excluded)
-        if maintenance.changed_paths(index, after).take(1):  # no change, no publication
-            publish.publish(spark, root, {"index": after}, since=since)
+        if not batch.isEmpty():
+            with publish.writer(batch.sparkSession, root, "automatic-batch", role) as own:
+                apply_changes(own, maintenance.coalesce_events(batch), vault, rules)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 """Goldens of chunker, hashes, hybrid parts, readers, publication and streams."""
 
+import dataclasses
 import hashlib
 import json
 import os
@@ -93,14 +94,41 @@ def test_publish_and_sweep(spark, tmp_path):
     assert spark.table("seen").count() == 5
 
 
+def publish_records(spark, root, *args):
+    with publish.writer(spark, root, "records") as own:
+        return publish.publish_records(own, *args)
+
+
+def test_a_writer_is_one_operation(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    with pytest.raises(PermissionError), publish.writer(spark, root, "rebuild", publish.Role(False)):
+        pass
+    with publish.writer(spark, root, "rebuild") as own:
+        with pytest.raises(publish.Busy) as e, publish.writer(spark, root, "automatic-batch"):
+            pass
+        assert e.value.kind == "rebuild" and own.since is None
+        first = own.publish({"a": spark.range(3), "b": spark.range(2)})
+        assert first.manifest["rows"] == {"a": 3, "b": 2}
+        assert own.publish({"a": spark.range(4)}, drop=["b"]) == own.since and own.since.tables == ("a",) and not own.has("b")
+        publish.publish(spark, root, {"c": spark.range(1)})  # someone else, between two publications of one operation
+        assert own.read("a").count() == 4 and not own.has("c")
+        with pytest.raises(publish.Conflict):
+            own.publish({"a": spark.range(5)})
+    assert publish.read(spark, root, "a").count() == 4
+    with pytest.raises(RuntimeError), publish.writer(spark, root, "x"):
+        raise RuntimeError
+    with publish.writer(spark, root, "y"):
+        pass
+
+
 def test_records_are_checked_before_publication(spark, tmp_path):
     root, identity = str(tmp_path / "pub"), {"provider": "p", "model": "m", "dimensions": 2}
     chunks = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     good = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [0.0, 1.0])], "chunk_id string, embedding array<double>")
     with pytest.raises(ValueError):
-        publish.publish_records(spark, root, good.unionByName(good), chunks, identity)
+        publish_records(spark, root, good.unionByName(good), chunks, identity)
     assert publish.pointer(spark, root) is None
-    publish.publish_records(spark, root, good, chunks, identity)
+    publish_records(spark, root, good, chunks, identity)
     assert publish.pointer(spark, root).manifest["embeddings"]["total"] == 2
 
 
@@ -109,14 +137,14 @@ def test_copy_follows_the_publication(spark, tmp_path):
     identity = {"provider": "p", "model": "m", "dimensions": 2}
     chunks = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     rows = spark.createDataFrame([("b", "p.md", 1, "h", None, [1.0, 2.5]), ("a", "p.md", 0, "h", "i", [0.0, 1.0])], "chunk_id string, path string, index int, textHash string, embeddingInputHash string, embedding array<float>")
-    publish.publish_records(spark, root, rows, chunks, identity)
+    publish_records(spark, root, rows, chunks, identity)
     made = []
 
     def copy(records, manifest):
         made.append(manifest["publication_id"])
         vectors_file.write_set(spark, folder, records.withColumnRenamed("chunk_id", "chunkId"), manifest, manifest["publication_id"])
         if len(made) == 1:
-            publish.publish_records(spark, root, rows, chunks, identity)  # a newer one supersedes it
+            publish_records(spark, root, rows, chunks, identity)  # a newer one supersedes it
 
     now = publish.maintain_copy(spark, root, lambda: vectors_file.copied_publication(spark, folder), copy)
     assert len(made) == 2 and now == made[1] == vectors_file.copied_publication(spark, folder)
@@ -130,7 +158,8 @@ def test_copy_follows_the_publication(spark, tmp_path):
             vectors_file.read_set(spark, folder).collect()
         return e.value.code
 
-    vectors, manifest = tmp_path / "copy" / vectors_file.VECTORS, tmp_path / "copy" / vectors_file.MANIFEST
+    there = vectors_file.read_manifest(spark, folder)
+    manifest, vectors = tmp_path / "copy" / vectors_file.manifests(spark, folder)[0], tmp_path / "copy" / there["vectorsFile"]
     for p in (tmp_path / "copy").glob(".*.crc"):
         p.unlink()
     said, data = json.loads(manifest.read_text()), vectors.read_bytes()
@@ -141,6 +170,41 @@ def test_copy_follows_the_publication(spark, tmp_path):
     assert code(lambda: vectors.unlink()) == "binary-vectors-missing" and vectors_file.copied_publication(spark, folder) is None
 
 
+def test_a_crash_leaves_a_copy_that_can_be_read(spark, tmp_path, monkeypatch):
+    folder, identity = str(tmp_path / "copy"), {"provider": "p", "model": "m", "dimensions": 2}
+    rows = lambda x: spark.createDataFrame([("a", "p.md", 0, "h", "i", [x, 1.0])], "chunkId string, path string, index int, textHash string, embeddingInputHash string, embedding array<float>")
+    assert vectors_file.recover_set(spark, folder) is None
+    first = vectors_file.write_set(spark, folder, rows(1.0), identity, "one")
+    write, files = publish.write_file, []
+
+    def dies(spark, path, content, overwrite=False):
+        if len(files) == stop:
+            raise OSError("killed")
+        files.append(path)
+        write(spark, path, content, overwrite)
+
+    for stop in (0, 1, 2):  # before the vectors, before the metadata, before the manifest
+        files.clear()
+        monkeypatch.setattr(publish, "write_file", dies)
+        with pytest.raises(OSError):
+            vectors_file.write_set(spark, folder, rows(2.0), identity, "two")
+        monkeypatch.setattr(publish, "write_file", write)
+        assert vectors_file.copied_publication(spark, folder) == "one" and [r.embedding for r in vectors_file.read_set(spark, folder).collect()] == [[1.0, 1.0]]
+    assert vectors_file.recover_set(spark, folder) == first and len([p for p in (tmp_path / "copy").iterdir() if not p.name.startswith(".")]) == 3
+    monkeypatch.setattr(vectors_file, "check_set", lambda *a: (_ for _ in ()).throw(OSError("killed")))  # after the manifest, before it is checked
+    with pytest.raises(OSError):
+        vectors_file.write_set(spark, folder, rows(3.0), identity, "three")
+    monkeypatch.undo()
+    assert vectors_file.copied_publication(spark, folder) == "three"
+    for p in (tmp_path / "copy").glob("*.f32"):
+        if first not in p.name:
+            p.with_name(f".{p.name}.crc").unlink()
+            p.write_bytes(b"torn")
+    with pytest.raises(vectors_file.BadSet):
+        vectors_file.read_set(spark, folder)
+    assert vectors_file.recover_set(spark, folder) == first and vectors_file.copied_publication(spark, folder) == "one"
+
+
 def test_batches_are_halved_around_what_is_refused():
     asked = []
 
@@ -156,24 +220,75 @@ def test_batches_are_halved_around_what_is_refused():
     assert generation.ordered_vectors([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]] and generation.ordered_vectors([(1, [2.0]), (1, [1.0])], 2) is None
 
 
-def test_vectors_are_brought_up_to_date(spark, tmp_path):
-    root, md5 = str(tmp_path / "pub"), lambda c: F.md5(c.cast("binary"))
+def update(spark, root, *args, **settings):
+    with publish.writer(spark, root, "vectors") as own:
+        return generation.update_vectors(own, *args, **settings)
 
-    def chunks(texts):
-        rows = [(f"c{i}", t, "p.md", i) for i, t in enumerate(texts)]
-        return spark.createDataFrame(rows, "chunk_id string, input string, path string, chunk_index int").withColumn("text_hash", md5(F.col("input")))
 
-    one = generation.update_vectors(spark, root, chunks(["a b", "c", "refuse me"]), generation.word_embedder(16, "refuse"), "local", "words", md5, 2)
+def MD5(c):
+    return F.md5(c.cast("binary"))
+
+
+def input_chunks(spark, texts):
+    rows = [(f"c{i}", t, "p.md", i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "chunk_id string, input string, path string, chunk_index int").withColumn("text_hash", MD5(F.col("input")))
+
+
+def test_vectors_are_brought_up_to_date(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    run = lambda texts, provider: update(spark, root, input_chunks(spark, texts), provider, "local", "words", MD5, 2, part_inputs=2)
+    one = run(["a b", "c", "refuse me"], generation.word_embedder(16, "refuse"))
     assert (one["mode"], one["to_generate"], one["errors"], one["published"]) == ("initial-build", 3, {"input-rejected": 1}, True)
-    assert publish.read(spark, root, "embeddings").count() == 2
-    two = generation.update_vectors(spark, root, chunks(["a b", "changed", "fine"]), generation.word_embedder(16), "local", "words", md5, 2)
+    assert publish.read(spark, root, "embeddings").count() == 2 and publish.pointer(spark, root).tables == ("embeddings",)
+    two = run(["a b", "changed", "fine"], generation.word_embedder(16))
     assert (two["mode"], two["reusable"], two["to_generate"], two["published"]) == ("incremental", 1, 2, True)
-    three = generation.update_vectors(spark, root, chunks(["a b", "changed", "fine", "new"]), lambda x: generation.Reply(category="connection"), "local", "words", md5, 2)
+    three = run(["a b", "changed", "fine", "new"], lambda x: generation.Reply(category="connection"))
     assert (three["to_generate"], three["errors"], three["published"]) == (1, {"connection": 1}, False)
     assert publish.read(spark, root, "embeddings").count() == 3
-    four = generation.update_vectors(spark, root, chunks(["a b", "changed", "fine", "new"]), generation.word_embedder(16), "local", "words", md5, 2)
+    four = run(["a b", "changed", "fine", "new"], generation.word_embedder(16))
     assert (four["reusable"], four["to_generate"], four["published"]) == (3, 1, True)
-    assert publish.read(spark, root, "embeddings").count() == 4
+    assert publish.read(spark, root, "embeddings").count() == 4 and publish.pointer(spark, root).tables == ("embeddings",)
+    same = run(["a b", "changed", "fine", "new"], generation.word_embedder(16))
+    assert (same["to_generate"], same["published"]) == (0, False)
+
+
+def test_a_killed_run_asks_for_the_rest_only(spark, tmp_path):
+    root, asked, texts = str(tmp_path / "pub"), tmp_path / "asked", [f"text {i}" for i in range(40)]
+    asked.mkdir()
+
+    def provider(kill_at):
+        folder, embed = str(asked), generation.word_embedder(16)
+
+        def run(inputs):
+            for text in inputs:
+                with open(f"{folder}/{os.getpid()}", "a") as f:
+                    f.write(text + "\n")
+            done = sum(len(open(f"{folder}/{n}").readlines()) for n in os.listdir(folder))
+            if kill_at is not None and done > kill_at:
+                raise RuntimeError("killed")
+            return embed(inputs)
+
+        return run
+
+    def said():
+        found = [line.strip() for p in asked.iterdir() for line in p.read_text().splitlines()]
+        for p in asked.iterdir():
+            p.unlink()
+        return found
+
+    run = lambda provider: update(spark, root, input_chunks(spark, texts), provider, "local", "words", MD5, 4, part_inputs=10)
+    with pytest.raises(Exception, match="killed"):
+        run(provider(22))
+    first = said()
+    with publish.writer(spark, root, "look") as own:
+        kept = {f"text {r.chunk_id[1:]}" for r in generation.read_checkpoint(own).collect()}
+    assert kept and kept < set(first) and len(publish.pointer(spark, root).tables) >= 1
+    result = run(provider(None))
+    second = said()
+    probes = [t for t in second if second.count(t) > 1]
+    assert result["recoverable"] == len(kept) and result["to_generate"] == 40 - len(kept) and result["published"]
+    assert not kept & set(second) and set(second) == set(texts) - kept and not probes
+    assert publish.read(spark, root, "embeddings").count() == 40 and publish.pointer(spark, root).tables == ("embeddings",)
 
 
 def test_vectors_file(spark, tmp_path):
@@ -186,18 +301,83 @@ def test_vectors_file(spark, tmp_path):
         vectors_file.read_vectors(spark, str(tmp_path / "m.jsonl"), str(tmp_path / "v.f32"), 3, "no").collect()
 
 
-def test_streams(spark, tmp_path):
-    source, root = str(tmp_path / "events"), str(tmp_path / "index")
-    rows = [(1, "create", "n.md", None), (2, "modify", "a.md", None), (3, "delete", "b.md", None)]
-    spark.createDataFrame(rows, "seq long, type string, path string, old_path string").withColumn("ts", F.timestamp_seconds(F.col("seq") * 10)).write.parquet(source)
-    publish.publish(spark, root, {"index": spark.createDataFrame([("a.md", "1"), ("b.md", "2"), ("c.md", "3")], "path string, hash string")})
-    texts = spark.createDataFrame([("n.md", "9"), ("a.md", "8")], "path string, hash string")
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    E.apply_stream(stream, root, texts, ~policy.is_markdown(F.col("path")), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-    assert {(r.path, r.hash) for r in publish.read(spark, root, "index").collect()} == {("n.md", "9"), ("a.md", "8"), ("c.md", "3")}
-    query = E.debounced(stream.select("path", "ts", "seq")).writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {r.path for r in spark.table("bursts").collect()} <= {"n.md", "a.md", "b.md"}
+VAULT = "path string, hash string, size long, mtime long, text string"
+
+
+def vault_of(spark, texts, times=()):
+    """Notes (path to text) as a vault."""
+    rows = [(p, hashlib.md5(t.encode()).hexdigest(), len(t), dict(times).get(p, 1), t) for p, t in texts.items()]
+    return spark.createDataFrame(rows, VAULT)
+
+
+def rules_of():
+    chunk = lambda n: chunking.chunk_notes(n.withColumn("k", F.lit(0)), "k").drop("k")
+    return E.Rules(F.col("path").startswith("x/") | ~policy.is_markdown(F.col("path")), F.col("text").contains("secret"), chunk)
+
+
+def published(spark, root):
+    """The index and the chunks, which must be those of a rebuild of the same notes."""
+    index = {r.path: r.hash for r in publish.read(spark, root, "index").collect()}
+    return index, sorted((r.chunk_id, r.text) for r in publish.read(spark, root, "chunks").collect())
+
+
+def rebuilt(spark, root, texts):
+    with publish.writer(spark, root, "rebuild") as own:
+        E.rebuild(own, vault_of(spark, texts), rules_of())
+    return published(spark, root)
+
+
+LONG = "many words of a long note " * 100
+
+
+def test_streams_keep_index_and_chunks(spark, tmp_path):
+    source, root, events = str(tmp_path / "events"), str(tmp_path / "index"), "seq long, type string, path string, old_path string"
+    texts = {"a.md": "old a", "b.md": LONG, "c.md": LONG + "c", "d.md": "d", "s.md": "to be secret", "m.md": LONG + "m"}
+    start = {**texts, "s.md": "not yet"}
+    rebuilt(spark, root, start)
+    batches = [
+        ([(1, "create", "n.md", None), (2, "modify", "a.md", None), (3, "delete", "b.md", None), (4, "modify", "gone.md", None)], {"n.md": LONG + "n", "a.md": LONG + "a"}, ["b.md"]),
+        ([(5, "rename", "e.md", "c.md"), (6, "modify", "s.md", None), (7, "rename", "x/d.md", "d.md"), (8, "modify", "m.md", None)], {"e.md": LONG + "c", "s.md": "now secret"}, ["c.md", "s.md", "d.md"]),
+        ([(9, "modify", "m.md", None), (10, "create", "y.txt", None)], {"y.txt": "no note"}, ["y.txt"]),
+    ]
+    now, versions, stream = dict(start), [publish.current(spark, root)], None
+    for k, (rows, written, gone) in enumerate(batches):
+        now = {p: t for p, t in (now | written).items()}
+        spark.createDataFrame(rows, events).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events).parquet(source)
+        E.apply_stream(stream, root, vault_of(spark, now), rules_of(), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        left = {p: t for p, t in now.items() if p not in gone}
+        now = left
+        got = published(spark, root)
+        assert got == rebuilt(spark, str(tmp_path / f"fresh{k}"), left) and len({c.split("::")[0] for c, _ in got[1]}) == len(left)
+        versions.append(publish.current(spark, root))
+    assert len(set(versions)) == 3 and publish.names_in(spark, f"{root}/staged") == []  # the last batch changed nothing
+    with pytest.raises(Exception, match="companion"):
+        spark.createDataFrame([(11, "delete", "a.md", None)], events).write.mode("append").parquet(source)
+        E.apply_stream(stream, root, vault_of(spark, now), rules_of(), str(tmp_path / "ck"), publish.Role(False)).trigger(availableNow=True).start().awaitTermination()
+    timed = spark.createDataFrame([("a.md", 1, 10)], "path string, seq long, s long").select("path", "seq", F.timestamp_seconds("s").alias("ts"))
+    timed.write.parquet(f"{source}-timed")
+    bursts = E.debounced(spark.readStream.schema(timed.schema).parquet(f"{source}-timed"))
+    bursts.writeStream.format("memory").queryName("bursts").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert {r.path for r in spark.table("bursts").collect()} <= {"a.md"}
+
+
+def test_texts_that_change_during_a_batch_leave_one_version(spark, tmp_path):
+    root, calls = str(tmp_path / "pub"), spark.sparkContext.accumulator(0)
+    rebuilt(spark, root, {"a.md": "old"})
+    first = vault_of(spark, {"a.md": LONG})
+
+    def moving(n):  # another text at each evaluation
+        calls.add(1)
+        return n
+
+    drawn = F.udf(lambda t: f"{t} {os.urandom(4).hex()}")
+    vault = first.withColumn("text", drawn.asNondeterministic()("text")).withColumn("hash", F.md5(F.col("text").cast("binary")))
+    with publish.writer(spark, root, "batch") as own:
+        changes = spark.createDataFrame([("modify", "a.md", None)], "type string, path string, old_path string")
+        assert E.apply_changes(own, changes, vault, E.Rules(F.lit(False), F.lit(False), lambda n: n.withColumn("chunk_id", F.concat("path", F.lit("::0"))).select("path", F.lit(0).alias("chunk_index"), "chunk_id", "text"))) == 1
+    index, chunks = published(spark, root)
+    assert index["a.md"] == hashlib.md5(chunks[0][1].encode()).hexdigest() and moving(1) == 1
 
 
 def test_hybrid_query_terms_read_whole_texts(spark, tmp_path):
@@ -226,13 +406,31 @@ def test_dirty_states_fire(spark, tmp_path):
 
 def test_rebuild_and_catch_up(spark, tmp_path):
     root = str(tmp_path / "pub")
-    notes = spark.createDataFrame([("a.md", "1", "text"), ("x/b.md", "2", "text"), ("c.md", "3", "secret")], "path string, hash string, text string")
     listener = E.Diagnostics(2)
-    counts = E.rebuild(spark, root, notes, lambda n: n.select("path", F.lit(0).alias("chunk_index"), "text"), F.col("path").startswith("x/"), F.col("text").contains("secret"))
-    assert counts == {"notes": 1, "excluded_by_path": 1, "excluded_by_content": 1, "chunks": 1}
-    vault = spark.createDataFrame([("a.md", "9"), ("d.md", "4")], "path string, hash string")
-    assert E.catch_up(spark, root, vault) == 2 and E.catch_up(spark, root, vault) == 0
-    assert {(r.path, r.hash) for r in publish.read(spark, root, "index").collect()} == {("a.md", "9"), ("d.md", "4")} and listener.last.maxlen == 2
+    with publish.writer(spark, root, "rebuild") as own:
+        counts = E.rebuild(own, vault_of(spark, {"a.md": "text", "x/b.md": "text", "c.md": "a secret", "d.md": LONG, "e.md": "e", "f.md": "f"}), rules_of())
+    assert counts == {"notes": 4, "excluded_by_path": 1, "excluded_by_content": 1, "chunks": 3 + len(chunking.chunks_of(LONG))}
+    texts = {"a.md": LONG + "new", "x/b.md": "text", "c.md": "a secret", "d.md": LONG, "e.md": "now secret", "n.md": "new", "s.md": "new secret"}
+    vault = vault_of(spark, texts, {"a.md": 2, "e.md": 2}.items())
+
+    def caught(vault, rules, **settings):
+        with publish.writer(spark, root, "catch-up") as own:
+            return E.catch_up(own, vault, rules, **settings)
+
+    # f is gone; c and s are candidates that their texts keep out; e has to leave; a touched note changes nothing.
+    assert caught(vault, rules_of()) == {"create": 3, "modify": 2, "delete": 1, "changed": 4}
+    left = {p: texts[p] for p in ("a.md", "d.md", "n.md")}
+    assert published(spark, root) == rebuilt(spark, str(tmp_path / "fresh"), left)
+    assert caught(vault, rules_of())["changed"] == 0
+    touched = vault_of(spark, texts, {"a.md": 2, "e.md": 2, "d.md": 9}.items())
+    before = publish.current(spark, root)
+    assert caught(touched, rules_of())["changed"] == 0 and publish.current(spark, root) == before
+    stricter = dataclasses.replace(rules_of(), content_excluded=F.col("text").rlike("secret|new"))
+    assert caught(vault, stricter)["changed"] == 0  # nothing was changed in the vault
+    assert caught(vault, stricter, reread=True) == {"create": 0, "modify": 0, "delete": 2, "changed": 2}
+    assert published(spark, root) == rebuilt(spark, str(tmp_path / "fresh2"), {"d.md": LONG}) and listener.last.maxlen == 2
+    with pytest.raises(LookupError), publish.writer(spark, str(tmp_path / "nothing"), "catch-up") as own:
+        E.catch_up(own, vault, rules_of())
 
 
 def test_remote_providers():
@@ -285,8 +483,6 @@ def test_engine_modes_and_roles(spark):
     assert bare.search("semantic", "erth").results.count() == 0
     with pytest.raises(ValueError):
         own.search("odd", "x")
-    with pytest.raises(PermissionError):
-        engine.Role(False).must_write()
     with engine.cancellable(spark, "t1"):
         assert spark.range(3).count() == 3
     assert engine.cancel(spark, "t1") == []
