@@ -66,9 +66,10 @@ def fold(log: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("opened", "role", "message").rowsBetween(Window.unboundedPreceding, -1)
     left = heads.where("opened is not null").withColumn("last_cut", F.max("cut").over(before)).where("last_cut is null or last_cut < opened")
     on = [F.col(f"e.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("conv_id", "message")]
-    pieces = events.alias("e").join(left.alias("h"), reduce(lambda a, b: a & b, on)).where("e.at >= h.reset and e.kind <> 'regenerate'")
+    pieces = events.alias("e").join(left.alias("h"), reduce(lambda a, b: a & b, on)).where("e.at >= h.reset")
     rank = F.when(F.col("e.kind") == "delta", 1).otherwise(0)
-    told = pieces.groupBy("e.conv_id", "e.message").agg(F.first("h.opened").alias("opened"), F.first("h.role").alias("role"), F.sort_array(F.collect_list(F.struct("e.at", rank.alias("rank"), "e.text"))).alias("told"))
+    said = F.when(F.col("e.kind") == "regenerate", "").otherwise(F.col("e.text"))
+    told = pieces.groupBy("e.conv_id", "e.message").agg(F.first("h.opened").alias("opened"), F.first("h.role").alias("role"), F.sort_array(F.collect_list(F.struct("e.at", rank.alias("rank"), said.alias("text")))).alias("told"))
     return told.select("conv_id", "opened", "message", "role", F.array_join(F.col("told.text"), "").alias("text"))
 
 
