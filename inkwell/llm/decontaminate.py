@@ -4,8 +4,9 @@ Texts and items are sequences of symbols: words (lower case, letters and digits)
 of scripts without spaces. A document contains an item if some stretch of it is within ``edits`` symbol
 edits of the item, a fifth of its symbols. Items of one or two symbols are matched exactly.
 
-1. Seeds: by the q-gram lemma such a stretch shares at least symbols - 2 - 3 x edits symbol trigrams with
-   the item, so documents with fewer hold no copy; this drops nearly all of them and loses none.
+1. Seeds: by the q-gram lemma such a stretch shares at least symbols - (q - 1) - q x edits runs of q symbols with
+   the item, so documents with fewer hold no copy; this drops nearly all of them and loses none. q is three, or two where
+   three might leave no run (items of five symbols, which may have one edit).
 2. Around the seeds' diagonals, item-sized windows are embedded by the CGK random walk, which maps
    edit distance to Hamming distance. For each of many independent walks, the symbols at a few
    sampled steps form a key; a window is a candidate for the items with an equal key.
@@ -68,8 +69,13 @@ def grams(h: np.ndarray, size: int = GRAM) -> np.ndarray:
 
 
 def most_edits(words: int, share: float) -> int:
-    """Edits allowed: the share, but so few that an intact trigram is left."""
-    return max(0, min(int(share * words), (words - GRAM) // GRAM))
+    """Edits allowed."""
+    return int(share * words)
+
+
+def seed_size(words: int, share: float) -> int:
+    """Symbols of a seed: as many as GRAM, but so few that the edits allowed leave one intact."""
+    return next(q for q in range(min(GRAM, words), 0, -1) if q == 1 or most_edits(words, share) <= (words - q) // q)
 
 
 class Walks:
@@ -146,7 +152,7 @@ class Index:
         kept = [(i, h) for i, t in items if len(h := hashed(t, known))]
         long = [(i, h) for i, h in kept if len(h) >= GRAM]
         short = [(i, h) for i, h in kept if len(h) < GRAM]
-        seeds = sorted((g, k, at) for k, (_, h) in enumerate(long) for at, g in enumerate(grams(h).tolist()))
+        seeds = sorted((seed_size(len(h), rules.share), g, k, at) for k, (_, h) in enumerate(long) for at, g in enumerate(grams(h, seed_size(len(h), rules.share)).tolist()))
         keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         by_length: dict[int, list[int]] = defaultdict(list)
         for k, (_, h) in enumerate(long):
@@ -160,19 +166,21 @@ class Index:
         pairs = sorted((int(grams(h, len(h))[0]), len(h), k) for k, (_, h) in enumerate(short))
         return (
             [i for i, _ in long], np.concatenate([np.zeros(0, np.uint64), *(h for _, h in long)]), np.array([len(h) for _, h in long], np.int64),
-            np.array([s[0] for s in seeds], np.uint64), np.array([s[1] for s in seeds], np.int32), np.array([s[2] for s in seeds], np.int32),
+            {q: (np.array([s[1] for s in own], np.uint64), np.array([s[2] for s in own], np.int32), np.array([s[3] for s in own], np.int32)) for q in range(GRAM, 0, -1) if (own := [s for s in seeds if s[0] == q])},
             np.concatenate(keys)[order], np.concatenate(owners)[order],
             [i for i, _ in short], np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64), np.array([p[2] for p in pairs], np.int64),
         )
 
     def __init__(self, arrays: tuple, rules: LeakRules) -> None:
-        ids, flat, sizes, self.grams, self.owners, self.offsets, self.keys, self.key_owners, self.short_ids, self.short, self.short_sizes, self.short_owners = arrays
+        ids, flat, sizes, self.seeds, self.keys, self.key_owners, self.short_ids, self.short, self.short_sizes, self.short_owners = arrays
         self.rules, self.walks = rules, Walks(rules)
         self.items = list(zip(ids, np.split(flat, np.cumsum(sizes)[:-1]))) if len(ids) else []
         self.edits = [most_edits(len(h), rules.share) for _, h in self.items]
-        self.needed = [max(1, len(h) - GRAM + 1 - GRAM * e) for (_, h), e in zip(self.items, self.edits)]
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.grams >> np.uint64(42)).astype(np.int64)] = True
+        seeds = [seed_size(len(h), rules.share) for _, h in self.items]
+        self.needed = [max(1, len(h) - q + 1 - q * e) for (_, h), e, q in zip(self.items, self.edits, seeds)]
+        self.filters = {q: np.zeros(1 << 22, bool) for q in self.seeds}
+        for q, (hashes, _, _) in self.seeds.items():
+            self.filters[q][(hashes >> np.uint64(42)).astype(np.int64)] = True
 
     def exact(self, h: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
         """Items of one or two symbols, at their first places."""
@@ -186,14 +194,15 @@ class Index:
 
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item id, its words, edits, first word, word after the last) of each item in a text's word hashes."""
-        own, exact = grams(h), self.exact(h)
-        likely = np.flatnonzero(self.filter[(own >> np.uint64(42)).astype(np.int64)])
-        if not len(likely) or not len(self.grams):
+        exact, hits = self.exact(h), []
+        for q, (hashes, owners, offsets) in self.seeds.items():
+            own = grams(h, q)
+            likely = np.flatnonzero(self.filters[q][(own >> np.uint64(42)).astype(np.int64)])
+            places, hit = found_in(hashes, own[likely])
+            hits.append((likely[places], owners[hit], offsets[hit]))
+        if not sum(len(at) for at, _, _ in hits):
             return exact
-        places, hit = found_in(self.grams, own[likely])
-        if not len(hit):
-            return exact
-        at, owner, offset = likely[places], self.owners[hit], self.offsets[hit]
+        at, owner, offset = (np.concatenate(c) for c in zip(*hits))
         windows: dict[int, set[int]] = defaultdict(set)
         for k, n in zip(*np.unique(owner, return_counts=True)):
             if n >= self.needed[k]:
@@ -230,30 +239,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
 
     One row for each document and item, at the best stretch; of an item of one or two symbols at the
     first. Null texts and items without a symbol hold nothing; null ids stay null. Repeated documents give repeated rows, repeated items a
-    row each; empty tables give no rows; extra columns are left out.
+    row each, though each text is searched for once; empty tables give no rows; extra columns are left out.
     """
     spark = docs.sparkSession
-    passes = max(1, -(-items.count() // rules.items_at_once))
+    named = items.select("item_id", F.xxhash64(whole_text()).alias("k1"), F.xxhash64(F.lit(17), whole_text()).alias("k2"), whole_text().alias("text"))
+    texts = named.select("k1", "k2", "text").distinct()
+    passes = max(1, -(-texts.count() // rules.items_at_once))
     rows = docs.select("doc_id", whole_text().alias("text"))
     result = None
     for k in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select("item_id", whole_text().alias("text")).collect()  # about items_at_once
-        shared = spark.sparkContext.broadcast(Index.arrays([(r.item_id, r.text) for r in sorted(some, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))], rules))
+        some = sorted(texts.where(F.pmod("k1", F.lit(passes)) == k).collect(), key=lambda r: r.text)  # about items_at_once
+        keys = [(r.k1, r.k2) for r in some]
+        shared = spark.sparkContext.broadcast((keys, Index.arrays([(i, r.text) for i, r in enumerate(some)], rules)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, known = Index(shared.value, rules), WordHashes()
+            keys, arrays = shared.value
+            index, known = Index(arrays, rules), WordHashes()
             for batch in batches:
                 found = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    found += [(doc_id, *leak) for leak in index.search(hashed(text.as_py(), known))]
+                    found += [(doc_id, *keys[leak[0]], *leak[1:]) for leak in index.search(hashed(text.as_py(), known))]
                     if len(known) > 100_000:
                         known.clear()
-                columns = list(zip(*found)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[2:])], names=["doc_id", "item_id", "item_words", "edits", "first_word", "end_word"])
+                columns = list(zip(*found)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.int32()) for c in columns[3:])], names=["doc_id", "k1", "k2", "item_words", "edits", "first_word", "end_word"])
 
-        part = rows.mapInArrow(lean(run, 1000), "doc_id long, item_id long, item_words int, edits int, first_word int, end_word int")
+        part = rows.mapInArrow(lean(run, 1000), "doc_id long, k1 long, k2 long, item_words int, edits int, first_word int, end_word int")
         result = part if result is None else result.unionByName(part)
-    return result
+    return result.join(named.drop("text"), ["k1", "k2"]).select("doc_id", "item_id", "item_words", "edits", "first_word", "end_word")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()) -> DataFrame:
@@ -264,9 +277,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
     rows; columns of any name go through unchanged.
     """
     spark = docs.sparkSession
-    kept, passes = docs, max(1, -(-items.count() // rules.items_at_once))
+    kept, passes = docs, max(1, -(-items.select(whole_text()).distinct().count() // rules.items_at_once))
     for k in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select(whole_text().alias("text")).distinct().collect()  # about items_at_once
+        some = items.select(whole_text().alias("text")).distinct().where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).collect()  # about items_at_once
         shared = spark.sparkContext.broadcast(Index.arrays([(0, t) for t in sorted(r.text for r in some)], rules))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
