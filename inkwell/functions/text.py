@@ -16,22 +16,57 @@ SPACE = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u
 MARKS = "\\u0300-\\u036F"
 
 
-def _latin_bases() -> tuple[str, str]:
-    """Composed letters whose decomposition is one letter and marks, and that letter."""
-    pairs = []
-    for point in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(point))
-        if len(parts) > 1 and all(0x300 <= ord(c) <= 0x36F for c in parts[1:]):
-            pairs.append((chr(point), parts[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Composed letters of all scripts whose decomposition without MARKS is one letter, those letters, and what the others become; Hangul is left out, a rule has it."""
+    singles, others = [], {}
+    for point in range(0xC0, 0x110000):
+        c = chr(point)
+        bare = re.sub(f"[{MARKS}]", "", parts) if (parts := unicodedata.normalize("NFD", c)) != c else c
+        if len(bare) == 1 and bare != c:
+            singles.append((c, bare))
+        elif bare != c and not 0xAC00 <= point < 0xAC00 + 11172:
+            others[c] = bare
+    return "".join(a for a, _ in singles), "".join(b for _, b in singles), others
 
 
-COMPOSED, BASES = _latin_bases()
+COMPOSED, BASES, EXPANDED = _decompositions()
+
+
+def _ranges(points: list[int], apart: int = 512) -> list[list[int]]:
+    """A few ranges that hold all the points, and some between."""
+    found: list[list[int]] = []
+    for p in sorted(points):
+        if found and p - found[-1][1] <= apart:
+            found[-1][1] = p
+        else:
+            found.append([p, p])
+    return found
+
+
+#: What may be a character that becomes several: syllables of Hangul, and ranges around those of EXPANDED.
+SEVERAL = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in [[0xAC00, 0xD7A3], *_ranges([ord(c) for c in EXPANDED])]) + "]"
+
+
+def _expanded(c: Column) -> Column:
+    """One character, decomposed if it becomes several."""
+    s = F.ascii(c) - 0xAC00
+    jamo = lambda first, n, k: F.get(F.array(*(F.lit(chr(first + i)) for i in range(n))), k.cast("int"))
+    last = F.when(s % 28 == 0, F.lit("")).otherwise(jamo(0x11A7, 28, s % 28))
+    syllable = F.concat(jamo(0x1100, 19, F.floor(s / 588)), jamo(0x1161, 21, F.floor(s % 588 / 28)), last)
+    table = F.create_map(*(F.lit(x) for pair in EXPANDED.items() for x in pair))
+    return F.when((s >= 0) & (s < 11172), syllable).otherwise(F.coalesce(F.element_at(table, c), c))
 
 
 def strip_accents(text: Column) -> Column:
-    """The letter-by-letter map is left out where all is ASCII."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, COMPOSED, BASES), f"[{MARKS}]", "")).otherwise(text)
+    """Text decomposed (NFD) without MARKS, in any script; of other marks the order stays as written. What is all ASCII is left alone."""
+    plain = F.regexp_replace(F.translate(text, COMPOSED, BASES), f"[{MARKS}]", "")
+    several = F.array_join(F.transform(F.split(plain, ""), _expanded), "")
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), text).when(plain.rlike(SEVERAL), several).otherwise(plain)
+
+
+def in_order(text: Column) -> list[Column]:
+    """Columns to sort names and paths by: letters before case and accents before either, as readers expect; what is equal by that, by code point."""
+    return [F.collate(text, "UNICODE").asc(), text.asc()]
 
 
 def collapse(text: Column) -> Column:

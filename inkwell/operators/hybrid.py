@@ -41,6 +41,7 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("int")
 
 
+# Fixed numbers of the scale.
 def text_scale(score: Column, best: Column, only_stop: Column) -> Column:
     """A text score from 0 to 100 relative to the best."""
     raw = F.when((score < 15) | (best <= 15), 0.0).when(best < 30, score / best * 60).otherwise(score / best * 100)
@@ -69,7 +70,7 @@ def fuse(text_hits: DataFrame, semantic_hits: DataFrame, weights: tuple[float, f
     x, y = F.col("text_score") / 100 * weights[0], F.col("semantic_score") / 100 * weights[1]
     final = F.when(has_t & has_s, half_up((x + y) * 100)).when(has_t, half_up(x * 100)).when(has_s, F.col("semantic_score")).otherwise(0)
     source = F.when(F.col("text_score").isNotNull() & F.col("semantic_score").isNotNull(), "hibrida").when(F.col("text_score").isNotNull(), "textual").otherwise("semantica")
-    ordered = [F.desc("final_score"), F.desc_nulls_last("text_score"), F.desc(F.coalesce("semantic_score", F.lit(0))), F.asc("path")]
+    ordered = [F.desc("final_score"), F.desc_nulls_last("text_score"), F.desc(F.coalesce("semantic_score", F.lit(0))), *T.in_order(F.col("path"))]
     top = both.select("path", "text_score", "semantic_score", final.cast("int").alias("final_score"), source.alias("source"), "text_origin").orderBy(*ordered).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*ordered)).cast("int"))
 
@@ -91,6 +92,7 @@ def folder_of(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
 
+# Fixed factors.
 def folder_multiplier(current: Column, related: Column) -> Column:
     """1.15 in the same folder, 1.05 under the same root, else 0.85."""
     a, b = F.lower(folder_of(current)), F.lower(folder_of(related))

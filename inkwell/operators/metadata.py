@@ -107,9 +107,9 @@ def folder_candidates(folders: DataFrame, current: str, haystack: str, inbox: st
     score = F.when(f == current, 100).otherwise(0) + F.when(~f.contains("/"), 30).otherwise(0) + F.when((seg != "") & h.contains(seg), 20).otherwise(0) + F.when((full != "") & h.contains(full), 30).otherwise(0)
     scored = folders.select("folder").distinct().where(~taken_in).select("folder", score.cast("int").alias("score"))
     root = ~f.contains("/")
-    first = scored.where(root).orderBy("folder").limit(roots).select("folder", F.lit(0).alias("place"))
+    first = scored.where(root).orderBy(*T.in_order(f)).limit(roots).select("folder", F.lit(0).alias("place"))
     placed = scored.join(F.broadcast(first), "folder", "left").withColumn("place", F.when(F.col("place") == 0, 0).when(f == current, 1).otherwise(2))  # at most roots rows
-    order = [F.asc("place"), F.asc(F.when(F.col("place") == 0, f)), F.desc("score"), F.asc("folder")]
+    order = [F.asc("place"), *T.in_order(F.when(F.col("place") == 0, f)), F.desc("score"), *T.in_order(f)]
     return placed.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int")).select("rank", "folder", "score")
 
 
@@ -197,7 +197,7 @@ def folder_notes(notes: DataFrame, folder: str, excluded: Column, limit: int = 2
     limit = min(20, max(1, limit))
     inside = notes.where(F.col("path").startswith(folder + "/")).withColumn("_x", excluded)
     totals = inside.agg(F.count(F.lit(1)).alias("found"), F.count_if("_x").alias("excluded"), F.greatest(F.count_if(~F.col("_x")) - limit, F.lit(0)).alias("truncated"))
-    return inside.where(~F.col("_x")).drop("_x").orderBy(F.desc("mtime"), "path").limit(limit), totals
+    return inside.where(~F.col("_x")).drop("_x").orderBy(F.desc("mtime"), *T.in_order(F.col("path"))).limit(limit), totals
 
 
 def availability(status: DataFrame, provider: str, model: str, input_version: int, prefix_mode: str) -> DataFrame:

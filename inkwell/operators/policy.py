@@ -102,8 +102,11 @@ def redacted(message: Column) -> Column:
     return F.when(F.length(line) > 220, F.concat(F.substring(line, 1, 217), F.lit("..."))).otherwise(line)
 
 
-# Fixed classes of statuses.
+# Fixed classes of statuses, and those that are one input's own fault.
+STATUSES = {401: "authentication", 403: "authorization", 404: "model-not-found", 408: "timeout", 413: "input-rejected", 429: "rate-limit"}
+OWN_FAULT = ("input-rejected",)
+
+
 def http_category(status: Column) -> Column:
-    known = {401: "authentication", 403: "authorization", 404: "model-not-found", 408: "timeout", 413: "input-rejected", 429: "rate-limit"}
     found = F.when(status >= 500, "connection").otherwise("unknown")
-    return reduce(lambda c, kv: F.when(status == kv[0], kv[1]).otherwise(c), known.items(), found)
+    return reduce(lambda c, kv: F.when(status == kv[0], kv[1]).otherwise(c), STATUSES.items(), found)

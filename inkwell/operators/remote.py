@@ -8,13 +8,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from inkwell.operators.generation import Reply, ordered_vectors
-from inkwell.operators.providers import first_message
+from inkwell.operators.policy import OWN_FAULT, STATUSES
+from inkwell.operators.providers import BASE_URLS, EMBEDDING_MODELS, first_message
 
 #: (address, headers, body) to (status, text); a TimeoutError or OSError says that there was no answer.
 Transport = Callable[[str, dict[str, str], dict], tuple[int, str]]
 
-# Fixed classes of statuses: category, whether it is one input's own fault.
-STATUSES = {401: ("authentication", False), 403: ("authorization", False), 404: ("model-not-found", False), 408: ("timeout", False), 413: ("input-rejected", True), 429: ("rate-limit", False)}
 WRONG_PLACE = (400, 404, 405, 422)
 
 
@@ -23,8 +22,8 @@ def failed(category: str, message: str | None = None, own: bool = False, request
 
 
 def by_status(status: int, message: str | None, requests: int = 1) -> Reply:
-    category, own = STATUSES.get(status, ("connection" if status >= 500 else "unknown", False))
-    return failed(category, message, own, requests)
+    category = STATUSES.get(status, "connection" if status >= 500 else "unknown")
+    return failed(category, message, category in OWN_FAULT, requests)
 
 
 def names_missing_model(message: str | None) -> bool:
@@ -133,3 +132,22 @@ class BatchProvider:
                 return failed("model-not-found", message, requests=requests) if names_missing_model(message) else by_status(status, message, requests)
             found.append(data.get("embedding") if isinstance(data, dict) else None)
         return checked(found, len(inputs), requests)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a user has set: a provider's name, and what differs from its defaults. Addresses are cleaned by providers.base_url()."""
+
+    provider: str
+    base_url: str = ""
+    model: str = ""
+    api_key: str = ""
+
+
+def dispatch(settings: Settings, transport: Transport) -> Callable[[list[str]], Reply]:
+    """The provider that the settings name, whatever its case; one that nothing is known of answers that it isn't supported."""
+    name = settings.provider.strip().lower()
+    if name not in BASE_URLS:
+        return lambda inputs: failed("unsupported-provider" if inputs else "configuration", f"no such provider: {settings.provider}", requests=0)
+    url, model = settings.base_url.strip().rstrip("/") or BASE_URLS[name], settings.model.strip() or EMBEDDING_MODELS[name]
+    return BatchProvider(transport, url, model) if name == "ollama" else ItemProvider(transport, url, model, settings.api_key)

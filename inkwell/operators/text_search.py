@@ -99,6 +99,7 @@ def name_hits(notes: DataFrame, query: str) -> DataFrame:
     count = lambda k: total([F.when(any_match(c), 1).otherwise(0) for c in of(k)])
     a = a.withColumn("_nn", count("n")).withColumn("_pn", count("p"))
     a = a.withColumn("_nraw", total([term_score(c, NAME) for c in of("n")])).withColumn("_praw", total([term_score(c, PATH) for c in of("p")]))
+    # Fixed numbers of the score.
     half_up = lambda x: F.floor(x + 0.5).cast("int")
     in_path = phrase(F.col("_path"), wanted)
     score = (
@@ -139,6 +140,6 @@ def search_text(notes: DataFrame, chunks: DataFrame, query: str, per_note: int =
     hits = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= per_note).join(last_notes(notes), "_key")
     content = hits.select("path", "chunk_id", F.lit("conteudo").alias("origin"), "score", "matched", "coverage", "terms_found", T.snippet(F.col("text"), query).alias("snippet"))
     place = F.when(F.col("origin") == "nome", 0).when(F.col("origin") == "caminho", 1).otherwise(2)
-    ordered = [F.desc("score"), F.desc("coverage"), place.asc(), F.asc("path"), F.asc_nulls_first("chunk_id")]
+    ordered = [F.desc("score"), F.desc("coverage"), place.asc(), *T.in_order(F.col("path")), F.asc_nulls_first("chunk_id")]
     top = names.unionByName(content).orderBy(*ordered).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*ordered)).cast("int"))

@@ -1,12 +1,15 @@
-"""Exact cosine search over vectors held as arrays."""
+"""Exact cosine search over vectors: blocks of them against a query, or column against column."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 THRESHOLD = 0.30
 
@@ -28,14 +31,39 @@ def cosine(a: Column, b: Column, mismatch: Column | None = None) -> Column:
     return F.when(F.size(a) == F.size(b), value).otherwise(F.lit(None).cast("double") if mismatch is None else mismatch)
 
 
+def block_similarity(block: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosine of every row with the query, 0 where a norm is 0. Sums run row by row in one order, so equal rows get equal values."""
+    norms = np.sqrt((block * block).sum(1)) * math.sqrt(float((query * query).sum()))
+    products = (block * query).sum(1)
+    return np.divide(products, norms, out=np.zeros(len(block)), where=norms != 0)
+
+
+#: Numbers of a block; batches of longer vectors are taken in several blocks.
+BLOCK_NUMBERS = 1 << 20
+
+
 def scored(records: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
-    """records with similarity; rows of other lengths are dropped. The query's norm is one number."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    norm = math.sqrt(sum(float(x) * float(x) for x in query))
-    v = F.col(vector)
-    own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    value = F.when((own == 0) | F.lit(norm == 0), F.lit(0.0)).otherwise(dot(v, q) / (own * F.lit(norm or 1.0)))
-    return records.where(F.size(vector) == len(query)).withColumn("similarity", value)
+    """records with similarity; rows of other lengths, or without a vector, are dropped.
+
+    Vectors come in Arrow batches, whose numbers lie one after another: a batch is a matrix without a copy of any row.
+    A null in a vector makes its similarity null.
+    """
+    wanted, at = [float(x) for x in query], records.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array(wanted)
+        step = max(1, BLOCK_NUMBERS // max(1, len(q)))
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                some = batch.slice(k, step)
+                numbers = some.column(at).flatten()
+                block = np.asarray(numbers.fill_null(float("nan")) if numbers.null_count else numbers).astype(np.float64).reshape(some.num_rows, -1)
+                found = block_similarity(block, q) if len(q) else np.zeros(some.num_rows)
+                lost = np.isnan(block).any(1) if numbers.null_count else np.zeros(some.num_rows, bool)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.float64(), mask=lost)], names=[*some.schema.names, "similarity"])
+
+    fitting = records.where(F.size(vector) == len(wanted))
+    return fitting.mapInArrow(run, StructType([*fitting.schema.fields, StructField("similarity", DoubleType())]))
 
 
 def top_similar(records: DataFrame, query: Sequence[float], note: str, order: str, threshold: float = THRESHOLD, per_note: int = 3, limit: int = 20, cap_first: bool = False) -> DataFrame:

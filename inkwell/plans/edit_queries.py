@@ -33,7 +33,7 @@ def device_token(s, d):
 
 def sections(s, d):
     k = F.col("doc_id")
-    text = F.concat(F.when(k % 3 > 0, F.concat(F.lit("intro\n## Analysis\n"), F.substring("text", 1, 50), F.lit("\n"))).otherwise("none\n"), F.when(k % 2 == 0, "## Next\nrest").otherwise("### deeper\nrest"))
+    text = F.concat(F.when(k % 3 > 0, F.concat(F.lit("intro\n## Analysis\n"), F.col("text"), F.lit("\n"))).otherwise("none\n"), F.when(k % 2 == 0, "## Next\nrest").otherwise("### deeper\nrest"))
     return notes(s, d).select("doc_id", E.section(text, "## Analysis").alias("section"), E.generated(text).alias("generated"))
 
 
@@ -150,7 +150,7 @@ QUERIES = {
 
 W = r"[\p{Lu}\p{Ll}\p{Lt}0-9_-]"
 MARKED = f"(?i)({W}*?(?:erth|ng a){W}*)"
-SECTION = "CASE WHEN doc_id % 3 > 0 THEN 'intro' || chr(10) || '## Analysis' || chr(10) || substring(text, 1, 50) || chr(10) ELSE 'none' || chr(10) END"
+SECTION = "CASE WHEN doc_id % 3 > 0 THEN 'intro' || chr(10) || '## Analysis' || chr(10) || text || chr(10) ELSE 'none' || chr(10) END"
 FIRST = "list_filter(list_transform({x}, lambda v, i: CASE WHEN {k} <> '' AND list_position(list_transform({x}, lambda w: {kw}), {k}) = i THEN v END), lambda v: v IS NOT NULL)"
 NL = "chr(10)"
 ORACLES = {
@@ -158,7 +158,7 @@ ORACLES = {
     "highlight_spans": f"WITH x AS (SELECT doc_id, regexp_extract_all(text, '{MARKED}', 1) AS m, list_filter(string_split_regex(regexp_replace(text, '{MARKED}', chr(57344), 'g'), chr(57344)), lambda t: t <> '') AS o FROM documents) SELECT doc_id, (len(m) + len(o))::INT AS spans, len(m)::INT AS marks, array_to_string(m, '|') AS marked FROM x",
     "highlight_terms": "SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda t: length(t) >= 2 AND lower(t) NOT IN ('de', 'do', 'da', 'em', 'no', 'na', 'os', 'as', 'dos', 'das', 'ao', 'aos', 'para', 'com', 'por', 'que', 'se', 'um', 'uma')), '|') AS terms FROM part",
     "device_token": f"""WITH RECURSIVE h AS (SELECT doc_id, {HASH} AS v FROM documents), t(doc_id, v, s) AS (SELECT doc_id, v::BIGINT, '' FROM h UNION ALL SELECT doc_id, v // 36, substring('0123456789abcdefghijklmnopqrstuvwxyz', (v % 36 + 1)::BIGINT, 1) || s FROM t WHERE v > 0 OR s = '') SELECT doc_id, s AS token FROM t WHERE v = 0 AND s <> ''""",
-    "sections": f"SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '## Analysis' || {NL} || substring(text, 1, 50) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE {NL} || '### deeper' || {NL} || 'rest' END ELSE '' END AS section, doc_id % 3 > 0 AS generated FROM documents",
+    "sections": f"SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '## Analysis' || {NL} || text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE {NL} || '### deeper' || {NL} || 'rest' END ELSE '' END AS section, doc_id % 3 > 0 AS generated FROM documents",
     "comparable_tasks": f"WITH t AS (SELECT c_custkey, c_custkey % 4 AS k, lower({clean('c_name')}) AS n FROM customer) SELECT c_custkey, CASE k WHEN 0 THEN '- [ ] ' WHEN 1 THEN '- [x] ' WHEN 3 THEN '* ' ELSE '' END || 'call ' || n || ' now' AS text, CASE WHEN k = 3 THEN '* ' ELSE '' END || 'call ' || n || ' now' AS task FROM t",
     "prompt_texts": f"SELECT doc_id, {', '.join(f'CASE WHEN length(text) > {n} THEN substring(text, 1, {n}) || chr(10) || chr(10) || {chr(39)}[truncated]{chr(39)} ELSE text END AS {name}' for name, n in (('one', 8000), ('several', 4000)))} FROM documents",
     "note_tags": """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN ['a_b', 'c', 'cor'] ELSE ['cor', 'a_b'] END AS own, 't' || doc_id % 4 AS t, doc_id FROM documents), e AS (SELECT doc_id, list_append(own, t) AS e, t FROM t)

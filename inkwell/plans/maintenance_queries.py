@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import in_order
 from inkwell.operators import maintenance as M
 from inkwell.operators import policy
 from inkwell.operators.vectors import valid_vector
@@ -143,12 +144,14 @@ def resource_guard(s, d):
     return table(s, d, "orders").select("o_orderkey", desk[0].alias("desktop_peak"), desk[1].alias("desktop_allowed"), mob[0].alias("mobile_peak"), mob[1].alias("mobile_allowed"))
 
 
-STATUSES = "explode(array(401, 403, 404, 408, 413, 429, 500, 503, 418, 200))"
+STATUSES = (401, 403, 404, 408, 413, 429, 500, 503, 418, 200)
 
 
 def http_classify(s, d):
+    """What errors of the events would mean as statuses, which are taken from their numbers."""
     c = policy.http_category(F.col("status"))
-    return s.range(1).select(F.expr(STATUSES).alias("status")).select("status", c.alias("category"), F.when(F.col("status") == 413, "input").otherwise("operation").alias("scope"), (F.col("status") != 413).alias("fatal"))
+    status = F.get(F.array(*map(F.lit, STATUSES)), (F.col("event_id") % len(STATUSES)).cast("int"))
+    return table(s, d, "events").where("event_type = 'error'").select("event_id", status.alias("status")).select("event_id", "status", c.alias("category"), F.when(F.col("status") == 413, "input").otherwise("operation").alias("scope"), (F.col("status") != 413).alias("fatal"))
 
 
 def redact_message(s, d):
@@ -179,7 +182,7 @@ QUERIES = {
     "embedding_state_summary": lambda s, d: M.state_summary(states(s, d), records(s, d)),
     "mixed_identity": lambda s, d: M.mixed_identity(records(s, d), IDENTITY),
     "update_plan": update_plan, "update_plan_records": lambda s, d: case(s, d, "compatible")[1], "missing_vectors": missing_vectors,
-    "validation_candidates": lambda s, d: chunks(s, d).orderBy("path", "chunk_index", "chunk_id").limit(3).select("path", "chunk_index", "chunk_id"),
+    "validation_candidates": lambda s, d: chunks(s, d).orderBy(*in_order(F.col("path")), "chunk_index", *in_order(F.col("chunk_id"))).limit(3).select("path", "chunk_index", "chunk_id"),
     "embedding_input": lambda s, d: chunks(s, d).select("chunk_id", M.embedding_input(F.col("path"), F.col("chunk_index"), F.col("text"), "nomic-embed-text").alias("input")),
     "resource_guard": resource_guard, "http_classify": http_classify, "redact_message": redact_message,
 }
@@ -284,9 +287,9 @@ SELECT path, start AS dirty_since, least(max(last) + INTERVAL 6 HOUR, start + IN
 h AS (SELECT DISTINCT chunk_id FROM r WHERE vec_id % 2 = 0 AND vec_id % 23 > 0 AND text_hash = md5(chunk_id) AND length = 64 AND dimensions = 64 AND NOT no_input AND NOT other_input AND provider = 'ollama')
 SELECT chunk_id, CASE WHEN k.n = 1 AND k.fits THEN 'canonical' WHEN h.chunk_id IS NOT NULL THEN 'checkpoint' ELSE 'generate' END AS origin FROM c LEFT JOIN k USING (chunk_id) LEFT JOIN h USING (chunk_id)""",
     "missing_vectors": f"WITH {STATE} SELECT vec_id FROM r WHERE length = 0 OR provider <> 'ollama' ORDER BY vec_id LIMIT 20",
-    "validation_candidates": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path, chunk_index, path || '::' || chunk_index AS chunk_id FROM chunks ORDER BY path, chunk_index LIMIT 3",
+    "validation_candidates": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path, chunk_index, path || '::' || chunk_index AS chunk_id FROM chunks ORDER BY path COLLATE en_us, path, chunk_index LIMIT 3",
     "embedding_input": f"WITH RECURSIVE {NOTES}, {CHUNKS} SELECT path || '::' || chunk_index AS chunk_id, 'search_document: Título: ' || 'doc-' || lpad(doc_id::VARCHAR, 8, '0') || chr(10) || 'Caminho: ' || path || chr(10) || 'Bloco: ' || chunk_index || chr(10) || 'Conteúdo:' || chr(10) || text AS input FROM chunks",
     "resource_guard": "SELECT o_orderkey, o_orderkey * 9973 * 3 + 33554432 AS desktop_peak, o_orderkey * 9973 <= 100663296 AND o_orderkey * 9973 * 3 + 33554432 <= 201326592 AS desktop_allowed, o_orderkey * 9973 * 5 + 8388608 AS mobile_peak, o_orderkey * 9973 <= 12582912 AND o_orderkey * 9973 * 5 + 8388608 <= 67108864 AS mobile_allowed FROM orders",
-    "http_classify": "SELECT status, CASE status WHEN 401 THEN 'authentication' WHEN 403 THEN 'authorization' WHEN 404 THEN 'model-not-found' WHEN 408 THEN 'timeout' WHEN 413 THEN 'input-rejected' WHEN 429 THEN 'rate-limit' ELSE CASE WHEN status >= 500 THEN 'connection' ELSE 'unknown' END END AS category, CASE WHEN status = 413 THEN 'input' ELSE 'operation' END AS scope, status <> 413 AS fatal FROM (VALUES (401), (403), (404), (408), (413), (429), (500), (503), (418), (200)) t(status)",
+    "http_classify": "SELECT event_id, status, CASE status WHEN 401 THEN 'authentication' WHEN 403 THEN 'authorization' WHEN 404 THEN 'model-not-found' WHEN 408 THEN 'timeout' WHEN 413 THEN 'input-rejected' WHEN 429 THEN 'rate-limit' ELSE CASE WHEN status >= 500 THEN 'connection' ELSE 'unknown' END END AS category, CASE WHEN status = 413 THEN 'input' ELSE 'operation' END AS scope, status <> 413 AS fatal FROM (SELECT event_id, [401, 403, 404, 408, 413, 429, 500, 503, 418, 200][event_id % 10 + 1] AS status FROM events WHERE event_type = 'error')",
     "redact_message": r"WITH m AS (SELECT event_id, " + clean(r"'Failed' || chr(10) || ' with Bearer  ' || props || ' bearer abc.DEF-1 and API key = x' || event_id || '  ' || repeat('z ', (event_id % 150)::INT)") + r" AS t FROM events), r AS (SELECT event_id, regexp_replace(regexp_replace(t, 'Bearer\s+[A-Za-z0-9._~+/=-]+', 'Bearer [redacted]', 'gi'), 'api[_ -]?key\s*[:=]\s*[A-Za-z0-9._~+/=-]+', 'api key [redacted]', 'gi') AS t FROM m) SELECT event_id, CASE WHEN length(t) > 220 THEN substring(t, 1, 217) || '...' ELSE t END AS message FROM r",
 }

@@ -83,8 +83,8 @@ def file_names(s, d):
 def displays(s, d):
     n = notes(s, d)
     k = F.col("doc_id")
-    first = F.when(k % 5 == 0, "---\nkey: x").when(k % 5 == 1, F.concat(F.lit("tags: [a]\ntype: "), F.col("basename"))).when(k % 5 == 2, F.concat(F.lit("# "), F.upper("basename"), F.lit(".md"))).when(k % 5 == 3, F.substring("text", 1, 400)).otherwise("a: 1 b: 2")
-    second = F.when(k % 3 == 0, F.substring("text", 5, 100)).when(k % 3 == 1, " \n").otherwise("plain: text only")
+    first = F.when(k % 5 == 0, "---\nkey: x").when(k % 5 == 1, F.concat(F.lit("tags: [a]\ntype: "), F.col("basename"))).when(k % 5 == 2, F.concat(F.lit("# "), F.upper("basename"), F.lit(".md"))).when(k % 5 == 3, F.col("text")).otherwise("a: 1 b: 2")
+    second = F.when(k % 3 == 0, F.expr("substring(text, 5)")).when(k % 3 == 1, " \n").otherwise("plain: text only")
     shown = X.snippet_display(F.array(first, second), F.col("basename"), F.when(k % 2 == 0, "Nome").otherwise("Conteúdo"))
     return n.select("doc_id", X.looks_like_frontmatter(first).alias("frontmatter"), shown["text"].alias("text"), shown["fallback"].alias("fallback"))
 
@@ -132,7 +132,7 @@ ORACLES = {
     "frontmatter": "SELECT doc_id, doc_id % 3 > 0 AS has, CASE WHEN doc_id % 3 > 0 THEN 'again' ELSE '' END AS title, CASE WHEN doc_id % 3 > 0 THEN 'a_b|c' ELSE '' END AS tags, CASE WHEN doc_id % 3 > 0 THEN 2 ELSE 0 END AS n, CASE WHEN doc_id % 3 > 0 THEN 'Body ' || doc_id ELSE 'title: Doc ' || doc_id || chr(10) || 'tags: [A b, ''Ç'']' || chr(10) || '- item: no' || chr(10) || 'title: again' || chr(10) || '---' || chr(10) || 'Body ' || doc_id END AS body FROM documents",
     "json_extract": "SELECT event_id, CASE WHEN event_id % 4 < 2 THEN (props->>'$.k')::INT END AS k FROM events",
     "folder_key": f"WITH {PARTS}, p AS (SELECT p_partkey, '01 - Á/' || path AS x, path FROM parts) SELECT p_partkey, {key('x')} AS key, string_split(path, '/')[-1] AS segment FROM p",
-    "folder_notes": f"WITH {NOTES}, i AS (SELECT path, mtime, ends_with(path, '7.md') AS x FROM notes WHERE starts_with(path, 'src1/en/')) SELECT path, mtime, (SELECT count(*) FROM i) AS found, (SELECT count(*) FROM i WHERE x) AS excluded, (SELECT greatest(count(*) - 10, 0)::BIGINT FROM i WHERE NOT x) AS truncated FROM i WHERE NOT x ORDER BY mtime DESC, path LIMIT 10",
+    "folder_notes": f"WITH {NOTES}, i AS (SELECT path, mtime, ends_with(path, '7.md') AS x FROM notes WHERE starts_with(path, 'src1/en/')) SELECT path, mtime, (SELECT count(*) FROM i) AS found, (SELECT count(*) FROM i WHERE x) AS excluded, (SELECT greatest(count(*) - 10, 0)::BIGINT FROM i WHERE NOT x) AS truncated FROM i WHERE NOT x ORDER BY mtime DESC, path COLLATE en_us, path LIMIT 10",
     "filter_links": f"WITH {NOTES}, t AS (SELECT path AS source, 'src1/en/doc-' || lpad((doc_id % 40)::VARCHAR, 8, '0') AS target FROM notes) SELECT source, target FROM t WHERE target || '.md' <> source AND target || '.md' IN (SELECT path FROM notes)",
     "resolve_folder": f"""WITH e AS (SELECT DISTINCT '01 - ' || replace(p_type, ' ', '_') AS folder FROM part), ek AS (SELECT DISTINCT folder, length(folder) AS ord, unnest([{key('folder')}, {key("string_split(folder, '/')[-1]")}]) AS k FROM e),
 w AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '01 - ' || replace(p_type, ' ', '_') WHEN 1 THEN 'Zône/' || lower(p_type) ELSE p_name END AS wanted FROM part), wk AS (SELECT DISTINCT id, wanted, unnest([{key('wanted')}, {key("string_split(wanted, '/')[-1]")}]) AS k FROM w),
@@ -141,13 +141,13 @@ h AS (SELECT id, arg_min(folder, (folder <> wanted, ord)) AS folder FROM wk JOIN
 SELECT c_custkey, CASE WHEN regexp_matches(raw, '^[a-zA-Z]:') OR starts_with(raw, '//') OR contains(raw, '..') OR len(parts) = 0 OR len(list_filter(parts, lambda x: x = '.' OR regexp_matches(x, '[<>:"|?*]'))) > 0 THEN NULL ELSE array_to_string(parts, '/') END AS path FROM p""",
     "folder_candidates": f"""WITH {NOTES}, f AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM notes UNION SELECT split_part(path, '/', 1) FROM notes UNION SELECT '03_Inbox/' || split_part(path, '/', 1) FROM notes), h AS (SELECT {key("'about src2 and Fr: src3/és'")} AS h),
 s AS (SELECT folder, CASE WHEN folder = 'src1/en' THEN 100 ELSE 0 END + CASE WHEN contains(folder, '/') THEN 0 ELSE 30 END + CASE WHEN contains(h, {key("string_split(folder, '/')[-1]")}) THEN 20 ELSE 0 END + CASE WHEN contains(h, {key('folder')}) THEN 30 ELSE 0 END AS score FROM f, h WHERE folder NOT IN ('src1', '03_Inbox/src1')),
-r AS (SELECT *, CASE WHEN contains(folder, '/') THEN NULL ELSE row_number() OVER (PARTITION BY contains(folder, '/') ORDER BY folder) END AS n FROM s),
+r AS (SELECT *, CASE WHEN contains(folder, '/') THEN NULL ELSE row_number() OVER (PARTITION BY contains(folder, '/') ORDER BY folder COLLATE en_us, folder) END AS n FROM s),
 o AS (SELECT *, CASE WHEN n <= 20 THEN 0 WHEN folder = 'src1/en' THEN 1 ELSE 2 END AS place FROM r)
-SELECT row_number() OVER (ORDER BY place, CASE WHEN place = 0 THEN folder END, score DESC, folder)::INT AS rank, folder, score::INT AS score FROM o ORDER BY rank LIMIT 100""",
+SELECT row_number() OVER (ORDER BY place, CASE WHEN place = 0 THEN folder END COLLATE en_us, score DESC, folder COLLATE en_us, folder)::INT AS rank, folder, score::INT AS score FROM o ORDER BY rank LIMIT 100""",
     "readable_file_name": f"""WITH t AS (SELECT p_partkey, {clean("regexp_replace(CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE ' O ' || p_name || ' DE a/b: ' || lower(p_type) || '? ' || repeat('ção x ', (p_partkey % 12)::INT) END, '[<>:/|?*]', ' ', 'g')")} AS b FROM part),
 w AS (SELECT p_partkey, regexp_replace(substring(array_to_string(list_transform(string_split(b, ' '), lambda x, i: CASE WHEN i > 1 AND list_contains({list(X.MINOR)!r}, lower(x)) THEN lower(x) ELSE upper(substring(x, 1, 1)) || substring(x, 2) END), ' '), 1, 80), '\\s+$', '') AS n FROM t) SELECT p_partkey, CASE WHEN n = '' THEN '' ELSE n || '.md' END AS name FROM w""",
-    "snippet_display": f"""WITH {NOTES}, x AS (SELECT doc_id, basename, doc_id % 2 = 0 AS named, CASE doc_id % 5 WHEN 0 THEN '---' || chr(10) || 'key: x' WHEN 1 THEN 'tags: [a]' || chr(10) || 'type: ' || basename WHEN 2 THEN '# ' || upper(basename) || '.md' WHEN 3 THEN substring(text, 1, 400) ELSE 'a: 1 b: 2' END AS a,
-  CASE doc_id % 3 WHEN 0 THEN substring(text, 5, 100) WHEN 1 THEN ' ' || chr(10) ELSE 'plain: text only' END AS b FROM notes), e AS (SELECT *, {FRONT.format(x="a")} AS fa, {FRONT.format(x="b")} AS fb, {CLEANED.format(x="a")} AS ca, {CLEANED.format(x="b")} AS cb FROM x),
+    "snippet_display": f"""WITH {NOTES}, x AS (SELECT doc_id, basename, doc_id % 2 = 0 AS named, CASE doc_id % 5 WHEN 0 THEN '---' || chr(10) || 'key: x' WHEN 1 THEN 'tags: [a]' || chr(10) || 'type: ' || basename WHEN 2 THEN '# ' || upper(basename) || '.md' WHEN 3 THEN text ELSE 'a: 1 b: 2' END AS a,
+  CASE doc_id % 3 WHEN 0 THEN substring(text, 5) WHEN 1 THEN ' ' || chr(10) ELSE 'plain: text only' END AS b FROM notes), e AS (SELECT *, {FRONT.format(x="a")} AS fa, {FRONT.format(x="b")} AS fb, {CLEANED.format(x="a")} AS ca, {CLEANED.format(x="b")} AS cb FROM x),
 r AS (SELECT *, ca <> '' AND lower(regexp_replace(regexp_replace(ca, '(?i)\\.md$', ''), '^#+\\s*', '')) = lower(basename) AS ra FROM e),
 u AS (SELECT *, CASE WHEN ca <> '' AND NOT fa AND NOT ra THEN ca WHEN cb <> '' AND NOT fb THEN cb END AS use FROM r)
 SELECT doc_id, fa AS frontmatter, CASE WHEN use IS NOT NULL THEN CASE WHEN length(use) > 280 THEN substring(use, 1, 280) || '...' ELSE use END WHEN (fa AND ca <> '') OR (fb AND cb <> '') THEN '{X.IN_METADATA}' WHEN ra OR named THEN '{X.IN_NAME}' END AS text,

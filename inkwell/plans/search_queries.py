@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
@@ -97,13 +97,43 @@ def search_sql(query: str, per_note: int, limit: int) -> str:
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_index) AS k FROM hits),
 u AS (SELECT path, NULL::VARCHAR AS chunk_id, origin, score, matched, terms_found, CASE WHEN origin = 'nome' THEN basename ELSE path END AS snippet, CASE WHEN origin = 'nome' THEN 0 ELSE 1 END AS o FROM names
   UNION ALL SELECT path, chunk_id, 'conteudo', score, matched, terms_found, {snippet_sql('text', query)}, 2 FROM ranked WHERE k <= {per_note}),
-found AS (SELECT row_number() OVER (ORDER BY score DESC, matched DESC, o, path, chunk_id NULLS FIRST)::INT AS rank, path, chunk_id, origin, score, matched, terms_found, round(matched / {len(T.terms_of(query))}.0::DOUBLE, 6) AS coverage, snippet FROM u ORDER BY rank LIMIT {limit})"""
+found AS (SELECT row_number() OVER (ORDER BY score DESC, matched DESC, o, path COLLATE en_us, path, chunk_id NULLS FIRST)::INT AS rank, path, chunk_id, origin, score, matched, terms_found, round(matched / {len(T.terms_of(query))}.0::DOUBLE, 6) AS coverage, snippet FROM u ORDER BY rank LIMIT {limit})"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_notes(spread(notes(spark, sf_dir)))
 
 
+#: Forms of a name: as it is, in upper case, with accents, in Greek and in Cyrillic letters with accents, and in Hangul.
+FORMS = (("", ""), ("aeiou", "áèîõü"), ("aeiou", "άέίόύ"), ("aeiou", "ӑѐйӧў"), ("aeiou", "각나다릿마"))
+
+
+def formed_names(spark, d):
+    """part's names in several scripts, every second in upper case."""
+    k = F.col("p_partkey")
+    forms = [F.translate("p_name", *form) if form[0] else F.col("p_name") for form in FORMS]
+    name = F.get(F.array(*forms), (k % len(forms)).cast("int"))
+    return table(spark, d, "part").select("p_partkey", "p_brand", F.when(k % 2 == 0, F.upper(name)).otherwise(name).alias("name"))
+
+
+def normalised_scripts(spark, d):
+    """Names of any script without accents and case, and whether they are what a query of the same name becomes."""
+    return formed_names(spark, d).select("p_partkey", T.normalise(F.col("name")).alias("normalised"))
+
+
+def localised_names(spark, d):
+    """Places of names within their brand, as readers sort them."""
+    order = Window.partitionBy("p_brand").orderBy(*T.in_order(F.col("name")), "p_partkey")
+    return formed_names(spark, d).select("p_partkey", F.row_number().over(order).alias("place"))
+
+
+def localised_search(spark, d):
+    """A search for a word that all notes of a brand have in their path: ties in order of their paths."""
+    n = formed_names(spark, d).select(F.concat(F.lit("x/"), "p_brand", F.lit("/"), "name", F.lit(" "), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), F.lit("note").alias("basename"))
+    none = n.sparkSession.createDataFrame([], "path string, chunk_index int, chunk_id string, text string")
+    return text_search.search_text(n, none, "Brand", limit=60).select("rank", "path", "score")
+
+
 def tokenise(spark, d):
     w = notes(spark, d).select("doc_id", T.words(T.normalise(F.col("text"))).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.get("w", F.lit(0)).alias("first_token"))
@@ -267,6 +297,7 @@ def folder_multiplier(spark, d):
 
 
 QUERIES = {
+    "normalised_scripts": normalised_scripts, "localised_names": localised_names, "localised_search": localised_search,
     "tokenise": tokenise, "normalise_text": lambda s, d: notes(s, d).select("doc_id", T.normalise(F.col("text")).alias("normalised")), "content_stats": content_stats, "snippet": snippet,
     "scan_notes": lambda s, d: notes(s, d).drop("text"), "path_exclusion": path_exclusion, "content_exclusion": lambda s, d: notes(s, d).select("doc_id", policy.content_excluded(F.col("text"), RULES.content_terms).alias("excluded")),
     "scan_with_exclusions": scan_with_exclusions, "parse_terms": parse_terms,
@@ -301,7 +332,7 @@ sb AS (SELECT path, semantic_score FROM (SELECT path, floor(greatest(0.0, least(
 fused AS (SELECT path, text_score, semantic_score, (CASE WHEN text_score > 0 AND semantic_score > 0 THEN floor((text_score / 100.0::DOUBLE * 0.7::DOUBLE + semantic_score / 100.0::DOUBLE * 0.3::DOUBLE) * 100 + 0.5)
   WHEN text_score > 0 THEN floor(text_score / 100.0::DOUBLE * 0.7::DOUBLE * 100 + 0.5) WHEN semantic_score > 0 THEN semantic_score ELSE 0 END)::INT AS final_score,
   CASE WHEN text_score IS NOT NULL AND semantic_score IS NOT NULL THEN 'hibrida' WHEN text_score IS NOT NULL THEN 'textual' ELSE 'semantica' END AS source, text_origin FROM tb FULL JOIN sb USING (path)),
-top AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, text_score DESC NULLS LAST, coalesce(semantic_score, 0) DESC, path)::INT AS rank FROM fused ORDER BY rank LIMIT {limit})"""
+top AS (SELECT *, row_number() OVER (ORDER BY final_score DESC, text_score DESC NULLS LAST, coalesce(semantic_score, 0) DESC, path COLLATE en_us, path)::INT AS rank FROM fused ORDER BY rank LIMIT {limit})"""
 
 
 def folder_sql(x: str) -> str:
@@ -321,7 +352,14 @@ def top_sql(where: str, order: str) -> str:
 SELECT row_number() OVER (ORDER BY similarity DESC, vec_id)::INT AS rank, vec_id, note, similarity FROM k WHERE n <= 3 ORDER BY rank LIMIT 20"""
 
 
+FORMED = "f AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 2 = 0 THEN upper(n) ELSE n END AS name FROM (SELECT *, CASE p_partkey % 5 " + " ".join(f"WHEN {i} THEN " + (f"translate(p_name, '{a}', '{b}')" if a else "p_name") for i, (a, b) in enumerate(FORMS)) + " END AS n FROM part))"
+#: Jamo of the syllables in FORMS: DuckDB leaves syllables composed.
+JAMO = "replace(replace(replace(replace(replace({}, '각', '\u1100\u1161\u11a8'), '나', '\u1102\u1161'), '다', '\u1103\u1161'), '릿', '\u1105\u1175\u11ba'), '마', '\u1106\u1161')"
+
 ORACLES = {
+    "normalised_scripts": f"WITH {FORMED} SELECT p_partkey, {JAMO.format(norm('name'))} AS normalised FROM f",
+    "localised_names": f"WITH {FORMED} SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY name COLLATE en_us, name, p_partkey) AS place FROM f",
+    "localised_search": f"WITH {FORMED}, p AS (SELECT 'x/' || p_brand || '/' || name || ' ' || p_partkey || '.md' AS path FROM f) SELECT row_number() OVER (ORDER BY path COLLATE en_us, path)::INT AS rank, path, {text_search.PATH[0] + 12}::INT AS score FROM p ORDER BY rank LIMIT 60",
     "tokenise": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct, w[1] AS first_token FROM (SELECT doc_id, {tok('text')} AS w FROM documents)",
     "normalise_text": f"SELECT doc_id, {norm('text')} AS normalised FROM documents",
     "content_stats": f"SELECT doc_id, length(text)::BIGINT AS char_count, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END::BIGINT AS word_count, CASE WHEN length(c) <= 250 THEN c ELSE trim(substring(c, 1, 250)) || '...' END AS excerpt FROM (SELECT doc_id, text, {clean('text')} AS c FROM documents)",

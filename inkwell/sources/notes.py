@@ -63,6 +63,6 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_embeddings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, invalid lines): a line that doesn't parse or has no chunkId is invalid, not skipped."""
-    raw = spark.read.schema(StructType([*EMBEDDINGS.fields, StructField("_bad", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    raw = spark.read.schema(StructType([*EMBEDDINGS.fields, StructField("_bad", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     good = F.col("_bad").isNull() & (F.coalesce(F.col("chunkId"), F.lit("")) != "")
     return raw.where(good).drop("_bad"), raw.where(~good)

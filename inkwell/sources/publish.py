@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import in_order
+
 
 class Conflict(RuntimeError):
     """Another writer has published meanwhile."""
@@ -107,7 +109,8 @@ def _publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_
     version, rows = uuid.uuid4().hex, {}
     for name, df in tables.items():
         key, path = (sort_by or {}).get(name), f"{root}/versions/{version}/{name}"
-        (df.repartitionByRange(key).sortWithinPartitions(key) if key else df).write.parquet(path)
+        order = in_order(F.col(key)) if key and df.schema[key].dataType.typeName() == "string" else [F.col(key)] if key else []
+        (df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df).write.parquet(path)
         rows[name] = spark.read.schema(df.schema).parquet(path).count()  # from the files' footers
     kept, gone = {} if before is None else before.manifest, set(drop)
     stays = lambda section: {k: v for k, v in kept.get(section, {}).items() if k not in gone}
@@ -127,7 +130,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], sort_b
     """Write the tables as a new version and point to it; returns its name. The pointer is written last.
 
     manifest: sections to set; those of the version before stay otherwise, as do its tables that aren't
-    given; rows of every table are counted in it. since: the pointer that the tables were made from; if another one is
+    given; rows of every table are counted in it. sort_by: a column for each table that is to be in its order, texts as readers sort them. since: the pointer that the tables were made from; if another one is
     newest by then, Conflict is raised and nothing is published. Operations of several steps use a writer().
     """
     return _publish(spark, root, tables, sort_by, manifest, since).version

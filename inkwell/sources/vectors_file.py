@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.text import in_order
 from inkwell.sources import publish
 
 META = "chunkId string, path string, index int, textHash string, embeddingInputHash string, vectorOrdinal long"
@@ -85,7 +86,7 @@ def write_set(spark: SparkSession, folder: str, records: DataFrame, identity: di
     code = spark.range(1).select(limit_code(F.lit(size.n), F.lit(identity["dimensions"]), F.lit(size.meta), profile)).first()[0]
     if code or size.bad or size.ids != size.n:
         raise BadSet(code or ("binary-vector-invalid" if size.bad else "binary-metadata-invalid"))
-    rows = records.select("chunkId", "path", "index", "textHash", "embeddingInputHash", F.col("embedding").cast("array<float>").alias("embedding")).orderBy("chunkId").toArrow()  # within the limits
+    rows = records.select("chunkId", "path", "index", "textHash", "embeddingInputHash", F.col("embedding").cast("array<float>").alias("embedding")).orderBy(*in_order(F.col("chunkId"))).toArrow()  # within the limits
     vectors = b"".join(np.asarray(part.flatten(), "<f4").tobytes() for part in rows.column("embedding").chunks)
     lines = [json.dumps({k: v for k, v in r.items() if v is not None} | {"vectorOrdinal": i}) for i, r in enumerate(rows.drop_columns(["embedding"]).to_pylist())]
     metadata = "".join(line + "\n" for line in lines).encode()

@@ -486,3 +486,52 @@ def test_engine_modes_and_roles(spark):
     with engine.cancellable(spark, "t1"):
         assert spark.range(3).count() == 3
     assert engine.cancel(spark, "t1") == []
+
+
+def test_columns_strip_accents_as_queries_do(spark):
+    import sys
+    import unicodedata
+
+    points = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cs", "Cn", "Co")]
+    rows = [(f"x{c}y",) for c in points] + [("Ἀθῆναι Йод ё ǖ ḉ 각나다릿 が",), ("plain ascii  text",), ("",), (None,)]
+    found = spark.createDataFrame(rows, "t string").select("t", T.normalise(F.col("t")).alias("n")).collect()
+    other = [r.t for r in found if r.t is not None and r.n != T.normalise_value(r.t)]
+    # Java and Python may be of different versions of Unicode where case is concerned; nothing else may differ.
+    assert all(len({unicodedata.normalize("NFD", r).lower(), unicodedata.normalize("NFD", r)}) > 1 or r[1:-1].lower() != r[1:-1].upper() for r in other) and len(other) < 40, other[:20]
+
+
+def test_names_are_sorted_as_readers_do(spark):
+    names = ["b.md", "B.md", "á.md", "a.md", "Z.md", "z.md", "é.md", "e.md", "я.md", "α.md", "a/b.md", "a b.md", "a-b.md"]
+    found = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(*T.in_order(F.col("n"))).collect()]
+    assert [n for n in found if len(n) == 4] == ["a.md", "á.md", "b.md", "B.md", "e.md", "é.md", "z.md", "Z.md", "α.md", "я.md"]
+
+
+def test_packed_similarities_equal_folds(spark):
+    from inkwell.operators import vectors
+
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [0.99, 0.01, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 0.0]), (4, [1.0]), (5, None), (6, [1.0, None, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [])]
+    for kind in ("float", "double"):
+        records = spark.createDataFrame(rows, f"k long, embedding array<{kind}>").repartition(2)
+        found = {r.k: r.similarity for r in vectors.scored(records, [1, 0, 0]).collect()}
+        folds = {r.k: r.s for r in records.where(F.size("embedding") == 3).select("k", vectors.cosine(F.col("embedding"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0))).alias("s")).collect()}
+        assert set(found) == set(folds) == {0, 1, 2, 3, 6, 7} and found[6] is None and found[3] == 0 and found[0] == found[7] == 1
+        assert all(abs(found[k] - folds[k]) < 1e-9 for k in (0, 1, 2, 3, 7))
+        assert [r.k for r in vectors.top_similar(records.withColumn("note", F.col("k")), [1, 0, 0], "note", "k", -1.0).collect()] == [0, 7, 1, 2, 3]
+    assert vectors.scored(records.where("false"), [1, 0, 0]).collect() == [] and vectors.scored(records, []).count() == 1
+
+
+def test_providers_by_name():
+    asked = []
+
+    def transport(url, headers, body):
+        asked.append((url, headers, body["model"]))
+        return 200, json.dumps({"data": [{"index": 0, "embedding": [1.0]}]} if "Authorization" in headers else {"embeddings": [[1.0]]})
+
+    for settings, url, model in [
+        (remote.Settings(" Ollama "), "http://localhost:11434/api/embed", "nomic-embed-text-v2-moe"), (remote.Settings("ollama", "http://h:1/", "m"), "http://h:1/api/embed", "m"),
+        (remote.Settings("MISTRAL", api_key="k"), "https://api.mistral.ai/v1/embeddings", "mistral-embed"), (remote.Settings("openrouter", model="x/y", api_key="k"), "https://openrouter.ai/api/v1/embeddings", "x/y"),
+    ]:
+        assert remote.dispatch(settings, transport)(["a"]).vectors == [[1.0]] and asked[-1][0] == url and asked[-1][2] == model
+    n = len(asked)
+    assert remote.dispatch(remote.Settings("other"), transport)(["a"]).category == "unsupported-provider" and remote.dispatch(remote.Settings("other"), transport)([]).category == "configuration" and len(asked) == n
+    assert remote.dispatch(remote.Settings("mistral"), transport)(["a"]).category == "configuration"
