@@ -162,29 +162,27 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
 
 
-def _score(model, memory_words: int = 1_000_000):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, base = model.value
+class Scorer:
+    """Scores of texts by a model (weights, base), with a memory of words; forgetting costs time only."""
+
+    def __init__(self, weights: np.ndarray, base: float, memory_words: int = 1_000_000) -> None:
+        self.weights, self.base, self.memory = weights, base, memory_words
 
         class Known(dict):
-            """word -> weight of the word and its shape; forgotten when too many, which costs time only."""
+            """word -> weight of the word and its shape."""
 
             def __missing__(self, word: str) -> float:
                 self[word] = w = float(weights[bucket(word)] + weights[bucket("/" + shape(word))])
                 return w
 
-        known = Known()
-        for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                if len(known) > memory_words:
-                    known.clear()
-                words = SPACE.findall(text)
-                odds = base + sum(map(known.__getitem__, words)) / max(1, len(words)) + float(weights[binned(statistics(text, words))].sum())
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        self.known = Known()
 
-    return run
+    def score(self, text: str) -> float:
+        if len(self.known) > self.memory:
+            self.known.clear()
+        words = SPACE.findall(text)
+        odds = self.base + sum(map(self.known.__getitem__, words)) / max(1, len(words)) + float(self.weights[binned(statistics(text, words))].sum())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
 
 def fit_model(docs: DataFrame, rules: QualityRules) -> tuple[np.ndarray, float]:
@@ -210,7 +208,13 @@ def score_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
     alike; an empty table gives no rows. Extra columns are left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, rules))  # BUCKETS numbers
-    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(_score(model), 1000), "doc_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+
+    scored = docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(run, 1000), "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= rules.threshold).alias("kept"))
 
 
@@ -223,9 +227,8 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(fit_model(docs, rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model.value)
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text").fill_null("")], names=["doc_id", "text"])
-            for scored in _score(model)(iter([own])):
-                yield batch.filter(pa.array([s >= rules.threshold for s in scored.column("score").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([scorer.score(t or "") >= rules.threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(lean(run, 1000), docs.schema)
