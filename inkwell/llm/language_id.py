@@ -23,8 +23,8 @@ from inkwell.llm.common import lean, whole_text
 
 BUCKETS = 1 << 14
 #: Numbers that aren't digits, such as fractions and Roman numerals: to a pattern they are like letters.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+NUMERALS = {c: " " for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")}
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Parts that a language's rows are ranked in first, so that no task ranks all of them.
 PARTS = 64
 UNKNOWN = "und"
@@ -56,15 +56,29 @@ def codewords(languages: int, bits: int) -> np.ndarray:
     return np.array(columns, float).T
 
 
-def histogram(text: str) -> np.ndarray | None:
-    """Hashed trigrams of the letters, words apart; null if there is no letter."""
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip(" ")
+def trigrams(text: str) -> np.ndarray | None:
+    """Hashes, below BUCKETS, of the trigrams of the letters, words apart; null if there is no letter."""
+    lower = text.lower()
+    letters = NOT_LETTERS.sub(" ", lower if lower.isascii() else lower.translate(NUMERALS)).strip(" ")
     if not letters:
         return None
     points = np.frombuffer(f" {letters} ".encode("utf-32-le"), "<u4").astype(np.uint32)
     mixed = points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)
     mixed = (mixed ^ mixed >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-    return np.bincount(mixed >> np.uint32(18), minlength=BUCKETS)
+    return mixed >> np.uint32(18)
+
+
+def histogram(text: str) -> np.ndarray | None:
+    """How many of the trigrams have each hash; null if there is no letter."""
+    found = trigrams(text)
+    return None if found is None else np.bincount(found, minlength=BUCKETS)
+
+
+def margins(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The mean weights of a text's trigrams, by bit."""
+    if len(found) < BUCKETS // 4:
+        return weights[found].sum(0) / len(found)
+    return np.bincount(found, minlength=BUCKETS) @ weights / len(found)
 
 
 def fit(samples: dict[str, list[str]], rules: LanguageRules) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -80,13 +94,13 @@ def fit(samples: dict[str, list[str]], rules: LanguageRules) -> tuple[list[str],
         shares.append((total + 1e-4) / (total.sum() + 1e-4 * BUCKETS))
         kept += [(i, h) for k, h in enumerate(found) if k % 4 == 3]
     share = np.array(shares).reshape(len(languages), BUCKETS)
-    weights = np.zeros((BUCKETS, codes.shape[1]), np.float32)
+    weights = np.zeros((BUCKETS, codes.shape[1]))
     for b in range(codes.shape[1]):
         weights[:, b] = np.log(share[codes[:, b] > 0].mean(0)) - np.log(share[codes[:, b] < 0].mean(0))
     right = np.ones(codes.shape[1])
     if kept and codes.shape[1]:
-        margins = np.array([h @ weights / h.sum() for _, h in kept])
-        right = (np.sign(margins) == codes[[i for i, _ in kept]]).mean(0)
+        signs = np.sign(np.array([h @ weights / h.sum() for _, h in kept]))
+        right = (signs == codes[[i for i, _ in kept]]).mean(0)
     return languages, codes, weights, np.clip(2 * right - 1, 0.05, 1.0)
 
 
@@ -126,12 +140,11 @@ def predict_languages(docs: DataFrame, rules: LanguageRules = LanguageRules()) -
         for batch in batches:
             names, scores, close = [], [], []
             for text in batch.column(1).to_pylist():
-                h = histogram(text)
-                if h is None or not languages:
+                found = trigrams(text)
+                if found is None or not languages:
                     names.append(UNKNOWN), scores.append(0.0), close.append(False)
                     continue
-                at = np.flatnonzero(h)
-                p = decode(h[at] @ weights[at] / h.sum(), codes, reliability, rules.sharpness)
+                p = decode(margins(found, weights), codes, reliability, rules.sharpness)
                 best = int(p.argmax())
                 names.append(languages[best]), scores.append(float(p[best])), close.append(bool(len(p) > 1 and p[best] - np.partition(p, -2)[-2] < rules.ambiguous_gap))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(close, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
