@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, lean, whole_text
+from inkwell.llm.common import cut, discard, lean, whole_text
 
 # Fixed values of the base rules.
 KINDS = ("assign", "access", "hex")
@@ -280,6 +280,7 @@ def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
 
     pairs = scanned.select(F.explode("pairs").alias("p")).groupBy("p.a", "p.b").agg(F.sum("p.n").alias("n"))
     fitted = fit(labelled, {(r.a, r.b): r.n for r in pairs.collect()}, rules)  # at most one row for each pair of classes
+    discard(scanned)
 
     def score(batches: Iterator[pa.RecordBatch], memory_runs: int = 100_000) -> Iterator[pa.RecordBatch]:
         known = Found(*fitted)

@@ -109,8 +109,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, replicas: int = 128) -> Dat
     )
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the documents' texts as one folder per shard, in as many tasks as the texts need.
+def write_shards(docs: DataFrame, assigned: DataFrame, path: str, file_rows: int = 1 << 18) -> None:
+    """Write the documents' texts as one folder per shard, whose files hold about file_rows rows in a row each.
 
     Copies of one row are interchangeable: they are numbered on both sides and meet by number. Null
     texts are written as nulls, null doc_ids as nulls; an empty table writes no shard; extra columns are left out.
@@ -121,4 +121,5 @@ def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
     keyed = docs.select("doc_id", "text", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("copy", number)
     placed = assigned.select(*same, "shard", "slot").withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("shard", "slot")))
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*same, "copy"]]
-    keyed.alias("d").join(placed.alias("p"), on).select("d.doc_id", "d.text", "p.shard", "p.slot").write.partitionBy("shard").parquet(path)
+    rows = keyed.alias("d").join(placed.alias("p"), on).select("d.doc_id", "d.text", "p.shard", "p.slot")
+    rows.repartition("shard", F.floor(F.col("slot") / file_rows)).write.partitionBy("shard").parquet(path)
