@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import bpe, decontaminate, line_dedup, near_dups, weak_quality
-from inkwell.llm.common import cut, load
+from inkwell.llm.common import cut, discard, load
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents table."""
-    docs = load(spark, sf_dir, "documents")
+    docs, held = load(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{k}")
+            before, held = held, cut(docs, f"stage-{k}")
+            discard(before)
+            docs = held
     return docs
