@@ -19,13 +19,14 @@ MARKS = "\\u0300-\\u036F"
 def _decompositions() -> tuple[str, str, dict[str, str]]:
     """Composed letters of all scripts whose decomposition without MARKS is one letter, those letters, and what the others become; Hangul is left out, a rule has it."""
     singles, others = [], {}
-    for point in range(0xC0, 0x110000):
-        c = chr(point)
-        bare = re.sub(f"[{MARKS}]", "", parts) if (parts := unicodedata.normalize("NFD", c)) != c else c
-        if len(bare) == 1 and bare != c:
-            singles.append((c, bare))
-        elif bare != c and not 0xAC00 <= point < 0xAC00 + 11172:
-            others[c] = bare
+    marks = re.compile(f"[{MARKS}]")
+    for c in map(chr, range(0xC0, 0x110000)):
+        if (said := unicodedata.decomposition(c)) and said[0] != "<":
+            bare = marks.sub("", unicodedata.normalize("NFD", c))
+            if len(bare) == 1:
+                singles.append((c, bare))
+            else:
+                others[c] = bare
     return "".join(a for a, _ in singles), "".join(b for _, b in singles), others
 
 

@@ -162,12 +162,17 @@ IN_METADATA, IN_NAME = "Correspondência encontrada nos metadados da nota.", "Co
 
 def snippet_display(snippets: Column, title: Column, origin: Column, most: int = 280) -> Column:
     """struct(text, highlighted, fallback) of a card's snippets: the first that is neither frontmatter nor the title, else a text that says where the match is; null if there is nothing to show."""
-    each = F.filter(F.transform(snippets, lambda s: F.struct(clean_snippet(s).alias("text"), looks_like_frontmatter(s).alias("front"))), lambda s: s["text"] != "")
-    useful = F.get(F.filter(each, lambda s: ~s["front"] & ~repeats_title(s["text"], title)), F.lit(0))["text"]
-    shown = F.when(F.length(useful) > most, F.concat(F.substring(useful, 1, most), F.lit("..."))).otherwise(useful)
+    each = F.filter(F.transform(snippets, lambda s: F.struct(clean_snippet(s).alias("text"), looks_like_frontmatter(s).alias("front"), repeats_title(clean_snippet(s), title).alias("title"))), lambda s: s["text"] != "")
     as_struct = lambda text, marked: F.struct(text.alias("text"), F.lit(marked).alias("highlighted"), F.lit(not marked).alias("fallback"))
-    named = F.exists(each, lambda s: repeats_title(s["text"], title)) | (origin == "Nome")
-    return F.when(useful.isNotNull(), as_struct(shown, True)).when(F.exists(each, lambda s: s["front"]), as_struct(F.lit(IN_METADATA), False)).when(named, as_struct(F.lit(IN_NAME), False))
+
+    def choice(rows: Column) -> Column:
+        useful = F.get(F.filter(rows, lambda s: ~s["front"] & ~s["title"]), F.lit(0))["text"]
+        shown = F.when(F.length(useful) > most, F.concat(F.substring(useful, 1, most), F.lit("..."))).otherwise(useful)
+        named = F.exists(rows, lambda s: s["title"]) | (origin == "Nome")
+        return F.when(useful.isNotNull(), as_struct(shown, True)).when(F.exists(rows, lambda s: s["front"]), as_struct(F.lit(IN_METADATA), False)).when(named, as_struct(F.lit(IN_NAME), False))
+
+    # Patterns run once for each snippet: as the one element of an array, what they find has a name.
+    return F.get(F.transform(F.array(each), choice), F.lit(0))
 
 
 # Fixed list of reserved commands.
