@@ -139,11 +139,15 @@ def file_name(title: Column) -> Column:
 
 
 def looks_like_frontmatter(snippet: Column) -> Column:
-    t = trim(snippet)
-    lines = F.filter(F.transform(F.split(t, "\n"), trim), lambda x: x != "")
-    yaml = F.size(F.filter(lines, lambda x: x.rlike(r"^[A-Za-zÀ-ÿ0-9_-]+:\s*") | x.startswith("- ")))
-    inline = F.size(F.regexp_extract_all(t, F.lit(r"((?:^|\s)[A-Za-zÀ-ÿ0-9_-]+:\s+\S)"), F.lit(1)))
-    return F.when(t == "", F.lit(False)).when(t.startswith("---"), F.lit(True)).when(F.size(lines) > 1, yaml >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.6))).otherwise(inline >= 2)
+    def by_lines(t: Column, lines: Column) -> Column:
+        yaml = F.size(F.filter(lines, lambda x: x.rlike(r"^[A-Za-zÀ-ÿ0-9_-]+:\s*") | x.startswith("- ")))
+        inline = F.size(F.regexp_extract_all(t, F.lit(r"((?:^|\s)[A-Za-zÀ-ÿ0-9_-]+:\s+\S)"), F.lit(1)))
+        return F.when(t == "", F.lit(False)).when(t.startswith("---"), F.lit(True)).when(F.size(lines) > 1, yaml >= F.greatest(F.lit(2), F.ceil(F.size(lines) * 0.6))).otherwise(inline >= 2)
+
+    # As one element of an array, a text and its lines have names and are made once.
+    lines = lambda t: F.filter(F.transform(F.split(t, "\n"), trim), lambda x: x != "")
+    both = F.transform(F.array(trim(snippet)), lambda t: F.struct(t.alias("t"), lines(t).alias("lines")))
+    return F.get(F.transform(both, lambda b: by_lines(b["t"], b["lines"])), F.lit(0))
 
 
 def clean_snippet(snippet: Column) -> Column:
