@@ -1,7 +1,8 @@
 """Ranking within groups with ties: a hybrid of lexsorts for light groups and one sample sort for heavy ones.
 
-1. Rows are counted exactly by group. Groups hash to CELLS cells; a cell that holds a group of more than
-   heavy_rows rows is hot. What is broadcast is the list of hot cells, at most CELLS numbers whatever the input.
+1. Rows are counted exactly by group. A group is heavy if it has more than heavy_rows rows or more than half of what a
+   partition would have by a fair deal. Groups hash to CELLS cells; a cell that holds a heavy group is hot. What is broadcast
+   is the list of hot cells, at most CELLS numbers whatever the input.
 2. Groups of other cells are dealt to buckets of about bucket_rows rows, and each bucket is lexsorted at once by
    applyInPandas: no group there has more than heavy_rows rows, so a task's memory is bounded.
 3. Rows of hot cells are sorted by one sample sort over all their groups: splitters taken from a sample deal them to
@@ -28,6 +29,10 @@ from inkwell.llm.common import cut, fresh, partitions
 
 CELLS = 1 << 16
 HEAVY_ROWS, BUCKET_ROWS = 50_000, 50_000
+#: Buckets, and ranges of the sample sort, to a partition.
+BUCKETS_EACH, RANGES_EACH = 8, 4
+#: No group of so few rows is heavy for its share of a partition alone.
+SMALL_ROWS = 2_000
 #: Bits of a row's place in monotonically_increasing_id(); those above tell the partition.
 PLACE_BITS = 33
 
@@ -98,8 +103,9 @@ def same(left: str, right: str, names: Sequence[str]) -> Column:
 def _light(rows: DataFrame, groups: Sequence[str], pair: Sequence[Key], ties: Sequence[Key], n_rows: int, most_place: int | None, bucket_rows: int) -> DataFrame:
     columns = rows.columns
     bucket, nulls = fresh(rows, "bucket", "nulls")
-    least = min(partitions(rows), -(-n_rows // max(1, bucket_rows // 10)))
-    buckets = max(1, least, -(-n_rows // bucket_rows))
+    # Several buckets to a partition, if there are rows for them, so that partitions get about as much each.
+    even = min(BUCKETS_EACH * partitions(rows), -(-n_rows // max(1, bucket_rows // 50)))
+    buckets = max(1, even, -(-n_rows // bucket_rows))
     mask = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.col(c).isNull(), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, c in enumerate(columns)))
     # The cell is made of the hash's highest bits, the bucket of what is left over by division.
     packed = rows.select(F.pmod(F.xxhash64(*groups), F.lit(buckets)).cast("int").alias(bucket), mask.alias(nulls), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in columns))
@@ -138,7 +144,7 @@ def rank_ties(rows: DataFrame, groups: Sequence[str], pair: Sequence[Key], ties:
     Null group values form groups of their own; nulls of a key are equal to each other and stand where the key says.
     Rows equal in all these columns are ranked one after another; which of them comes first can't be told. An empty
     table gives no rows. rows is read three times and must give the same rows in the same partitions and order each
-    time, as a table's files do. ranges: tasks of the sample sort, the session's shuffle partitions unless given.
+    time, as a table's files do. ranges: tasks of the sample sort, RANGES_EACH times the session's shuffle partitions unless given.
     """
     columns = [*groups, *(k.column for k in (*pair, *ties))]
     if len({c.lower() for c in (*columns, "pos", "place", "tied")}) < len(columns) + 3:
@@ -148,7 +154,8 @@ def rank_ties(rows: DataFrame, groups: Sequence[str], pair: Sequence[Key], ties:
     of = F.shiftrightunsigned(F.xxhash64(*groups), 48).cast("int").alias(cell)
     counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias(n)).groupBy(of).agg(F.max(n).alias("most"), F.sum(n).alias("rows"))
     cells = cut(counts, "ranked-cells")  # CELLS rows at most
-    light = F.col("most") <= heavy_rows
+    n_rows = cells.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    light = F.col("most") <= min(heavy_rows, max(SMALL_ROWS, n_rows // (2 * partitions(rows))))
     total = cells.agg(F.coalesce(F.sum(F.when(light, F.col("rows"))), F.lit(0)).alias("light"), F.count_if(~light).alias("hot")).first()
     if not total.hot:
         return _light(rows, groups, pair, ties, total.light, most_place, bucket_rows)
@@ -156,7 +163,7 @@ def rank_ties(rows: DataFrame, groups: Sequence[str], pair: Sequence[Key], ties:
     numbered = rows.select("*", F.monotonically_increasing_id().alias(number), of)
     lighter = rows.select("*", of).join(hot, cell, "left_anti").select(*columns)
     heavier = numbered.join(hot, cell, "left_semi").select(*columns, number)
-    return _light(lighter, groups, pair, ties, total.light, most_place, bucket_rows).unionByName(_heavy(heavier, groups, pair, ties, number, most_place, ranges or partitions(rows)))
+    return _light(lighter, groups, pair, ties, total.light, most_place, bucket_rows).unionByName(_heavy(heavier, groups, pair, ties, number, most_place, ranges or RANGES_EACH * partitions(rows)))
 
 
 GROUPS = ("vendor_id", "part", "month")
