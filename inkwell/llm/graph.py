@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm.bpe import unpack
 from inkwell.llm.common import cut, discard, lean, partitions
 
 #: Low bits of a key that order its bucket: two more samples of the sketch, TAIL / 2 bits each.
@@ -39,8 +40,28 @@ def _columns(keys: pa.Array) -> list[np.ndarray]:
     return [np.asarray(p) for p in parts]
 
 
+def once(parts: list[np.ndarray]) -> np.ndarray:
+    """Where rows of some columns differ from the row before."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(parts[0])), bool), np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]))
+
+
+def close_in_order(key: np.ndarray, sizes: np.ndarray, carried: int, lags: int, alike: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of members of one bucket at most lags apart in the order of keys that share a sample of the tail and are alike in size and sketch; the first ones carried are paired already."""
+    firsts, seconds = [], []
+    for lag in range(1, lags + 1):
+        at = np.arange(max(lag, carried), len(key))
+        differ = (key[at] ^ key[at - lag]).view(np.uint64)
+        half = np.uint64((1 << TAIL // 2) - 1)
+        at = at[(differ >> np.uint64(TAIL) == 0) & ((differ & half == 0) | (differ >> np.uint64(TAIL // 2) & half == 0))]
+        long, short = sizes[at] >> 32, sizes[at - lag] >> 32
+        same = (np.minimum(long, short) >= alike * np.maximum(long, short) - 1e-9) & (np.bitwise_count((sizes[at] ^ sizes[at - lag]).astype(np.uint64) & np.uint64(0xFFFFFFFF)) <= bits)
+        seconds.append(at[same])
+        firsts.append(at[same] - lag)
+    return np.concatenate(firsts), np.concatenate(seconds)
+
+
 def _neighbours(lags: int, alike: float, bits: int):
-    """(key, k, size, sketch) in order to pairs (a, b) of different k in one bucket, at most lags apart, that share a sample of the tail and are alike in size and sketch."""
+    """(key, k, size, sketch) in order to pairs (a, b) of different k in one bucket that are close in this order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ks, sizes = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
@@ -48,21 +69,10 @@ def _neighbours(lags: int, alike: float, bits: int):
             carried = len(key)
             own = batch.column(1)
             key, ks, sizes = np.concatenate([key, np.asarray(batch.column(0))]), own if ks is None else pa.concat_arrays([ks, own]), np.concatenate([sizes, np.asarray(batch.column(2))])
-            # A member that several tasks sent counts once.
-            parts = [key, *_columns(ks)]
-            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), np.logical_or.reduce([p[1:] != p[:-1] for p in parts])]))
+            new = once([key, *_columns(ks)])  # a member that several tasks sent counts once
             key, ks, sizes = key[new], ks.take(pa.array(new)), sizes[new]
-            firsts, seconds = [], []
-            for lag in range(1, lags + 1):
-                at = np.arange(max(lag, carried), len(key))
-                differ = (key[at] ^ key[at - lag]).view(np.uint64)
-                half = np.uint64((1 << TAIL // 2) - 1)
-                same = (differ >> np.uint64(TAIL) == 0) & ((differ & half == 0) | (differ >> np.uint64(TAIL // 2) & half == 0))
-                long, short = sizes[at] >> 32, sizes[at - lag] >> 32
-                same &= (np.minimum(long, short) >= alike * np.maximum(long, short) - 1e-9) & (np.bitwise_count((sizes[at] ^ sizes[at - lag]).astype(np.uint64) & np.uint64(0xFFFFFFFF)) <= bits)
-                seconds.append(at[same])
-                firsts.append(at[same] - lag)
-            yield pa.RecordBatch.from_arrays([ks.take(pa.array(np.concatenate(firsts))), ks.take(pa.array(np.concatenate(seconds)))], names=["a", "b"])
+            firsts, seconds = close_in_order(key, sizes, carried, lags, alike, bits)
+            yield pa.RecordBatch.from_arrays([ks.take(pa.array(firsts)), ks.take(pa.array(seconds))], names=["a", "b"])
             key, ks, sizes = key[-lags:], ks.slice(max(0, len(ks) - lags)), sizes[-lags:]
 
     return run
@@ -96,6 +106,94 @@ def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float
     return ordered.mapInArrow(lean(_neighbours(lags, alike, bits)), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+#: Members that a task gathers before it deals them out, and the parts that a partition's members are dealt to.
+DEALT_AT_ONCE, PARTS_EACH = 1 << 19, 4
+
+
+def packed_neighbours(dealt: DataFrame, lags: int = LAGS, alike: float = 0.0, bits: int = 32) -> DataFrame:
+    """neighbours() of members that are whole numbers and come packed: rows of dealt (members) hold arrays of k, of the keys of each in turn, as many for all, and of size.
+
+    Members go to parts by bucket, many in one row, and a part is sorted at once: what is held is a part, some
+    PARTS_EACH-th of a partition. Hot buckets are dealt by k as in neighbours(), found from every 64th member.
+    """
+    n = partitions(dealt)
+    parts = PARTS_EACH * n
+
+    def members(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, key, size = (x.view(np.int64) for x in unpack(data))
+        each = len(key) // max(1, len(k))
+        return np.repeat(k, each), key, np.repeat(size, each)
+
+    def scattered(x: np.ndarray) -> np.ndarray:
+        x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ x >> np.uint64(32)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                k, key, _ = members(data)
+                own = scattered(k) & np.uint64(63) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[own] >> TAIL), pa.array(k[own])], names=["bucket", "k"])
+
+    counts = dealt.mapInArrow(lean(some), "bucket long, k long").groupBy("bucket").agg(F.countDistinct("k").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = np.array(sorted(r.bucket for r in counts.where(F.col("n") > max(64.0, total / (4 * n))).select("bucket").collect()), np.int64)  # fewer than 4 * n
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def dealt_out(held: list) -> pa.RecordBatch:
+            k, key, size = (np.concatenate(c) for c in zip(*held))
+            bucket = key >> TAIL
+            place = scattered(bucket)
+            if len(hot):
+                salted = np.isin(bucket, hot)
+                place[salted] = scattered((k[salted].view(np.uint64) ^ place[salted]).view(np.int64))
+            part = (place % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            k, key, size = k[order], key[order], size[order]
+            sizes = np.bincount(part, minlength=parts)
+            own, ends = np.flatnonzero(sizes), np.cumsum(sizes)
+            data = [b"".join(x[ends[p] - sizes[p] : ends[p]].tobytes() for x in (k, key, size)) for p in own.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["part", "members"])
+
+        held, n = [], 0
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                held.append(members(data))
+                n += len(held[-1][0])
+                if n >= DEALT_AT_ONCE:
+                    yield dealt_out(held)
+                    held, n = [], 0
+        if held:
+            yield dealt_out(held)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(held: list[bytes]) -> pa.RecordBatch:
+            k, key, size = (np.concatenate(c) for c in zip(*(np.frombuffer(x, np.int64).reshape(3, -1) for x in held)))
+            order = np.lexsort((k, key))
+            k, key, size = k[order], key[order], size[order]
+            new = once([key, k])
+            k, key, size = k[new], key[new], size[new]
+            firsts, seconds = close_in_order(key, size, 0, lags, alike, bits)
+            both = np.sort(np.array([k[firsts], k[seconds]]), axis=0)
+            both = both[:, np.lexsort(both[::-1])]
+            both = both[:, once(list(both))]
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        now, held = None, []
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now and held:
+                    yield close(held)
+                    held = []
+                now = part
+                held.append(data)
+        if held:
+            yield close(held)
+
+    dealt_rows = dealt.mapInArrow(lean(deal), "part long, members binary").repartition(n, "part").sortWithinPartitions("part")
+    return dealt_rows.mapInArrow(lean(pairs), "a long, b long").distinct()
+
+
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 100) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node of its component.
 
