@@ -48,10 +48,13 @@ def truncated(text: Column, most: int = PROMPT_CHARS) -> Column:
 
 def existing_tags(text: Column) -> Column:
     """Tags of a note: those of its frontmatter, then #tags of the text, each once."""
-    _, front, body = X.frontmatter(text)
-    listed = X.yaml_tags(F.coalesce(F.try_element_at(X.properties(front), F.lit("tags")), F.lit("")))
-    inline = F.regexp_extract_all(body, F.lit(r"(?:^|\s)#([\p{L}0-9_/-]*[\p{L}_/-][\p{L}0-9_/-]*)"), F.lit(1))
-    return F.array_union(listed, X.normalise_tags(inline))
+
+    def tags(parts: Column) -> Column:
+        listed = X.yaml_tags(F.coalesce(F.try_element_at(X.properties(parts["front"]), F.lit("tags")), F.lit("")))
+        inline = F.regexp_extract_all(parts["body"], F.lit(r"(?:^|\s)#([\p{L}0-9_/-]*[\p{L}_/-][\p{L}0-9_/-]*)"), F.lit(1))
+        return F.array_union(listed, X.normalise_tags(F.array_distinct(inline)))
+
+    return T.named(X.front_and_body(text), tags)
 
 
 def new_tags(selected: Column, existing: Column) -> Column:
@@ -65,9 +68,8 @@ def all_tags(existing: Column, selected: Column) -> Column:
 
 def distinct_lines(lines: Column, key=comparable) -> Column:
     """Lines in order, the first of those that compare alike; blank ones are left out."""
-    keyed = F.filter(F.transform(lines, lambda x: F.struct(key(x).alias("k"), x.alias("v"))), lambda s: s["k"] != "")
-    keys = F.transform(keyed, lambda s: s["k"])
-    return F.transform(F.filter(keyed, lambda s, i: F.array_position(keys, s["k"]) == i + 1), lambda s: s["v"])
+    keyed = F.filter(F.transform(lines, lambda x: F.struct(key(x).alias("key"), x.alias("line"))), lambda s: s["key"] != "")
+    return F.transform(T.first_of_each(keyed), lambda s: s["line"])
 
 
 def kept_properties(yaml: Column, allowed: str) -> Column:

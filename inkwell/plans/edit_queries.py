@@ -9,7 +9,7 @@ from inkwell.operators import edits as E
 from inkwell.operators import highlight as H
 from inkwell.operators import providers as P
 from inkwell.plans.search_queries import HASH, NOTES, clean
-from inkwell.sources.notes import notes, table
+from inkwell.sources.notes import notes, spread, table
 
 TERMS = ["erth", "ng a", "de", "x"]
 ALLOWED = "Status, type,tags , area"
@@ -49,7 +49,7 @@ def prompt_texts(s, d):
 def tagged(s, d):
     """Notes with tags in a frontmatter (two of three) and in the whole text."""
     k = F.col("doc_id")
-    return notes(s, d).select("doc_id", F.concat(F.when(k % 3 > 0, F.lit("---\ntags: [A b, 'Ç']\n---\n")).otherwise(""), F.col("text"), F.lit("\n#Côr #9 x#no #a_b #t"), (k % 4).cast("string")).alias("text"))
+    return spread(notes(s, d)).select("doc_id", F.concat(F.when(k % 3 > 0, F.lit("---\ntags: [A b, 'Ç']\n---\n")).otherwise(""), F.col("text"), F.lit("\n#Côr #9 x#no #a_b #t"), (k % 4).cast("string")).alias("text"))
 
 
 def note_tags(s, d):
@@ -59,7 +59,7 @@ def note_tags(s, d):
 
 
 def distinct_lines(s, d):
-    return notes(s, d).select("doc_id", F.array_join(E.distinct_lines(F.split("text", "\n")), "\n").alias("lines"))
+    return spread(notes(s, d)).select("doc_id", F.array_join(E.distinct_lines(F.split("text", "\n")), "\n").alias("lines"))
 
 
 def structured_results(s, d):

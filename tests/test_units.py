@@ -535,3 +535,21 @@ def test_providers_by_name():
     n = len(asked)
     assert remote.dispatch(remote.Settings("other"), transport)(["a"]).category == "unsupported-provider" and remote.dispatch(remote.Settings("other"), transport)([]).category == "configuration" and len(asked) == n
     assert remote.dispatch(remote.Settings("mistral"), transport)(["a"]).category == "configuration"
+
+
+def test_values_that_are_used_again_are_made_once(spark):
+    """A note of many lines: work per line, not per pair of lines."""
+    import time
+
+    from inkwell.operators import edits, metadata
+
+    lines = [f"K{i % 1500}: Válue {i} " for i in range(3000)]
+    text = "\n---\n" + "\n".join([*lines, "tags: [A b, 'Ç', c]"]) + "\n---\n" + "\n".join(f"#Côr{i % 5} Line {i % 1000}" for i in range(20000)) + " \n"
+    rows = spark.createDataFrame([(text,), (None,), ("",), (" ﻿",), ("---\na: 1\na: 2\n--- x",)], "text string")
+    began = time.time()
+    found = rows.select(edits.existing_tags(F.col("text")).alias("tags"), F.size(edits.distinct_lines(F.split("text", "\n"))).alias("lines"), metadata.properties(metadata.frontmatter(F.col("text"))[1]).alias("map")).collect()
+    assert time.time() - began < 60
+    assert found[0].tags == ["a_b", "c", "cor0", "cor1", "cor2", "cor3", "cor4"] and found[0].lines == 3000 + 2 + 1000
+    assert found[0].map == {f"K{i}": f"Válue {i + 1500}" for i in range(1500)} | {"tags": "[A b, 'Ç', c]"}
+    assert [(r.tags, r.lines) for r in found[2:4]] == [([], 0), ([], 0)]
+    assert found[4].map == {"a": "2"}
