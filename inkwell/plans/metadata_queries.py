@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import metadata as X
 from inkwell.plans.search_queries import NOTES, PARTS, clean
-from inkwell.sources.notes import notes, part_notes, table
+from inkwell.sources.notes import notes, part_notes, spread, table
 
 #: Lines and folders that rows are made of, by number; what they become is computed from them in SQL as well.
 COMMANDS = ["  olá {} ", "/ask  what {}  is", "/TAGS {}", "/yaml", "/Summarize {}", "/{} bar", "/"]
@@ -24,7 +24,7 @@ def numbered_sql(options: list[str], key: str, value: str) -> str:
 
 
 def normalise_tags(s, d):
-    return part_notes(s, d).select("p_partkey", F.array_join(X.yaml_tags(F.concat(F.lit("[Ção Téc, "), F.replace("path", F.lit("/"), F.lit(",")), F.lit(", 'x']"))), "|").alias("tags"))
+    return spread(part_notes(s, d)).select("p_partkey", F.array_join(X.yaml_tags(F.concat(F.lit("[Ção Téc, "), F.replace("path", F.lit("/"), F.lit(",")), F.lit(", 'x']"))), "|").alias("tags"))
 
 
 def tag_counts(s, d):
@@ -43,7 +43,7 @@ def front(s, d):
     t = F.concat(F.when(k % 3 > 0, F.lit("\n---\ntitle: Doc ")).otherwise(F.lit("title: Doc ")), k.cast("string"), F.lit("\ntags: [A b, 'Ç']\n- item: no\ntitle: again\n---\nBody "), k.cast("string"), F.lit(" \n"))
     has, f, body = X.frontmatter(t)
     m = X.properties(f)
-    return table(s, d, "documents").select("doc_id", has.alias("has"), F.coalesce(F.try_element_at(m, F.lit("title")), F.lit("")).alias("title"), F.array_join(X.yaml_tags(F.coalesce(F.try_element_at(m, F.lit("tags")), F.lit(""))), "|").alias("tags"), F.size(m).alias("n"), body.alias("body"))
+    return spread(table(s, d, "documents").select("doc_id")).select("doc_id", has.alias("has"), F.coalesce(F.try_element_at(m, F.lit("title")), F.lit("")).alias("title"), F.array_join(X.yaml_tags(F.coalesce(F.try_element_at(m, F.lit("tags")), F.lit(""))), "|").alias("tags"), F.size(m).alias("n"), body.alias("body"))
 
 
 def json_extract(s, d):
@@ -77,7 +77,7 @@ def semantic_availability(s, d):
 def file_names(s, d):
     k = F.col("p_partkey")
     title = F.concat(F.when(k % 9 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" O "), F.col("p_name"), F.lit(" DE a/b: "), F.lower("p_type"), F.lit("? "), F.repeat(F.lit("ção x "), (k % 12).cast("int")))))
-    return table(s, d, "part").select("p_partkey", X.file_name(title).alias("name"))
+    return spread(table(s, d, "part").select("p_partkey", "p_name", "p_type")).select("p_partkey", X.file_name(title).alias("name"))
 
 
 def displays(s, d):
