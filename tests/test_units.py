@@ -553,3 +553,25 @@ def test_values_that_are_used_again_are_made_once(spark):
     assert found[0].map == {f"K{i}": f"Válue {i + 1500}" for i in range(1500)} | {"tags": "[A b, 'Ç', c]"}
     assert [(r.tags, r.lines) for r in found[2:4]] == [([], 0), ([], 0)]
     assert found[4].map == {"a": "2"}
+
+
+def test_workers_hold_a_part_of_a_batch(spark):
+    """Chunks of a large batch leave the worker in parts, and the session's batches are small."""
+    from inkwell.functions import batches
+
+    notes = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.format_string("n%d.md", "id").alias("path"), F.repeat(F.lit("wörd "), 400).alias("text"))
+    chunks = chunking.chunk_notes(notes)
+    assert int(spark.conf.get(batches.BATCH_CONF)) <= batches.BATCH_BYTES
+    assert chunks.groupBy("doc_id").count().where("count = 2").count() == 3000
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 10_000})
+    parts = list(batches.slices(whole))
+    assert len(parts) > 5 and sum(p.num_rows for p in parts) == 10_000 and not list(batches.slices(whole.slice(0, 0)))
+
+
+def test_matches_inside_words_are_counted_where_there_are_some(spark):
+    rows = spark.createDataFrame([("aa aab baa baab aaaa xaa  b aa",), ("b",), ("",)], "t string").select(text_search.match_counts(text_search.padded(F.col("t")), "aa").alias("m"))
+    assert [tuple(r.m) for r in rows.collect()] == [(2, 2, 3), (0, 0, 0), (0, 0, 0)]
+    spaced = spark.createDataFrame([("a  b\tc\n \td  e ",)], "t string").select(T.collapse(F.col("t"))).first()[0]
+    assert spaced == "a b c d e"
