@@ -106,6 +106,30 @@ def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float
     return ordered.mapInArrow(lean(_neighbours(lags, alike, bits)), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+#: Members of a bucket that meet in one place, with as many others.
+BLOCK = 1024
+
+
+def other_pairs(members: DataFrame, roots: DataFrame, alike: float) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members (bucket, k, size) that share a bucket, whatever its size, and aren't in one component of roots (node, root).
+
+    Of a pair the lesser size is at least alike times the greater. With the links that neighbours() led to, these
+    pairs are all that can change a component: what is linked already needs no comparison. Buckets of one component, as of
+    near copies, take no part; the members of others are dealt to blocks, and each pair of blocks meets in a place
+    of its own, so that what is held is a block whatever the bucket.
+    """
+    own = members.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("bucket", "k", "size", F.coalesce("root", "k").alias("root"))
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    some = cut(own.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "mixed-buckets")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = some.select("bucket", F.col("block").alias("i"), every.alias("j"), F.col("k").alias("a"), F.col("root").alias("of_a"), F.col("size").alias("x"))
+    y = some.select("bucket", every.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("root").alias("of_b"), F.col("size").alias("y"))
+    fits = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (F.least("x", "y") >= alike * F.greatest("x", "y") - 1e-9)
+    found = cut(x.join(y, ["bucket", "i", "j"]).where(fits).select("a", "b").distinct(), "other-pairs")
+    discard(some)
+    return found
+
+
 #: Members that a task gathers before it deals them out, and the parts that a partition's members are dealt to.
 DEALT_AT_ONCE, PARTS_EACH = 1 << 19, 4
 

@@ -7,8 +7,8 @@
    so the shingles that it has at the share hold all that reach it; these alone are then counted.
 2. Each distinct text gets a weighted MinHash signature by consistent weighted sampling, in bands.
 3. Texts that share a band are sorted by the samples after it; each is a candidate with the next few
-   there. So a bucket of thousands of copies costs a few pairs for each member, and of many texts
-   that merely have a passage in common the most alike come together, in twelve orders.
+   there. So a bucket of thousands of near copies costs a few pairs for each member. All other pairs of a band
+   that aren't in one class by then, and whose weights allow the similarity, are candidates after that.
 4. Verification computes the weighted Jaccard similarity of the texts; classes are the components.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import pack, unpack
 from inkwell.llm.common import cut, discard, fresh, lean, partitions, whole_text
-from inkwell.llm.graph import bucket_keys, components, neighbours
+from inkwell.llm.graph import TAIL, bucket_keys, components, neighbours, other_pairs
 
 SHINGLE = 5
 COMMON = 1 / 200
@@ -245,31 +245,27 @@ def classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch], memory_keys: int = 100_000) -> Iterator[pa.RecordBatch]:
         known, sampler, model, seen = WordHashes(), Sampler(rules.bands * rules.rows), Frequencies(*shared.value), set()
         for batch in batches:
-            keep, found = [], []
+            keep, found, totals = [], [], []
             for at, (k, text) in enumerate(zip(zip(*(c.to_pylist() for c in batch.column(0).flatten())), batch.column(1))):
                 if k not in seen:  # copies that one task reads are signed once
                     seen.add(k)
                     h, n = shingles(text.as_py(), known.fresh())
                     if len(h):
+                        weights = model.weights(h, n)
                         keep.append(at)
-                        found.append(sampler.least(h, model.weights(h, n)))
+                        found.append(sampler.least(h, weights))
+                        totals.append(float(weights.sum()))
             if len(seen) > memory_keys:
                 seen.clear()
             keys = bucket_keys(np.array(found, np.uint64).reshape(len(found), -1), rules.rows) if found else np.zeros((0, rules.bands), np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * rules.bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), flat], names=["k", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), flat, pa.array(totals, pa.float64())], names=["k", "keys", "total"])
 
     kind = "struct<x:long,y:long>"
-    signed = cut(rows.select("k", "text").mapInArrow(lean(sign, 1000), f"k {kind}, keys array<long>").groupBy("k").agg(F.first("keys").alias("keys")), "signatures")
+    signed = cut(rows.select("k", "text").mapInArrow(lean(sign, 1000), f"k {kind}, keys array<long>, total double").groupBy("k").agg(F.first("keys").alias("keys"), F.first("total").alias("total")), "signatures")
     keyed = signed.select(F.explode("keys").alias("key"), "k", F.lit(0).alias("size"))
     pairs = cut(neighbours(keyed, keyed.where(F.pmod(F.xxhash64("k"), F.lit(32)) == 0)), "near-pairs")
 
-    # Only texts in a pair are needed again, from one row each: copies are spread by doc_id.
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    place = rows.select("doc_id", "k").join(wanted, "k").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
-    at = (F.col("r.k") == F.col("p.k")) & F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
-    texts = cut(rows.alias("r").join(place.alias("p"), at).select("r.k", "r.text").groupBy("k").agg(F.min("text").alias("text")), "near-texts")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, model = WordHashes(), Frequencies(*shared.value)
         last, own = None, None
@@ -284,12 +280,30 @@ def classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
                 keep.append(weighted_jaccard(own, (h, model.weights(h, n))) >= rules.similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = texts.select(F.col("k").alias("a"), F.col("text").alias("x")), texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
-    links = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lean(verify, 500), f"a {kind}, b {kind}")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity. Only texts in a pair are needed again, from one row each: copies are spread by doc_id."""
+        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+        place = rows.select("doc_id", "k").join(wanted, "k").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+        at = (F.col("r.k") == F.col("p.k")) & F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
+        texts = cut(rows.alias("r").join(place.alias("p"), at).select("r.k", "r.text").groupBy("k").agg(F.min("text").alias("text")), "near-texts")
+        x, y = texts.select(F.col("k").alias("a"), F.col("text").alias("x")), texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
+        links = cut(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lean(verify, 500), f"a {kind}, b {kind}"), "near-links")
+        discard(texts)
+        return links
+
+    links = verified(pairs)
     roots = components(links, "near-groups")
+    # Every other pair of a bucket that could still join two components: what came too far apart in the order is compared as well.
+    members = signed.select(F.explode(F.transform("keys", lambda key: F.shiftright(key, TAIL))).alias("bucket"), "k", F.col("total").alias("size"))
+    others = other_pairs(members, roots, rules.similarity)
+    rest = others.join(pairs, ["a", "b"], "left_anti")
+    if rest.take(1):
+        more = verified(rest)
+        roots = components(links.unionByName(more), "near-groups")
+        discard(more)
     found = cut(rows.select("doc_id", "k").join(roots, F.col("k") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")), "near-classes")
     shared.destroy()
-    discard(signed, pairs, texts)
+    discard(signed, pairs, links, others)
     return found
 
 

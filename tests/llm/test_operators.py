@@ -537,3 +537,20 @@ def test_shards_are_written_whole(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "shards")).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter((r.doc_id, r.text) for r in docs.collect())
     assert len({(r.shard, r.slot) for r in found}) == len(found) and Counter(r.shard for r in found) == Counter(r.shard for r in assigned.collect())
+
+
+def test_pairs_far_apart_in_a_bucket_are_compared(spark):
+    """A bucket of 3000 members, of which the order brings none together: all pairs of different components whose sizes fit."""
+    members = spark.range(3000).select(F.lit(7).cast("long").alias("bucket"), F.col("id").alias("k"), F.when(F.col("id") < 40, 10.0).otherwise(F.pow(F.lit(1.01), F.col("id")) * 100).alias("size"))
+    roots = spark.range(20, 3000).select(F.col("id").alias("node"), F.lit(20).cast("long").alias("root"))
+    found = {(r.a, r.b) for r in graph.other_pairs(members, roots, 0.8).collect()}
+    assert found == {(a, b) for a in range(20) for b in range(a + 1, 40)}
+    assert graph.other_pairs(members.limit(0), roots.limit(0), 0.8).collect() == []
+
+
+def test_a_link_that_the_order_misses_is_found(spark, monkeypatch):
+    texts = [" ".join(f"w{(7 * i + j) % 5000}" for j in range(120)) for i in range(3)]
+    texts += [t.replace(t.split()[60], "other") for t in texts]
+    monkeypatch.setattr(near_dups, "neighbours", lambda keyed, some: keyed.sparkSession.createDataFrame([], "a struct<x:long,y:long>, b struct<x:long,y:long>"))
+    found = {r.doc_id: r.class_id for r in near_dups.near_duplicates(frame(spark, texts)).collect()}
+    assert all(found[i] == found[i + 3] for i in range(3))
