@@ -110,21 +110,40 @@ def neighbours(keyed: DataFrame, some: DataFrame, lags: int = LAGS, alike: float
 BLOCK = 1024
 
 
+def rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members (k, …) with the root of each, itself without one, for components (node, root)."""
+    return members.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets that hold members of several roots."""
+    return own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most").select("bucket", "n")
+
+
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct k of members (bucket, k) that share a bucket with a member of another component of roots (node, root)."""
+    own = rooted(members.select("bucket", "k"), roots)
+    return own.join(_mixed(own), "bucket").select("k").distinct()
+
+
 def other_pairs(members: DataFrame, roots: DataFrame, alike: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members (bucket, k, size) that share a bucket, whatever its size, and aren't in one component of roots (node, root).
 
-    Of a pair the lesser size is at least alike times the greater. With the links that neighbours() led to, these
-    pairs are all that can change a component: what is linked already needs no comparison. Buckets of one component, as of
+    Of a pair the lesser size is at least alike times the greater. If members have a further column onward, the most that a member
+    may share with another of this bucket, a pair's is alike / (1 + alike) of both sizes at least, as a weighted Jaccard similarity
+    of alike wants. With the links that neighbours() led to, these pairs are all that can change a component: what is linked already needs no comparison. Buckets of one component, as of
     near copies, take no part; the members of others are dealt to blocks, and each pair of blocks meets in a place
     of its own, so that what is held is a block whatever the bucket.
     """
-    own = members.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("bucket", "k", "size", F.coalesce("root", "k").alias("root"))
-    mixed = own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    onward = F.col("onward") if "onward" in members.columns else F.lit(float("inf"))
+    own = rooted(members.select("bucket", "k", "size", onward.alias("onward")), roots)
+    mixed = _mixed(own).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     some = cut(own.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "mixed-buckets")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = some.select("bucket", F.col("block").alias("i"), every.alias("j"), F.col("k").alias("a"), F.col("root").alias("of_a"), F.col("size").alias("x"))
-    y = some.select("bucket", every.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("root").alias("of_b"), F.col("size").alias("y"))
+    x = some.select("bucket", F.col("block").alias("i"), every.alias("j"), F.col("k").alias("a"), F.col("root").alias("of_a"), F.col("size").alias("x"), F.col("onward").alias("on_x"))
+    y = some.select("bucket", every.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("root").alias("of_b"), F.col("size").alias("y"), F.col("onward").alias("on_y"))
     fits = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (F.least("x", "y") >= alike * F.greatest("x", "y") - 1e-9)
+    fits = fits & ((1 + alike) * F.least("on_x", "on_y") >= (alike - 1e-9) * (F.col("x") + F.col("y")))
     found = cut(x.join(y, ["bucket", "i", "j"]).where(fits).select("a", "b").distinct(), "other-pairs")
     discard(some)
     return found

@@ -7,8 +7,9 @@
    so the shingles that it has at the share hold all that reach it; these alone are then counted.
 2. Each distinct text gets a weighted MinHash signature by consistent weighted sampling, in bands.
 3. Texts that share a band are sorted by the samples after it; each is a candidate with the next few
-   there. So a bucket of thousands of near copies costs a few pairs for each member. All other pairs of a band
-   that aren't in one class by then, and whose weights allow the similarity, are candidates after that.
+   there. So a bucket of thousands of near copies costs a few pairs for each member. After that, all members of a band
+   that holds several classes are joined by their rarest shingles, so many of them that no pair of the similarity can
+   do without a common one: of the others, which may be as many as the square of a band, none needs a comparison.
 4. Verification computes the weighted Jaccard similarity of the texts; classes are the components.
 """
 
@@ -22,12 +23,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import pack, unpack
 from inkwell.llm.common import cut, discard, fresh, lean, partitions, whole_text
-from inkwell.llm.graph import TAIL, bucket_keys, components, neighbours, other_pairs
+from inkwell.llm.graph import TAIL, bucket_keys, components, mixed_members, neighbours, other_pairs
 
 SHINGLE = 5
 COMMON = 1 / 200
@@ -230,6 +231,20 @@ def weighted_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.n
     return float(shared / (total - shared))
 
 
+def prefixes(weighted: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, k, size, onward) of weighted sets (k, h, w), a row for each element h of weight w: those of its rarest elements without which a set can't have the weighted Jaccard similarity with any other. size is its weight, onward that of the element and those that come after it.
+
+    Similar sets share at least similarity times the weight of either. In the order of all elements, by
+    how many sets hold them and then by number, what either set has from their first common element on weighs that much:
+    this element is in the prefixes of both. Elements of one set alone take no part.
+    """
+    held = weighted.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = weighted.groupBy("k").agg(F.sum("w").alias("size"))
+    onward = F.sum("w").over(Window.partitionBy("k").orderBy(F.desc("n"), F.desc("h")))
+    rows = weighted.join(held, "h").withColumn("onward", onward).join(total, "k")
+    return rows.where(F.col("onward") >= (similarity - 1e-9) * F.col("size")).select(F.col("h").alias("bucket"), "k", "size", "onward")
+
+
 def text_key():
     """128 bits of the text, null as empty."""
     return F.struct(F.xxhash64(whole_text()).alias("x"), F.xxhash64(F.lit(17), whole_text()).alias("y"))
@@ -245,24 +260,22 @@ def classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch], memory_keys: int = 100_000) -> Iterator[pa.RecordBatch]:
         known, sampler, model, seen = WordHashes(), Sampler(rules.bands * rules.rows), Frequencies(*shared.value), set()
         for batch in batches:
-            keep, found, totals = [], [], []
+            keep, found = [], []
             for at, (k, text) in enumerate(zip(zip(*(c.to_pylist() for c in batch.column(0).flatten())), batch.column(1))):
                 if k not in seen:  # copies that one task reads are signed once
                     seen.add(k)
                     h, n = shingles(text.as_py(), known.fresh())
                     if len(h):
-                        weights = model.weights(h, n)
                         keep.append(at)
-                        found.append(sampler.least(h, weights))
-                        totals.append(float(weights.sum()))
+                        found.append(sampler.least(h, model.weights(h, n)))
             if len(seen) > memory_keys:
                 seen.clear()
             keys = bucket_keys(np.array(found, np.uint64).reshape(len(found), -1), rules.rows) if found else np.zeros((0, rules.bands), np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * rules.bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), flat, pa.array(totals, pa.float64())], names=["k", "keys", "total"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), flat], names=["k", "keys"])
 
     kind = "struct<x:long,y:long>"
-    signed = cut(rows.select("k", "text").mapInArrow(lean(sign, 1000), f"k {kind}, keys array<long>, total double").groupBy("k").agg(F.first("keys").alias("keys"), F.first("total").alias("total")), "signatures")
+    signed = cut(rows.select("k", "text").mapInArrow(lean(sign, 1000), f"k {kind}, keys array<long>").groupBy("k").agg(F.first("keys").alias("keys")), "signatures")
     keyed = signed.select(F.explode("keys").alias("key"), "k", F.lit(0).alias("size"))
     pairs = cut(neighbours(keyed, keyed.where(F.pmod(F.xxhash64("k"), F.lit(32)) == 0)), "near-pairs")
 
@@ -280,12 +293,15 @@ def classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
                 keep.append(weighted_jaccard(own, (h, model.weights(h, n))) >= rules.similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the similarity. Only texts in a pair are needed again, from one row each: copies are spread by doc_id."""
-        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(k, text) of wanted keys (k), from one row each: copies are spread by doc_id. A table of cut()."""
         place = rows.select("doc_id", "k").join(wanted, "k").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
         at = (F.col("r.k") == F.col("p.k")) & F.col("r.doc_id").eqNullSafe(F.col("p.doc_id"))
-        texts = cut(rows.alias("r").join(place.alias("p"), at).select("r.k", "r.text").groupBy("k").agg(F.min("text").alias("text")), "near-texts")
+        return cut(rows.alias("r").join(place.alias("p"), at).select("r.k", "r.text").groupBy("k").agg(F.min("text").alias("text")), "near-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the similarity. Only texts in a pair are needed again."""
+        texts = texts_of(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
         x, y = texts.select(F.col("k").alias("a"), F.col("text").alias("x")), texts.select(F.col("k").alias("b"), F.col("text").alias("y"))
         links = cut(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(lean(verify, 500), f"a {kind}, b {kind}"), "near-links")
         discard(texts)
@@ -293,17 +309,27 @@ def classes(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
 
     links = verified(pairs)
     roots = components(links, "near-groups")
-    # Every other pair of a bucket that could still join two components: what came too far apart in the order is compared as well.
-    members = signed.select(F.explode(F.transform("keys", lambda key: F.shiftright(key, TAIL))).alias("bucket"), "k", F.col("total").alias("size"))
-    others = other_pairs(members, roots, rules.similarity)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model = WordHashes(), Frequencies(*shared.value)
+        for batch in batches:
+            sets = [shingles(text.as_py(), known.fresh()) for text in batch.column(1)]
+            h, n = (np.concatenate(c) for c in zip(*sets)) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(model.weights(h, n).astype(float))], names=["k", "h", "w"])
+
+    # Whatever could still join two components: what came too far apart in the order of its bands is compared as well.
+    members = signed.select(F.explode(F.transform("keys", lambda key: F.shiftright(key, TAIL))).alias("bucket"), "k")
+    texts = texts_of(mixed_members(members, roots))
+    weighted = cut(texts.mapInArrow(lean(weigh, 500), f"k {kind}, h long, w double"), "mixed-shingles")
+    others = other_pairs(prefixes(weighted, rules.similarity), roots, rules.similarity)
     rest = others.join(pairs, ["a", "b"], "left_anti")
+    more = None
     if rest.take(1):
         more = verified(rest)
         roots = components(links.unionByName(more), "near-groups")
-        discard(more)
     found = cut(rows.select("doc_id", "k").join(roots, F.col("k") == F.col("node"), "left").select("doc_id", "k", F.coalesce("root", "k").alias("root")), "near-classes")
     shared.destroy()
-    discard(signed, pairs, links, others)
+    discard(signed, pairs, links, texts, weighted, others, more)
     return found
 
 

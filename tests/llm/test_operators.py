@@ -554,3 +554,23 @@ def test_a_link_that_the_order_misses_is_found(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "neighbours", lambda keyed, some: keyed.sparkSession.createDataFrame([], "a struct<x:long,y:long>, b struct<x:long,y:long>"))
     found = {r.doc_id: r.class_id for r in near_dups.near_duplicates(frame(spark, texts)).collect()}
     assert all(found[i] == found[i + 3] for i in range(3))
+
+
+def test_rare_elements_lead_to_every_similar_pair_and_few_others(spark):
+    """500 sets of one bucket that have two thirds in common, some of them more: what all pairs give, from a few pairs."""
+    r = random.Random(31)
+    sets = {k: {h: 1.0 + h % 3 for h in r.sample(range(60), 58)} | {1000 + 30 * k + j: 2.0 for j in range(3 if k % 50 == 0 else 25)} for k in range(500)}
+    sets |= {500 + k: dict(list(sets[k].items())[: -1 - k % 4]) for k in range(0, 500, 10)} | {2000: {5: 2.0}, 2001: {5: 2.0}}
+    weighted = spark.createDataFrame([(k, h, w) for k, own in sets.items() for h, w in own.items()], "k long, h long, w double")
+
+    def similarity(x, y):
+        shared = sum(min(v, y[h]) for h, v in x.items() if h in y)
+        return shared / (sum(x.values()) + sum(y.values()) - shared)
+
+    want = {(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8}
+    none = spark.createDataFrame([], "node long, root long")
+    found = {(x.a, x.b) for x in graph.other_pairs(near_dups.prefixes(weighted, 0.8), none, 0.8).collect()}
+    print(len(want), len(found), len(sets) ** 2 // 2)
+    assert want <= found and len(found) - len(want) < len(sets) ** 2 // 20
+    members = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (3, 5)], "bucket long, k long")
+    assert {x.k for x in graph.mixed_members(members, spark.createDataFrame([(2, 1), (5, 4)], "node long, root long")).collect()} == {2, 3}
