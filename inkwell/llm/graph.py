@@ -126,25 +126,30 @@ def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(_mixed(own), "bucket").select("k").distinct()
 
 
-def other_pairs(members: DataFrame, roots: DataFrame, alike: float) -> DataFrame:
+def other_pairs(members: DataFrame, roots: DataFrame, alike: float, bits: int = 64) -> DataFrame:
     """Distinct pairs (a, b), a < b, of members (bucket, k, size) that share a bucket, whatever its size, and aren't in one component of roots (node, root).
 
     Of a pair the lesser size is at least alike times the greater. If members have a further column onward, the most that a member
     may share with another of this bucket, a pair's is alike / (1 + alike) of both sizes at least, as a weighted Jaccard similarity
-    of alike wants. With the links that neighbours() led to, these pairs are all that can change a component: what is linked already needs no comparison. Buckets of one component, as of
+    of alike wants. If they have a column mark, a pair's differ in so many bits at most. With the links that neighbours() led to, these pairs are all that can change a component: what is linked already needs no comparison. Buckets of one component, as of
     near copies, take no part; the members of others are dealt to blocks, and each pair of blocks meets in a place
-    of its own, so that what is held is a block whatever the bucket.
+    of its own, so that what is held is a block whatever the bucket. Members of a bucket's most common component meet those of
+    others only, so a few strays among many near copies cost rows in proportion.
     """
     onward = F.col("onward") if "onward" in members.columns else F.lit(float("inf"))
-    own = rooted(members.select("bucket", "k", "size", onward.alias("onward")), roots)
+    mark = F.col("mark") if "mark" in members.columns else F.lit(0).cast("long")
+    own = rooted(members.select("bucket", "k", "size", onward.alias("onward"), mark.alias("mark")), roots)
     mixed = _mixed(own).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     some = cut(own.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")), "mixed-buckets")
+    most = some.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    told = some.join(most, "bucket").withColumn("most", F.col("root") == F.col("most"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = some.select("bucket", F.col("block").alias("i"), every.alias("j"), F.col("k").alias("a"), F.col("root").alias("of_a"), F.col("size").alias("x"), F.col("onward").alias("on_x"))
-    y = some.select("bucket", every.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("root").alias("of_b"), F.col("size").alias("y"), F.col("onward").alias("on_y"))
-    fits = (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (F.least("x", "y") >= alike * F.greatest("x", "y") - 1e-9)
-    fits = fits & ((1 + alike) * F.least("on_x", "on_y") >= (alike - 1e-9) * (F.col("x") + F.col("y")))
-    found = cut(x.join(y, ["bucket", "i", "j"]).where(fits).select("a", "b").distinct(), "other-pairs")
+    x = told.where("not most").select("bucket", F.col("block").alias("i"), every.alias("j"), F.col("k").alias("a"), F.col("root").alias("of_a"), F.col("size").alias("x"), F.col("onward").alias("on_x"), F.col("mark").alias("mark_x"))
+    y = told.select("bucket", every.alias("i"), F.col("block").alias("j"), F.col("k").alias("b"), F.col("root").alias("of_b"), F.col("size").alias("y"), F.col("onward").alias("on_y"), F.col("mark").alias("mark_y"), "most")
+    fits = (F.col("most") | (F.col("a") < F.col("b"))) & (F.col("of_a") != F.col("of_b")) & (F.least("x", "y") >= alike * F.greatest("x", "y") - 1e-9)
+    fits = fits & ((1 + alike) * F.least("on_x", "on_y") >= (alike - 1e-9) * (F.col("x") + F.col("y"))) & (F.bit_count(F.col("mark_x").bitwiseXOR(F.col("mark_y"))) <= bits)
+    pairs = x.join(y, ["bucket", "i", "j"]).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = cut(pairs.distinct(), "other-pairs")
     discard(some)
     return found
 
@@ -154,7 +159,34 @@ DEALT_AT_ONCE, PARTS_EACH = 1 << 19, 4
 
 
 def packed_neighbours(dealt: DataFrame, lags: int = LAGS, alike: float = 0.0, bits: int = 32) -> DataFrame:
-    """neighbours() of members that are whole numbers and come packed: rows of dealt (members) hold arrays of k, of the keys of each in turn, as many for all, and of size.
+    """neighbours() of members that come packed, as packed_pairs() takes them."""
+    return packed_pairs(dealt, lags, alike, bits).where("bucket is null").select("a", "b").distinct()
+
+
+def further_apart(key: np.ndarray, lags: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, groups) of members, in order of keys, that share a bucket and a sample of the tail with some that may be more than lags apart; hot: those whose bucket is dealt to several parts."""
+
+    def each(x: np.ndarray) -> np.ndarray:
+        starts = once([x])
+        sizes = np.diff(np.append(starts, len(x)))
+        return np.repeat(sizes, sizes)
+
+    half = TAIL // 2
+    first = key >> half  # these lie together
+    own = np.flatnonzero((each(first) > lags + 1) | hot)
+    second = (key >> TAIL) << half | key & ((1 << half) - 1)
+    likely = np.flatnonzero((each(key >> TAIL) > lags + 1) | hot)
+    _, of, n = np.unique(second[likely], return_inverse=True, return_counts=True)
+    likely = likely[(n[of] > 1) | hot[likely]]
+    return np.concatenate([own, likely]), np.concatenate([first[own] << 1, second[likely] << 1 | 1])
+
+
+def packed_pairs(dealt: DataFrame, lags: int = LAGS, alike: float = 0.0, bits: int = 32) -> DataFrame:
+    """neighbours() of members that are whole numbers and come packed, and who else is to be compared: rows (a, b, bucket, size).
+
+    Rows of dealt (members) hold arrays of k, of the keys of each in turn, as many for all, and of size. Rows without a bucket are pairs a < b,
+    some of them several times. The others are members a, with their size, of a bucket that has a sample of the tail in its
+    name, and more members than the order brings together: other_pairs() finds all that are left of its pairs.
 
     Members go to parts by bucket, many in one row, and a part is sorted at once: what is held is a part, some
     PARTS_EACH-th of a partition. Hot buckets are dealt by k as in neighbours(), found from every 64th member.
@@ -220,7 +252,10 @@ def packed_neighbours(dealt: DataFrame, lags: int = LAGS, alike: float = 0.0, bi
             both = np.sort(np.array([k[firsts], k[seconds]]), axis=0)
             both = both[:, np.lexsort(both[::-1])]
             both = both[:, once(list(both))]
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            at, groups = further_apart(key, lags, np.isin(key >> TAIL, hot) if len(hot) else np.zeros(len(key), bool))
+            none = [pa.nulls(len(at), pa.int64()), pa.nulls(both.shape[1], pa.int64())]
+            columns = [pa.concat_arrays([pa.array(both[0]), pa.array(k[at])]), pa.concat_arrays([pa.array(both[1]), none[0]]), pa.concat_arrays([none[1], pa.array(groups)]), pa.concat_arrays([none[1], pa.array(size[at])])]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket", "size"])
 
         now, held = None, []
         for batch in batches:
@@ -234,7 +269,7 @@ def packed_neighbours(dealt: DataFrame, lags: int = LAGS, alike: float = 0.0, bi
             yield close(held)
 
     dealt_rows = dealt.mapInArrow(lean(deal), "part long, members binary").repartition(n, "part").sortWithinPartitions("part")
-    return dealt_rows.mapInArrow(lean(pairs), "a long, b long").distinct()
+    return dealt_rows.mapInArrow(lean(pairs), "a long, b long, bucket long, size long")
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 100) -> DataFrame:

@@ -5,7 +5,8 @@ similarity reaches the threshold. SimHash blocks alone don't reach it: lines wit
 words replaced differ in 7 of 32 bits more or less, and no block of a few bits is left equal. So each of
 the tables draws three of a line's words, long ones rather than short, such that similar lines draw the
 same ones (three characters in a row instead of words in short lines); lines with equal draws are sorted by what is
-drawn after them and each is a candidate with the next few. Of these, lengths too far apart for the
+drawn after them and each is a candidate with the next few. All others of equal draws, one of those after included, are
+candidates once these are linked, unless they are in one group by then. Of these, lengths too far apart for the
 similarity are left out, which loses nothing, and pairs whose 32-bit SimHashes are as far apart as chance has them. Of each connected group, and of exact repeats, the first occurrence by (doc_id, text,
 line number) stays.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import pack
-from inkwell.llm.common import cut, discard, fresh, lean, whole_text
-from inkwell.llm.graph import bucket_keys, components, packed_neighbours
+from inkwell.llm.common import cut, discard, fresh, lean, partitions, whole_text
+from inkwell.llm.graph import bucket_keys, components, other_pairs, packed_pairs
 
 #: Tables, and how many draws make a bucket. Lines that share two thirds of their weight share one, and a draw after it, with 0.97.
 TABLES, DRAWS = 12, 3
@@ -43,7 +44,7 @@ class LineRules:
     #: Lines of fewer characters are compared for exact repeats only. Five words have nine at least.
     min_chars: int = 9
     similarity: float = 0.8
-    #: Lines of a bucket that come next in its order, with which one is compared. With 2, of 3876 lines that all pairs of buckets would join to others in 16,000 documents 3871 are.
+    #: Lines of a bucket that come next in its order, with which one is compared first; the rest of its pairs, of different groups only, come after.
     lags: int = 2
     #: Documents that hold lines to verify are found by broadcast up to so many lines, 40 bytes each, by a shuffled join beyond.
     broadcast_lines: int = 500_000
@@ -197,7 +198,7 @@ class Dealer:
         self.clocks, self.known, self.seen = Clocks(), WordHashes(), set()
 
     def batch(self, docs: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
-        """Rows of some documents' lines that aren't blank: doc_id, text_hash, line, k1, k2; and one of members: lines that are compared, with their keys and a mark each, characters and SimHash, as packed_neighbours() takes them."""
+        """Rows of some documents' lines that aren't blank: doc_id, text_hash, line, k1, k2; and one of members: lines that are compared, with their keys and a mark each, characters and SimHash, as packed_pairs() takes them."""
         texts = [WIDE_SPACE.sub(" ", t.lower()) if not t.isascii() else t.lower() for _, _, t in docs]
         w = Words("\n".join(texts))
         first_line = np.cumsum([0, *(t.count("\n") + 1 for t in texts)])[:-1]
@@ -463,17 +464,39 @@ def duplicate_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     place = F.struct("doc_id", "text_hash", "line")
 
     # Lines are linked by half of their key: 64 bits. Lengths too far apart for the similarity make no pair, nor do SimHashes that differ like chance.
-    near = cut(packed_neighbours(rows.where("members is not null").select("members"), rules.lags, rules.similarity, BITS), "near-lines")
+    sorted_out = cut(packed_pairs(rows.where("members is not null").select("members"), rules.lags, rules.similarity, BITS), "line-members")
+    near = cut(sorted_out.where("bucket is null").select("a", "b").distinct(), "near-lines")
     distinct = cut(lines.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
-    needed = near.select(F.col("a").alias("half")).unionByName(near.select(F.col("b").alias("half"))).distinct()
-    wanted = cut(distinct.withColumn("half", F.col("k.k1")).join(needed, "half"), "wanted-lines")
-    texts = line_texts(keyed, wanted, rules)
-    x, y = texts.select(F.col("half").alias("a"), F.col("text").alias("x")), texts.select(F.col("half").alias("b"), F.col("text").alias("y"))
-    links = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_alike(rules.similarity)), near.schema)
+
+    def wanted_of(halves: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Distinct lines of some halves, and their texts."""
+        some = cut(distinct.withColumn("half", F.col("k.k1")).join(halves, "half"), "wanted-lines")
+        return some, line_texts(keyed, some, rules)
+
+    def linked_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        x, y = texts.select(F.col("half").alias("a"), F.col("text").alias("x")), texts.select(F.col("half").alias("b"), F.col("text").alias("y"))
+        spread = pairs.join(x, "a").repartition(partitions(docs), "b")  # few bytes, but much work
+        return cut(spread.join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_alike(rules.similarity)), near.schema), "line-links")
+
+    halves = lambda pairs: pairs.select(F.col("a").alias("half")).unionByName(pairs.select(F.col("b").alias("half"))).distinct()
+    wanted, texts = wanted_of(halves(near))
+    links = linked_of(near, texts)
     roots = components(links, "line-groups")
+    # All other pairs of a bucket that could still join two groups, however far apart its order has them.
+    members = sorted_out.where("bucket is not null").select("bucket", F.col("a").alias("k"), F.shiftright("size", 32).alias("size"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("mark"))
+    others = other_pairs(members, roots, rules.similarity, BITS)
+    rest, made = others.join(near, ["a", "b"], "left_anti"), [sorted_out, near, others, texts, links]
+    if rest.take(1):
+        more_wanted, more_texts = wanted_of(halves(rest).join(wanted, "half", "left_anti"))
+        more = linked_of(rest, texts.unionByName(more_texts))
+        roots = components(links.unionByName(more), "line-groups")
+        made += [wanted, more_wanted, more_texts, more]
+        wanted = wanted.unionByName(more_wanted)
+    else:
+        made.append(wanted)
     # Lines without a link keep their own first occurrence; only the others need their group's.
     linked = cut(wanted.join(roots, F.col("half") == F.col("node")).select("k", "half", "first", "n", "root"), "linked-lines")
-    discard(near, texts, wanted)
+    discard(*made)
     of_group = linked.join(linked.groupBy("root").agg(F.min("first").alias("kept")), "root").where((F.col("n") > 1) | (F.col("first") != F.col("kept"))).select("k", "kept")
     # Keys of repeated lines only, so that lines that occur once take no part in the join.
     alone = distinct.where("n > 1").join(linked.select(F.col("half").alias("k1")), F.col("k.k1") == F.col("k1"), "left_anti").select("k", F.col("first").alias("kept"))

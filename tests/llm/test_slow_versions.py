@@ -166,3 +166,24 @@ def test_letters_are_the_same_in_ascii_and_other_texts():
     for t in ("12 ab_c Ⅷ d½e ²", "ab c d e", "", "١٢", "́", "aе́ǅ ª º ꟲ", "\x00a\x1f"):
         slow, fast = slow_trigrams(t), language_id.trigrams(t)
         assert (slow is None) == (fast is None)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_members_further_apart_meet_as_well(spark, hot):
+    """All pairs of a bucket that share a sample of the tail, are alike in size and differ in few bits: from the order, and from who is left."""
+    r = random.Random(12)
+    rows = {k: [((1 if hot or b else r.randrange(9)) << graph.TAIL | r.randrange(3) << 8 | r.randrange(3)) + (b << 40) for b in range(2)] for k in range(240)}
+    sizes = {k: r.choice([10, 11, 40]) << 32 | r.randrange(32) for k in rows}
+    packed = [(pack(*(np.array(x, np.int64).view(np.uint64) for x in ([k for k in some], [y for k in some for y in rows[k]], [sizes[k] for k in some]))),) for some in (range(0, 150), range(140, 240))]
+    out = graph.packed_pairs(spark.createDataFrame(packed, "members binary"), 2, 0.8, 3)
+    found = {(x.a, x.b) for x in out.where("bucket is null").collect()}
+    members = out.where("bucket is not null").selectExpr("bucket", "a as k", "shiftright(size, 32) as size", "size & 4294967295 as mark")
+    others = {(x.a, x.b) for x in graph.other_pairs(members, spark.createDataFrame([], "node long, root long"), 0.8, 3).collect()}
+
+    def close(a, b):
+        shared = any(x >> 16 == y >> 16 and ((x ^ y) & 255 == 0 or (x ^ y) >> 8 & 255 == 0) for x, y in zip(rows[a], rows[b]))
+        x, y = sizes[a], sizes[b]
+        return shared and min(x >> 32, y >> 32) >= 0.8 * max(x >> 32, y >> 32) and ((x ^ y) & 31).bit_count() <= 3
+
+    want = {(a, b) for a in rows for b in rows if a < b and close(a, b)}
+    assert found < want and found | others == want
