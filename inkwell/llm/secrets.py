@@ -17,6 +17,7 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,6 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Runs of credential characters; matches of ACCESS and HEX lie inside one of BASE_LEAST at least.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % ASSIGN_LEAST)
 BASE_LEAST = 20
-SEPARATORS = re.compile(r"[+/_.=-]")
 #: The pieces of a run: between any separators, and between those of one kind.
 PIECES = [re.compile(r"[^+/_.=-]{%d,}" % ASSIGN_LEAST), *(re.compile(r"[^%s]{%d,}" % (re.escape(c), ASSIGN_LEAST)) for c in "+/_.=-")]
 FORMAT = "format"
@@ -210,13 +210,31 @@ def likelihood(table: dict[int, dict[str, tuple[float, int]]], value: str) -> fl
     return found
 
 
+#: A number for each symbol, by its character; the last one stands for the beginning of a value.
+CODES = np.zeros(128, np.int64)
+for _c in map(chr, range(33, 127)):
+    CODES[ord(_c)] = SYMBOLS.index(CLASSES.get(_c, _c)) if CLASSES.get(_c, _c) in SYMBOLS else 0
+BEGIN = len(SYMBOLS)
+
+
+def coded(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of some values of credential characters one after the other, where each begins, and its length."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    return CODES[np.frombuffer("".join(values).encode("ascii"), np.uint8)], np.cumsum(sizes) - sizes, sizes
+
+
 def bigram_counts(values: Counter) -> Counter:
-    counts: Counter = Counter()
-    for value, n in values.items():
-        classes = symbols(value)
-        for pair in zip(["^", *classes], [*classes, STOP]):
-            counts[pair] += n
-    return counts
+    some = [v for v in values if v]
+    if not some:
+        return Counter()
+    codes, starts, sizes = coded(some)
+    times, wide = np.fromiter((values[v] for v in some), np.int64, len(some)), BEGIN + 1
+    before = np.concatenate([[BEGIN], codes[:-1]])
+    before[starts] = BEGIN
+    pairs = np.concatenate([before * wide + codes, codes[starts + sizes - 1] * wide + SYMBOLS.index(STOP)])
+    n = np.bincount(pairs, np.concatenate([np.repeat(times, sizes), times]), wide * wide)
+    names = [*SYMBOLS, "^"]
+    return Counter({(names[p // wide], names[p % wide]): int(n[p]) for p in np.flatnonzero(n).tolist()})
 
 
 def background(counts: dict[tuple[str, str], int]) -> dict[tuple[str, str], float]:
@@ -244,17 +262,62 @@ def fit(labelled: dict[str, list[str]], counts: dict[tuple[str, str], int], rule
     return tables, pairs, max(rules.least_gain, gains[int(rules.quantile * len(gains))] if gains else 0.0)
 
 
+def places_in(run: str) -> set[tuple[int, int]]:
+    """A run and its pieces between separators."""
+    places = {(0, len(run))}
+    if not run.isalnum():
+        kinds = [k for k, c in enumerate("+/_.=-", 1) if c in run]  # without a separator, its pieces are the run
+        for k in kinds if len(kinds) == 1 else [0, *kinds]:
+            places.update(m.span() for m in PIECES[k].finditer(run))
+    return places
+
+
 class Found(dict):
     """run -> (start, stop) in it of what scores like a credential."""
 
     def __init__(self, tables: list[dict], pairs: dict[tuple[str, str], float], threshold: float) -> None:
         self.fitted, self.threshold = (tables, pairs), threshold
+        self.plain = np.array([[pairs[a, b] for b in SYMBOLS] for a in [*SYMBOLS, "^"]])
+        self.automata = []
+        for table in tables:
+            number = {state: k for k, state in enumerate(table)}
+            steps = [[table[state][x] for x in SYMBOLS] for state in table]
+            self.automata.append((np.array([[g for g, _ in row] for row in steps]), np.array([[number.get(to, 0) for _, to in row] for row in steps]), number[0]))
+
+    def gains(self, values: list[str]) -> np.ndarray:
+        """gain() of each value but for rounding; a step for all values at once, the longest first."""
+        codes, starts, sizes = coded(values)
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        stop, n = SYMBOLS.index(STOP), len(values)
+        left = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), "left").tolist()  # values longer than each step
+        plain, last = np.zeros(n), np.full(n, BEGIN)
+        states, found = [np.full(n, first) for _, _, first in self.automata], [np.zeros(n) for _ in self.automata]
+        for step, m in enumerate(left):
+            now = codes[starts[:m] + step]
+            plain[:m] += self.plain[last[:m], now]
+            last[:m] = now
+            for (gain_of, to, _), state, total in zip(self.automata, states, found):
+                total[:m] += gain_of[state[:m], now]
+                state[:m] = to[state[:m], now]
+        plain += self.plain[last, stop]
+        best = np.max([total + gain_of[state, stop] for (gain_of, _, _), state, total in zip(self.automata, states, found)], axis=0)
+        back = np.empty(n)
+        back[order] = (best - plain) / sizes
+        return back
+
+    def learn(self, runs: set[str]) -> None:
+        """Settle new runs of which no place comes near the threshold, all at once; the others are scored one by one when they are asked for."""
+        new = [run for run in runs if run not in self]
+        places = [{run[a:b] for a, b in places_in(run)} for run in new]
+        values = list(set().union(*places))
+        high = {v for v, g in zip(values, self.gains(values).tolist()) if g >= self.threshold - 1e-6} if values else set()
+        for run, own in zip(new, places):
+            if high.isdisjoint(own):
+                self[run] = ()
 
     def __missing__(self, run: str) -> list[tuple[int, int]]:
-        places = {(0, len(run))}
-        if SEPARATORS.search(run):
-            places.update(m.span() for p in PIECES for m in p.finditer(run))
-        scored = ((gain(*self.fitted, run[a:b]), a, b) for a, b in places)
+        scored = ((gain(*self.fitted, run[a:b]), a, b) for a, b in places_in(run))
         best = sorted((-g * (b - a), a, b) for g, a, b in scored if g >= self.threshold)
         self[run] = chosen = []
         for _, a, b in best:
@@ -285,9 +348,11 @@ def find_secrets(docs: DataFrame, rules: SecretRules = SecretRules()) -> DataFra
     def score(batches: Iterator[pa.RecordBatch], memory_runs: int = 100_000) -> Iterator[pa.RecordBatch]:
         known = Found(*fitted)
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                base, rest = spans_and_rest(text)
+            found, texts = [], batch.column(1).to_pylist()
+            apart = [spans_and_rest(text) for text in texts]
+            if fitted[0]:
+                known.learn({text[a:b] for text, (_, rest) in zip(texts, apart) for a, b in rest})
+            for text, (base, rest) in zip(texts, apart):
                 order = [(s, k, e) for s, k, e, _ in base]
                 if fitted[0]:
                     order += [(a + x, len(KINDS), a + y) for a, b in rest for x, y in known[text[a:b]]]

@@ -266,3 +266,24 @@ def test_runs_of_lines_are_counted_as_one_by_one():
     assert [int(c.sum()) for c in counts[:-1]] == [max(0, len(t) - 2) for t in lines[:-1]] and counts[-1].max() == 255
     for t, c in zip(lines, counts):
         assert (line_dedup.run_counts([t, "xyz"])[0] == c).all()
+
+
+def test_runs_settled_at_once_are_those_scored_one_by_one():
+    r = random.Random(8)
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    labelled = {"assign": ["ghx_" + of("ABCDabcd0123", 20) for _ in range(60)], "hex": [of("0123456789abcdef", 24) for _ in range(40)]}
+    runs = {of("abcxyzABC019+/_.=-", r.randrange(6, 30)) for _ in range(2000)} | {f"{of('abc', 7)}.{v}" for v in labelled["assign"]} | set(labelled["hex"])
+    counts = secrets.bigram_counts(Counter({run: 1 + len(run) % 3 for run in runs}))
+    slow = Counter()
+    for run in runs:
+        for pair in zip(["^", *secrets.symbols(run)], [*secrets.symbols(run), secrets.STOP]):
+            slow[pair] += 1 + len(run) % 3
+    assert counts == slow
+    fitted = secrets.fit(labelled, counts, secrets.SecretRules())
+    learned, one_by_one = secrets.Found(*fitted), secrets.Found(*fitted)
+    values = sorted(runs)
+    assert all(abs(g - secrets.gain(*fitted[:2], v)) < 1e-9 for v, g in zip(values, learned.gains(values).tolist()))
+    learned.learn(runs)
+    assert 0 < len(learned) < len(runs) and {v: list(learned[v]) for v in runs} == {v: list(one_by_one[v]) for v in runs}
+    for run in ["abcdef", "abc.defghi_jk", "....", "a-b+c/d=e_f.ghijklm"]:
+        assert secrets.places_in(run) == {(0, len(run)), *(m.span() for p in secrets.PIECES for m in p.finditer(run))}
