@@ -137,6 +137,29 @@ def test_bpe_equals_the_library(spark, block_chars):
         assert r.text == tok.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_splits_without_the_vocabulary_and_encodes_some_words_at_a_time():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bare, texts = json.dumps(bpe.bare(spec)), [t or "" for t in TEXTS] + [prose(1, 500)]
+    assert len(bare) < 10_000 and spec["model"]["vocab"]
+    assert [bpe.Splitter(bare).words(t) for t in texts] == [bpe.Splitter(json.dumps(spec)).words(t) for t in texts]
+
+    class Counting:
+        tok, most = Tokenizer.from_file(tokenizer()), 0
+
+        def encode_batch_fast(self, words, **how):
+            self.most = max(self.most, len(words))
+            return self.tok.encode_batch_fast(words, **how)
+
+    counting, words = Counting(), [f" w{i}" for i in range(2 * bpe.WORDS_AT_ONCE + 1)]
+    assert list(bpe.encoded(counting, words)) == [np.array(counting.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert counting.most == bpe.WORDS_AT_ONCE
+
+
 # ---- 3 -----------------------------------------------------------------------------------------
 
 
