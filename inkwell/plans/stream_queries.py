@@ -31,11 +31,16 @@ def documents(s, d):
 
 
 def vault(s, d):
-    """All documents by the users' paths, and what users' renames have moved."""
-    own = documents(s, d)
-    moved = table(s, d, "events").where("event_type = 'purchase'").join(own, F.col("user_id") == F.col("doc_id"))
-    path = F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_id").cast("string"), F.lit(".md"))
-    return hashed(own.select("path", "text").unionByName(moved.select(path.alias("path"), "text")))
+    """Finds notes by path: all documents are there by the users' paths, and what users' renames have moved."""
+
+    def of(wanted, mark):
+        user, moved = F.concat(F.lit("u/"), F.col("user_id").cast("string")), F.col("event_id").cast("string")
+        moves = table(s, d, "events").where("event_type = 'purchase'").select(F.concat(user, F.lit("-"), moved, F.lit(".md")).alias("path"), F.concat(user, F.lit(".md")).alias("source"))
+        # The document that each path has its text from, so that documents take part in one join.
+        sources = wanted.select("path", F.col("path").alias("source")).unionByName(moves.join(mark(wanted), "path", "left_semi"))
+        return hashed(documents(s, d).select(F.col("path").alias("source"), "text").join(mark(sources), "source").select("path", "text"))
+
+    return of
 
 
 def before(s, d):

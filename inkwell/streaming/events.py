@@ -106,6 +106,17 @@ class Rules:
     chunk: Callable[[DataFrame], DataFrame]
 
 
+#: Paths, some 100 bytes each, up to which a batch finds their notes and chunks by broadcast, so that no text is shuffled for it; more are joined by a shuffle.
+BROADCAST_PATHS = 1_000_000
+
+Mark = Callable[[DataFrame], DataFrame]
+
+
+def marked(n: int) -> Mark:
+    """Marks tables of about n paths for a broadcast, if these are few."""
+    return F.broadcast if n <= BROADCAST_PATHS else lambda paths: paths
+
+
 def rebuild(own: publish.Writer, vault: DataFrame, rules: Rules) -> dict:
     """Publish the index and chunks of all notes of vault (path, hash, text, …) that aren't excluded, as one version; returns the counts.
 
@@ -118,10 +129,10 @@ def rebuild(own: publish.Writer, vault: DataFrame, rules: Rules) -> dict:
     return totals | {"chunks": now.manifest["rows"]["chunks"]}
 
 
-def apply_changes(own: publish.Writer, changes: DataFrame, vault: DataFrame, rules: Rules) -> int:
+def apply_changes(own: publish.Writer, changes: DataFrame, vault: DataFrame | Callable[[DataFrame, Mark], DataFrame], rules: Rules) -> int:
     """Bring the published index and chunks up to date with coalesced changes (type, path, old_path), as one version; returns how many paths changed.
 
-    vault (path, hash, text, …) is read once, for the changed paths only, and pinned down, so that index and
+    vault (path, hash, text, …), or a function of distinct paths (path) and a Mark for tables about as long as these that gives their notes, is read once, for the changed paths only, and pinned down, so that index and
     chunks come from the same texts whatever happens to the vault meanwhile. Only paths whose row changed are chunked again;
     all others' chunks are carried over. Without a changed path nothing is published. Chunks of a path are those of its text in
     the index: after any batch both are what a rebuild of the notes in the index would give.
@@ -134,12 +145,15 @@ def apply_changes(own: publish.Writer, changes: DataFrame, vault: DataFrame, rul
             return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
         changes = pinned(changes.select("type", "path", "old_path"), "changes")
-        wanted = changes.where("type <> 'delete'").select("path").distinct()
-        texts = pinned(vault.select(*index.columns, "text").join(wanted, "path", "left_semi"), "texts")
+        wanted = pinned(changes.where("type <> 'delete'").select("path").distinct(), "wanted")
+        mark = marked(wanted.count())  # from the files' footers
+        found = vault(wanted, mark) if callable(vault) else vault.join(mark(wanted), "path", "left_semi")
+        texts = pinned(found.select(*index.columns, "text"), "texts")
         after = maintenance.apply_batch(index, changes, texts, rules.excluded, rules.content_excluded)
         changed = pinned(maintenance.changed_paths(index, after), "changed")
         n = changed.count()
         if n:
+            changed = marked(n)(changed)
             stays = texts.join(changed.where("stays"), "path", "left_semi").select("path", "text")
             own.publish({"index": after, "chunks": maintenance.replace_chunks(chunks, changed, rules.chunk(stays))}, {"index": "path", "chunks": "path"})
     return n
@@ -164,7 +178,7 @@ def catch_up(own: publish.Writer, vault: DataFrame, rules: Rules, reread: bool =
         return counts | {"changed": apply_changes(own, plan, vault, rules) if any(counts.values()) else 0}
 
 
-def apply_stream(events: DataFrame, root: str, vault: DataFrame, rules: Rules, checkpoint: str, role: publish.Role = publish.Role()) -> DataStreamWriter:
+def apply_stream(events: DataFrame, root: str, vault: DataFrame | Callable[[DataFrame, Mark], DataFrame], rules: Rules, checkpoint: str, role: publish.Role = publish.Role()) -> DataStreamWriter:
     """Coalesce each micro-batch of events (seq, type, path, old_path) and publish the index and chunks that result, in one version.
 
     A batch that fails, as one does that another writer came before, is retried by the engine with the same events;

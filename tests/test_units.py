@@ -380,6 +380,34 @@ def test_texts_that_change_during_a_batch_leave_one_version(spark, tmp_path):
     assert index["a.md"] == hashlib.md5(chunks[0][1].encode()).hexdigest() and moving(1) == 1
 
 
+def test_batches_find_notes_and_chunks_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    from inkwell.plans import stream_queries
+
+    docs = [(i, f"text {i} of a document", "en", "s", 20) for i in range(12)] + [(None, "nobody's", "en", "s", 8), (12, None, "en", "s", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    bought = [(100 + i, i, "purchase") for i in (0, 1, 5, 40)] + [(101, 1, "purchase"), (200, 3, "view"), (201, None, "purchase")]
+    spark.createDataFrame([(e, None, u, t, 0.0, "") for e, u, t in bought], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    wanted = spark.createDataFrame([("u/1.md",), ("u/12.md",), ("u/99.md",), ("u/5-105.md",), ("u/3-200.md",), ("u/1-101.md",), ("u/40-140.md",)], "path string")
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (10**6, 0):
+            monkeypatch.setattr(E, "BROADCAST_PATHS", few)
+            notes = stream_queries.vault(spark, str(tmp_path))(wanted, E.marked(wanted.count()))
+            found = sorted((r.path, r.text, r.size) for r in notes.collect())
+            assert found == [("u/1-101.md", "text 1 of a document", 20)] * 2 + [("u/1.md", "text 1 of a document", 20), ("u/12.md", "", 0), ("u/5-105.md", "text 5 of a document", 20)]
+            assert ("hashpartitioning" in notes._jdf.queryExecution().executedPlan().toString()) == (not few)
+            root = str(tmp_path / f"pub{few}")
+            rebuilt(spark, root, {"u/1.md": "old", "u/7.md": "stays"})
+            with publish.writer(spark, root, "batch") as own:
+                changes = spark.createDataFrame([("modify", "u/1.md", None), ("rename", "u/5-105.md", "u/7.md")], "type string, path string, old_path string")
+                assert E.apply_changes(own, changes, stream_queries.vault(spark, str(tmp_path)), rules_of()) == 3
+            index, chunks = published(spark, root)
+            assert set(index) == {"u/1.md", "u/5-105.md"} and {c.split("::")[0] for c, _ in chunks} == set(index)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
 def test_hybrid_query_terms_read_whole_texts(spark, tmp_path):
     from inkwell.plans import search_queries
 
