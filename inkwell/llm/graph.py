@@ -154,6 +154,42 @@ def other_pairs(members: DataFrame, roots: DataFrame, alike: float, bits: int =
     return found
 
 
+#: Members, and characters of theirs, that meet in one place with as many others.
+PLACE_CHARS = 4 << 20
+
+
+def meetings(members: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(place, block, k, root, size, mark, text) of members (bucket, k, size, mark) whose bucket holds several components of roots (node, root), dealt to places and sorted by them.
+
+    texts: (half, text) of all members. Any two members of a bucket that are in different components meet in one place at least. A bucket
+    of up to BLOCK members is one place. The strays of a larger one, which aren't in its most common component, are dealt to blocks, and so are
+    the members of this component: strays meet in all pairs of their blocks, and with each block of the others, which don't meet
+    among themselves. Members of one block have met elsewhere unless a place is of this block alone, or of the whole bucket.
+    """
+    own = rooted(members, roots)
+    each = own.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    greatest = F.max(F.struct("n", "root", "chars")).alias("most")
+    mixed = each.groupBy("bucket").agg(greatest, F.sum("n").alias("n"), F.sum("chars").alias("chars")).where("n > most.n")
+    blocks = lambda n, chars: F.greatest(F.ceil(n / BLOCK), F.ceil(chars / PLACE_CHARS), F.lit(1)).cast("int")
+    whole = (F.col("n") <= BLOCK) & (F.col("chars") <= PLACE_CHARS)
+    strays = F.when(whole, 1).otherwise(blocks(F.col("n") - F.col("most.n"), F.col("chars") - F.col("most.chars")))
+    mixed = mixed.select("bucket", F.col("most.root").alias("most"), whole.alias("whole"), strays.alias("strays"), blocks(F.col("most.n"), F.col("most.chars")).alias("others"))
+    stray, dealt = F.col("whole") | (F.col("root") != F.col("most")), F.xxhash64("k")
+    some = own.join(mixed, "bucket").withColumn("block", F.when(stray, F.pmod(dealt, F.col("strays"))).otherwise(F.col("strays") + F.pmod(dealt, F.col("others"))).cast("int"))
+    last = F.when(F.col("whole"), 0).when(stray, F.col("strays") + F.col("others") - 1).otherwise(F.col("strays") - 1)
+    told = some.withColumn("last", last).join(texts, F.col("k") == F.col("half"))
+    met = told.select("bucket", "block", "k", "root", "size", "mark", "text", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    place = F.struct("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")).alias("place")
+    return met.select(place, "block", "k", "root", "size", "mark", "text").repartition(partitions(members), "place").sortWithinPartitions("place")
+
+
+def merged(roots: DataFrame, more: DataFrame, label: str = "components") -> DataFrame:
+    """Components (node, root) after further edges (a, b) between their roots, where a node without a root is its own."""
+    above = components(more, label)
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(above.join(roots.select("node"), "node", "left_anti"))
+
+
 #: Members that a task gathers before it deals them out, and the parts that a partition's members are dealt to.
 DEALT_AT_ONCE, PARTS_EACH = 1 << 19, 4
 
@@ -186,7 +222,7 @@ def packed_pairs(dealt: DataFrame, lags: int = LAGS, alike: float = 0.0, bits: i
 
     Rows of dealt (members) hold arrays of k, of the keys of each in turn, as many for all, and of size. Rows without a bucket are pairs a < b,
     some of them several times. The others are members a, with their size, of a bucket that has a sample of the tail in its
-    name, and more members than the order brings together: other_pairs() finds all that are left of its pairs.
+    name, and more members than the order brings together: meetings() has all that are left of its pairs.
 
     Members go to parts by bucket, many in one row, and a part is sorted at once: what is held is a part, some
     PARTS_EACH-th of a partition. Hot buckets are dealt by k as in neighbours(), found from every 64th member.

@@ -6,7 +6,8 @@ words replaced differ in 7 of 32 bits more or less, and no block of a few bits i
 the tables draws three of a line's words, long ones rather than short, such that similar lines draw the
 same ones (three characters in a row instead of words in short lines); lines with equal draws are sorted by what is
 drawn after them and each is a candidate with the next few. All others of equal draws, one of those after included, are
-candidates once these are linked, unless they are in one group by then. Of these, lengths too far apart for the
+candidates once these are linked, unless they are in one group by then: these meet with their texts in one task, and only links
+leave it. Of all, lengths too far apart for the
 similarity are left out, which loses nothing, and pairs whose 32-bit SimHashes are as far apart as chance has them. Of each connected group, and of exact repeats, the first occurrence by (doc_id, text,
 line number) stays.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.bpe import pack
 from inkwell.llm.common import cut, discard, fresh, lean, partitions, whole_text
-from inkwell.llm.graph import bucket_keys, components, other_pairs, packed_pairs
+from inkwell.llm.graph import bucket_keys, components, meetings, merged, once, packed_pairs
 
 #: Tables, and how many draws make a bucket. Lines that share two thirds of their weight share one, and a draw after it, with 0.97.
 TABLES, DRAWS = 12, 3
@@ -393,67 +394,255 @@ def near_enough(x: str, y: str, most: float) -> bool:
     return edit_distance(x, y, most) <= most
 
 
-#: Bins that a line's runs of three characters are counted in, and pairs that are counted at a time, some MB.
-BINS, PAIRS_AT_ONCE = 2048, 512
+#: Pairs whose edits are counted side by side, and words of 64 bits that say at most where their characters are.
+SIDE_BY_SIDE, PLACE_WORDS = 1024, 1 << 21
+#: Fewer pairs for each of their words are faster one by one.
+FEW = 3
+#: Characters of the second strings after which pairs that are settled are left out.
+SETTLED_EACH = 32
+
+
+def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of some strings one after another, and where each begins and how long it is."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return points, np.cumsum(sizes) - sizes, sizes
+
+
+def within_edits(xs: list[str], ys: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether strings are at most so many edits apart, pair by pair: edit_distance(), for many pairs at once."""
+    found = np.zeros(len(xs), bool)
+    if not len(xs):
+        return found
+    points, _, _ = codes([*xs, *ys])
+    ids = np.zeros(int(points.max(initial=0)) + 1, np.int64)
+    ids[points] = 1
+    letters = int(ids.sum()) + 1  # and none
+    ids[ids > 0] = np.arange(1, letters)
+    sizes = np.fromiter(map(len, xs), np.int64, len(xs))
+    order, first = np.argsort(-sizes, kind="stable"), 0
+    while first < len(order):
+        words = max(1, -(-int(sizes[order[first]]) // 64))
+        own = order[first : first + max(1, min(SIDE_BY_SIDE, PLACE_WORDS // (letters * words)))]
+        own = own[sizes[own] > 64 * (words * 3 // 4 - 1)]  # of about one length
+        x, y = [xs[k] for k in own.tolist()], [ys[k] for k in own.tolist()]
+        if len(own) < FEW * words:
+            found[own] = [edit_distance(v, w, enough) <= enough for v, w, enough in zip(x, y, most[own].tolist())]
+        else:
+            found[own] = _side_by_side(x, y, most[own], ids, letters, words)
+        first += len(own)
+    return found
 
 
-def run_counts(lines: list[str]) -> np.ndarray:
-    """A row for each line: how many of its runs of three characters fall in each bin, 255 at most."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    runs = (points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x2C1B3C6D)
-    # A run belongs to the line of its first character, if its last is in that line too.
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    inside = owner[:-2] == owner[2:] if len(points) > 2 else np.zeros(0, bool)
-    at = owner[: len(inside)][inside] * BINS + (runs[: len(inside)] >> np.uint32(21))[inside]
-    return np.minimum(np.bincount(at, minlength=len(lines) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+def _side_by_side(xs: list[str], ys: list[str], most: np.ndarray, ids: np.ndarray, letters: int, words: int) -> np.ndarray:
+    """within_edits() of some pairs, a bit for each character of xs, so many words for each pair; ids: a number from 1 for each code point."""
+    n, one, top = len(xs), np.uint64(1), np.uint64(63)
+    points, starts, m = codes(xs)
+    owner = np.repeat(np.arange(n), m)
+    place = np.arange(len(points)) - starts[owner]
+    equal = np.zeros(words * n * letters, np.uint64)  # where a pair's x has a letter
+    np.add.at(equal, ((place >> 6) * n + owner) * letters + ids[points], one << (place & 63).astype(np.uint64))
+    equal = equal.reshape(words, n * letters)
+    points, starts, left = codes(ys)
+    owner = np.repeat(np.arange(n), left)
+    letter = np.zeros((int(left.max(initial=0)), n), np.int32)
+    letter[np.arange(len(points)) - starts[owner], owner] = ids[points]
+
+    found = np.where((m == 0) | (left == 0), np.maximum(m, left) <= most, False)
+    lanes = np.flatnonzero((m > 0) & (left > 0) & (np.abs(m - left) <= most))
+    # Rows of the table that few enough edits lead to are computed, whole words of them: from a first word up to a last one.
+    band = int(most[lanes].max(initial=0))
+    size, total, enough = m[lanes], left[lanes], most[lanes]
+    plus, minus = np.full((words, len(lanes)), ~np.uint64(0)), np.zeros((words, len(lanes)), np.uint64)  # where a column of the table rises and falls
+    until = min(words, -(-(1 + band) // 64))
+    bottom = np.full(len(lanes), 64 * until)  # what the last row of them says
+    for column in range(1, len(letter) + 1):
+        if not len(lanes):
+            break
+        if until < words and column + band > 64 * until:
+            until, bottom = until + 1, bottom + 64
+        since = max(0, (column - band - 1) // 64)
+        at = lanes * letters + letter[column - 1, lanes]
+        up, down = one, np.uint64(0)  # what comes from the word before
+        for w in range(since, until):
+            same, p, q = equal[w].take(at), plus[w], minus[w]
+            both = same | q
+            same |= down
+            zero = (((same & p) + p) ^ p) | same
+            rise, fall = q | ~(zero | p), p & zero
+            rise, fall, up, down = rise << one | up, fall << one | down, rise >> top, fall >> top
+            plus[w], minus[w] = fall | ~(both | rise), rise & both
+        bottom += up.astype(np.int64) - down.astype(np.int64)
+        ended = total == column
+        settled = column % SETTLED_EACH == 0
+        if not settled and not ended.any():
+            continue
+        some = np.arange(len(lanes)) if settled else np.flatnonzero(ended)
+        row, says = _column(plus[since:until, some], minus[since:until, some], bottom[some], 64 * since)
+        behind = (size - total + column)[some, None]  # the row that leaves as many characters of both
+        least = np.where(row <= size[some, None], says + np.abs(behind - row), np.iinfo(np.int32).max).min(1)
+        done = ended[some]
+        found[lanes[some[done]]] = says[done, size[some[done]] - 64 * since] <= enough[some[done]]
+        gone = some[done | (least > enough[some])]
+        if len(gone):
+            go = np.delete(np.arange(len(lanes)), gone)
+            lanes, size, total, enough, bottom = (c[go] for c in (lanes, size, total, enough, bottom))
+            plus, minus = plus[:, go], minus[:, go]
+    return found
+
+
+def _column(plus: np.ndarray, minus: np.ndarray, bottom: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows from first on, and what each pair's column says there; bottom: in the last of them."""
+    bits = lambda x: np.unpackbits(np.ascontiguousarray(x.T).view(np.uint8), axis=1, bitorder="little").view(np.int8)
+    says = np.zeros((len(bottom), 64 * len(plus) + 1), np.int32)
+    np.cumsum(bits(plus) - bits(minus), axis=1, dtype=np.int32, out=says[:, 1:])
+    says += (bottom - says[:, -1]).astype(np.int32)[:, None]
+    return np.arange(first, first + says.shape[1], dtype=np.int32), says
+
+
+#: Bins that a line's runs of characters are counted in, and lines and pairs that are counted at a time, some MB.
+BINS, LINES_AT_ONCE, PAIRS_AT_ONCE = 2048, 512, 8192
+#: Runs of so many characters, and bins, that tell pairs apart: few and short ones first.
+FILTERS = ((2, 256), (3, 1024))
+FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+
+
+def run_counts(lines: list[str], run: int = 3, bins: int = BINS) -> np.ndarray:
+    """A row for each line: how many of its runs of characters fall in each bin, of which there are a power of two, 255 at most."""
+    found = np.empty((len(lines), bins), np.uint8)
+    shift = np.uint32(33 - bins.bit_length())
+    for first in range(0, len(lines), LINES_AT_ONCE):
+        some = lines[first : first + LINES_AT_ONCE]
+        points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.fromiter(map(len, some), np.int64, len(some))
+        n = max(0, len(points) - run + 1)
+        runs = np.zeros(n, np.uint32)
+        for k in range(run):
+            runs ^= points[k : n + k] * np.uint32(FACTORS[k])
+        # A run belongs to the line of its first character, if its last is in that line too.
+        owner = np.repeat(np.arange(len(some)), sizes)
+        inside = owner[:n] == owner[run - 1 :] if n else np.zeros(0, bool)
+        at = owner[:n][inside] * bins + (runs * np.uint32(0x2C1B3C6D) >> shift)[inside]
+        found[first : first + len(some)] = np.minimum(np.bincount(at, minlength=len(some) * bins), 255).astype(np.uint8).reshape(-1, bins)
+    return found
+
+
+def likely_pairs(lines: list[str], x: np.ndarray, y: np.ndarray, most: np.ndarray, run: int, bins: int) -> np.ndarray:
+    """Whether pairs (x, y) of lines have as many runs in common as lines that are at most so many edits apart; no such pair is left out."""
+    found = np.empty(len(x), bool)
+    for first in range(0, len(x), PAIRS_AT_ONCE):
+        own = slice(first, first + PAIRS_AT_ONCE)
+        used, at = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+        texts = [lines[k] for k in used.tolist()]
+        counts, size = run_counts(texts, run, bins), np.fromiter(map(len, texts), np.int64, len(texts))
+        full = (counts == 255).any(1)
+        i, j = at[: len(at) // 2], at[len(at) // 2 :]
+        # An edit changes as many runs as one has characters; full bins may hold more.
+        least = np.maximum(size[i], size[j]) - run + 1 - run * np.floor(most[own])
+        found[own] = full[i] | full[j] | (np.minimum(counts[i], counts[j]).sum(1, dtype=np.int32) >= least)
+    return found
+
+
+def alike(lines: list[str], x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs (x, y) of normalised lines have the edit similarity, given by their places in lines."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    most = np.maximum(size[x], size[y]) * (1 - similarity) + 1e-9
+    left = np.flatnonzero(np.abs(size[x] - size[y]) <= most)
+    for run, bins in FILTERS:
+        left = left[likely_pairs(lines, x[left], y[left], most[left], run, bins)]
+    keep, rest = np.zeros(len(x), bool), []
+    for k, i, j, enough in zip(left.tolist(), x[left].tolist(), y[left].tolist(), most[left].tolist()):
+        # What differs between most pairs is one place, no longer than the edits allowed.
+        v, w = trimmed(lines[i], lines[j])
+        keep[k] = max(len(v), len(w)) <= enough
+        if not keep[k]:
+            rest.append((k, v, w) if len(v) <= len(w) else (k, w, v))
+    at = np.array([k for k, _, _ in rest], np.int64)
+    keep[at] = within_edits([v for _, v, _ in rest], [w for _, _, w in rest], most[at])
+    return keep
 
 
 def _alike(similarity: float):
-    """Rows of (a, b, x, y) to the (a, b) whose texts x and y have the edit similarity."""
+    """Rows of (a, b, x, y) to the (a, b) whose texts x and y, normalised, have the edit similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = pa.concat_arrays([batch.column("x"), batch.column("y")]).dictionary_encode()
-            lines = [normalised(t) for t in coded.dictionary.to_pylist()]
             at = np.asarray(coded.indices)
-            x, y = at[: batch.num_rows], at[batch.num_rows :]
-            size = np.array([len(t) for t in lines])
-            keep = np.zeros(batch.num_rows, bool)
-            # What differs between most pairs is one place, no longer than the edits allowed.
-            longest = np.maximum(size[x], size[y])
-            most = (longest * (1 - similarity) + 1e-9).tolist()
-            open_pairs = []
-            for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
-                if abs(size[i] - size[j]) <= most[k]:
-                    v, w = trimmed(lines[i], lines[j])
-                    keep[k] = max(len(v), len(w)) <= most[k]
-                    if not keep[k]:
-                        open_pairs.append((k, v, w))
-            for first in range(0, len(open_pairs), PAIRS_AT_ONCE):
-                some = open_pairs[first : first + PAIRS_AT_ONCE]
-                counts = run_counts([t for _, v, w in some for t in (v, w)])
-                left, right = counts[::2], counts[1::2]
-                # An edit changes three runs at most, so similar lines have all others of what differs in common; full bins may hold more.
-                length = np.array([max(len(v), len(w)) for _, v, w in some])
-                least = length - 2 - 3 * np.floor([most[k] for k, _, _ in some])
-                likely = (counts == 255).any(1).reshape(-1, 2).any(1) | (np.minimum(left, right).sum(1, dtype=np.int64) >= least)
-                for (k, v, w), fits in zip(some, likely.tolist()):
-                    keep[k] = fits and near_enough(v, w, most[k])
+            keep = alike(coded.dictionary.to_pylist(), at[: batch.num_rows], at[batch.num_rows :], similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
+def pairs_met(start: np.ndarray, root: np.ndarray, block: np.ndarray, one: np.ndarray, size: np.ndarray, mark: np.ndarray, similarity: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j), j < i, that meet: of one place, different roots and, unless the place is of one block, different blocks, whose sizes and SimHashes are near enough. start: where the place of each row begins."""
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    place, live, lag = np.arange(len(start)) - start, np.arange(len(start)), 0
+    while len(live):
+        lag += 1
+        live = live[place[live] >= lag]
+        before = live - lag
+        own = (root[live] != root[before]) & (one[live] | (block[live] != block[before])) & (np.bitwise_count(mark[live] ^ mark[before]) <= bits)
+        i, j = live[own], before[own]
+        own = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        firsts.append(i[own]), seconds.append(j[own])
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    order = np.argsort(i, kind="stable")  # pairs of a line are counted together
+    return i[order], j[order]
+
+
+def _met(similarity: float, bits: int):
+    """Rows of meetings() to the roots (a, b) of members that have the edit similarity, for different ones."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        bucket, x, y = (np.asarray(c) for c in rows.column("place").combine_chunks().flatten())
+        root, block, size, mark = (np.asarray(rows.column(c)) for c in ("root", "block", "size", "mark"))
+        starts = once([bucket, x, y])
+        start = np.repeat(starts, np.diff(np.append(starts, len(bucket))))
+        i, j = pairs_met(start, root, block, x == y, size, mark, similarity, bits)
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        lines = rows.column("text").take(pa.array(used)).to_pylist()
+        keep = alike(lines, at[: len(i)], at[len(i) :], similarity)
+        edges = np.unique(np.sort(np.array([root[i[keep]], root[j[keep]]]), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last place may go on in the next batch.
+            parts = [np.asarray(c) for c in batch.column("place").flatten()]
+            last = int(once(parts)[-1])
+            if held and last == 0 and batch.column("place")[0] != held[-1].column("place")[-1]:
+                yield links(pa.Table.from_batches(held))
+                held = []
+            elif last:
+                yield links(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
+
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(half, text) with the text normalised."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(normalised, batch.column(1).to_pylist()), pa.string())], names=["half", "text"])
+
+
 def line_texts(keyed: DataFrame, wanted: DataFrame, rules: LineRules) -> DataFrame:
-    """(half, text) of wanted lines (half, first), from the document of each one's first occurrence; a table of cut()."""
+    """(half, text) of wanted lines (half, first), normalised, from the document of each one's first occurrence; a table of cut()."""
     places = wanted.select("half", "first.*")
     by_doc = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "half")).alias("lines"))  # of one document
     if wanted.count() <= rules.broadcast_lines:
         by_doc = F.broadcast(by_doc)
     at = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
     opened = keyed.alias("d").join(by_doc.alias("w"), at).select(F.split("d.text", "\n").alias("all"), F.explode("w.lines").alias("one"))
-    return cut(opened.select("one.half", F.get("all", F.col("one.line")).alias("text")).groupBy("half").agg(F.min("text").alias("text")), "line-texts")
+    return cut(opened.select("one.half", F.get("all", F.col("one.line")).alias("text")).groupBy("half").agg(F.min("text").alias("text")).mapInArrow(lean(_normal), "half long, text string"), "line-texts")
 
 
 def duplicate_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -468,35 +657,22 @@ def duplicate_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
     near = cut(sorted_out.where("bucket is null").select("a", "b").distinct(), "near-lines")
     distinct = cut(lines.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
 
-    def wanted_of(halves: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Distinct lines of some halves, and their texts."""
-        some = cut(distinct.withColumn("half", F.col("k.k1")).join(halves, "half"), "wanted-lines")
-        return some, line_texts(keyed, some, rules)
-
-    def linked_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("half").alias("a"), F.col("text").alias("x")), texts.select(F.col("half").alias("b"), F.col("text").alias("y"))
-        spread = pairs.join(x, "a").repartition(partitions(docs), "b")  # few bytes, but much work
-        return cut(spread.join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_alike(rules.similarity)), near.schema), "line-links")
-
-    halves = lambda pairs: pairs.select(F.col("a").alias("half")).unionByName(pairs.select(F.col("b").alias("half"))).distinct()
-    wanted, texts = wanted_of(halves(near))
-    links = linked_of(near, texts)
+    # Members of a bucket that its order may keep apart are compared after the first links, with the same texts.
+    members = sorted_out.where("bucket is not null").select("bucket", F.col("a").alias("k"), F.shiftright("size", 32).alias("size"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("mark"))
+    halves = near.select(F.explode(F.array("a", "b")).alias("half")).unionByName(members.select(F.col("k").alias("half"))).distinct()
+    wanted = cut(distinct.withColumn("half", F.col("k.k1")).join(halves, "half"), "wanted-lines")
+    texts = line_texts(keyed, wanted, rules)
+    x, y = texts.select(F.col("half").alias("a"), F.col("text").alias("x")), texts.select(F.col("half").alias("b"), F.col("text").alias("y"))
+    spread = near.join(x, "a").repartition(partitions(docs), "b")  # few bytes, but much work
+    links = cut(spread.join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(_alike(rules.similarity)), near.schema), "line-links")
     roots = components(links, "line-groups")
     # All other pairs of a bucket that could still join two groups, however far apart its order has them.
-    members = sorted_out.where("bucket is not null").select("bucket", F.col("a").alias("k"), F.shiftright("size", 32).alias("size"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).alias("mark"))
-    others = other_pairs(members, roots, rules.similarity, BITS)
-    rest, made = others.join(near, ["a", "b"], "left_anti"), [sorted_out, near, others, texts, links]
-    if rest.take(1):
-        more_wanted, more_texts = wanted_of(halves(rest).join(wanted, "half", "left_anti"))
-        more = linked_of(rest, texts.unionByName(more_texts))
-        roots = components(links.unionByName(more), "line-groups")
-        made += [wanted, more_wanted, more_texts, more]
-        wanted = wanted.unionByName(more_wanted)
-    else:
-        made.append(wanted)
+    more = cut(meetings(members, roots, texts).mapInArrow(lean(_met(rules.similarity, BITS)), near.schema).distinct(), "line-meetings")
+    if more.take(1):
+        roots = merged(roots, more, "line-groups")
     # Lines without a link keep their own first occurrence; only the others need their group's.
     linked = cut(wanted.join(roots, F.col("half") == F.col("node")).select("k", "half", "first", "n", "root"), "linked-lines")
-    discard(*made)
+    discard(sorted_out, near, wanted, texts, links, more)
     of_group = linked.join(linked.groupBy("root").agg(F.min("first").alias("kept")), "root").where((F.col("n") > 1) | (F.col("first") != F.col("kept"))).select("k", "kept")
     # Keys of repeated lines only, so that lines that occur once take no part in the join.
     alone = distinct.where("n > 1").join(linked.select(F.col("half").alias("k1")), F.col("k.k1") == F.col("k1"), "left_anti").select("k", F.col("first").alias("kept"))

@@ -597,3 +597,32 @@ def test_rare_elements_lead_to_every_similar_pair_and_few_others(spark):
     assert want <= found and len(found) - len(want) < len(sets) ** 2 // 20
     members = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 4), (3, 5)], "bucket long, k long")
     assert {x.k for x in graph.mixed_members(members, spark.createDataFrame([(2, 1), (5, 4)], "node long, root long")).collect()} == {2, 3}
+
+
+def test_edits_side_by_side_are_those_one_by_one():
+    r, xs, ys = random.Random(18), [], []
+    for _ in range(600):
+        x = [r.choice("abcdé日 ") for _ in range(r.choice((0, 1, 30, 63, 64, 65, 128, 129, 200)))]
+        y = list(x)
+        for _ in range(r.randrange(0, max(1, len(x) // 3) + 1)):
+            k = r.randrange(len(y) + 1)
+            y[k : k + r.randrange(2)] = [r.choice("abcdé日 ")] * r.randrange(2)
+        xs.append("".join(x)), ys.append("".join(y))
+    apart = np.array([line_dedup.edit_distance(x, y) for x, y in zip(xs, ys)])
+    for most in (apart, apart - 1, apart + 1, np.array([0.2 * max(len(x), len(y)) for x, y in zip(xs, ys)])):
+        assert (line_dedup.within_edits(xs, ys, most) == (apart <= most)).all()
+    at = np.arange(len(xs))
+    want = [a <= 0.2 * max(len(x), len(y)) + 1e-9 for a, x, y in zip(apart, xs, ys)]
+    assert line_dedup.alike([*xs, *ys], at, at + len(xs), 0.8).tolist() == want
+
+
+def test_members_of_a_bucket_in_different_groups_meet_without_a_row_for_each_pair(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    members = spark.range(60).selectExpr("id % 2 as bucket", "id as k", "20L as size", "0L as mark")
+    roots = spark.range(0, 60).where("id < 30 or id % 2 = 0").selectExpr("id as node", "id % 2 as root")
+    rows = graph.meetings(members, roots, members.selectExpr("k as half", "cast(k as string) as text")).collect()
+    met = {(min(x.k, y.k), max(x.k, y.k)) for x in rows for y in rows if x.place == y.place and x.root != y.root and (x.place.x == x.place.y or x.block != y.block)}
+    root = {k: k % 2 if k < 30 or k % 2 == 0 else k for k in range(60)}
+    assert met == {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 2 == b % 2 and root[a] != root[b]}
+    assert len(rows) < len(met)
+    assert {r.node: r.root for r in graph.merged(roots, spark.createDataFrame([(1, 31), (31, 33)], "a long, b long")).collect()} == {k: 1 if k in (31, 33) else k % 2 for k in range(60) if k in (31, 33) or k < 30 or k % 2 == 0}
