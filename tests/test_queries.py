@@ -43,6 +43,18 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["build_notes"])
+def test_hashes_of_odd_texts(spark, tmp_path, name):
+    import duckdb
+
+    rows = [(i, t, "en", "src1") for i, t in enumerate(["abc", "", None, "a😀b", "😀" * 70000, " ", "a\0b", "é" * 70000, "polygenelubricants"])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(entry.oracle_sql()[name]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
