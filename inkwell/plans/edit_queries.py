@@ -27,7 +27,7 @@ def highlight_terms(s, d):
 
 
 def device_token(s, d):
-    h = F.conv(T.content_hash("text"), 16, 36)
+    h = F.conv(F.greatest(T.code_point_hash("text"), F.lit(0)).cast("string"), 10, 36)  # -1 has no digits in the SQL: 0
     return notes(s, d).select("doc_id", F.lower(h).alias("token"))
 
 

@@ -43,7 +43,7 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["build_notes"])
+@pytest.mark.parametrize("name", ["build_notes", "content_hash", "device_token"])
 def test_hashes_of_odd_texts(spark, tmp_path, name):
     import duckdb
 
